@@ -5,16 +5,22 @@ Nothing else in the package imports this subpackage.
 
 from __future__ import annotations
 
-from quillon.llm import decontaminate, packing, token_counts
+from quillon.llm import decontaminate, language_id, packing, sharding, token_counts, toxicity
 
 
 def queries() -> dict:
     return {
+        "op2_shard": sharding.op2_shard,
         "op5_pack": packing.op5_pack,
         "op7_decontaminate": decontaminate.op7_decontaminate,
         "op8_token_counts": token_counts.op8_token_counts,
+        "op9_toxicity": toxicity.op9_toxicity,
+        "op10_language": language_id.op10_language,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_decontaminate": decontaminate.OP7_SQL}
+    return {
+        "op2_shard": sharding.OP2_SQL,
+        "op7_decontaminate": decontaminate.OP7_SQL,
+    }
