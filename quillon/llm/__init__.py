@@ -5,11 +5,12 @@ Nothing else in the package imports this subpackage.
 
 from __future__ import annotations
 
-from quillon.llm import decontaminate, language_id, packing, sharding, token_counts, toxicity
+from quillon.llm import decontaminate, language_id, packing, sharding, simhash, token_counts, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_simhash": simhash.op1_simhash,
         "op2_shard": sharding.op2_shard,
         "op5_pack": packing.op5_pack,
         "op7_decontaminate": decontaminate.op7_decontaminate,
