@@ -5,7 +5,7 @@ Nothing else in the package imports this subpackage.
 
 from __future__ import annotations
 
-from quillon.llm import decontaminate, language_id, packing, sharding, simhash, token_counts, toxicity
+from quillon.llm import decontaminate, language_id, packing, quality, sharding, simhash, token_counts, toxicity
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op1_simhash": simhash.op1_simhash,
         "op2_shard": sharding.op2_shard,
         "op5_pack": packing.op5_pack,
+        "op6_quality": quality.op6_quality,
         "op7_decontaminate": decontaminate.op7_decontaminate,
         "op8_token_counts": token_counts.op8_token_counts,
         "op9_toxicity": toxicity.op9_toxicity,
