@@ -24,7 +24,6 @@ BUCKETS = 10_000
 THRESHOLD = -0.15
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = "#*$%&|<>"
-_BLANKS = " \t\n\x0b\f\r"
 _TOKENS = r"[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_\s]+"
 
 
@@ -47,19 +46,12 @@ def buckets_of(text: Column, buckets: int) -> Column:
 
 
 def repeated_words(words: Column) -> Column:
-    """Words that lie in a three-word window occurring twice or more."""
+    """Words that lie in a three-word window occurring twice or more.
 
-    def windows(w: Column) -> Column:
-        at = F.sequence(F.lit(0), F.size(w) - 3)
-        return F.sort_array(
-            F.transform(at, lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")))
-        )
-
-    def same(w: Column, a: Column, b: Column) -> Column:
-        equal = a["h"] == b["h"]
-        for k in range(3):
-            equal = equal & (F.get(w, a["i"] + k) == F.get(w, b["i"] + k))
-        return F.coalesce(equal, F.lit(False))
+    Windows are sorted as longs (44 bits of a hash over 20 bits of position) and equal neighbours are compared
+    word by word; a text with a hash collision, or with more words than 20 bits can number, is done
+    again with the windows themselves.
+    """
 
     def covered(at: Column) -> Column:
         start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
@@ -70,29 +62,79 @@ def repeated_words(words: Column) -> Column:
             lambda s: s["n"],
         )
 
-    def count(w: Column) -> Column:
-        def positions(s: Column) -> Column:
-            found = F.filter(s, lambda x, j: same(w, x, F.get(s, j - 1)) | same(w, x, F.get(s, j + 1)))
-            return F.sort_array(F.transform(found, lambda x: x["i"]))
+    def positions(w: Column) -> Column:
+        return F.sequence(F.lit(0), F.size(w) - 3)
+
+    def window_hash(w: Column, i: Column) -> Column:
+        return F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+
+    def slow(w: Column) -> Column:
+        windows = F.sort_array(
+            F.transform(
+                positions(w),
+                lambda i: F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("g"), i.alias("i")),
+            )
+        )
+
+        def found(s: Column) -> Column:
+            same = lambda x, y: F.coalesce(x["g"] == y["g"], F.lit(False))
+            hit = F.filter(s, lambda x, j: same(x, F.get(s, j - 1)) | same(x, F.get(s, j + 1)))
+            return F.sort_array(F.transform(hit, lambda x: x["i"]))
+
+        return covered(let(windows, found))
+
+    def fast(w: Column) -> Column:
+        low = F.lit((1 << 20) - 1).cast("long")
+        packed = F.sort_array(
+            F.transform(positions(w), lambda i: F.shiftleft(window_hash(w, i), 20).bitwiseOR(i.cast("long")))
+        )
 
-        return F.when(F.size(w) < 3, F.lit(0).cast("long")).otherwise(covered(let(windows(w), positions)))
+        def hash_equal(x: Column, y: Column) -> Column:
+            return F.coalesce(F.shiftright(x, 20) == F.shiftright(y, 20), F.lit(False))
 
-    return let(words, count)
+        def differ(s: Column, x: Column, j: Column) -> Column:
+            a, b = x.bitwiseAND(low).cast("int"), F.get(s, j + 1).bitwiseAND(low).cast("int")
+            other = F.lit(False)
+            for k in range(3):
+                other = other | (F.get(w, a + k) != F.get(w, b + k))
+            return hash_equal(x, F.get(s, j + 1)) & F.coalesce(other, F.lit(False))
+
+        def count(s: Column) -> Column:
+            hit = F.filter(s, lambda x, j: hash_equal(x, F.get(s, j - 1)) | hash_equal(x, F.get(s, j + 1)))
+
+            def checked(h: Column) -> Column:
+                collision = F.size(F.filter(h, lambda x, j: differ(h, x, j))) > 0
+                at = F.sort_array(F.transform(h, lambda x: x.bitwiseAND(low).cast("int")))
+                return F.when(F.size(h) == 0, F.lit(0).cast("long")).when(collision, slow(w)).otherwise(covered(at))
+
+            return let(hit, checked)
+
+        return let(packed, count)
+
+    return let(
+        words,
+        lambda w: F.when(F.size(w) < 3, F.lit(0).cast("long")).when(F.size(w) > (1 << 20), slow(w)).otherwise(fast(w)),
+    )
 
 
 def base_measures(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """``docs`` with ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed`` appended."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     words = F.filter(F.split(text, "[ \\t-\\r]+"), lambda w: w != "")
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, _BLANKS, "")) > 0)
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^ \\t-\\r]"))
     measured = docs.withColumns(
         {
             "_words": words,
-            "word_chars": F.length(F.translate(text, _BLANKS, "")).cast("long"),
-            "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
+            "n_symbols": F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long"),
             "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
         }
-    ).withColumns({"n_words": F.size("_words").cast("long"), "n_repeat_words": repeated_words(F.col("_words"))})
+    ).withColumns(
+        {
+            "n_words": F.size("_words").cast("long"),
+            "word_chars": F.aggregate("_words", F.lit(0).cast("long"), lambda n, w: n + F.length(w)),
+            "n_repeat_words": repeated_words(F.col("_words")),
+        }
+    )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return measured.withColumn("base_failed", failed).drop("_words")
 
