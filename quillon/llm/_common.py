@@ -7,7 +7,8 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own_scratch: str | None = None
 
@@ -62,3 +63,29 @@ def map_arrow(
 ) -> DataFrame:
     """``mapInArrow`` under a name that says what the call sites mean."""
     return df.mapInArrow(fn, schema)
+
+
+#: Bits of the filter below: 65,536 longs, whatever the number of ids.
+FILTER_BITS = 22
+
+
+def maybe_among(ids: DataFrame, column: Column) -> Column:
+    """True for every value of ``column`` that is in the one column of ``ids``, and for few others.
+
+    A bitmap of fixed size, made by one aggregation. It spares rows that a join would drop anyway the
+    shuffle; the join itself still decides. With far more ids than bits it only stops helping.
+    """
+    name = ids.columns[0]
+    spot = F.pmod(F.xxhash64(name), F.lit(1 << FILTER_BITS))
+    low = F.lit(63).cast("long")
+    marks = ids.select(
+        F.shiftright(spot, 6).cast("int").alias("word"),
+        F.call_function("shiftleft", F.lit(1).cast("long"), spot.bitwiseAND(low).cast("int")).alias("bit"),
+    )
+    words = marks.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()
+    bits = [0] * (1 << (FILTER_BITS - 6))
+    for row in words:
+        bits[row["word"]] = row["bits"]
+    held = F.split(F.lit(",".join(map(str, bits))), ",").cast("array<long>")  # folded to one constant
+    at = F.pmod(F.xxhash64(column), F.lit(1 << FILTER_BITS))
+    return F.getbit(F.get(held, F.shiftright(at, 6).cast("int")), at.bitwiseAND(low).cast("int")) == 1

@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm._common import table
+from quillon.llm._common import maybe_among, table
 
 BUCKETS = 10_000
 THRESHOLD = -0.15
@@ -139,20 +139,24 @@ def base_measures(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     return measured.withColumn("base_failed", failed).drop("_words")
 
 
+def _bucket_counts(grams: DataFrame, buckets: int) -> list[int]:
+    """Occurrences of each bucket in a column of bucket lists, one added to each."""
+    counts = grams.select(F.explode(grams.columns[0]).alias("bucket")).groupBy("bucket").count()
+    total = [1] * buckets
+    for row in counts.collect():  # at most one row a bucket
+        total[row["bucket"]] += row["count"]
+    return total
+
+
 def log_ratio_table(
     docs: DataFrame, labels: DataFrame, *, id_col: str, text_col: str, label_col: str, buckets: int
 ) -> list[float]:
     """log(trusted / corpus) of each bucket, counted over all texts."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
     trusted = labels.where(F.col(label_col) == 1).select(F.col(id_col).alias("id")).distinct()
-    trusted = trusted.withColumn("trusted", F.lit(1))
-    marked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(trusted, "id", "left")
-    text = F.coalesce("text", F.lit(""))
-    grams = marked.select("trusted", F.explode(buckets_of(text, buckets)).alias("bucket"))
-    counts = grams.groupBy("bucket").agg(F.count("*").alias("corpus"), F.count("trusted").alias("trusted"))
-    corpus, target = [1] * buckets, [1] * buckets
-    for row in counts.collect():  # at most one row a bucket
-        corpus[row["bucket"]] += row["corpus"]
-        target[row["bucket"]] += row["trusted"]
+    known = docs.where(maybe_among(trusted, F.col(id_col))).select(F.col(id_col).alias("id"), text.alias("text"))
+    target = _bucket_counts(known.join(trusted.hint("merge"), "id").select(buckets_of(F.col("text"), buckets)), buckets)
+    corpus = _bucket_counts(docs.select(buckets_of(text, buckets)), buckets)
     if sum(target) == buckets:  # nothing is trusted: no verdict beyond the rules
         return [0.0] * buckets
     shift = math.log(sum(corpus)) - math.log(sum(target))

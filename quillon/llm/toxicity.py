@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm._common import map_arrow, stash, table
+from quillon.llm._common import map_arrow, maybe_among, stash, table
 
 CONTEXT_BITS = 18
 DISCOUNT = 0.75
@@ -164,7 +164,8 @@ def train_scorer(
     known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id"))
     known = known.agg(F.max(label_col).cast("int").alias("toxic"))
     usable = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), fold(id_col, FOLDS).alias("fold"))
-    labelled = stash(usable.where(F.col("fold") != HELD_OUT_FOLD).join(known, "id"), "labelled")
+    usable = usable.where((F.col("fold") != HELD_OUT_FOLD) & maybe_among(known.select("id"), F.col("id")))
+    labelled = stash(usable.join(known.hint("merge"), "id"), "labelled")
     ratios = log_ratios(class_counts(labelled.where(F.col("fold") != CALIBRATION_FOLD)))
     shared = spark.sparkContext.broadcast(ratios)
 
