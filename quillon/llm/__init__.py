@@ -5,13 +5,14 @@ Nothing else in the package imports this subpackage.
 
 from __future__ import annotations
 
-from quillon.llm import decontaminate, language_id, line_dedup, packing, quality, sharding, simhash, token_counts, toxicity
+from quillon.llm import decontaminate, language_id, line_dedup, packing, quality, sharding, simhash, substring_dedup, token_counts, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_simhash": simhash.op1_simhash,
         "op2_shard": sharding.op2_shard,
+        "op3_substring": substring_dedup.op3_substring,
         "op4_line_dedup": line_dedup.op4_line_dedup,
         "op5_pack": packing.op5_pack,
         "op6_quality": quality.op6_quality,
