@@ -16,6 +16,7 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -205,6 +206,45 @@ def contamination_digest(found: DataFrame) -> DataFrame:
     )
 
 
+def remove_contaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    window: int = WINDOW,
+    max_block_bytes: int = MAX_BLOCK_BYTES,
+) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, in their columns.
+
+    With a benchmark of one block each row is judged where it is read. With more, rows are judged by
+    :func:`find_contamination` and left out by id; rows without an id then stay.
+    """
+    total = benchmark.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
+    if total > max_block_bytes:
+        found = find_contamination(
+            docs, benchmark, id_col=id_col, text_col=text_col, window=window, max_block_bytes=max_block_bytes
+        )
+        bad = contamination_digest(found).where("contaminated").select(F.col("doc_id").alias(id_col)).distinct()
+        return docs.join(bad, id_col, "left_anti").select(*docs.columns)
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").toLocalIterator()
+    patterns = item_patterns([(r["item"], r["text"]) for r in rows], window)
+    held: list[_Scanner] = []
+
+    @F.pandas_udf("boolean")
+    def contaminated(texts: pd.Series) -> pd.Series:
+        if not held:
+            held.append(_Scanner(patterns))
+        out = []
+        for text in texts:
+            n, ranges, _, _ = held[0].scan(text)
+            hit = sum(r["hi"] - r["lo"] for r in ranges)
+            out.append(hit > 0 and 20 * hit >= n)
+        return pd.Series(out, dtype="bool")
+
+    return docs.where(~contaminated(F.col(text_col)))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return contamination_digest(found)
