@@ -22,6 +22,10 @@ from quillon.llm.components import connected_components
 from quillon.llm.quality import let
 
 MAX_EDITS, MIN_CHARS, MAX_COPIES = 2, 32, 6
+#: Letters counted beside each key, and the bits their counts take in it.
+SKETCH_LETTERS, _SKETCH_BITS = "enatisro", 24
+#: Letters after which the band of a candidate is looked at first.
+FIRST_LOOK = 16
 
 
 def _segment(length: Column, number: int, parts: int) -> tuple[Column, Column]:
@@ -33,8 +37,33 @@ def _segment(length: Column, number: int, parts: int) -> tuple[Column, Column]:
     return F.lit(1) + base * (number - 1) + before, size
 
 
+def single_bytes(line: Column) -> Column:
+    """A line with one byte for every letter (letters beyond Latin-1 alike), so that cutting a segment
+    costs nothing; this can only bring lines together, never part them."""
+    return F.encode(F.regexp_replace(line, r"[^\x00-\xFF]", "?"), "ISO-8859-1")
+
+
+def letter_sketch(line: Column) -> Column:
+    """Counts of eight letters, three bits each: an edit changes two of the counts by one at most."""
+    sketch = F.lit(0).cast("long")
+    for i, letter in enumerate(SKETCH_LETTERS):
+        n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))
+        sketch = sketch.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(7)).cast("long"), 3 * i))
+    return sketch
+
+
+def sketches_allow(x: Column, y: Column, max_edits: int) -> Column:
+    """False only if the letter counts rule out ``max_edits`` edits (differences are taken around 8)."""
+    total = F.lit(0).cast("long")
+    for i in range(len(SKETCH_LETTERS)):
+        part = lambda v, i=i: F.shiftright(v, 3 * i).bitwiseAND(F.lit(7).cast("long"))
+        gap = F.abs(part(x) - part(y))
+        total = total + F.least(gap, 8 - gap)
+    return total <= 2 * max_edits
+
+
 def segment_keys(line: Column, length: Column, max_edits: int) -> tuple[Column, Column]:
-    """Arrays of the keys under which a line is indexed, and of those with which it probes."""
+    """Arrays of the keys under which a line (as single bytes) is indexed, and of those with which it probes."""
     parts = max_edits + 1
     index, probe = [], []
     for shorter in range(max_edits + 1):
@@ -74,7 +103,8 @@ def within_edits(a: Column, b: Column, max_edits: int) -> Column:
     k, full = max_edits, (1 << (2 * max_edits + 1)) - 1
 
     def band(x: Column, y: Column) -> Column:
-        """Bit d of mask e: x up to here matches y up to here + d - k with e errors."""
+        """Diagonals reached at the end of x: bit d of mask e says that x up to here matches y up to here + d - k
+        with e errors; the last mask is returned."""
 
         def state(masks: list[Column]) -> Column:
             return F.struct(*[m.cast("int").alias(f"e{i}") for i, m in enumerate(masks)])
@@ -99,41 +129,64 @@ def within_edits(a: Column, b: Column, max_edits: int) -> Column:
             alive = old[0].bitwiseOR(old[k]) != 0
             return F.when(alive, state(new)).otherwise(s)
 
-        end = F.aggregate(F.sequence(F.lit(0), F.size(x) - 1), state(start), step, lambda s: s[f"e{k}"])
-        spot = F.size(y) - F.size(x) + k
-        reached = F.when(F.size(x) == 0, F.size(y) <= k).otherwise(F.getbit(end, spot) == 1)
-        return F.when(F.abs(F.size(x) - F.size(y)) <= k, reached).otherwise(F.lit(False))
+        return F.aggregate(F.sequence(F.lit(0), F.size(x) - 1), state(start), step, lambda s: s[f"e{k}"])
 
     def letters(s: Column) -> Column:
         return F.filter(F.split(s, ""), lambda c: c != "")
 
-    def trimmed(p: Column) -> Column:
-        x, y = F.substring(a, p + 1, F.length(a)), F.substring(b, p + 1, F.length(b))
-        most = F.least(F.length(x), F.length(y))
-        tail = _common(x, y, most, lambda s, n: F.right(s, n))
+    def lists(s: Column, t: Column) -> Column:
+        return F.struct(letters(s).alias("x"), letters(t).alias("y"))
+
+    def verdict(v: Column) -> Column:
+        """On what is left between the common ends."""
+        x, y = v["x"], v["y"]
 
-        def core(t: Column) -> Column:
-            mx, my = F.left(x, F.length(x) - t), F.left(y, F.length(y) - t)
-            pair = F.struct(letters(mx).alias("x"), letters(my).alias("y"))
-            return let(pair, lambda v: band(v["x"], v["y"]))
+        def at_end(w: Column) -> Column:
+            return F.getbit(band(w["x"], w["y"]), F.size(w["y"]) - F.size(w["x"]) + k) == 1
+
+        # most candidates part within a few letters of their first difference
+        look = let(lists(F.left(x, F.lit(FIRST_LOOK)), F.left(y, F.lit(FIRST_LOOK + k))), lambda w: band(w["x"], w["y"]) != 0)
+        return (
+            F.when(F.abs(F.length(x) - F.length(y)) > k, F.lit(False))
+            .when(F.length(x) == 0, F.length(y) <= k)
+            .when((F.length(x) > FIRST_LOOK) & ~look, F.lit(False))
+            .otherwise(let(lists(x, y), at_end))
+        )
 
-        return let(tail, core)
+    def cut_tail(v: Column) -> Column:
+        most = F.least(F.length(v["x"]), F.length(v["y"]))
+        tail = _common(v["x"], v["y"], most, lambda s, n: F.right(s, n))
+        shorter = lambda s, n: F.left(s, F.length(s) - n)
+        return let(let(tail, lambda n: F.struct(shorter(v["x"], n).alias("x"), shorter(v["y"], n).alias("y"))), verdict)
 
-    return let(_common(a, b, F.least(F.length(a), F.length(b)), lambda s, n: F.left(s, n)), trimmed)
+    head = _common(a, b, F.least(F.length(a), F.length(b)), lambda s, n: F.left(s, n))
+    after = lambda s, n: F.substring(s, n + 1, F.length(s))
+    return let(let(head, lambda n: F.struct(after(a, n).alias("x"), after(b, n).alias("y"))), cut_tail)
 
 
 def linked_lines(lines: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
     """Links ``a, b`` (ids) between the distinct lines (``id, line``) that are within ``max_edits`` edits."""
-    index, probe = segment_keys(F.col("line"), F.length("line"), max_edits)
-    indexed = lines.select(F.explode(index).alias("key"), F.col("id").alias("a"))
-    probing = lines.select(F.explode(F.array_distinct(probe)).alias("key"), F.col("id").alias("b"))
-    met = indexed.join(probing.hint("merge"), "key").where(F.col("a") != F.col("b"))
+    plain = lines.select("id", single_bytes(F.col("line")).alias("line"), letter_sketch(F.col("line")).alias("sketch"))
+    plain = plain.withColumn("n", F.octet_length("line"))
+    index, probe = segment_keys(F.col("line"), F.col("n"), max_edits)
+    low = F.lit((1 << _SKETCH_BITS) - 1)
+    high = F.lit(-(1 << _SKETCH_BITS))
+    # one long holds 40 bits of the key and the sketch
+    packed = lambda keys: F.explode(F.transform(keys, lambda k: k.bitwiseAND(high).bitwiseOR(F.col("sketch"))))
+    indexed = plain.select(packed(index).alias("x"), F.col("id").alias("a"))
+    probing = plain.select(packed(probe).alias("y"), F.col("id").alias("b"))
+    same = F.shiftright("x", _SKETCH_BITS) == F.shiftright("y", _SKETCH_BITS)
+    near = sketches_allow(F.col("x").bitwiseAND(low), F.col("y").bitwiseAND(low), max_edits)
+    met = indexed.join(probing.hint("merge"), same & (F.col("a") != F.col("b")) & near)
     pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = stash(pairs, "line-pairs")
     ids = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
     texts = lines.where(maybe_among(ids, F.col("id")))
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")).hint("merge"), "a")
     both = both.join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")).hint("merge"), "b")
+    # few bytes but much work: dealt out anew, so that small partitions are not merged into a few tasks
+    tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = both.repartition(tasks, "a", "b")
     return both.where(within_edits(F.col("x"), F.col("y"), max_edits)).select("a", "b")
 
 
