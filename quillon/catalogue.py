@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from quillon.plans import registry, stylometry  # noqa: F401  (query modules register themselves)
+
 
 def queries() -> dict:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.SQL)

@@ -1 +1 @@
-"""See the package README."""
+"""Column functions: text folding and tokens, protocol vocabulary, geometry."""

@@ -1 +1 @@
-"""See the package README."""
+"""DataFrame operators: stylometry, lexicon scoring, evaluation, curation, layout."""

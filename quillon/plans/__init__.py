@@ -1 +1 @@
-"""See the package README."""
+"""Registered queries: an operator applied to whole tables, with the same result in DuckDB SQL."""

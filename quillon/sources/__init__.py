@@ -1 +1 @@
-"""See the package README."""
+"""Readers and writers of layout documents and text collections."""

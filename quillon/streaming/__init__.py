@@ -1 +1 @@
-"""See the package README."""
+"""Structured Streaming counterparts of directory watchers, and event-time windows (an extension)."""
