@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.plans import registry, stylometry  # noqa: F401  (query modules register themselves)
+from quillon.plans import curation, registry, stylometry  # noqa: F401  (query modules register themselves)
 
 
 def queries() -> dict:
