@@ -13,7 +13,7 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def occurrences(words: str, word: str) -> Column:
+def occurrences(words: Column | str, word: str) -> Column:
     """How often a word stands in an array column."""
     return F.size(F.filter(words, lambda x: x == word))
 
