@@ -141,7 +141,9 @@ def base_measures(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
 
 def _bucket_counts(grams: DataFrame, buckets: int) -> list[int]:
     """Occurrences of each bucket in a column of bucket lists, one added to each."""
-    counts = grams.select(F.explode(grams.columns[0]).alias("bucket")).groupBy("bucket").count()
+    # the outer form, since for the inner one the optimizer computes the lists a second time in a filter
+    counts = grams.select(F.explode_outer(grams.columns[0]).alias("bucket")).where("bucket IS NOT NULL")
+    counts = counts.groupBy("bucket").count()
     total = [1] * buckets
     for row in counts.collect():  # at most one row a bucket
         total[row["bucket"]] += row["count"]
