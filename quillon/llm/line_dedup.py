@@ -172,7 +172,7 @@ def linked_lines(lines: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
     low = F.lit((1 << _SKETCH_BITS) - 1)
     high = F.lit(-(1 << _SKETCH_BITS))
     # one long holds 40 bits of the key and the sketch
-    packed = lambda keys: F.explode(F.transform(keys, lambda k: k.bitwiseAND(high).bitwiseOR(F.col("sketch"))))
+    packed = lambda keys: F.explode_outer(F.transform(keys, lambda k: k.bitwiseAND(high).bitwiseOR(F.col("sketch"))))
     indexed = plain.select(packed(index).alias("x"), F.col("id").alias("a"))
     probing = plain.select(packed(probe).alias("y"), F.col("id").alias("b"))
     same = F.shiftright("x", _SKETCH_BITS) == F.shiftright("y", _SKETCH_BITS)
@@ -203,7 +203,7 @@ def repeated_lines(
     if min_chars <= max_edits:
         raise ValueError("min_chars must exceed max_edits: every segment needs a letter")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    found = docs.select(F.col(id_col).alias("row_id"), F.xxhash64(text).alias("row_hash"), F.posexplode(F.split(text, "\n")).alias("at", "line"))
+    found = docs.select(F.col(id_col).alias("row_id"), F.xxhash64(text).alias("row_hash"), F.posexplode_outer(F.split(text, "\n")).alias("at", "line"))
     found = found.where(F.length("line") >= min_chars)
     marks = [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), F.col("line")).alias("h2")]
     distinct = found.groupBy("line").agg(F.count("*").alias("n"), F.min("row_id").alias("first_id"))
