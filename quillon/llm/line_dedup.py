@@ -22,8 +22,8 @@ from quillon.llm.components import connected_components
 from quillon.llm.quality import let
 
 MAX_EDITS, MIN_CHARS, MAX_COPIES = 2, 32, 6
-#: Letters counted beside each key, and the bits their counts take in it.
-SKETCH_LETTERS, _SKETCH_BITS = "enatisro", 24
+#: Letters counted beside each key, four bits each.
+SKETCH_LETTERS = "enatisrohldcumpg"
 #: Letters after which the band of a candidate is looked at first.
 FIRST_LOOK = 16
 
@@ -44,21 +44,21 @@ def single_bytes(line: Column) -> Column:
 
 
 def letter_sketch(line: Column) -> Column:
-    """Counts of eight letters, three bits each: an edit changes two of the counts by one at most."""
+    """Counts of sixteen letters, four bits each: an edit changes two of the counts by one at most."""
     sketch = F.lit(0).cast("long")
     for i, letter in enumerate(SKETCH_LETTERS):
         n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))
-        sketch = sketch.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(7)).cast("long"), 3 * i))
+        sketch = sketch.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(15)).cast("long"), 4 * i))
     return sketch
 
 
 def sketches_allow(x: Column, y: Column, max_edits: int) -> Column:
-    """False only if the letter counts rule out ``max_edits`` edits (differences are taken around 8)."""
+    """False only if the letter counts rule out ``max_edits`` edits (differences are taken around 16)."""
     total = F.lit(0).cast("long")
     for i in range(len(SKETCH_LETTERS)):
-        part = lambda v, i=i: F.shiftright(v, 3 * i).bitwiseAND(F.lit(7).cast("long"))
+        part = lambda v, i=i: F.shiftright(v, 4 * i).bitwiseAND(F.lit(15).cast("long"))
         gap = F.abs(part(x) - part(y))
-        total = total + F.least(gap, 8 - gap)
+        total = total + F.least(gap, 16 - gap)
     return total <= 2 * max_edits
 
 
@@ -169,15 +169,11 @@ def linked_lines(lines: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
     plain = lines.select("id", single_bytes(F.col("line")).alias("line"), letter_sketch(F.col("line")).alias("sketch"))
     plain = plain.withColumn("n", F.octet_length("line"))
     index, probe = segment_keys(F.col("line"), F.col("n"), max_edits)
-    low = F.lit((1 << _SKETCH_BITS) - 1)
-    high = F.lit(-(1 << _SKETCH_BITS))
-    # one long holds 40 bits of the key and the sketch
-    packed = lambda keys: F.explode_outer(F.transform(keys, lambda k: k.bitwiseAND(high).bitwiseOR(F.col("sketch"))))
-    indexed = plain.select(packed(index).alias("x"), F.col("id").alias("a"))
-    probing = plain.select(packed(probe).alias("y"), F.col("id").alias("b"))
-    same = F.shiftright("x", _SKETCH_BITS) == F.shiftright("y", _SKETCH_BITS)
-    near = sketches_allow(F.col("x").bitwiseAND(low), F.col("y").bitwiseAND(low), max_edits)
-    met = indexed.join(probing.hint("merge"), same & (F.col("a") != F.col("b")) & near)
+    indexed = plain.select(F.explode_outer(index).alias("key"), F.col("id").alias("a"), F.col("sketch").alias("x"))
+    probing = plain.select(F.explode_outer(probe).alias("key"), F.col("id").alias("b"), F.col("sketch").alias("y"))
+    near = sketches_allow(F.col("x"), F.col("y"), max_edits)
+    same = (indexed["key"] == probing["key"]) & (F.col("a") != F.col("b")) & near
+    met = indexed.join(probing.hint("merge"), same)
     pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = stash(pairs, "line-pairs")
     ids = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
