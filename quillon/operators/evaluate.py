@@ -129,11 +129,13 @@ def compare_lines(refs: DataFrame, hyps: DataFrame, page_col: str, radius: float
     (1 for an empty side) and mean chamfer distance of the matches. A page is matched in one task."""
 
     def lines(pdf: pd.DataFrame) -> list[np.ndarray]:
+        if not len(pdf) or "line_no" not in pdf.columns:  # an empty side of a page may have no columns
+            return []
         pdf = pdf.sort_values("line_no")
         return [np.array([(p["x"], p["y"]) for p in points], float).reshape(-1, 2) for points in pdf["points"]]
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        page = (left if len(left) else right)[page_col].iloc[0]
+        page = next(p[page_col].iloc[0] for p in (left, right) if len(p) and page_col in p.columns)
         a, b = lines(left), lines(right)
         pairs = greedy_pairs(a, b, radius)
         gaps = [chamfer_distance(a[i], b[j]) for i, j in pairs]

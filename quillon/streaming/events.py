@@ -9,18 +9,23 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
+def _watermarked(events: DataFrame, ts: str, late: str | None) -> DataFrame:
+    """On a stream, with the watermark (which needs a timestamp with a zone)."""
+    if not (events.isStreaming and late):
+        return events
+    return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
+
+
 def tumbling(events: DataFrame, ts: str, value: str, key: str, width: str, late: str | None = None) -> DataFrame:
     """Count and sum per key and tumbling window; on a stream, rows later than ``late`` are dropped."""
-    if events.isStreaming and late:
-        events = events.withWatermark(ts, late)
+    events = _watermarked(events, ts, late)
     agg = events.groupBy(F.window(ts, width).alias("w"), key).agg(F.count("*").alias("n"), F.sum(value).alias("total"))
     return agg.select(F.col("w.start").alias("window_start"), key, "n", F.round("total", 4).alias("total"))
 
 
 def sessions(events: DataFrame, ts: str, key: str, gap: str, late: str | None = None) -> DataFrame:
     """Sessions per key that end after a gap: start, end of the last event, number of events."""
-    if events.isStreaming and late:
-        events = events.withWatermark(ts, late)
+    events = _watermarked(events, ts, late)
     agg = events.groupBy(F.session_window(ts, gap).alias("s"), key).agg(F.count("*").alias("n"), F.max(ts).alias("session_last"))
     return agg.select(key, F.col("s.start").alias("session_start"), "session_last", "n")
 
