@@ -22,8 +22,8 @@ from quillon.llm.components import connected_components
 from quillon.llm.quality import let
 
 MAX_EDITS, MIN_CHARS, MAX_COPIES = 2, 32, 6
-#: Letters counted beside each key, four bits each.
-SKETCH_LETTERS = "enatisrohldcumpg"
+#: Letters whose counts, two bits each, stand beside 40 bits of a key.
+SKETCH_LETTERS, _SKETCH_BITS = "enatisrohldc", 24
 #: Letters after which the band of a candidate is looked at first.
 FIRST_LOOK = 16
 
@@ -40,25 +40,26 @@ def _segment(length: Column, number: int, parts: int) -> tuple[Column, Column]:
 def single_bytes(line: Column) -> Column:
     """A line with one byte for every letter (letters beyond Latin-1 alike), so that cutting a segment
     costs nothing; this can only bring lines together, never part them."""
-    return F.encode(F.regexp_replace(line, r"[^\x00-\xFF]", "?"), "ISO-8859-1")
+    plain = F.encode(F.regexp_replace(line, r"[^\x00-\xFF]", "?"), "ISO-8859-1")
+    return F.when(F.octet_length(line) == F.length(line), line.cast("binary")).otherwise(plain)
 
 
 def letter_sketch(line: Column) -> Column:
-    """Counts of sixteen letters, four bits each: an edit changes two of the counts by one at most."""
+    """Counts of twelve letters, two bits each: an edit changes two of the counts by one at most."""
     sketch = F.lit(0).cast("long")
     for i, letter in enumerate(SKETCH_LETTERS):
         n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))
-        sketch = sketch.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(15)).cast("long"), 4 * i))
+        sketch = sketch.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(3)).cast("long"), 2 * i))
     return sketch
 
 
 def sketches_allow(x: Column, y: Column, max_edits: int) -> Column:
-    """False only if the letter counts rule out ``max_edits`` edits (differences are taken around 16)."""
+    """False only if the letter counts rule out ``max_edits`` edits (differences are taken around 4)."""
     total = F.lit(0).cast("long")
     for i in range(len(SKETCH_LETTERS)):
-        part = lambda v, i=i: F.shiftright(v, 4 * i).bitwiseAND(F.lit(15).cast("long"))
+        part = lambda v, i=i: F.shiftright(v, 2 * i).bitwiseAND(F.lit(3).cast("long"))
         gap = F.abs(part(x) - part(y))
-        total = total + F.least(gap, 16 - gap)
+        total = total + F.least(gap, 4 - gap)
     return total <= 2 * max_edits
 
 
@@ -165,15 +166,16 @@ def within_edits(a: Column, b: Column, max_edits: int) -> Column:
 
 
 def linked_lines(lines: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
-    """Links ``a, b`` (ids) between the distinct lines (``id, line``) that are within ``max_edits`` edits."""
-    plain = lines.select("id", single_bytes(F.col("line")).alias("line"), letter_sketch(F.col("line")).alias("sketch"))
-    plain = plain.withColumn("n", F.octet_length("line"))
+    """Links ``a, b`` (ids) between the distinct lines (``id, line, sketch``) that are within ``max_edits`` edits."""
+    plain = lines.select("id", "sketch", single_bytes(F.col("line")).alias("line")).withColumn("n", F.octet_length("line"))
     index, probe = segment_keys(F.col("line"), F.col("n"), max_edits)
-    indexed = plain.select(F.explode_outer(index).alias("key"), F.col("id").alias("a"), F.col("sketch").alias("x"))
-    probing = plain.select(F.explode_outer(probe).alias("key"), F.col("id").alias("b"), F.col("sketch").alias("y"))
-    near = sketches_allow(F.col("x"), F.col("y"), max_edits)
-    same = (indexed["key"] == probing["key"]) & (F.col("a") != F.col("b")) & near
-    met = indexed.join(probing.hint("merge"), same)
+    low, high = F.lit((1 << _SKETCH_BITS) - 1), F.lit(-(1 << _SKETCH_BITS))
+    packed = lambda keys: F.explode_outer(F.transform(keys, lambda k: k.bitwiseAND(high).bitwiseOR(F.col("sketch"))))
+    indexed = plain.select(packed(index).alias("x"), F.col("id").alias("a"))
+    probing = plain.select(packed(probe).alias("y"), F.col("id").alias("b"))
+    same = F.shiftright("x", _SKETCH_BITS) == F.shiftright("y", _SKETCH_BITS)
+    near = sketches_allow(F.col("x").bitwiseAND(low), F.col("y").bitwiseAND(low), max_edits)
+    met = indexed.join(probing.hint("merge"), same & (F.col("a") != F.col("b")) & near)
     pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = stash(pairs, "line-pairs")
     ids = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
@@ -203,8 +205,9 @@ def repeated_lines(
     found = found.where(F.length("line") >= min_chars)
     marks = [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), F.col("line")).alias("h2")]
     distinct = found.groupBy("line").agg(F.count("*").alias("n"), F.min("row_id").alias("first_id"))
-    distinct = stash(distinct.withColumn("id", F.monotonically_increasing_id()), "lines")
-    roots = connected_components(linked_lines(distinct.select("id", "line"), max_edits))
+    distinct = distinct.withColumns({"id": F.monotonically_increasing_id(), "sketch": letter_sketch(F.col("line"))})
+    distinct = stash(distinct, "lines")
+    roots = connected_components(linked_lines(distinct.select("id", "line", "sketch"), max_edits))
     known = distinct.select("id", "n", "first_id", *marks)
     named = known.join(roots.withColumnRenamed("node", "id").hint("merge"), "id", "left")
     named = named.withColumn("root", F.coalesce("root", "id"))
@@ -239,15 +242,17 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     docs = docs.select(*plain)
     removed = stash(repeated_lines(docs, id_col=id_col, text_col=text_col, **rule), "removed-lines")
     touched = maybe_among(removed.select("row_id").distinct(), F.col(id_col)) | F.col(id_col).isNull()
-    hashed = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     part = docs.where(touched)
-    same = part[id_col].eqNullSafe(removed["row_id"]) & (hashed == removed["row_hash"])
-    kept = F.array_join(
-        F.filter(F.split(F.col(text_col), "\n"), lambda _, i: ~F.array_contains("removed", i)), "\n"
-    )
+    # own names, which no column of the documents has
+    own = {c: f"__quillon_{c}" for c in removed.columns}
+    removed = removed.withColumnsRenamed(own)
+    gone = F.col(own["removed"])
+    hashed = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    same = F.col(id_col).eqNullSafe(F.col(own["row_id"])) & (hashed == F.col(own["row_hash"]))
+    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda _, i: ~F.array_contains(gone, i)), "\n")
     changed = part.join(removed.hint("merge"), same, "left").select(
-        *[F.when(F.col("removed").isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else part[c] for c in plain],
-        F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_lines_removed"),
+        *[F.when(gone.isNull(), F.col(c)).otherwise(kept).alias(c) if c == text_col else F.col(c) for c in plain],
+        F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_lines_removed"),
     )
     rest = docs.where(~F.coalesce(touched, F.lit(True))).withColumn("n_lines_removed", F.lit(0).cast("long"))
     return rest.unionByName(changed)

@@ -192,7 +192,7 @@ def pack_documents(
                 arrays.append(pa.array([x.astype(np.int64) for x in columns[7]], pa.list_(pa.int64())))
             return pa.RecordBatch.from_arrays(arrays, names=names)
 
-        kind = pa.int64()
+        kind = None
         for batch in batches:
             kind = batch.column(0).type
             for at in range(0, batch.num_rows, 512):
@@ -202,7 +202,8 @@ def pack_documents(
                     packer.add(doc, np.array([*ids, end_id], "<u4"))
                 yield rows(kind)
         packer.finish()
-        yield rows(kind)
+        if kind is not None:
+            yield rows(kind)
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * with_ids
     kind = docs.schema[id_col].dataType.simpleString()
