@@ -31,7 +31,7 @@ def lexicon_scores(words: Column, lexicon: dict[str, dict[str, float]]) -> Colum
 
 def lexicon_evidence(docs: DataFrame, keys: list[str], text_col: str, lexicon: dict) -> DataFrame:
     scores = let(tokens(F.col(text_col)), lambda w: lexicon_scores(w, lexicon))
-    rows = docs.select(*keys, F.explode(scores).alias("s"))
+    rows = docs.select(*keys, F.explode_outer(scores).alias("s"))
     return rows.select(*keys, "s.label", F.round("s.score", 6).alias("score"))
 
 

@@ -69,7 +69,7 @@ def split_rows(rows: DataFrame, group_col: str, key_col: str, fraction: float, *
 
 def char_coverage(docs: DataFrame, text_col: str) -> DataFrame:
     """Count of every character."""
-    letters = docs.select(F.explode(F.split(F.coalesce(F.col(text_col), F.lit("")), "")).alias("ch")).where("ch != ''")
+    letters = docs.select(F.explode_outer(F.split(F.coalesce(F.col(text_col), F.lit("")), "")).alias("ch")).where("ch != ''")
     return letters.groupBy("ch").count()
 
 
@@ -80,7 +80,7 @@ def rare_char_rows(docs: DataFrame, id_col: str, text_col: str, below: int, exam
     gathered for rare ones only.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    per = docs.select(id_col, text.alias("t"), F.explode(F.array_distinct(F.split(text, ""))).alias("ch"))
+    per = docs.select(id_col, text.alias("t"), F.explode_outer(F.array_distinct(F.split(text, ""))).alias("ch"))
     per = per.where(~F.col("ch").rlike(r"^\s*$")).select(id_col, "ch", (F.length("t") - F.length(F.replace("t", F.col("ch"), F.lit("")))).alias("n"))
     rare = per.groupBy("ch").agg(F.sum("n").alias("n_chars")).where(F.col("n_chars") < below)
     found = per.join(rare, "ch").groupBy("ch").agg(
@@ -131,7 +131,7 @@ def interval_counts(points: DataFrame, intervals: DataFrame, point_col: str, key
     p = points.select(F.col(point_col).alias("p"), F.floor(F.col(point_col) / width).alias("bucket"))
     p = p.groupBy("bucket", "p").count()
     spans = F.sequence(F.floor(F.col(low) / width), F.floor(F.col(high) / width))
-    i = intervals.select(key_col, low, high, F.explode(spans).alias("bucket"))
+    i = intervals.select(key_col, low, high, F.explode_outer(spans).alias("bucket"))
     met = i.join(p, "bucket").where((F.col("p") >= F.col(low)) & (F.col("p") <= F.col(high)))
     return met.groupBy(key_col).agg(F.sum("count").alias("n_points"))
 

@@ -22,7 +22,7 @@ def rank_models(models: DataFrame, wanted: DataFrame) -> DataFrame:
     lower error, name. Registries are dimension tables of some rows; each job carries them as one array."""
     m = models.agg(F.collect_list(F.struct(*models.columns)).alias("m")).first()["m"]
     fixed = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in r.asDict().items()]) for r in m])
-    rows = wanted.withColumn("m", F.explode(fixed)).select("*", "m.*")
+    rows = wanted.withColumn("m", F.explode_outer(fixed)).select("*", "m.*")
     number = F.when(F.col("round").rlike("^r[0-9]+$"), F.expr("substr(round, 2)").cast("int")).otherwise(0)
     named = lambda c, v: F.array_contains(F.split(c, ","), F.col(v)).cast("int")
     both = (covers(F.col("languages"), F.col("lang")) & covers(F.col("eras"), F.col("era"))).cast("int")

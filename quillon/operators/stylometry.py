@@ -65,7 +65,7 @@ def gram_profile(docs: DataFrame, id_col: str, text_col: str, grams: list[str])
     )
     rows = docs.select(id_col, line.alias("line")).select(id_col, counts.alias("counts"))
     total = F.aggregate("counts", F.lit(0), lambda s, c: s + c["n"])
-    rows = rows.select(id_col, "counts", total.alias("total")).select(id_col, "total", F.explode("counts").alias("c"))
+    rows = rows.select(id_col, "counts", total.alias("total")).select(id_col, "total", F.explode_outer("counts").alias("c"))
     share = F.when(F.col("total") > 0, F.round(F.col("c.n") / F.col("total"), 6)).otherwise(F.lit(0.0))
     return rows.select(id_col, "c.gram", share.alias("share"))
 
@@ -78,7 +78,7 @@ def word_profile(docs: DataFrame, id_col: str, text_col: str, words: list[str])
     )
     row = row.select(id_col, F.size("w").alias("size"), counts.alias("counts"))
     total = F.aggregate("counts", F.lit(0), lambda s, c: s + c["n"])
-    row = row.withColumn("total", total).select(id_col, "size", "total", F.explode("counts").alias("c"))
+    row = row.withColumn("total", total).select(id_col, "size", "total", F.explode_outer("counts").alias("c"))
     return row.select(
         id_col,
         "c.word",
@@ -104,7 +104,7 @@ def heaps_fit(docs: DataFrame, id_col: str, text_col: str, points: int = 500) ->
     last = F.col("at") == F.col("n") - 1
     times = F.when(F.col("at") % step == 0, 1).otherwise(0) + F.when(last, 1).otherwise(0)
     sampled = curve.withColumn("times", F.when(F.col("n") < 20, 1).otherwise(times)).where("times > 0")
-    sampled = sampled.select(id_col, "n", F.log(F.col("at") + 1).alias("x"), F.log("v").alias("y"), F.explode(F.sequence(F.lit(1), F.col("times"))))
+    sampled = sampled.select(id_col, "n", F.log(F.col("at") + 1).alias("x"), F.log("v").alias("y"), F.explode_outer(F.sequence(F.lit(1), F.col("times"))))
     fit = sampled.groupBy(id_col).agg(
         F.max("n").alias("n"),
         F.regr_slope("y", "x").alias("beta"),
@@ -123,7 +123,7 @@ def heaps_fit(docs: DataFrame, id_col: str, text_col: str, points: int = 500) ->
 
 def most_frequent_words(docs: DataFrame, text_col: str, limit: int, excluded: list[str], shortest: int = 3) -> DataFrame:
     """The ``limit`` most frequent words of a corpus without the excluded ones; ties in letter order."""
-    words = docs.select(F.explode(tokens(F.col(text_col))).alias("word"))
+    words = docs.select(F.explode_outer(tokens(F.col(text_col))).alias("word"))
     words = words.where((F.length("word") >= shortest) & ~F.col("word").isin(excluded))
     return words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(limit)
 
@@ -134,7 +134,7 @@ def relative_frequencies(docs: DataFrame, keys: list[str], text_col: str, featur
     counts = [occurrences("w", f).cast("long").alias(f"c{i}") for i, f in enumerate(features)]
     sums = row.select(*keys, F.size("w").cast("long").alias("size"), *counts).groupBy(*keys)
     sums = sums.agg(F.sum("size").alias("size"), *[F.sum(f"c{i}").alias(f"c{i}") for i in range(len(features))])
-    pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"c{i}").alias("n")) for i, f in enumerate(features)]))
+    pairs = F.explode_outer(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"c{i}").alias("n")) for i, f in enumerate(features)]))
     rows = sums.select(*keys, "size", pairs.alias("p"))
     return rows.select(*keys, "p.feature", (F.col("p.n") / F.greatest("size", F.lit(1))).alias("freq"))
 
@@ -169,7 +169,7 @@ def rolling_slices(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     length = lambda s: F.least(F.col("r.size"), F.col("n") - s)
     least = F.greatest(F.lit(80.0), F.col("r.size") / 2)
     kept = F.filter(starts, lambda s, i: (i == 0) | (length(s) >= least))
-    out = row.select(id_col, "w", "r", F.posexplode(kept).alias("slice_no", "start"))
+    out = row.select(id_col, "w", "r", F.posexplode_outer(kept).alias("slice_no", "start"))
     return out.select(id_col, F.col("slice_no").cast("long").alias("slice_no"), F.slice("w", F.col("start") + 1, F.col("r.size")).alias("words"))
 
 

@@ -40,7 +40,7 @@ def lexicon_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_probs('doc_id', 'documents')} SELECT doc_id, label, round(prob, 6) AS prob FROM pr")
 def label_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = C.label_probs(table(spark, sf_dir, "documents"), ["doc_id"], "text", LEXICON)
-    return rows.select("doc_id", F.explode("probs").alias("p")).select("doc_id", "p.label", F.round("p.prob", 6).alias("prob"))
+    return rows.select("doc_id", F.explode_outer("probs").alias("p")).select("doc_id", "p.label", F.round("p.prob", 6).alias("prob"))
 
 
 @query(f"""

@@ -62,7 +62,7 @@ d AS (SELECT item_id, CAST(line_no - 1 AS BIGINT) AS line_no, a, replace(replace
 e AS (SELECT *, CASE WHEN greatest(length(a), length(b)) = 0 THEN 0.0 ELSE levenshtein(a, b) / greatest(length(a), length(b)) END AS x FROM d)
 SELECT item_id, line_no, round(x, 6) AS cer, CASE WHEN regexp_matches(a, '[^a-z ,.]') THEN 'review' WHEN x <= 0.05::DOUBLE THEN 'confident' WHEN x <= 0.30::DOUBLE THEN 'review' ELSE 'low' END AS tier FROM e""")
 def line_cer_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _pairs(spark, sf_dir).select("item_id", F.posexplode(F.split("truth", "\n")).alias("line_no", "a"))
+    lines = _pairs(spark, sf_dir).select("item_id", F.posexplode_outer(F.split("truth", "\n")).alias("line_no", "a"))
     rows = lines.withColumn("b", F.replace(F.replace("a", F.lit("en"), F.lit("n")), F.lit("th"), F.lit("ht")))
     x = E.line_cer(F.col("a"), F.col("b"))
     rare = F.col("a").rlike("[^a-z ,.]")
