@@ -44,13 +44,18 @@ def single_bytes(line: Column) -> Column:
     return F.when(F.octet_length(line) == F.length(line), line.cast("binary")).otherwise(plain)
 
 
-def letter_sketch(line: Column) -> Column:
-    """Counts of twelve letters, two bits each: an edit changes two of the counts by one at most."""
-    sketch = F.lit(0).cast("long")
+def with_sketch(lines: DataFrame, line_col: str = "line") -> DataFrame:
+    """``lines`` with ``sketch``: counts of twelve letters, two bits each; an edit changes two of the counts by one at most.
+
+    Each letter is counted by taking it out of what the letters before it left, which is shorter every time.
+    """
+    sketch, rest, own = F.lit(0).cast("long"), line_col, lines.columns
     for i, letter in enumerate(SKETCH_LETTERS):
-        n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(letter), F.lit("")))
+        lines = lines.withColumn(f"__left_{i}", F.replace(F.col(rest), F.lit(letter), F.lit("")))
+        n = F.octet_length(rest) - F.octet_length(f"__left_{i}")
         sketch = sketch.bitwiseOR(F.shiftleft(n.bitwiseAND(F.lit(3)).cast("long"), 2 * i))
-    return sketch
+        rest = f"__left_{i}"
+    return lines.select(*own, sketch.alias("sketch"))
 
 
 def sketches_allow(x: Column, y: Column, max_edits: int) -> Column:
@@ -205,8 +210,7 @@ def repeated_lines(
     found = found.where(F.length("line") >= min_chars)
     marks = [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), F.col("line")).alias("h2")]
     distinct = found.groupBy("line").agg(F.count("*").alias("n"), F.min("row_id").alias("first_id"))
-    distinct = distinct.withColumns({"id": F.monotonically_increasing_id(), "sketch": letter_sketch(F.col("line"))})
-    distinct = stash(distinct, "lines")
+    distinct = stash(with_sketch(distinct.withColumn("id", F.monotonically_increasing_id())), "lines")
     roots = connected_components(linked_lines(distinct.select("id", "line", "sketch"), max_edits))
     known = distinct.select("id", "n", "first_id", *marks)
     named = known.join(roots.withColumnRenamed("node", "id").hint("merge"), "id", "left")

@@ -226,7 +226,7 @@ def test_line_links_are_complete(spark):
         lines |= {base, *(changed(rng, base, rng.randint(1, 3)) for _ in range(2))}
     lines = sorted(x for x in lines if len(x) >= 8)
     df = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
-    got = line_dedup.linked_lines(df.withColumn("sketch", line_dedup.letter_sketch(F.col("line"))), 2).collect()
+    got = line_dedup.linked_lines(line_dedup.with_sketch(df), 2).collect()
     want = {(i, j) for (i, a), (j, b) in itertools.combinations(enumerate(lines), 2) if abs(len(a) - len(b)) <= 2 and edits(a, b) <= 2}
     assert {(r["a"], r["b"]) for r in got} == want
 
