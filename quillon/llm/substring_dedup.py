@@ -103,11 +103,10 @@ def stretches(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nd
 class SuffixArray:
     """Enhanced suffix array (order and common-prefix lengths) over some byte strings.
 
-    Ranks of prefixes of 8, 16, .. 256 bytes are built by doubling; common prefixes are read off the same ranks.
+    Ranks of prefixes of 8, 16, 32, .. bytes are built by doubling until they cover the longest string; common
+    prefixes are read off the same ranks.
     """
 
-    LEVELS = (8, 16, 32, 64, 128, 256)
-
     def __init__(self, texts: list[bytes], least: int):
         self.least = least
         joined = b"\0".join(texts) + b"\0" * 8
@@ -123,10 +122,12 @@ class SuffixArray:
         for k in range(8):
             packed |= wide[k : k + n].astype(np.uint64) << np.uint64(8 * (7 - k))
         self.ranks = [np.unique(packed, return_inverse=True)[1].astype(np.int64)]
-        for step in self.LEVELS[:-1]:
-            rank = self.ranks[-1]
+        self.levels = [8]
+        while self.levels[-1] < max(map(len, texts), default=0):
+            rank, step = self.ranks[-1], self.levels[-1]
             later = np.zeros(n, np.int64)
             later[:-step] = rank[step:] + 1
+            self.levels.append(2 * step)
             self.ranks.append(np.unique(rank * (n + 1) + later, return_inverse=True)[1].astype(np.int64))
         # only suffixes that leave room for a repeat take part
         owner = np.repeat(np.arange(len(texts)), np.maximum(sizes - least + 1, 0))
@@ -143,7 +144,7 @@ class SuffixArray:
         room = np.minimum(self.ends[self.owner[:-1]] - a, self.ends[self.owner[1:]] - b)
         got = np.zeros(len(a), np.int64)
         last = len(self.data) - 1
-        for rank, step in zip(self.ranks[::-1], self.LEVELS[::-1], strict=True):
+        for rank, step in zip(self.ranks[::-1], self.levels[::-1], strict=True):
             same = rank[np.minimum(a + got, last)] == rank[np.minimum(b + got, last)]
             got += np.where(same & (got + step <= room + 8), step, 0)
         for _ in range(8):

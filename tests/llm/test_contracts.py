@@ -183,6 +183,34 @@ def test_maximal_repeats_have_all_occurrences():
         assert len(places) == sum(t[i : i + size] == s for t in texts for i in range(len(t)))
 
 
+def three_variants():
+    """Stretches of 336 bytes with one smallest gram: two share 300 bytes, the third 256 of them."""
+    rng = random.Random(12)
+    some = lambda n: bytes(rng.choice(b"abcdefghijklmnop") for _ in range(n))
+    grams = [some(64) for _ in range(4000)]
+    least = min(grams, key=lambda g: substring_dedup.gram_hashes(np.frombuffer(g, np.uint8), 64)[0])
+    shared = some(136) + least + some(100)
+    texts = [shared + some(36), shared[:256] + some(80), shared + some(36)]
+    assert all(list(substring_dedup.stretches(t)[2]) == [137] for t in texts)
+    return texts
+
+
+def test_suffixes_are_ordered_over_whole_stretches():
+    texts = three_variants()
+    seen = Counter(t[k : k + 200] for t in texts for k in range(len(t) - 199))
+    for order in itertools.permutations(texts):
+        for t, ranges in zip(order, substring_dedup.SuffixArray(list(order), 200).covered(), strict=True):
+            gone = {k + i for k in range(len(t) - 199) if seen[t[k : k + 200]] > 1 for i in range(200)}
+            assert {i for a, b in ranges for i in range(a, b)} == gone
+
+
+def test_variants_are_cut_alike_by_array_and_count(spark):
+    df = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(three_variants())], "doc_id long, text string")
+    for kinds in (5000, 1):
+        got = substring_dedup.remove_repeats(df, max_kinds=kinds).collect()
+        assert {r["doc_id"]: r["n_removed"] for r in got} == {0: 300, 1: 256, 2: 300}
+
+
 # 4 -----------------------------------------------------------------------------------------------------------------
 
 
