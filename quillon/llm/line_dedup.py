@@ -9,7 +9,9 @@ bit-parallel edit distance: after the common prefix and suffix are cut off, one
 the reachable diagonals of the band, and each letter updates all diagonals at once.
 
 Linked lines form classes. A class seen more than ``max_copies`` times in the corpus loses all its occurrences but
-the first (by document id, then line number); lines shorter than ``min_chars`` are left alone.
+the first (by document id, then line number). Lines shorter than ``min_chars``, whose segments would be too short to
+tell lines apart, are classes of equal lines from ``min_exact`` characters on, and are left alone without it; blank
+ones always stay.
 """
 
 from __future__ import annotations
@@ -21,7 +23,9 @@ from quillon.llm._common import maybe_among, stash, table
 from quillon.llm.components import connected_components
 from quillon.llm.quality import let
 
-MAX_EDITS, MIN_CHARS, MAX_COPIES = 2, 32, 6
+MAX_EDITS, MIN_CHARS, MAX_COPIES = 2, 32, 1
+#: Shortest line that the query and the pipeline take out where it is repeated exactly.
+MIN_EXACT = 1
 #: Letters whose counts, two bits each, stand beside 40 bits of a key.
 SKETCH_LETTERS, _SKETCH_BITS = "enatisrohldc", 24
 #: Letters after which the band of a candidate is looked at first.
@@ -201,17 +205,23 @@ def repeated_lines(
     max_edits: int = MAX_EDITS,
     min_chars: int = MIN_CHARS,
     max_copies: int = MAX_COPIES,
+    min_exact: int | None = None,
 ) -> DataFrame:
     """Lines to remove, per document row that has any: ``row_id, row_hash, removed`` (line numbers from 0)."""
     if min_chars <= max_edits:
         raise ValueError("min_chars must exceed max_edits: every segment needs a letter")
     text = F.coalesce(F.col(text_col), F.lit(""))
     found = docs.select(F.col(id_col).alias("row_id"), F.xxhash64(text).alias("row_hash"), F.posexplode_outer(F.split(text, "\n")).alias("at", "line"))
-    found = found.where(F.length("line") >= min_chars)
+    size = F.length("line")
+    taken = size >= min_chars
+    if min_exact is not None:
+        taken = taken | ((size >= min_exact) & F.col("line").rlike(r"\S"))
+    found = found.where(taken)
     marks = [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), F.col("line")).alias("h2")]
     distinct = found.groupBy("line").agg(F.count("*").alias("n"), F.min("row_id").alias("first_id"))
     distinct = stash(with_sketch(distinct.withColumn("id", F.monotonically_increasing_id())), "lines")
-    roots = connected_components(linked_lines(distinct.select("id", "line", "sketch"), max_edits))
+    edited = distinct.where(F.length("line") >= min_chars).select("id", "line", "sketch")
+    roots = connected_components(linked_lines(edited, max_edits))
     known = distinct.select("id", "n", "first_id", *marks)
     named = known.join(roots.withColumnRenamed("node", "id").hint("merge"), "id", "left")
     named = named.withColumn("root", F.coalesce("root", "id"))
@@ -265,7 +275,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     text = F.coalesce("text", F.lit(""))
-    return dedup_lines(docs).select(
+    return dedup_lines(docs, min_exact=MIN_EXACT).select(
         "doc_id",
         "n_lines_removed",
         F.length(text).cast("long").alias("n_chars_kept"),

@@ -272,6 +272,21 @@ def test_lines_of_messy_rows(spark, messy):
     assert same == {(r["doc_id"], r["text"], r["removed"]) for r in messy.collect()}
 
 
+def test_query_keeps_one_of_every_repeated_line(spark, tmp_path):
+    long = "A passage that stands as one line in two documents only, and nowhere else."
+    rows_ = [
+        (1, f"first own line of a document, long enough\n{long}\nAnd ornd.\n\nAnd ornx."),
+        (2, f"{long[:-1]}!\n\nAnd ornd.\nsecond own line of a document, so far unseen"),
+        (3, "And ornd.\n \nAnd ornd.\n \nno"),
+    ]
+    df = spark.createDataFrame(rows_, "doc_id long, text string")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in line_dedup.op4_line_dedup(spark, str(tmp_path)).collect()}
+    want = {1: rows_[0][1], 2: "\nsecond own line of a document, so far unseen", 3: " \n \nno"}
+    assert {i: r["kept_sha256"] for i, r in got.items()} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in want.items()}
+    assert {i: r["n_lines_removed"] for i, r in got.items()} == {1: 0, 2: 2, 3: 2}
+
+
 # 5, 8 --------------------------------------------------------------------------------------------------------------
 
 
