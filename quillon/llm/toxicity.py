@@ -7,10 +7,10 @@ over its letters, normalised by length; because toxic wording is a few words in
 ratio is also taken over the text's hottest expressions (words). A logistic curve over these ratios,
 fitted on labelled rows that the counts have not seen, gives the score.
 
-Counts cover every labelled training row, in a table of fixed size (``1 << (CONTEXT_BITS + 5)`` cells per
-class: five letters of context, hashed apart from the last, times 32 letter classes), so what is broadcast is
-bounded (two bytes a cell) however large the corpus is. The curve alone is fitted on at most
-``max_calibration_rows`` rows.
+Counts are kept by the exact letters: five of context and the next one, whatever their alphabet, so no two contexts
+share a count, and the table grows with the labelled text. It is counted and turned into ratios in the cluster, and
+texts are scored against it in blocks of at most ``BLOCK_ROWS`` rows, of which a worker holds one at a time. Rows of
+the calibration fold are not counted; the curve is fitted on at most ``max_calibration_rows`` of them.
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.llm._common import map_arrow, maybe_among, stash, table
@@ -30,6 +31,12 @@ CONTEXT_BITS = 18
 DISCOUNT = 0.75
 FOLDS, HELD_OUT_FOLD, CALIBRATION_FOLD = 5, 0, 4
 MAX_CALIBRATION_ROWS = 20_000
+#: Rows of the table of ratios that are held at once, and letters that are counted or scored together.
+BLOCK_ROWS, CHUNK_LETTERS = 2_000_000, 1 << 20
+
+#: Bits of a letter in a key, and the letter of a context's own row.
+_LETTER = 21
+_ANY = (1 << _LETTER) - 1
 
 _HASHED = CONTEXT_BITS - 5
 _CELLS = 1 << (CONTEXT_BITS + 5)
@@ -48,8 +55,81 @@ def _letter_classes() -> np.ndarray:
     return classes
 
 
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """Lower-case code point of each letter, 0 for all else."""
+    letters = np.zeros(0x110000, np.uint32)
+    for c in range(0x110000):
+        if not 0xD800 <= c < 0xE000 and chr(c).isalpha():
+            letters[c] = ord(chr(c).lower()[0])
+    return letters
+
+
+def letter_keys(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """For every letter (and word end, 0) of a text: the first three letters of its context; the last two and itself."""
+    s = _letters()[np.frombuffer((text or "").encode("utf-32-le"), np.uint32)]
+    keep = s != 0
+    keep[1:] |= s[:-1] != 0
+    s = np.concatenate([np.zeros(5, np.int64), s[keep].astype(np.int64)])
+    n = len(s) - 5
+    three = lambda at: (s[at : at + n] << 2 * _LETTER) | (s[at + 1 : at + 1 + n] << _LETTER) | s[at + 2 : at + 2 + n]
+    return three(0), three(3)
+
+
+def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with about CHUNK_LETTERS characters."""
+    start, size = 0, 0
+    for i, text in enumerate(texts):
+        size += len(text or "")
+        if size >= CHUNK_LETTERS:
+            yield start, i + 1
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
+
+
+def _spread(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    h = high.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + low.view(np.uint64)
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))
+
+
+class RatioBlock:
+    """Ratios of some contexts by their exact letters; rows in the order of a hash, with the first row of each slot."""
+
+    def __init__(self, high: np.ndarray, low: np.ndarray, ratio: np.ndarray):
+        bits = max(1, int(2 * len(high)).bit_length())
+        slot = (_spread(high, low) >> np.uint64(64 - bits)).astype(np.int64)
+        order = np.argsort(slot, kind="stable")
+        self.bits, self.high, self.low, self.ratio = bits, high[order], low[order], ratio[order].astype(np.float16)
+        self.first = np.zeros((1 << bits) + 1, np.int32)
+        np.cumsum(np.bincount(slot, minlength=1 << bits), out=self.first[1:])
+
+    def _find(self, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """Row of each key, -1 where there is none."""
+        slot = _spread(high, low) >> np.uint64(64 - self.bits)
+        at, end = self.first[slot], self.first[slot + np.uint64(1)]
+        out = np.full(len(high), -1, np.int32)
+        left = np.flatnonzero(at < end)
+        at = at[left]
+        while len(left):
+            hit = (self.low[at] == low[left]) & (self.high[at] == high[left])
+            out[left[hit]] = at[hit]
+            at = at + 1
+            on = ~hit & (at < end[left])
+            left, at = left[on], at[on]
+        return out
+
+    def ratios(self, high: np.ndarray, low: np.ndarray) -> np.ndarray:
+        """Ratio of each letter; a letter not seen after its context has the context's; 0 without the context."""
+        row = self._find(high, low)
+        rest = np.flatnonzero(row < 0)
+        row[rest] = self._find(high[rest], low[rest] | _ANY)
+        return np.where(row >= 0, self.ratio[row] if len(self.ratio) else 0, 0).astype(np.float64)
+
+
 def cells(text: str | None) -> np.ndarray:
-    """Table cell of every letter (and word end) of a text, in order."""
+    """Cell of every letter (and word end) of a text, in order, in a small table of hashed contexts (for :func:`log_ratios`)."""
     s = _letter_classes()[np.frombuffer((text or "").encode("utf-32-le"), np.uint32)]
     keep = s != 0
     keep[1:] |= s[:-1] != 0
@@ -61,7 +141,8 @@ def cells(text: str | None) -> np.ndarray:
 
 
 def log_ratios(counts: np.ndarray, discount: float = DISCOUNT) -> np.ndarray:
-    """log p(letter | context, toxic) - log p(letter | context, ordinary) for every cell.
+    """log p(letter | context, toxic) - log p(letter | context, ordinary) for every cell of a small table: the rule
+    of :func:`ratio_table` written out densely (scoring does not use it).
 
     ``counts``: (2, cells), ordinary first. p = max(c - D, 0) / c(h) + D * N(h) / c(h) * shared, where N(h)
     counts the letters that a class has seen after h, and shared is the continuation distribution of both.
@@ -84,20 +165,34 @@ def log_ratios(counts: np.ndarray, discount: float = DISCOUNT) -> np.ndarray:
     return out.ravel().astype(np.float16)
 
 
-def features(text: str | None, ratios: np.ndarray) -> list[float]:
+def features(letters: np.ndarray, ratios: np.ndarray) -> list[float]:
     """Length-normalised ratio; ratio of the hottest expression, of the three hottest; log of the length."""
-    at = cells(text)
-    n = len(at)
+    n = len(letters)
     if not n:
         return [0.0] * 4
-    r = ratios[at].astype(np.float64)
-    sums = np.concatenate([[0.0], np.cumsum(r)])
-    edges = np.concatenate([[0], np.flatnonzero((at & 31) == 0) + 1, [n]])
+    sums = np.concatenate([[0.0], np.cumsum(ratios)])
+    edges = np.concatenate([[0], np.flatnonzero(letters == 0) + 1, [n]])
     words = np.diff(sums[np.unique(edges)])
     top = np.sort(words)[-3:]
     return [sums[-1] / n, float(top[-1]), float(top.sum()) / 3, float(np.log1p(len(words)))]
 
 
+def all_features(texts: list[str | None], blocks: list[Broadcast]) -> np.ndarray:
+    """Features of each text, with one block of ratios after the other."""
+    out = []
+    for start, end in _chunks(texts):
+        keys = [letter_keys(t) for t in texts[start:end]]
+        high, low = (np.concatenate(k) for k in zip(*keys, strict=True))
+        ratios = np.zeros(len(high))
+        for block in blocks:
+            ratios += block.value.ratios(high, low)
+            if len(blocks) > 1:
+                block.__dict__.pop("_value", None)  # read again when its turn comes
+        edges = np.cumsum([len(k[0]) for k in keys])[:-1]
+        out += [features(a & _ANY, r) for a, r in zip(np.split(low, edges), np.split(ratios, edges), strict=True)]
+    return np.array(out).reshape(-1, 4)
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Newton steps on standardised features with balanced classes: mean, scale, weights (bias last)."""
     mean, scale = x.mean(0), x.std(0) + 1e-9
@@ -120,30 +215,84 @@ def fold(id_col: str, folds: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % folds
 
 
-def class_counts(labelled: DataFrame) -> np.ndarray:
-    """Cell counts of ordinary and toxic texts over all rows of ``labelled`` (text, toxic)."""
+def class_counts(labelled: DataFrame) -> DataFrame:
+    """``high, low, ordinary, toxic``: how often each class has each letter after each context, over all rows of
+    ``labelled`` (text, toxic)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = np.zeros((2, _CELLS), np.int32)
         for batch in batches:
-            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                at, n = np.unique(cells(text), return_counts=True)
-                tally[1 if toxic else 0, at] += n.astype(np.int32)
-        at = np.flatnonzero(tally[0] | tally[1])
-        for k in range(0, len(at), 100_000):
-            part = at[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part, pa.int32()), *(pa.array(tally[c, part], pa.int64()) for c in (0, 1))],
-                names=["cell", "ordinary", "toxic"],
-            )
-
-    rows = map_arrow(labelled.select("text", "toxic"), run, "cell int, ordinary long, toxic long")
-    total = rows.groupBy("cell").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
-    counts = np.zeros((2, _CELLS), np.float32)
-    found = total.toArrow()  # at most one row a cell
-    at = found.column("cell").to_numpy()
-    counts[0, at], counts[1, at] = found.column("ordinary").to_numpy(), found.column("toxic").to_numpy()
-    return counts
+            texts, marks = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for start, end in _chunks(texts):
+                keys = [letter_keys(t) for t in texts[start:end]]
+                high, low = (np.concatenate(k) for k in zip(*keys, strict=True))
+                toxic = np.repeat(np.array(marks[start:end], bool), [len(k[0]) for k in keys])
+                order = np.lexsort((low, high))
+                high, low, toxic = high[order], low[order], toxic[order]
+                new = np.ones(len(high), bool)
+                new[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
+                first = np.flatnonzero(new)
+                if not len(first):
+                    continue
+                n, bad = np.diff(np.append(first, len(high))), np.add.reduceat(toxic.astype(np.int64), first)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(high[first]), pa.array(low[first]), pa.array(n - bad), pa.array(bad)],
+                    names=["high", "low", "ordinary", "toxic"],
+                )
+
+    rows = map_arrow(labelled.select("text", "toxic"), run, "high long, low long, ordinary long, toxic long")
+    return rows.groupBy("high", "low").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+
+
+def ratio_table(counts: DataFrame, discount: float = DISCOUNT) -> DataFrame:
+    """``high, low, ratio``: log p(letter | context, toxic) - log p(letter | context, ordinary), and one row a context
+    (letter ``_ANY``) for the letters that neither class has seen after it, where the shared part cancels out.
+
+    p = max(c - D, 0) / c(h) + D * N(h) / c(h) * shared, where N(h) counts the letters that a class has seen after h, and
+    shared is the continuation distribution of both.
+    """
+    context, letter = F.shiftright("low", _LETTER), F.col("low").bitwiseAND(F.lit(_ANY).cast("long"))
+    last = context.bitwiseAND(F.lit(_ANY).cast("long"))
+    parts = counts.select("*", context.alias("context"), letter.alias("letter"), last.alias("last"))
+    pairs = parts.groupBy("last", "letter").agg(F.count("*").alias("n"))  # as many as pairs of letters
+    n_letters = pairs.select("letter").distinct().count()
+    sums = F.sum("n").over(Window.partitionBy("last"))
+    shared = pairs.select("last", "letter", ((F.col("n") + 0.5) / (sums + 0.5 * n_letters)).alias("shared"))
+    one = Window.partitionBy("high", "context")
+    kinds = ("ordinary", "toxic")
+    parts = parts.join(shared, ["last", "letter"])
+    for k in kinds:
+        seen = F.sum(k).over(one)
+        rest = discount * F.sum((F.col(k) > 0).cast("int")).over(one) / seen
+        parts = parts.withColumns({f"{k}_seen": seen, f"{k}_rest": F.when(seen > 0, rest).otherwise(1.0)})
+
+    def p(k: str) -> Column:
+        own = F.greatest(F.col(k) - discount, F.lit(0.0)) / F.col(f"{k}_seen")
+        return F.when(F.col(f"{k}_seen") > 0, own).otherwise(0.0) + F.col(f"{k}_rest") * F.col("shared")
+
+    first = F.row_number().over(one.orderBy("low")) == 1
+    own = F.struct("low", (F.log(p("toxic")) - F.log(p("ordinary"))).cast("float").alias("ratio"))
+    base = F.struct(
+        F.col("low").bitwiseOR(F.lit(_ANY).cast("long")).alias("low"),
+        (F.log("toxic_rest") - F.log("ordinary_rest")).cast("float").alias("ratio"),
+    )
+    rows = parts.withColumn("first", first).select(
+        "high", F.explode(F.when(F.col("first"), F.array(own, base)).otherwise(F.array(own))).alias("row")
+    )
+    return rows.select("high", "row.*")
+
+
+def ratio_blocks(table: DataFrame, block_rows: int = BLOCK_ROWS) -> list[Broadcast]:
+    """The table in blocks of about ``block_rows`` rows, all rows of a context in one; the driver holds one at a time."""
+    n = max(1, -(-table.count() // block_rows))
+    which = F.pmod(F.xxhash64("high", F.shiftright("low", _LETTER)), F.lit(n))
+    blocks = []
+    for k in range(n):
+        found = (table if n == 1 else table.where(which == k)).toArrow()
+        block = RatioBlock(*(found.column(c).to_numpy() for c in ("high", "low", "ratio")))
+        blocks.append(table.sparkSession.sparkContext.broadcast(block))
+        del found, block
+        blocks[-1].__dict__.pop("_value", None)
+    return blocks
 
 
 def train_scorer(
@@ -160,18 +309,17 @@ def train_scorer(
     Rows of the held-out fold are never read for learning. Null labels are ignored; a document with several label
     rows has the largest. Without labelled rows of both classes every score is 0.
     """
-    spark = docs.sparkSession
     known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id"))
     known = known.agg(F.max(label_col).cast("int").alias("toxic"))
     usable = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), fold(id_col, FOLDS).alias("fold"))
     usable = usable.where((F.col("fold") != HELD_OUT_FOLD) & maybe_among(known.select("id"), F.col("id")))
     labelled = stash(usable.join(known.hint("merge"), "id"), "labelled")
-    ratios = log_ratios(class_counts(labelled.where(F.col("fold") != CALIBRATION_FOLD)))
-    shared = spark.sparkContext.broadcast(ratios)
+    counts = stash(class_counts(labelled.where(F.col("fold") != CALIBRATION_FOLD)), "letter-counts")
+    blocks = ratio_blocks(stash(ratio_table(counts), "letter-ratios"))
 
     @F.pandas_udf("array<double>")
     def measure(texts: pd.Series) -> pd.Series:
-        return pd.Series([features(t, shared.value) for t in texts])
+        return pd.Series(list(all_features(texts.tolist(), blocks)))
 
     part = labelled.where(F.col("fold") == CALIBRATION_FOLD)
     sizes = {r["toxic"]: r["count"] for r in part.groupBy("toxic").count().collect()}
@@ -192,7 +340,7 @@ def train_scorer(
     def score(texts: pd.Series) -> pd.Series:
         if not len(texts):
             return pd.Series([], dtype="float64")
-        x = np.array([features(t, shared.value) for t in texts])
+        x = all_features(texts.tolist(), blocks)
         z = ((x - mean) / scale) @ w[:-1] + w[-1]
         return pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 

@@ -60,6 +60,50 @@ def test_kneser_ney_sums_to_one():
     assert np.allclose(got, probs[1] - probs[0], atol=5e-3)
 
 
+def plain_ratios(rows):
+    """Kneser-Ney ratios by letter strings: of every letter seen after its context, and of each context for the others."""
+    counts = {}
+    for text, toxic in rows:
+        s = "\0" * 5 + "".join(text.lower().replace(" ", "\0"))
+        for i in range(5, len(s)):
+            counts.setdefault(s[i - 5 : i], {}).setdefault(s[i], [0, 0])[toxic] += 1
+    follow = {}
+    for context, after in counts.items():
+        for letter in after:
+            follow.setdefault(context[-1], {}).setdefault(letter, []).append(context)
+    n_letters = len({x for after in counts.values() for x in after})
+    out = {}
+    for context, after in counts.items():
+        seen, types = np.sum(list(after.values()), axis=0), np.sum(np.array(list(after.values())) > 0, axis=0)
+        rest = [0.75 * types[k] / seen[k] if seen[k] else 1.0 for k in (0, 1)]
+        total = sum(map(len, follow[context[-1]].values()))
+        for letter, c in after.items():
+            base = (len(follow[context[-1]][letter]) + 0.5) / (total + 0.5 * n_letters)
+            p = [max(c[k] - 0.75, 0) / max(seen[k], 1) + rest[k] * base for k in (0, 1)]
+            out[context + letter] = np.log(p[1] / p[0])
+        out[context] = np.log(rest[1] / rest[0])
+    return out
+
+
+def test_contexts_are_counted_by_their_exact_letters(spark):
+    rng = np.random.default_rng(3)
+    letters = list("abcdefghijklmnop éøжщ漢字あ")
+    draw = lambda n: " ".join("".join(rng.choice(letters, n)).split())
+    rows = [(draw(4000), k % 2) for k in range(12)]  # far more contexts than 8,192
+    want = plain_ratios(rows)
+    counts = toxicity.class_counts(spark.createDataFrame(rows, "text string, toxic int")).cache()
+    table = toxicity.ratio_table(counts).cache()
+    assert table.count() == len(want) > 50_000
+    texts = [rows[0][0], rows[1][0][:100] + "z" + draw(200), "", None]
+    for block_rows in (1 << 30, 30_000):
+        blocks = [b.value for b in toxicity.ratio_blocks(table, block_rows)]
+        assert (len(blocks) > 1) == (block_rows == 30_000)
+        for text in texts:
+            s = "\0" * 5 + (text or "").lower().replace(" ", "\0")
+            by_hand = [want.get(s[i - 5 : i + 1], want.get(s[i - 5 : i], 0.0)) for i in range(5, len(s))]
+            assert np.allclose(sum(b.ratios(*toxicity.letter_keys(text)) for b in blocks), by_hand, atol=5e-3)
+
+
 def test_language_held_out_and_odd_rows(spark, messy):
     docs = spark.read.parquet(f"{BIG}/documents.parquet")
     found = language_id.identify_language(docs).cache()
