@@ -168,41 +168,56 @@ def find_contamination(
     and no hits; null item texts and items without words match nothing; items with equal texts are all
     reported; repeated document rows each get their row. Other columns of either table are ignored.
     """
+    items, blocks = _items(benchmark, item_col, item_text_col, max_block_bytes)
+    if blocks == 1:
+        return _scan_block(docs, id_col, text_col, _patterns(items, 0, 1, window)).drop("text_hash", "text_length")
+    merged = _merged_blocks(docs, id_col, text_col, items, blocks, window)
+    one = F.explode(F.sequence(F.lit(1), F.col("copies")))
+    return merged.select("*", one.alias("copy")).drop("copies", "copy", "text_hash", "text_length")
+
+
+def _items(benchmark: DataFrame, item_col: str, item_text_col: str, max_block_bytes: int) -> tuple[DataFrame, int]:
+    """``item, text`` of the benchmark, and the number of blocks it takes."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text"))
     total = items.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    blocks = max(1, math.ceil(total / max_block_bytes))
+    return items, max(1, math.ceil(total / max_block_bytes))
 
-    def patterns(k: int) -> dict:
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
-        return item_patterns([(r["item"], r["text"]) for r in part.toLocalIterator()], window)
 
-    if blocks == 1:
-        return _scan_block(docs, id_col, text_col, patterns(0)).drop("text_hash", "text_length")
-    found = _scan_block(docs, id_col, text_col, patterns(0))
+def _patterns(items: DataFrame, k: int, blocks: int, window: int) -> dict:
+    part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
+    return item_patterns([(r["item"], r["text"]) for r in part.toLocalIterator()], window)
+
+
+def _merged_blocks(docs: DataFrame, id_col: str, text_col: str, items: DataFrame, blocks: int, window: int) -> DataFrame:
+    """One row per ``doc_id, text_hash, text_length``: the matches of all blocks, and its number of ``copies``."""
+    found = _scan_block(docs, id_col, text_col, _patterns(items, 0, blocks, window))
     for k in range(1, blocks):
-        found = found.unionByName(_scan_block(docs, id_col, text_col, patterns(k)))
-    key = ["doc_id", "text_hash", "text_length"]
-    merged = found.groupBy(*key).agg(
+        found = found.unionByName(_scan_block(docs, id_col, text_col, _patterns(items, k, blocks, window)))
+    return found.groupBy("doc_id", "text_hash", "text_length").agg(
         F.first("n_words").alias("n_words"),
         _merge(F.flatten(F.collect_set("ranges")), "lo", "hi").alias("ranges"),
         _merge(F.flatten(F.collect_set("spans")), "start", "end").alias("spans"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
         (F.count("*") / blocks).cast("int").alias("copies"),
     )
-    one = F.explode(F.sequence(F.lit(1), F.col("copies")))
-    return merged.select("*", one.alias("copy")).drop("copies", "copy", "text_hash", "text_length")
+
+
+def _is_contaminated() -> tuple[Column, Column]:
+    """Number of words hit, and the verdict, from ``ranges`` and ``n_words``."""
+    n_hit = F.aggregate("ranges", F.lit(0).cast("long"), lambda n, r: n + (r["hi"] - r["lo"]))
+    return n_hit, (n_hit > 0) & (20 * n_hit >= F.col("n_words"))
 
 
 def contamination_digest(found: DataFrame) -> DataFrame:
     """The contract's columns from the rows of :func:`find_contamination`."""
-    n_hit = F.aggregate("ranges", F.lit(0).cast("long"), lambda n, r: n + (r["hi"] - r["lo"]))
+    n_hit, contaminated = _is_contaminated()
     return found.select(
         "doc_id",
         "n_words",
         n_hit.alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"),
-        ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
+        contaminated.alias("contaminated"),
     )
 
 
@@ -217,18 +232,21 @@ def remove_contaminated(
 ) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, in their columns.
 
-    With a benchmark of one block each row is judged where it is read. With more, rows are judged by
-    :func:`find_contamination` and left out by id; rows without an id then stay.
+    Each row is judged by its text. With a benchmark of one block that is done where the row is read; with more, the
+    blocks' verdicts are met by id, hash and length of the text.
     """
-    total = benchmark.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    if total > max_block_bytes:
-        found = find_contamination(
-            docs, benchmark, id_col=id_col, text_col=text_col, window=window, max_block_bytes=max_block_bytes
+    items, blocks = _items(benchmark, "item_id", "text", max_block_bytes)
+    if blocks > 1:
+        _, contaminated = _is_contaminated()
+        merged = _merged_blocks(docs, id_col, text_col, items, blocks, window)
+        bad = merged.where(contaminated).select(*[F.col(c).alias(f"__quillon_{c}") for c in ("doc_id", "text_hash", "text_length")])
+        same = (
+            F.col(id_col).eqNullSafe(F.col("__quillon_doc_id"))
+            & (F.xxhash64(F.col(text_col)) == F.col("__quillon_text_hash"))
+            & (F.length(F.col(text_col)) == F.col("__quillon_text_length"))
         )
-        bad = contamination_digest(found).where("contaminated").select(F.col("doc_id").alias(id_col)).distinct()
-        return docs.join(bad, id_col, "left_anti").select(*docs.columns)
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").toLocalIterator()
-    patterns = item_patterns([(r["item"], r["text"]) for r in rows], window)
+        return docs.join(bad, same, "left_anti").select(*docs.columns)
+    patterns = _patterns(items, 0, 1, window)
     held: list[_Scanner] = []
 
     @F.pandas_udf("boolean")

@@ -458,6 +458,17 @@ def test_remove_contaminated(spark, messy):
     assert Counter(r["doc_id"] for r in left.collect()) == Counter(i for i, _ in held(messy) if i not in bad)
 
 
+@pytest.mark.parametrize("block", [1 << 24, 60])
+def test_rows_are_removed_by_their_text(spark, block):
+    item = "seven small ships sailed past the old stone pier at dawn with grain"
+    other = "a second item of the benchmark that only serves to make another block of it here"
+    bench = spark.createDataFrame([(1, item), (2, other)], "item_id long, text string")
+    rows_ = [(5, item), (5, "clean words"), (None, item), (None, "clean too"), (None, None)]
+    df = spark.createDataFrame(rows_, "doc_id long, text string")
+    left = decontaminate.remove_contaminated(df, bench, max_block_bytes=block).collect()
+    assert Counter(map(tuple, left)) == Counter([rows_[1], rows_[3], rows_[4]])
+
+
 @pytest.mark.parametrize("name", ["op2_shard", "op7_decontaminate"])
 def test_same_as_sql(spark, sf, name):
     from quillon import llm
