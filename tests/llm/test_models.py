@@ -60,6 +60,24 @@ def test_kneser_ney_sums_to_one():
     assert np.allclose(got, probs[1] - probs[0], atol=5e-3)
 
 
+def test_toxic_wording_of_the_calibration_fold_is_learnt(spark):
+    rng = np.random.default_rng(5)
+    plain = ["river", "house", "garden", "table", "letter", "window", "morning", "paper"]
+    rows = []
+    for i in range(300):
+        bad = i % 3 == 0
+        last = zlib.crc32(str(i).encode()) % 5 == toxicity.CALIBRATION_FOLD
+        own = ["grumbag", *(["zzyqx"] * last)] if bad else []
+        words = [*rng.choice(plain, 14 - len(own)), *own]
+        rows.append((i, " ".join(words), int(bad)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    score = toxicity.train_scorer(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    common = " ".join(rng.choice(plain, 13))
+    probe = spark.createDataFrame([(f"{common} zzyqx",), (f"{common} kkjwv",)], "text string")
+    known, unknown = (r[0] for r in probe.select(score(F.col("text"))).collect())
+    assert known > unknown + 0.3
+
+
 def plain_ratios(rows):
     """Kneser-Ney ratios by letter strings: of every letter seen after its context, and of each context for the others."""
     counts = {}
@@ -189,3 +207,11 @@ def test_run(spark, sf, stages):
     """Windows depend on how the rows are dealt out; documents and tokens do not."""
     tokens = lambda df: sorted(map(tuple, df.groupBy("doc_id", "doc_tokens").agg(F.sum("length")).collect()))
     assert tokens(corpus_pipeline.run(spark, sf)) == tokens(stages[-1][2])
+
+
+def test_near_copies_with_repeated_and_null_ids(spark, sf):
+    one, two, three = (" ".join(f"{w}{i}" for i in range(40)) for w in ("lake", "hill", "wood"))
+    rows = [(1, one), (1, two), (1, two), (2, two), (3, one), (None, one), (None, three), (None, three), (None, None), (None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    left = [tuple(r) for r in corpus_pipeline.near_copies_out(spark, df, sf).collect()]
+    assert sorted(left, key=str) == sorted([(1, one), (1, two), (None, three), (None, None)], key=str)
