@@ -9,8 +9,9 @@ fitted on labelled rows that the counts have not seen, gives the score.
 
 Counts are kept by the exact letters: five of context and the next one, whatever their alphabet, so no two contexts
 share a count, and the table grows with the labelled text. It is counted and turned into ratios in the cluster, and
-texts are scored against it in blocks of at most ``BLOCK_ROWS`` rows, of which a worker holds one at a time. Rows of
-the calibration fold are not counted; the curve is fitted on at most ``max_calibration_rows`` of them.
+texts are scored against it in blocks of at most ``BLOCK_ROWS`` rows, of which a worker holds one at a time. The
+curve is fitted on at most ``max_calibration_rows`` rows of one fold with counts of the others; the counts that texts
+are then scored with cover every labelled row outside the held-out fold.
 """
 
 from __future__ import annotations
@@ -314,14 +315,15 @@ def train_scorer(
     usable = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), fold(id_col, FOLDS).alias("fold"))
     usable = usable.where((F.col("fold") != HELD_OUT_FOLD) & maybe_among(known.select("id"), F.col("id")))
     labelled = stash(usable.join(known.hint("merge"), "id"), "labelled")
-    counts = stash(class_counts(labelled.where(F.col("fold") != CALIBRATION_FOLD)), "letter-counts")
-    blocks = ratio_blocks(stash(ratio_table(counts), "letter-ratios"))
+    is_part = F.col("fold") == CALIBRATION_FOLD
+    counts = stash(class_counts(labelled.where(~is_part)), "letter-counts")
+    fitting = ratio_blocks(stash(ratio_table(counts), "letter-ratios"))
 
     @F.pandas_udf("array<double>")
     def measure(texts: pd.Series) -> pd.Series:
-        return pd.Series(list(all_features(texts.tolist(), blocks)))
+        return pd.Series(list(all_features(texts.tolist(), fitting)))
 
-    part = labelled.where(F.col("fold") == CALIBRATION_FOLD)
+    part = labelled.where(is_part)
     sizes = {r["toxic"]: r["count"] for r in part.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         part = labelled
@@ -335,6 +337,11 @@ def train_scorer(
     if len(set(y.tolist())) < 2:
         return lambda text: F.lit(0.0)
     mean, scale, w = fit_logistic(x, y)
+    for block in fitting:
+        block.unpersist()
+    both = counts.unionByName(class_counts(labelled.where(is_part))).groupBy("high", "low")
+    both = both.agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+    blocks = ratio_blocks(stash(ratio_table(stash(both, "all-letter-counts")), "all-letter-ratios"))
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:

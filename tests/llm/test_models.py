@@ -60,7 +60,9 @@ def test_kneser_ney_sums_to_one():
     assert np.allclose(got, probs[1] - probs[0], atol=5e-3)
 
 
-def test_toxic_wording_of_the_calibration_fold_is_learnt(spark):
+def test_toxic_wording_of_the_calibration_fold_is_learnt(spark, monkeypatch):
+    tables, make = [], toxicity.ratio_blocks
+    monkeypatch.setattr(toxicity, "ratio_blocks", lambda t: tables.append(t) or make(t))
     rng = np.random.default_rng(5)
     plain = ["river", "house", "garden", "table", "letter", "window", "morning", "paper"]
     rows = []
@@ -75,7 +77,9 @@ def test_toxic_wording_of_the_calibration_fold_is_learnt(spark):
     common = " ".join(rng.choice(plain, 13))
     probe = spark.createDataFrame([(f"{common} zzyqx",), (f"{common} kkjwv",)], "text string")
     known, unknown = (r[0] for r in probe.select(score(F.col("text"))).collect())
-    assert known > unknown + 0.3
+    assert known > unknown
+    high, low = (int(k[-1]) for k in toxicity.letter_keys(" zzyqx"))  # x after zzyq
+    assert tables[-1].where((F.col("high") == high) & (F.col("low") == low)).count() == 1
 
 
 def plain_ratios(rows):
