@@ -16,7 +16,7 @@ ones always stay.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.llm._common import maybe_among, stash, table
@@ -30,6 +30,8 @@ MIN_EXACT = 1
 SKETCH_LETTERS, _SKETCH_BITS = "enatisrohldc", 24
 #: Letters after which the band of a candidate is looked at first.
 FIRST_LOOK = 16
+#: Lines of a key that every probe is compared with in the first round.
+FIRST_OF_KEY = 16
 
 
 def _segment(length: Column, number: int, parts: int) -> tuple[Column, Column]:
@@ -174,19 +176,26 @@ def within_edits(a: Column, b: Column, max_edits: int) -> Column:
     return let(let(head, lambda n: F.struct(after(a, n).alias("x"), after(b, n).alias("y"))), cut_tail)
 
 
-def linked_lines(lines: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
-    """Links ``a, b`` (ids) between the distinct lines (``id, line, sketch``) that are within ``max_edits`` edits."""
-    plain = lines.select("id", "sketch", single_bytes(F.col("line")).alias("line")).withColumn("n", F.octet_length("line"))
-    index, probe = segment_keys(F.col("line"), F.col("n"), max_edits)
-    low, high = F.lit((1 << _SKETCH_BITS) - 1), F.lit(-(1 << _SKETCH_BITS))
-    packed = lambda keys: F.explode_outer(F.transform(keys, lambda k: k.bitwiseAND(high).bitwiseOR(F.col("sketch"))))
-    indexed = plain.select(packed(index).alias("x"), F.col("id").alias("a"))
-    probing = plain.select(packed(probe).alias("y"), F.col("id").alias("b"))
-    same = F.shiftright("x", _SKETCH_BITS) == F.shiftright("y", _SKETCH_BITS)
-    near = sketches_allow(F.col("x").bitwiseAND(low), F.col("y").bitwiseAND(low), max_edits)
-    met = indexed.join(probing.hint("merge"), same & (F.col("a") != F.col("b")) & near)
-    pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = stash(pairs, "line-pairs")
+def words_allow(x: Column, y: Column, max_edits: int) -> Column:
+    """False only if :func:`word_marks` rule out ``max_edits`` edits: an edit cuts, joins or changes a word, which turns
+    three bits at most."""
+    return F.bit_count(x.bitwiseXOR(y)) <= 3 * max_edits
+
+
+def word_marks(line: Column) -> Column:
+    """64 bits: which of 64 classes of words stand in a line an odd number of times."""
+    bit = lambda w: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(w), F.lit(64)).cast("int"))
+    return F.aggregate(F.split(line, " "), F.lit(0).cast("long"), lambda marks, w: marks.bitwiseXOR(bit(w)))
+
+
+def _packed(keys: Column) -> Column:
+    """One row a key: its upper bits, with the line's sketch in the lower ones."""
+    high = F.lit(-(1 << _SKETCH_BITS))
+    return F.explode_outer(F.transform(keys, lambda k: k.bitwiseAND(high).bitwiseOR(F.col("sketch"))))
+
+
+def _verified(pairs: DataFrame, lines: DataFrame, max_edits: int) -> DataFrame:
+    """The pairs ``a, b`` whose lines are within ``max_edits`` edits."""
     ids = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
     texts = lines.where(maybe_among(ids, F.col("id")))
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")).hint("merge"), "a")
@@ -197,6 +206,72 @@ def linked_lines(lines: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
     return both.where(within_edits(F.col("x"), F.col("y"), max_edits)).select("a", "b")
 
 
+def _crowded_links(lines: DataFrame, crowded: DataFrame, roots: DataFrame, max_edits: int) -> DataFrame:
+    """Links under the crowded keys (``id, key``: who probes with which) between lines of different components."""
+    there = crowded.select("id").distinct()
+    found = lines.where(maybe_among(there, F.col("id"))).join(there.hint("merge"), "id", "left_semi")
+    found = found.join(roots.withColumnRenamed("node", "id").hint("merge"), "id", "left")
+    plain = single_bytes(F.col("line"))
+    keys, _ = segment_keys(plain, F.octet_length(plain), max_edits)
+    own = found.select(
+        "id",
+        "sketch",
+        word_marks(F.col("line")).alias("words"),
+        F.coalesce("root", "id").alias("root"),
+        F.transform(keys, lambda k: F.shiftright(k, _SKETCH_BITS)).alias("keys"),
+    )
+    own = stash(own, "crowded-lines")
+    named = lambda side: own.select(*[F.col(c).alias(f"{c}_{side}") for c in ("id", "sketch", "words", "root")])
+    probing = crowded.withColumnRenamed("id", "id_b").join(named("b").hint("merge"), "id_b")
+    indexed = own.select(F.explode("keys").alias("key"), F.col("id").alias("id_a"))
+    indexed = indexed.join(crowded.select("key").distinct().hint("merge"), "key", "left_semi")
+    indexed = indexed.join(named("a").hint("merge"), "id_a")
+    met = probing.join(
+        indexed.hint("merge"),
+        (probing["key"] == indexed["key"])
+        & (F.col("root_a") != F.col("root_b"))
+        & words_allow(F.col("words_a"), F.col("words_b"), max_edits)
+        & sketches_allow(F.col("sketch_a"), F.col("sketch_b"), max_edits),
+    )
+    pairs = met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+    return _verified(stash(pairs, "crowded-pairs"), lines, max_edits)
+
+
+def linked_lines(lines: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
+    """Links ``a, b`` (ids) between the distinct lines (``id, line, sketch``) that are within ``max_edits`` edits: the
+    components are those of all such pairs.
+
+    Every probe meets the first ``FIRST_OF_KEY`` lines of its key. That is all of them but under crowded keys, whose
+    other lines are compared in a second round, only between components that the first has left apart; so a
+    large group of near-equal lines is one component after a number of links in proportion to its lines. Ids
+    are taken to be distinct and not null; null lines are linked with nothing.
+    """
+    plain = lines.select("id", "sketch", single_bytes(F.col("line")).alias("line")).withColumn("n", F.octet_length("line"))
+    index, probe = segment_keys(F.col("line"), F.col("n"), max_edits)
+    low = F.lit((1 << _SKETCH_BITS) - 1)
+    indexed = plain.select(_packed(index).alias("x"), F.col("id").alias("a")).withColumn("key", F.shiftright("x", _SKETCH_BITS))
+    place = F.row_number().over(Window.partitionBy("key").orderBy("a"))
+    indexed = indexed.withColumn("place", place).where(F.col("place") <= FIRST_OF_KEY + 1)
+    probing = plain.select(_packed(probe).alias("y"), F.col("id").alias("b"))
+    near = sketches_allow(F.col("x").bitwiseAND(low), F.col("y").bitwiseAND(low), max_edits)
+    crowded = F.col("place") > FIRST_OF_KEY  # one such line a crowded key; it tells who probes with the key
+    met = probing.join(
+        indexed.hint("merge"),
+        (F.shiftright("y", _SKETCH_BITS) == F.col("key")) & (crowded | ((F.col("a") != F.col("b")) & near)),
+    )
+    met = met.select(
+        F.when(crowded, F.col("b")).otherwise(F.least("a", "b")).alias("a"),
+        F.when(crowded, F.col("b")).otherwise(F.greatest("a", "b")).alias("b"),
+        F.when(crowded, F.col("key")).alias("key"),
+    )
+    met = stash(met.distinct(), "line-pairs")
+    links = stash(_verified(met.where(F.col("key").isNull()).select("a", "b"), lines, max_edits), "line-links")
+    probes = met.where(F.col("key").isNotNull()).select(F.col("a").alias("id"), "key")
+    if probes.isEmpty():
+        return links
+    return links.unionByName(_crowded_links(lines, probes, connected_components(links), max_edits))
+
+
 def repeated_lines(
     docs: DataFrame,
     *,

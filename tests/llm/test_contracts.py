@@ -259,6 +259,32 @@ def test_line_links_are_complete(spark):
     assert {(r["a"], r["b"]) for r in got} == want
 
 
+@pytest.mark.parametrize("first", [1, 3])
+def test_crowded_keys_link_the_same_components(spark, monkeypatch, first):
+    """More lines under a key than the first round compares: the components stay those of all pairs, with few links."""
+    monkeypatch.setattr(line_dedup, "FIRST_OF_KEY", first)
+    rng = random.Random(first)
+    base = "every one of these lines has a number at its end, which is "
+    lines = {f"{base}{rng.randrange(10_000):04d}" for _ in range(250)}
+    lines |= {f"{rng.randrange(1000):03d} heads a line that ends like all the others do" for _ in range(60)}
+    other = "a chain of letters, two edits from one to the next: "
+    lines |= {other + "x" * (2 * i) + "y" * (40 - 2 * i) for i in range(20)}
+    lines = sorted(lines)
+    df = spark.createDataFrame(list(enumerate(lines)), "id long, line string")
+    got = [(r["a"], r["b"]) for r in line_dedup.linked_lines(line_dedup.with_sketch(df), 2).collect()]
+    assert all(edits(lines[a], lines[b]) <= 2 for a, b in got)
+    want, have, pairs = Groups(len(lines)), Groups(len(lines)), 0
+    for i, j in itertools.combinations(range(len(lines)), 2):
+        if abs(len(lines[i]) - len(lines[j])) <= 2 and edits(lines[i], lines[j]) <= 2:
+            want.join(i, j)
+            pairs += 1
+    for a, b in got:
+        have.join(a, b)
+    least = lambda g: [min(k for k in range(len(lines)) if g.find(k) == g.find(i)) for i in range(len(lines))]
+    assert least(have) == least(want)
+    assert len(set(got)) < pairs
+
+
 def test_lines_of_messy_rows(spark, messy):
     line = "All rights to this page are reserved by the press."
     rows_ = [(100 + i, f"{'abcdefgh'[i] * 9} own words of one document only\n{line}{'!' * (i % 2)}\nshort", "en", "s", 1, 0.1, "r") for i in range(8)]
