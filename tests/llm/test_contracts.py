@@ -90,7 +90,7 @@ def test_golay_keys_meet_up_to_four_bits():
                 continue
             keys, owners = simhash.key_rows(np.array([x, y], np.uint64))
             order = np.lexsort((owners, keys))
-            assert list(simhash._link_sorted(keys[order], owners[order], 4))
+            assert list(simhash._link_sorted(keys[order] >> 1, keys[order] & 1, owners[order][:, None], 4, simhash.link_group))
 
 
 def test_every_golay_word_is_near_one_codeword():
@@ -106,10 +106,61 @@ def test_every_golay_word_is_near_one_codeword():
 def test_link_group_in_a_hot_key_spans_without_all_pairs():
     rng = np.random.default_rng(3)
     cluster = np.unique(np.array([(1 << int(a)) | (1 << int(b)) for a, b in rng.integers(0, 64, (500, 2))], np.uint64))
-    links = simhash.link_group(cluster)
+    links = simhash.link_group(cluster[:, None])
     assert len(links) == len(cluster) - 1
 
 
+def test_near_copies_of_five_words(spark):
+    """Copies with some words changed, a chain of them, texts that share a passage only, repeats, nulls and empty texts."""
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    vocabulary = ["".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    fresh = lambda n: [vocabulary[int(3000 * rng.random() ** 3)] for _ in range(n)]
+
+    def variant(words, times):
+        words = list(words)
+        for i in rng.sample(range(len(words)), times):
+            words[i] = rng.choice(vocabulary)
+        return words
+
+    texts = []
+    for _ in range(60):
+        base = fresh(rng.randint(60, 400))
+        texts += [base, variant(base, max(1, len(base) // 60)), base + fresh(len(base) // 12), fresh(len(base)) + base[: len(base) // 2]]
+    link = fresh(300)
+    for _ in range(5):
+        link = variant(link, 4)
+        texts.append(link)
+    texts = [" ".join(t) for t in texts] + ["", None, "", "two words", "Two  Words", "two other"]
+    df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, node int")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copy_groups(df).collect()}
+    sets = [simhash.shingles(t) for t in texts]
+    whole, found, total = Groups(len(texts)), 0, 0
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j]):
+            whole.join(i, j)
+            found, total = found + (got[i] == got[j]), total + 1
+    assert len(got) == len(texts) and total > 100
+    assert found >= 0.95 * total  # some pairs right at 0.8 share no key
+    assert all(whole.find(i) == whole.find(c) for i, c in got.items())  # nothing else is together
+    assert len({got[i] for i, t in enumerate(texts) if not t}) == 1
+
+
+def test_nearest_links_span_within_the_distance():
+    rng = np.random.default_rng(4)
+    prints = np.unique(rng.integers(0, 1 << 16, (200, 2), dtype=np.uint64), axis=0)
+    links = simhash.nearest_links(prints, 7)
+    have, want, at = Groups(len(prints)), Groups(len(prints)), {tuple(p): i for i, p in enumerate(prints.tolist())}
+    for a, b in links:
+        assert sum((x ^ y).bit_count() for x, y in zip(a, b, strict=True)) <= 7
+        have.join(at[a], at[b])
+    for i, j in itertools.combinations(range(len(prints)), 2):
+        if sum((x ^ y).bit_count() for x, y in zip(prints[i].tolist(), prints[j].tolist(), strict=True)) <= 7:
+            want.join(i, j)
+    pairs = list(itertools.combinations(range(len(prints)), 2))
+    assert all((have.find(i) == have.find(j)) == (want.find(i) == want.find(j)) for i, j in pairs) and len(links) < len(prints)
+
+
 def test_components_of_random_graphs(spark):
     rng = random.Random(4)
     pairs = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(400 + i, 401 + i) for i in range(40)] + [(500, x) for x in range(501, 560)]

@@ -154,6 +154,7 @@ def test_empty_tables(spark, empty):
     bench = spark.createDataFrame([], "item_id long, text string")
     for out in (
         simhash.simhash_groups(empty),
+        simhash.near_copy_groups(empty),
         sharding.assign_shards(empty),
         substring_dedup.remove_repeats(empty),
         line_dedup.dedup_lines(empty),
@@ -199,7 +200,7 @@ def test_each_stage_by_its_rule(stages, spark, sf):
     before, after = by["line_dedup"]
     assert ids(after) == ids(before)
     before, after = by["simhash"]
-    assert ids(after) == ids(simhash.simhash_groups(before).where("doc_id = component_id"))
+    assert ids(after) == ids(simhash.near_copy_groups(before).where("doc_id = component_id"))
     before, after = by["decontamination"]
     found = decontaminate.contamination_digest(decontaminate.find_contamination(before, bench))
     assert ids(after) == ids(found.where("NOT contaminated"))
