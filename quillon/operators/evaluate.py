@@ -69,6 +69,17 @@ def word_errors(truth: str, guess: str) -> Column:
     return F.pandas_udf(_word_errors, "wer double, subs long, adds long, omits long")(truth, guess)
 
 
+def quality_errors(pairs: DataFrame, id_cols: list[str], truth: str, guess: str) -> DataFrame:
+    """Character errors without blanks (``ref_chars, hyp_chars, char_edits, cer``; an empty truth counts as one letter)."""
+    bare = lambda c: F.replace(F.coalesce(F.col(c), F.lit("")), F.lit(" "), F.lit(""))
+    rows = pairs.select(*id_cols, bare(truth).alias("r"), bare(guess).alias("h"))
+    edits = F.levenshtein("r", "h")
+    return rows.select(
+        *id_cols, F.length("r").cast("long").alias("ref_chars"), F.length("h").cast("long").alias("hyp_chars"), edits.cast("long").alias("char_edits"),
+        F.round(edits / F.greatest(F.length("r"), F.lit(1)), 6).alias("cer"),
+    )
+
+
 def iou(a: Column, b: Column) -> Column:
     """Overlap of two integer boxes (structs of x0, y0, x1, y1) over their union; 0 when disjoint."""
     width = F.greatest(F.least(a["x1"], b["x1"]) - F.greatest(a["x0"], b["x0"]), F.lit(0))

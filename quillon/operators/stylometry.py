@@ -128,6 +128,36 @@ def most_frequent_words(docs: DataFrame, text_col: str, limit: int, excluded: li
     return words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(limit)
 
 
+def _runs(words: Column) -> Column:
+    """``word, n, first`` of the distinct words of an array, by one sort: equal words stand together."""
+    placed = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+
+    def counted(p: Column) -> Column:
+        begins = F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda i: (i == 0) | (F.get(p, i)["w"] != F.get(p, i - 1)["w"]))
+
+        def run(b: Column) -> Column:
+            end = lambda k: F.coalesce(F.get(b, k + 1), F.size(p))
+            return F.transform(b, lambda i, k: F.struct(F.get(p, i)["w"].alias("word"), (end(k) - i).alias("n"), F.get(p, i)["i"].alias("first")))
+
+        return let(begins, run)
+
+    return F.when(F.size(words) > 0, let(placed, counted))
+
+
+def token_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, word, n``: how often each word stands in a document; counted where the text is read."""
+    rows = docs.select(id_col, tokens(F.col(text_col)).alias("w")).select(id_col, F.explode(_runs(F.col("w"))).alias("r"))
+    return rows.select(id_col, "r.word", F.col("r.n").cast("long").alias("n"))
+
+
+def top_words(docs: DataFrame, id_col: str, text_col: str, most: int) -> DataFrame:
+    """``id, place, word, n``: the most frequent words of each document, the one seen first winning ties."""
+    rows = docs.select(id_col, tokens(F.col(text_col)).alias("w")).select(id_col, _runs(F.col("w")).alias("r"))
+    ranked = F.array_sort(F.transform("r", lambda r: F.struct((-r["n"]).alias("n"), r["first"].alias("first"), r["word"].alias("word"))))
+    rows = rows.select(id_col, F.posexplode(F.slice(ranked, 1, most)).alias("place", "r"))
+    return rows.select(id_col, (F.col("place") + 1).cast("long").alias("place"), "r.word", (-F.col("r.n")).cast("long").alias("n"))
+
+
 def relative_frequencies(docs: DataFrame, keys: list[str], text_col: str, features: list[str]) -> DataFrame:
     """``keys, feature, freq``: occurrences of each feature over all words (at least 1), zeros kept."""
     row = docs.select(*keys, tokens(F.col(text_col)).alias("w"))
