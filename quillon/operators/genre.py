@@ -151,7 +151,7 @@ def softmax(scores: Column) -> Column:
 
 def score(docs: DataFrame, keys: list[str], text_col: str, model: Model) -> DataFrame:
     """``keys, scores, probs, evidence``: per label the lexicon's and the structure's evidence, twice the softmax of the
-    negative Delta, and a light prior; evidence is not sorted."""
+    negative Delta, and a light prior; evidence is not sorted, and has of Delta the nearest label only."""
     rows = measures(docs, keys, text_col, model.vocabulary)
     evidence = F.concat(lexicon_evidence(model.lexicon), structural_evidence(model.structure))
     near = F.array().cast("array<struct<label:string,prob:double>>")
@@ -159,12 +159,18 @@ def score(docs: DataFrame, keys: list[str], text_col: str, model: Model) -> Data
         closeness = F.transform(model.deltas(F.col("words")), lambda d: F.struct(d["label"].alias("label"), (-d["distance"]).alias("score")))
         near = F.when(F.size("words") > 0, softmax(closeness)).otherwise(near)
     rows = rows.select(*keys, evidence.alias("own"), near.alias("near"))
-    delta = F.transform("near", lambda d: F.struct(d["label"].alias("label"), F.lit("delta").alias("feature"), d["prob"].alias("value"), F.lit(DELTA_WEIGHT).alias("weight"), (d["prob"] * DELTA_WEIGHT).alias("contribution"), F.array().cast("array<string>").alias("matches")))
-    rows = rows.select(*keys, F.concat("own", delta).alias("evidence"))
+    nearest = F.array_min(F.transform("near", lambda d: F.struct((-d["prob"]).alias("n"), d["label"].alias("label"))))
+    share = -nearest["n"]
+    delta = F.struct(
+        nearest["label"].alias("label"), F.lit("delta_nearest").alias("feature"), share.alias("value"), F.lit(DELTA_WEIGHT).alias("weight"),
+        (share * DELTA_WEIGHT).alias("contribution"), F.array().cast("array<string>").alias("matches"),
+    )
+    rows = rows.select(*keys, "own", "near", F.when(F.size("near") > 0, F.concat("own", F.array(delta))).otherwise(F.col("own")).alias("evidence"))
 
     def total(label: str) -> Column:
-        own = F.filter("evidence", lambda e: e["label"] == label)
-        return F.struct(F.lit(label).alias("label"), (F.aggregate(own, F.lit(0.0), lambda a, e: a + e["contribution"]) + PRIOR).alias("score"))
+        own, near = F.filter("own", lambda e: e["label"] == label), F.filter("near", lambda d: d["label"] == label)
+        summed = F.aggregate(own, F.lit(0.0), lambda a, e: a + e["contribution"]) + F.coalesce(F.get(near, 0)["prob"], F.lit(0.0)) * DELTA_WEIGHT
+        return F.struct(F.lit(label).alias("label"), (summed + PRIOR).alias("score"))
 
     rows = rows.select(*keys, F.array(*[total(x) for x in model.labels]).alias("scores"), "evidence")
     return rows.select(*keys, "scores", softmax(F.col("scores")).alias("probs"), "evidence")
