@@ -21,13 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The session's ``spark.checkpoint.dir`` where it is set; otherwise (local tests) one temporary
-    folder for this process.
+    The session's ``spark.checkpoint.dir`` where it is set; otherwise one temporary folder for this process, with a
+    local master only: on a cluster, executors do not see each other's folders.
     """
     global _own_scratch
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if _own_scratch is None:
         _own_scratch = tempfile.mkdtemp(prefix="quillon-")
     return f"file://{_own_scratch}"
@@ -72,8 +74,9 @@ FILTER_BITS = 22
 def maybe_among(ids: DataFrame, column: Column) -> Column:
     """True for every value of ``column`` that is in the one column of ``ids``, and for few others.
 
-    A bitmap of fixed size, made by one aggregation. It spares rows that a join would drop anyway the
-    shuffle; the join itself still decides. With far more ids than bits it only stops helping.
+    A bitmap of fixed size, made by a scalar subquery of the plan it stands in (as a literal, its megabyte of text would
+    be in every description of that plan). It spares rows that a join would drop anyway the shuffle; the join itself
+    still decides. With far more ids than bits it only stops helping.
     """
     name = ids.columns[0]
     spot = F.pmod(F.xxhash64(name), F.lit(1 << FILTER_BITS))
@@ -82,10 +85,9 @@ def maybe_among(ids: DataFrame, column: Column) -> Column:
         F.shiftright(spot, 6).cast("int").alias("word"),
         F.call_function("shiftleft", F.lit(1).cast("long"), spot.bitwiseAND(low).cast("int")).alias("bit"),
     )
-    words = marks.groupBy("word").agg(F.bit_or("bit").alias("bits")).collect()
-    bits = [0] * (1 << (FILTER_BITS - 6))
-    for row in words:
-        bits[row["word"]] = row["bits"]
-    held = F.split(F.lit(",".join(map(str, bits))), ",").cast("array<long>")  # folded to one constant
+    every = ids.sparkSession.range(1 << (FILTER_BITS - 6)).select(F.col("id").cast("int").alias("word"), F.lit(0).cast("long").alias("bit"))
+    words = marks.unionByName(every).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    placed = F.sort_array(F.collect_list(F.struct("word", "bits")))
+    held = words.agg(F.transform(placed, lambda x: x["bits"]).alias("bits")).scalar()
     at = F.pmod(F.xxhash64(column), F.lit(1 << FILTER_BITS))
     return F.getbit(F.get(held, F.shiftright(at, 6).cast("int")), at.bitwiseAND(low).cast("int")) == 1
