@@ -27,7 +27,7 @@ def confidence_tier(value: Column) -> Column:
 
 def pipe_cells(line: Column) -> Column:
     """Trimmed cells of a ``a | b | c`` row."""
-    return F.transform(F.split(line, r"\|"), F.trim)
+    return F.transform(F.split(line, r"\|"), lambda c: F.trim(c))
 
 
 def line_range(raw: Column) -> Column:

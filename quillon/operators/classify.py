@@ -56,7 +56,7 @@ def label_probs(docs: DataFrame, keys: list[str], text_col: str, lexicon: dict)
 def structural_features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Line and digit densities of a text, clipped to 0-1 with their weights where the rule clips."""
     lines = F.filter(
-        F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), F.trim), lambda x: F.length(x) > 0
+        F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: F.length(x) > 0
     )
     clip = lambda v: F.least(F.lit(1.0), F.greatest(F.lit(0.0), v))
     sizes = F.transform(lines, lambda x: F.size(F.split(x, r"\s+")))

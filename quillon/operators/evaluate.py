@@ -159,20 +159,62 @@ def compare_lines(refs: DataFrame, hyps: DataFrame, page_col: str, radius: float
     return refs.groupBy(page_col).cogroup(hyps.groupBy(page_col)).applyInPandas(compare, schema)
 
 
-def correct_gate(metrics: DataFrame) -> DataFrame:
-    """Whether a model's corrections may be trusted: held out, CER at most 0.15, WER at most 0.5; with the reason.
+def correct_gate(metrics: DataFrame, most_cer: float = 0.15, most_wer: float = 0.50) -> DataFrame:
+    """Whether a model's corrections may be the silent default: held out, both error rates known and small enough.
 
-    CER is the held-out value, else 1 - accuracy, else the mean over corpora (``per_corpus`` map).
+    CER is the held-out value, else 1 - accuracy, else the mean over corpora (``per_corpus`` map). A model is recommended if it
+    says so or its CER is small enough, unless held-out rates are above the gate.
     """
     values = F.map_values("per_corpus")
     mean = F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / F.nullif(F.size(values), F.lit(0))
-    cer = F.coalesce("held_out_cer", 1 - F.col("val_accuracy"), mean)
-    wer = F.coalesce("held_out_wer", 1 - F.col("val_word_accuracy"))
+    rows = metrics.select(
+        "name",
+        F.coalesce("held_out_cer", 1 - F.col("val_accuracy"), mean).alias("cer"),
+        F.coalesce("held_out_wer", 1 - F.col("val_word_accuracy")).alias("wer"),
+        F.coalesce("held_out_ready", F.lit(False)).alias("ready"),
+        F.coalesce("recommend_correct_mode", F.lit(False)).alias("asked") if "recommend_correct_mode" in metrics.columns else F.lit(False).alias("asked"),
+    )
     reason = (
-        F.when(~F.coalesce("held_out_ready", F.lit(False)), "not held out")
-        .when(cer.isNull(), "no error rate")
-        .when(cer > 0.15, "character errors")
-        .when(F.coalesce(wer, F.lit(0.0)) > 0.5, "word errors")
+        F.when(~F.col("ready"), "not held out")
+        .when(F.col("cer").isNull() | F.col("wer").isNull(), "no error rate")
+        .when(F.col("cer") > most_cer, "character errors")
+        .when(F.col("wer") > most_wer, "word errors")
         .otherwise("ok")
     )
-    return metrics.select("name", F.round(cer, 6).alias("cer"), F.round(wer, 6).alias("wer"), reason.alias("reason"), (reason == "ok").alias("allowed"))
+    good = F.col("asked") | F.coalesce(F.col("cer") <= most_cer, F.lit(False))
+    recommended = F.when(reason.isin("character errors", "word errors"), False).otherwise(good)
+    return rows.select("name", F.round("cer", 6).alias("cer"), F.round("wer", 6).alias("wer"), reason.alias("reason"), (reason == "ok").alias("allowed"), recommended.alias("recommended"))
+
+
+def report(cases: DataFrame, by: list[str]) -> DataFrame:
+    """Totals over scored cases (``cer, wer`` in percent, ``n_chars, n_words``): errors are taken back from each case's rounded
+    rates, summed, and rated; with the disposition."""
+    back = lambda rate, n: F.sum(F.bround(F.col(rate) * F.col(n) / 100))
+    over = lambda errors, n: F.when(F.sum(n) > 0, F.round(errors / F.sum(n) * 100, 4)).otherwise(F.lit(0.0))
+    rows = cases.groupBy(*by).agg(
+        F.count("*").alias("n_cases"), F.sum("n_chars").alias("n_chars"), F.sum("n_words").alias("n_words"), over(back("cer", "n_chars"), "n_chars").alias("cer"), over(back("wer", "n_words"), "n_words").alias("wer")
+    )
+    return rows.withColumn("disposition", disposition(F.col("cer"), F.col("wer")))
+
+
+def report_text(rows: DataFrame, by: list[str]) -> DataFrame:
+    """``by, line``: the totals as fixed-width lines."""
+    return rows.select(*by, F.format_string("%-20s %6d %8.2f %8.2f  %s", F.concat_ws("/", *by), "n_cases", "cer", "wer", "disposition").alias("line"))
+
+
+def verdict(delta_cer: Column) -> Column:
+    """A candidate's change of CER in percentage points, in words."""
+    return (
+        F.when(delta_cer < -1.0, "clearly better").when(delta_cer < -0.2, "slightly better").when(F.abs(delta_cer) <= 0.2, "equivalent")
+        .when(delta_cer > 1.0, "clearly worse").otherwise("slightly worse")
+    )
+
+
+def compare_models(metrics: DataFrame, base: str, candidate: str, gt: str) -> DataFrame:
+    """Per ground truth the error rates of two models (rows of ``model, gt, cer, wer`` as fractions) in percent, their differences
+    and the verdict; ground truth that one of them has not seen is left out."""
+    side = lambda name, p: metrics.where(F.col("model") == name).select(gt, (F.col("cer") * 100).alias(f"{p}_cer"), (F.col("wer") * 100).alias(f"{p}_wer"))
+    rows = side(base, "base").join(side(candidate, "candidate"), gt)
+    gap = F.col("candidate_cer") - F.col("base_cer")
+    rates = [F.round(c, 3).alias(c) for c in ("base_cer", "candidate_cer", "base_wer", "candidate_wer")]
+    return rows.select(gt, *rates, F.round(gap, 3).alias("delta_cer"), F.round(F.col("candidate_wer") - F.col("base_wer"), 3).alias("delta_wer"), verdict(gap).alias("verdict"))

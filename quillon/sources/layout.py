@@ -76,6 +76,15 @@ def page_gate(docs: DataFrame, keys: list[str], content: str) -> DataFrame:
     return rows.select(*keys, F.size(regions).cast("long").alias("n_regions"), n.alias("n_lines"), F.coalesce(_error(F.col("d"), "Page"), F.when(n == 0, "no lines")).alias("error"))
 
 
+def page_sizes(docs: DataFrame, keys: list[str], content: str) -> DataFrame:
+    """``width, height, n_baselines, error`` of every PAGE document; baselines without a valid point do not count."""
+    doc = F.from_xml(F.col(content), PAGE_SCHEMA, {"mode": "PERMISSIVE"})
+    rows = docs.select(*keys, doc.alias("d"))
+    drawn = lambda r: F.size(F.filter(r["TextLine"], lambda t: F.size(parse_points(t["Baseline"]["_points"])) > 0))
+    n = F.aggregate(F.coalesce("d.Page.TextRegion", F.array()), F.lit(0), lambda a, r: a + F.coalesce(drawn(r), F.lit(0)))
+    return rows.select(*keys, F.col("d.Page._imageWidth").alias("width"), F.col("d.Page._imageHeight").alias("height"), n.cast("long").alias("n_baselines"), _error(F.col("d"), "Page").alias("error"))
+
+
 def alto_lines(docs: DataFrame, keys: list[str], content: str) -> DataFrame:
     """Text and box of every ALTO line; lines without text or with geometry that is not numeric are left out."""
     doc = F.from_xml(F.col(content), ALTO_SCHEMA, {"mode": "PERMISSIVE"})
