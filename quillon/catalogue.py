@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.plans import classification, curation, evaluation, forms, genre, layout, pages, records, registry, stylometry  # noqa: F401  (query modules register themselves)
+from quillon.plans import classification, corpora, curation, evaluation, forms, genre, layout, pages, records, registry, stylometry  # noqa: F401  (query modules register themselves)
 
 
 def queries() -> dict:
