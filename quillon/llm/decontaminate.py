@@ -6,8 +6,8 @@ item with fewer words, but not none, is one pattern); the automaton reads each d
 matches are mapped back through the word index to character offsets of the original text.
 
 Nothing is shuffled: documents are scanned where they are read. The automaton is shipped to the
-executors, so its size is checked first: a benchmark above ``max_block_bytes`` is cut into blocks
-by a hash of the item, one scan per block, and the blocks' matches are merged per document.
+executors, so its size is checked first: a benchmark of more than ``max_patterns`` word windows is cut into
+blocks by a hash of the item, one scan per block, and the blocks' matches are merged per document.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from quillon.llm._common import map_arrow, table
 
 WINDOW = 13
-#: Largest benchmark text that one automaton holds.
-MAX_BLOCK_BYTES = 16 << 20
+#: Word windows that one automaton holds at most: some 160 MB where it is built, 25 MB on its way to the tasks.
+MAX_PATTERNS = 250_000
 
 #: Byte table of the normalisation: lower-cases A-Z, turns ASCII separators into spaces.
 _FOLD = bytes(
@@ -159,7 +159,7 @@ def find_contamination(
     item_col: str = "item_id",
     item_text_col: str = "text",
     window: int = WINDOW,
-    max_block_bytes: int = MAX_BLOCK_BYTES,
+    max_patterns: int = MAX_PATTERNS,
 ) -> DataFrame:
     """Per document row: ``doc_id, n_words, ranges, spans, items``.
 
@@ -168,7 +168,7 @@ def find_contamination(
     and no hits; null item texts and items without words match nothing; items with equal texts are all
     reported; repeated document rows each get their row. Other columns of either table are ignored.
     """
-    items, blocks = _items(benchmark, item_col, item_text_col, max_block_bytes)
+    items, blocks = _items(benchmark, item_col, item_text_col, window, max_patterns)
     if blocks == 1:
         return _scan_block(docs, id_col, text_col, _patterns(items, 0, 1, window)).drop("text_hash", "text_length")
     merged = _merged_blocks(docs, id_col, text_col, items, blocks, window)
@@ -176,11 +176,12 @@ def find_contamination(
     return merged.select("*", one.alias("copy")).drop("copies", "copy", "text_hash", "text_length")
 
 
-def _items(benchmark: DataFrame, item_col: str, item_text_col: str, max_block_bytes: int) -> tuple[DataFrame, int]:
+def _items(benchmark: DataFrame, item_col: str, item_text_col: str, window: int, max_patterns: int) -> tuple[DataFrame, int]:
     """``item, text`` of the benchmark, and the number of blocks it takes."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    return items, max(1, math.ceil(total / max_block_bytes))
+    words = F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"))
+    total = items.agg(F.sum(F.greatest(words - (window - 1), F.least(words, F.lit(1)))).alias("n")).first()["n"] or 0
+    return items, max(1, math.ceil(total / max_patterns))
 
 
 def _patterns(items: DataFrame, k: int, blocks: int, window: int) -> dict:
@@ -228,14 +229,14 @@ def remove_contaminated(
     id_col: str = "doc_id",
     text_col: str = "text",
     window: int = WINDOW,
-    max_block_bytes: int = MAX_BLOCK_BYTES,
+    max_patterns: int = MAX_PATTERNS,
 ) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, in their columns.
 
     Each row is judged by its text. With a benchmark of one block that is done where the row is read; with more, the
     blocks' verdicts are met by id, hash and length of the text.
     """
-    items, blocks = _items(benchmark, "item_id", "text", max_block_bytes)
+    items, blocks = _items(benchmark, "item_id", "text", window, max_patterns)
     if blocks > 1:
         _, contaminated = _is_contaminated()
         merged = _merged_blocks(docs, id_col, text_col, items, blocks, window)

@@ -28,6 +28,8 @@ FOLDS, HELD_OUT_FOLD = 4, 2
 SEED = 20_011
 #: Characters of text in one step of the encoder, and trigram vectors that a worker remembers.
 STEP_CHARS, MEMO_VECTORS = 200_000, 60_000
+#: Distinct trigrams whose vectors are multiplied at once.
+CODE_STEP = 8_192
 
 
 @lru_cache(maxsize=1)
@@ -39,18 +41,35 @@ def _letters() -> np.ndarray:
     return is_letter
 
 
-def trigrams(text: str | None) -> np.ndarray:
-    """Codes of the letter trigrams of a text (three code points of 21 bits); empty if it has no letter."""
-    points = np.frombuffer((text or "").lower().encode("utf-32-le"), np.uint32)
-    s = np.where(_letters()[points], points, 0).astype(np.int64)
+def _letters_of(text: str | None) -> np.ndarray:
+    """Code points of a text's letters, with one 0 before, between and after words; empty without a letter.
+
+    The text is read in steps, so a long one takes little more memory than its letters.
+    """
+    text, parts = text or "", []
+    for at in range(0, len(text), STEP_CHARS):
+        points = np.frombuffer(text[at : at + STEP_CHARS].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        parts.append(np.where(_letters()[points], points, 0).astype(np.int32))
+    s = np.concatenate([np.zeros(1, np.int32), *parts, np.zeros(1, np.int32)])
     if not s.any():
-        return np.zeros(0, np.int64)
-    s = np.concatenate([[0], s, [0]])
+        return np.zeros(0, np.int32)
     keep = s != 0
     keep[1:] |= s[:-1] != 0
     keep[0] = True
-    s = s[keep]
-    return (s[:-2] << 42) | (s[1:-1] << 21) | s[2:]
+    return s[keep]
+
+
+def trigram_steps(text: str | None) -> Iterator[np.ndarray]:
+    """Codes of the letter trigrams of a text (three code points of 21 bits), ``STEP_CHARS`` at a time; nothing if it has no letter."""
+    s = _letters_of(text)
+    for at in range(0, max(0, len(s) - 2), STEP_CHARS):
+        part = s[at : at + STEP_CHARS + 2].astype(np.int64)
+        yield (part[:-2] << 42) | (part[1:-1] << 21) | part[2:]
+
+
+def trigrams(text: str | None) -> np.ndarray:
+    """All trigrams of a text together."""
+    return np.concatenate([np.zeros(0, np.int64), *trigram_steps(text)])
 
 
 class Encoder:
@@ -87,8 +106,29 @@ class Encoder:
             return np.zeros((n, self.dimensions), np.float32)
         codes, at = np.unique(flat, return_inverse=True)
         owner = np.repeat(np.asarray(groups, np.int64), [len(g) for g in grams])
-        counts = np.bincount(owner * len(codes) + at, minlength=n * len(codes)).reshape(n, len(codes))
-        return counts.astype(np.float32) @ self.matrix(codes)
+        out = np.zeros((n, self.dimensions), np.float32)
+        order = np.argsort(at, kind="stable")
+        at, owner = at[order], owner[order]
+        for start in range(0, len(codes), CODE_STEP):
+            lo, hi = np.searchsorted(at, [start, start + CODE_STEP])
+            m = min(CODE_STEP, len(codes) - start)
+            counts = np.bincount(owner[lo:hi] * m + at[lo:hi] - start, minlength=n * m).reshape(n, m)
+            out += counts.astype(np.float32) @ self.matrix(codes[start : start + m])
+        return out
+
+    def texts(self, texts: list[str | None], groups: list[int], n: int) -> np.ndarray:
+        """Sum of the trigram vectors of the texts of each group, (n, dimensions); about ``STEP_CHARS`` letters at a time."""
+        out = np.zeros((n, self.dimensions))
+        grams, owners, size = [], [], 0
+        for text, group in zip(texts, groups, strict=True):
+            for part in trigram_steps(text):
+                grams.append(part)
+                owners.append(group)
+                size += len(part)
+                if size >= STEP_CHARS:
+                    out += self.bundles(grams, owners, n)
+                    grams, owners, size = [], [], 0
+        return out + self.bundles(grams, owners, n)
 
 
 @lru_cache(maxsize=1)
@@ -119,9 +159,7 @@ def train_prototypes(
             texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in _steps(texts):
                 names = sorted(set(langs[a:b]))
-                part = _encoder().bundles(
-                    [trigrams(t) for t in texts[a:b]], [names.index(x) for x in langs[a:b]], len(names)
-                )
+                part = _encoder().texts(texts[a:b], [names.index(x) for x in langs[a:b]], len(names))
                 for name, vector in zip(names, part, strict=True):
                     sums[name] = sums.get(name, 0) + vector.astype(np.float64)
         n = DIMENSIONS
@@ -158,12 +196,11 @@ def identify_language(
     def predict(texts: pd.Series) -> pd.DataFrame:
         texts, names, scores = texts.tolist(), [], []
         for a, b in _steps(texts):
-            grams = [trigrams(t) for t in texts[a:b]]
-            x = _encoder().bundles(grams, list(range(b - a)), b - a)
+            x = _encoder().texts(texts[a:b], list(range(b - a)), b - a).astype(np.float32)
             norms = np.linalg.norm(x, axis=1)
             cosine = (x @ unit.T) / np.maximum(norms, 1e-12)[:, None] if langs else np.zeros((b - a, 0))
-            for i, g in enumerate(grams):
-                known = bool(langs) and len(g) > 0
+            for i in range(b - a):
+                known = bool(langs) and norms[i] > 0
                 best = int(cosine[i].argmax()) if known else 0
                 names.append(langs[best] if known else "und")
                 scores.append(float(np.clip(cosine[i, best], 0, 1)) if known else 0.0)

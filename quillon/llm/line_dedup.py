@@ -282,7 +282,11 @@ def repeated_lines(
     max_copies: int = MAX_COPIES,
     min_exact: int | None = None,
 ) -> DataFrame:
-    """Lines to remove, per document row that has any: ``row_id, row_hash, removed`` (line numbers from 0)."""
+    """Lines to remove, per document row that has any: ``row_id, row_hash, removed`` (line numbers from 0).
+
+    Rows of one id are one document in this: each keeps its first line of a class that begins with that id. Rows without an
+    id come last, and among themselves by a hash of the text. Null texts have no lines.
+    """
     if min_chars <= max_edits:
         raise ValueError("min_chars must exceed max_edits: every segment needs a letter")
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -293,22 +297,23 @@ def repeated_lines(
         taken = taken | ((size >= min_exact) & F.col("line").rlike(r"\S"))
     found = found.where(taken)
     marks = [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), F.col("line")).alias("h2")]
-    distinct = found.groupBy("line").agg(F.count("*").alias("n"), F.min("row_id").alias("first_id"))
+    unnamed = F.min(F.when(F.col("row_id").isNull(), F.col("row_hash")))
+    distinct = found.groupBy("line").agg(F.count("*").alias("n"), F.min("row_id").alias("first_id"), unnamed.alias("first_hash"))
     distinct = stash(with_sketch(distinct.withColumn("id", F.monotonically_increasing_id())), "lines")
     edited = distinct.where(F.length("line") >= min_chars).select("id", "line", "sketch")
     roots = connected_components(linked_lines(edited, max_edits))
-    known = distinct.select("id", "n", "first_id", *marks)
+    known = distinct.select("id", "n", "first_id", "first_hash", *marks)
     named = known.join(roots.withColumnRenamed("node", "id").hint("merge"), "id", "left")
     named = named.withColumn("root", F.coalesce("root", "id"))
     # only classes that are linked or frequent can pass max_copies, but each is counted in full
-    sizes = named.groupBy("root").agg(F.sum("n").alias("copies"), F.min("first_id").alias("class_first"))
-    heavy = named.join(sizes.where(F.col("copies") > max_copies), "root").select("h1", "h2", "root", "class_first")
+    sizes = named.groupBy("root").agg(F.sum("n").alias("copies"), F.min("first_id").alias("class_first"), F.min("first_hash").alias("class_hash"))
+    heavy = named.join(sizes.where(F.col("copies") > max_copies), "root").select("h1", "h2", "root", "class_first", "class_hash")
     heavy = stash(heavy, "repeated-lines")
     spots = found.select("row_id", "row_hash", "at", *marks)
     spots = spots.where(maybe_among(heavy.select("h1").distinct(), F.col("h1")))
-    hits = spots.join(heavy.hint("merge"), ["h1", "h2"]).select(
-        "row_id", "row_hash", "at", F.when(F.col("row_id").eqNullSafe(F.col("class_first")), F.col("root")).alias("own")
-    )
+    # a class without any id begins in the row of the least text hash
+    first = F.coalesce(F.col("row_id") == F.col("class_first"), F.col("class_first").isNull() & (F.col("row_hash") == F.col("class_hash")))
+    hits = spots.join(heavy.hint("merge"), ["h1", "h2"]).select("row_id", "row_hash", "at", F.when(first, F.col("root")).alias("own"))
     per_row = hits.groupBy("row_id", "row_hash").agg(F.array_sort(F.collect_set(F.struct("own", "at"))).alias("hits"))
 
     def spare(h: Column) -> Column:

@@ -364,6 +364,15 @@ def test_query_keeps_one_of_every_repeated_line(spark, tmp_path):
     assert {i: r["n_lines_removed"] for i, r in got.items()} == {1: 0, 2: 2, 3: 2}
 
 
+def test_lines_of_rows_without_an_id(spark):
+    line = "All rights to this page are reserved by the press."
+    rows_ = [(None, f"{c * 40}\n{line}") for c in "abcdef"] + [(7, f"{'g' * 40}\n{line}")]
+    with_one = line_dedup.dedup_lines(spark.createDataFrame(rows_, "doc_id long, text string")).collect()
+    assert [r["doc_id"] for r in with_one if line in r["text"]] == [7]
+    without = line_dedup.dedup_lines(spark.createDataFrame(rows_[:-1], "doc_id long, text string")).collect()
+    assert len(without) == 6 and sum(line in r["text"] for r in without) == 1
+
+
 # 5, 8 --------------------------------------------------------------------------------------------------------------
 
 
@@ -513,10 +522,10 @@ def contaminated_by_hand(docs, items):
     return out
 
 
-@pytest.mark.parametrize("block", [1 << 24, 60])
+@pytest.mark.parametrize("block", [1 << 24, 2])
 def test_contamination(spark, messy, block):
     bench = bench_rows(spark)
-    found = decontaminate.find_contamination(messy, bench, max_block_bytes=block)
+    found = decontaminate.find_contamination(messy, bench, max_patterns=block)
     got = decontaminate.contamination_digest(found).collect()
     want = contaminated_by_hand(held(messy), [(r["item_id"], r["text"]) for r in bench.collect()])
     assert Counter(map(tuple, got)) == want
@@ -535,14 +544,14 @@ def test_remove_contaminated(spark, messy):
     assert Counter(r["doc_id"] for r in left.collect()) == Counter(i for i, _ in held(messy) if i not in bad)
 
 
-@pytest.mark.parametrize("block", [1 << 24, 60])
+@pytest.mark.parametrize("block", [1 << 24, 2])
 def test_rows_are_removed_by_their_text(spark, block):
     item = "seven small ships sailed past the old stone pier at dawn with grain"
     other = "a second item of the benchmark that only serves to make another block of it here"
     bench = spark.createDataFrame([(1, item), (2, other)], "item_id long, text string")
     rows_ = [(5, item), (5, "clean words"), (None, item), (None, "clean too"), (None, None)]
     df = spark.createDataFrame(rows_, "doc_id long, text string")
-    left = decontaminate.remove_contaminated(df, bench, max_block_bytes=block).collect()
+    left = decontaminate.remove_contaminated(df, bench, max_patterns=block).collect()
     assert Counter(map(tuple, left)) == Counter([rows_[1], rows_[3], rows_[4]])
 
 

@@ -1,6 +1,7 @@
 """Models: held-out accuracy and odd rows; empty tables for all; the pipeline against its rules."""
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -8,6 +9,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillon.llm import decontaminate, language_id, line_dedup, packing, quality, sharding, simhash, substring_dedup, token_counts, toxicity
+from quillon.llm.tokenize import default_path, load
+from test_contracts import contaminated_by_hand, edits
 
 BIG = "/root/testdata/sf0.01"
 
@@ -149,6 +152,20 @@ def test_bundles_are_sums_of_bound_rotated_letters():
     assert np.array_equal(vector, want) and len(grams) == 4
 
 
+def test_long_texts_are_bundled_in_steps(monkeypatch):
+    """A text of many steps and many distinct trigrams gives the same bundle as all its trigrams together."""
+    rng = np.random.default_rng(8)
+    text = "".join(chr(c) for c in rng.integers(0x4E00, 0x4E40, 5_000)) + " short words 12 after it"
+    e = language_id.Encoder(64)
+    want = e.bundles([language_id.trigrams(text)], [0], 1)
+    monkeypatch.setattr(language_id, "STEP_CHARS", 700)
+    monkeypatch.setattr(language_id, "CODE_STEP", 50)
+    monkeypatch.setattr(language_id, "MEMO_VECTORS", 300)
+    small = language_id.Encoder(64)
+    assert np.array_equal(small.texts([None, text, ""], [0, 1, 1], 2), np.vstack([np.zeros((1, 64)), want]))
+    assert len(small.vectors) <= 1024
+
+
 def test_empty_tables(spark, empty):
     labels = spark.createDataFrame([], "doc_id long, toxic int, quality int")
     bench = spark.createDataFrame([], "item_id long, text string")
@@ -214,6 +231,60 @@ def test_run(spark, sf, stages):
     assert tokens(corpus_pipeline.run(spark, sf)) == tokens(stages[-1][2])
 
 
+def _plain_line_classes(lines):
+    """Class of each distinct line by comparing all pairs of lines of 32 characters and more."""
+    up = {x: x for x in lines}
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    long = sorted((x for x in lines if len(x) >= line_dedup.MIN_CHARS), key=len)
+    bags = [Counter(x) for x in long]
+    for j, b in enumerate(long):
+        for i in range(j - 1, -1, -1):
+            if len(b) - len(long[i]) > 2:
+                break
+            if sum(((bags[i] - bags[j]) + (bags[j] - bags[i])).values()) <= 4 and edits(long[i], b) <= 2:
+                up[find(b)] = find(long[i])
+    return {x: find(x) for x in lines}
+
+
+def test_pipeline_against_a_plain_version(spark, sf, stages):
+    """Lines, near copies and benchmark passages by comparing everything with everything; what the toxicity models reject is
+    taken from their scores, which cannot be had plainly."""
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    bad = {r["doc_id"] for r in toxicity.score_toxicity(docs, labels).where("score >= 0.5").collect()}
+    left = {r["doc_id"]: r["text"] for r in docs.orderBy("doc_id").collect() if r["doc_id"] not in bad}
+    seen = [(i, n, x) for i, t in sorted(left.items()) for n, x in enumerate((t or "").split("\n")) if x and not x.isspace()]
+    classes = _plain_line_classes({x for _, _, x in seen})
+    first = {}
+    for i, n, x in seen:
+        first.setdefault(classes[x], (i, n))
+    gone = {(i, n) for i, n, x in seen if first[classes[x]] != (i, n)}
+    left = {i: None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if (i, n) not in gone) for i, t in left.items()}
+    by = {name: after for name, _, after in stages}
+    assert {r["doc_id"]: r["text"] for r in by["line_dedup"].collect()} == left
+    sets, group = {i: simhash.shingles(t) for i, t in left.items()}, {i: i for i in left}
+    for j in sorted(left):
+        near = {group[i] for i in left if i < j and 10 * len(sets[i] & sets[j]) >= 8 * len(sets[i] | sets[j])} | {group[j]}
+        group = {i: min(near) if g in near else g for i, g in group.items()}
+    left = {i: t for i, t in left.items() if group[i] == i}
+    assert {r["doc_id"] for r in by["simhash"].collect()} == set(left)
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    clean = {row[0] for row in contaminated_by_hand(list(left.items()), items) if not row[-1]}
+    left = {i: t for i, t in left.items() if i in clean}
+    assert {r["doc_id"] for r in by["decontamination"].collect()} == set(left)
+    tok = load(default_path()).library
+    want = {i: len(tok.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in left.items()}
+    got = Counter()
+    for r in by["packing"].collect():
+        got[r["doc_id"]] += r["length"]
+    assert got == want
+
+
 def test_near_copies_with_repeated_and_null_ids(spark, sf):
     one, two, three = (" ".join(f"{w}{i}" for i in range(40)) for w in ("lake", "hill", "wood"))
     rows = [(1, one), (1, two), (1, two), (2, two), (3, one), (None, one), (None, three), (None, three), (None, None), (None, None)]
