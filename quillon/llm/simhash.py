@@ -46,7 +46,7 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: Generator polynomial of the Golay code (fixed value): x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
 #: Rows that one step of the linking reads at least.
-BLOCK_ROWS = 500_000
+BLOCK_ROWS = 200_000
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -189,16 +189,7 @@ def _name(words: np.ndarray) -> tuple[int, ...]:
     return tuple(words.tolist())
 
 
-def _distinct(prints: np.ndarray) -> np.ndarray:
-    if prints.shape[1] == 1:
-        return np.unique(prints[:, 0])[:, None]
-    rows = prints[np.lexsort(prints.T)]
-    new = np.ones(len(rows), bool)
-    new[1:] = (rows[1:] != rows[:-1]).any(axis=1)
-    return rows[new]
-
-
-def _link_sorted(groups: np.ndarray, probing: np.ndarray, prints: np.ndarray, distance: int, within: Callable) -> Iterator[tuple]:
+def _link_sorted(groups: np.ndarray, probing: np.ndarray, prints: np.ndarray, distance: int) -> Iterator[tuple]:
     """Links within equal groups; rows sorted by group, those that only probe last, then by fingerprint."""
     starts = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
     sizes = np.diff(np.concatenate([starts, [len(groups)]]))
@@ -207,19 +198,19 @@ def _link_sorted(groups: np.ndarray, probing: np.ndarray, prints: np.ndarray, di
     for i in two[_differ(prints[two], prints[two + 1]) <= distance]:
         yield _name(prints[i]), _name(prints[i + 1])
     for i, n in zip(*(x[held & (sizes > 2)] for x in (starts, sizes)), strict=True):
-        yield from within(_distinct(prints[i : i + n]), distance)
+        yield from link_group(np.unique(prints[i : i + n], axis=0) if prints.shape[1] > 1 else np.unique(prints[i : i + n, 0])[:, None], distance)
 
 
-def nearest_links(prints: np.ndarray, distance: int) -> list[tuple]:
-    """The shortest links that connect ``prints`` (distinct rows of words) within ``distance`` bits: a spanning forest of
-    least total length, so that every fingerprint is linked with its nearest."""
+def nearest_links(prints: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """The shortest links (of rows) that connect ``prints`` within ``distance`` bits: a spanning forest of least total
+    length, so that every fingerprint is linked with its nearest."""
     links, rest = [], np.arange(1, len(prints))
     gap, by = _differ(prints[1:], prints[0]), np.zeros(len(rest), np.int64)
     while len(rest):
         k = int(np.argmin(gap))
         at = int(rest[k])
         if gap[k] <= distance:
-            links.append((_name(prints[by[k]]), _name(prints[at])))
+            links.append((int(by[k]), at))
         rest, gap, by = (np.delete(x, k) for x in (rest, gap, by))
         own = _differ(prints[rest], prints[at])
         closer = own < gap
@@ -227,44 +218,28 @@ def nearest_links(prints: np.ndarray, distance: int) -> list[tuple]:
     return links
 
 
-def _link_rows(dealt: DataFrame, unpack: Callable, distance: int, schema: str, within: Callable = link_group) -> DataFrame:
-    """Links of the sorted rows of ``dealt``; ``unpack`` gives the group, probe mark and fingerprint words of some rows, and
-    ``within`` links a group. With ``link_group`` those that say nothing new are left out, otherwise repeated ones."""
-
-    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, told = _Forest(), set()
-        names = [x.split()[0] for x in schema.split(", ")]
-
-        def says_more(a: tuple, b: tuple) -> bool:
-            if within is link_group:
-                return forest.join(a, b)
-            if len(told) > forest.limit:
-                told.clear()
-            pair = (min(a, b), max(a, b))
-            return not (pair in told or told.add(pair))
-
-        def links(groups: np.ndarray, probing: np.ndarray, prints: np.ndarray) -> pa.RecordBatch:
-            new = [(*a, *b) for a, b in _link_sorted(groups, probing, prints, distance, within) if a != b and says_more(a, b)]
-            pairs = np.array(new, np.uint64).reshape(-1, len(names))
-            return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in np.ascontiguousarray(pairs.T)], names=names)
-
-        kept: list[tuple[np.ndarray, ...]] = []
-        rows = 0
-        for batch in batches:
-            kept.append(unpack(*(c.to_numpy().view(np.uint64) for c in batch.columns)))
-            rows += batch.num_rows
-            if rows >= BLOCK_ROWS:
-                held = [np.concatenate(x) for x in zip(*kept, strict=True)]
-                cut = int(np.searchsorted(held[0], held[0][-1]))  # the last group may go on
-                if cut:
-                    yield links(*(x[:cut] for x in held))
-                kept, rows = [tuple(x[cut:] for x in held)], len(held[0]) - cut if cut else 0
-        if kept:
+def _whole_groups(batches: Iterator[pa.RecordBatch], unpack: Callable) -> Iterator[list[np.ndarray]]:
+    """Rows of sorted batches as arrays (the group first), ``BLOCK_ROWS`` or more at a time, each group whole."""
+    kept: list[tuple[np.ndarray, ...]] = []
+    rows = 0
+    for batch in batches:
+        kept.append(unpack(*(c.to_numpy().view(np.uint64) for c in batch.columns)))
+        rows += batch.num_rows
+        if rows >= BLOCK_ROWS:
             held = [np.concatenate(x) for x in zip(*kept, strict=True)]
-            if len(held[0]):
-                yield links(*held)
+            cut = int(np.searchsorted(held[0], held[0][-1]))  # the last group may go on
+            if cut:
+                yield [x[:cut] for x in held]
+            kept, rows = [tuple(x[cut:] for x in held)], len(held[0]) - cut if cut else 0
+    if kept:
+        held = [np.concatenate(x) for x in zip(*kept, strict=True)]
+        if len(held[0]):
+            yield held
+
 
-    return map_arrow(dealt, link, schema)
+def _link_batch(links: list[tuple], names: list[str]) -> pa.RecordBatch:
+    pairs = np.array(links, np.uint64).reshape(-1, len(names))
+    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in np.ascontiguousarray(pairs.T)], names=names)
 
 
 def find_links(prints: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
@@ -283,7 +258,13 @@ def find_links(prints: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
 
     keys = map_arrow(prints.select("fp"), emit, "key long, fp long")
     dealt = keys.repartition(F.shiftright("key", 1)).sortWithinPartitions("key", "fp")
-    return _link_rows(dealt, lambda key, fp: (key >> np.uint64(1), key & np.uint64(1), fp[:, None]), distance, "a long, b long")
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = _Forest()
+        for held in _whole_groups(batches, lambda key, fp: (key >> np.uint64(1), key & np.uint64(1), fp[:, None])):
+            yield _link_batch([(*a, *b) for a, b in _link_sorted(*held, distance) if forest.join(a, b)], ["a", "b"])
+
+    return map_arrow(dealt, link, "a long, b long")
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -351,46 +332,74 @@ def near_print(text: str | None, shingle: int = NEAR_SHINGLE, seed: int = SEED)
     return first.tobytes() + second.tobytes()
 
 
-def near_key_rows(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys of some word fingerprints (rows of two words): key, whether it only probes, and the row it belongs to.
+#: Segments of a word fingerprint as (word, first bit), 21 bits each.
+NEAR_SEGMENTS = tuple((w, at) for w in (0, 1) for at in (0, 21, 42))
+
+
+def near_codes(words: np.ndarray) -> np.ndarray:
+    """Codeword indices near each segment of some word fingerprints (rows of two words): (rows, 6 segments, 6 codes), own first."""
+    mask = np.uint64((1 << 21) - 1)
+    return np.stack([fuzzy_keys((words[:, w] >> np.uint64(at) & mask).astype(np.int64), 21) for w, at in NEAR_SEGMENTS], axis=1)
+
 
-    Six segments of 21 bits; for each two of them the fingerprint's own codewords are its index key, and the own codeword
-    of one with a neighbouring codeword of the other its probes.
+def near_pairs(blocks: np.ndarray, prints: np.ndarray, words: np.ndarray, distance: int) -> Iterator[tuple[int, int]]:
+    """Candidates (rows) within blocks: texts of a block have the own codeword of one segment in common, and meet if the own
+    codeword of another segment of one is near the other's; each is joined to its nearest of those it meets.
+
+    Texts that have several codewords in common meet in the block of the first of them only.
     """
-    fuzzy = [
-        fuzzy_keys((words[:, w] >> np.uint64(at) & np.uint64((1 << 21) - 1)).astype(np.int64), 21) for w in (0, 1) for at in (0, 21, 42)
-    ]
-    keys, probing, owners = [], [], []
-    for kind, (i, j) in enumerate(itertools.combinations(fuzzy, 2)):
-        value = np.column_stack([i << 12 | j[:, :1], i[:, :1] << 12 | j[:, 1:]])
-        there = np.column_stack([i >= 0, j[:, 1:] >= 0])
-        row, col = np.nonzero(there)
-        keys.append(np.int64(kind) << 24 | value[row, col])
-        probing.append((col > 0).astype(np.int64))
-        owners.append(row)
-    return np.concatenate(keys), np.concatenate(probing), np.concatenate(owners)
+    codes = near_codes(words)
+    own, segment = codes[:, :, 0], (blocks >> np.uint64(12)).astype(np.int64)
+    for j in range(len(NEAR_SEGMENTS)):
+        row, col = np.nonzero((codes[:, j] >= 0) & (segment != j)[:, None])
+        meets = blocks[row].astype(np.int64) << 13 | codes[row, j, col] << 1 | (col > 0)
+        order = np.argsort(meets, kind="stable")
+        row, meets = row[order], meets[order]
+        starts = np.flatnonzero(np.concatenate([[True], meets[1:] >> 1 != meets[:-1] >> 1])) if len(meets) else np.zeros(0, np.int64)
+        sizes = np.diff(np.concatenate([starts, [len(meets)]]))
+        held = (meets[starts] & 1 == 0) & (sizes > 1)
+        two = starts[held & (sizes == 2)]
+        found = [np.column_stack([row[two], row[two + 1]])[_differ(prints[row[two]], prints[row[two + 1]]) <= distance]]
+        for at, n in zip(starts[held & (sizes > 2)], sizes[held & (sizes > 2)], strict=True):
+            members = row[at : at + n]
+            _, first = np.unique(prints[members], axis=0, return_index=True)
+            members = members[first]
+            links = nearest_links(prints[members], distance)
+            if links:
+                found.append(members[np.array(links)])
+        pairs = np.concatenate(found)
+        common = own[pairs[:, 0]] == own[pairs[:, 1]]
+        yield from pairs[common.argmax(axis=1) == segment[pairs[:, 0]]].tolist()
 
 
 def near_links(prints: DataFrame, distance: int = NEAR_DISTANCE) -> DataFrame:
     """Candidates among the distinct ``print`` values: ``a0, a1, b0, b1``, the two words of either shingle fingerprint (96 bits)."""
+    low = np.uint64(0xFFFFFFFF)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             both = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64).reshape(-1, 4)
-            for at in range(0, len(both), 2000):
-                part = both[at : at + 2000]
-                keys, probing, owners = near_key_rows(part[:, 2:])
-                low = part[owners, 1] & np.uint64(0xFFFFFFFF)
-                packed = (keys << 1 | probing).astype(np.uint64) << np.uint64(32) | low
-                yield pa.RecordBatch.from_arrays([pa.array(packed.view(np.int64)), pa.array(part[owners, 0].view(np.int64))], names=["key", "rest"])
-
-    def unpack(key: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, ...]:
-        low = key & np.uint64(0xFFFFFFFF)
-        return key >> np.uint64(33), key >> np.uint64(32) & np.uint64(1), np.column_stack([rest, low])
-
-    keys = map_arrow(prints.select("print"), emit, "key long, rest long")
-    dealt = keys.repartition(F.shiftright("key", 33)).sortWithinPartitions("key", "rest")
-    return _link_rows(dealt, unpack, distance, "a0 long, a1 long, b0 long, b1 long", nearest_links)
+            for at in range(0, len(both), 5000):
+                part = both[at : at + 5000]
+                own = near_codes(part[:, 2:])[:, :, 0]
+                blocks = np.arange(len(NEAR_SEGMENTS)) << 12 | own
+                keys = blocks.astype(np.uint64) << np.uint64(32) | (part[:, 1] & low)[:, None]
+                rows = np.repeat(part, len(NEAR_SEGMENTS), axis=0)
+                columns = [keys.ravel(), rows[:, 0], rows[:, 2], rows[:, 3]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c).view(np.int64)) for c in columns], names=["key", "rest", "c0", "c1"])
+
+    def unpack(key: np.ndarray, rest: np.ndarray, c0: np.ndarray, c1: np.ndarray) -> tuple[np.ndarray, ...]:
+        return key >> np.uint64(32), np.column_stack([rest, key & low]), np.column_stack([c0, c1])
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["a0", "a1", "b0", "b1"]
+        for blocks, own, words in _whole_groups(batches, unpack):
+            found = {(*min(x, y), *max(x, y)) for a, b in near_pairs(blocks, own, words, distance) if (x := _name(own[a])) != (y := _name(own[b]))}
+            yield _link_batch(sorted(found), names)
+
+    keys = map_arrow(prints.select("print"), emit, "key long, rest long, c0 long, c1 long")
+    dealt = keys.repartition(F.shiftright("key", 32)).sortWithinPartitions("key", "rest")
+    return map_arrow(dealt, link, "a0 long, a1 long, b0 long, b1 long")
 
 
 def shingles(text: str | None, size: int = NEAR_SHINGLE) -> set[bytes]:
