@@ -83,3 +83,34 @@ SELECT user_id, min(ts) AS session_start, max(ts) AS session_last, count(*) AS n
 """)
 def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.sessions(table(spark, sf_dir, "events"), "ts", "user_id", "30 minutes")
+
+
+@query(f"WITH {_LINES}, m AS (SELECT conv_id, turn, line_no, text FROM k) SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY line_no) - 1 AS place, text, line_no * 40 AS y0, line_no * 40 + 20 AS base FROM m")
+def alto_to_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns written as ALTO, turned into PAGE and read back."""
+    keys = ["conv_id", "turn"]
+    pages = L.alto_to_page(L.build_alto(_lines(spark, sf_dir), keys, "line_no", "text"), keys, "content")
+    rows = L.page_lines(pages, keys, "content")
+    return rows.select(*keys, F.col("line_no").cast("long").alias("place"), "text", F.col("bbox.y0").cast("long").alias("y0"), F.get("baseline", 0)["y"].cast("long").alias("base"))
+
+
+@query("""SELECT p_partkey, p_name AS text, 10 + p_size AS right_edge, least(p_size - 1, CAST(round_even(p_size * 0.8, 0) AS INT)) AS base FROM part""")
+def line_strips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line images of made-up sizes as PAGE documents, read back."""
+    page = L.strip_page((F.col("p_size") + 10).cast("int"), F.col("p_size").cast("int"), F.col("p_name"), F.lit("a & b.png"))
+    rows = L.page_lines(table(spark, sf_dir, "part").select("p_partkey", page.alias("content")), ["p_partkey"], "content")
+    return rows.select("p_partkey", "text", F.col("bbox.x1").alias("right_edge"), F.get("baseline", 0)["y"].cast("int").alias("base"))
+
+
+@query(r"""WITH s AS (SELECT user_id, event_id, CASE event_id % 5 WHEN 0 THEN 'table_header' WHEN 1 THEN 'table_row' WHEN 2 THEN 'table_row' WHEN 3 THEN 'margin_left' ELSE 'body' END AS p FROM events),
+i AS (SELECT *, p LIKE 'table%' AS t, coalesce(lag(p LIKE 'table%') OVER w, false) AS b, coalesce(lead(p LIKE 'table%') OVER w, false) AS a FROM s WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+x AS (SELECT user_id, event_id, CASE WHEN t THEN CASE WHEN NOT b THEN '<table>' ELSE '' END || CASE WHEN p = 'table_header' THEN '<row role="label">' ELSE '<row>' END || '<cell>' || event_id || '</cell><cell>&lt;x&gt;</cell></row>' || CASE WHEN NOT a THEN '</table>' ELSE '' END
+  ELSE CASE WHEN p = 'body' THEN '<p rend="body">' ELSE '<add place="margin_left">' END || '<lb n="' || (event_id % 9) || '"/>' || event_id || ' | &lt;x&gt;' || CASE WHEN p = 'body' THEN '</p>' ELSE '</add>' END END AS h FROM i)
+SELECT user_id, md5('<TEI xmlns="http://www.tei-c.org/ns/1.0"><text><body>' || array_to_string(list(h ORDER BY event_id), '') || '</body></text></TEI>') AS tei FROM x GROUP BY user_id""")
+def tei_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user's events as TEI: runs of table rows as tables, lines numbered from a range."""
+    k = F.col("event_id") % 5
+    position = F.when(k == 0, "table_header").when(k <= 2, "table_row").when(k == 3, "margin_left").otherwise("body")
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", position.alias("p"), F.concat(F.col("event_id").cast("string"), F.lit(" | <x>")).alias("t"), F.concat((F.col("event_id") % 9).cast("string"), F.lit("-12")).alias("r"))
+    tei = L.render_tei_tables(rows, ["user_id"], "event_id", "p", "t", "r")
+    return tei.select("user_id", F.md5("tei").alias("tei"))

@@ -115,6 +115,50 @@ def build_page(lines: DataFrame, keys: list[str], order: str, text: str, *, widt
     return joined.select(*keys, F.concat(head, height, F.lit('"><TextRegion id="r0">'), body, F.lit("</TextRegion></Page></PcGts>")).alias("content"))
 
 
+def points_text(points: Column) -> Column:
+    """``"x,y x,y"`` of an array of points, whole numbers."""
+    return F.array_join(F.transform(points, lambda p: F.concat(F.bround(p["x"]).cast("long").cast("string"), F.lit(","), F.bround(p["y"]).cast("long").cast("string"))), " ")
+
+
+def build_page_lines(lines: DataFrame, keys: list[str], order: str, text: str, coords: str, baseline: str, *, image: str = "page.png", width: int | None = None, height: int | None = None) -> DataFrame:
+    """``keys, content``: a PAGE document of recognised lines with their polygons and baselines (``"x,y x,y"`` texts; null ones are
+    left out). Without a size the page reaches to its lines' largest coordinates."""
+    drawn = lambda tag, c: F.when(F.col(c).isNotNull(), F.format_string(f'<{tag} points="%s"/>', escape(F.col(c)))).otherwise(F.lit(""))
+    said = F.when(F.col(text).isNotNull(), F.format_string("<TextEquiv><Unicode>%s</Unicode></TextEquiv>", escape(F.col(text)))).otherwise(F.lit(""))
+    line = F.concat(F.format_string('<TextLine id="l%s">', F.col(order).cast("string")), drawn("Coords", coords), drawn("Baseline", baseline), said, F.lit("</TextLine>"))
+    far = lambda k: F.max(F.array_max(F.transform(parse_points(F.col(coords)), lambda p: p[k]))).cast("int")
+    joined = lines.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("x")))).alias("ls"), far("x").alias("w"), far("y").alias("h"))
+    size = lambda c, given: F.coalesce(F.lit(given) if given is not None else F.col(c), F.lit(0)).cast("string")
+    head = F.format_string('<PcGts xmlns="http://schema.primaresearch.org/PAGE/gts/pagecontent/2019-07-15"><Page imageFilename="%s" imageWidth="%s" imageHeight="%s"><TextRegion id="r0">', F.lit(image), size("w", width), size("h", height))
+    return joined.select(*keys, F.concat(head, F.array_join(F.transform("ls", lambda x: x["x"]), ""), F.lit("</TextRegion></Page></PcGts>")).alias("content"))
+
+
+def alto_to_page(docs: DataFrame, keys: list[str], content: str) -> DataFrame:
+    """``keys, content``: ALTO documents as PAGE documents: boxes as polygons, the middle of the box as baseline."""
+    lines = alto_lines(docs, keys, content)
+    b, at = F.col("bbox"), lambda x, y: F.concat(x.cast("string"), F.lit(","), y.cast("string"))
+    middle = F.floor((b["y0"] + b["y1"]) / 2)
+    box = F.concat_ws(" ", at(b["x0"], b["y0"]), at(b["x1"], b["y0"]), at(b["x1"], b["y1"]), at(b["x0"], b["y1"]))
+    rows = lines.select(*keys, (F.col("block_no") * 100_000 + F.col("line_no")).alias("o"), "text", box.alias("coords"), F.concat_ws(" ", at(b["x0"], middle), at(b["x1"], middle)).alias("base"))
+    return build_page_lines(rows, keys, "o", "text", "coords", "base")
+
+
+def strip_page(width: Column, height: Column, text: Column, image: Column) -> Column:
+    """A PAGE document of one line image: the whole strip, its baseline at 80 percent of its height and within it."""
+    base = F.greatest(F.lit(0), F.least(height - 1, F.bround(height * 0.8).cast("int")))
+    w, h, y = width.cast("string"), height.cast("string"), base.cast("string")
+    return F.format_string(
+        '<PcGts xmlns="http://schema.primaresearch.org/PAGE/gts/pagecontent/2019-07-15"><Page imageFilename="%s" imageWidth="%s" imageHeight="%s"><TextRegion id="r0"><TextLine id="l0"><Coords points="0,0 %s,0 %s,%s 0,%s"/><Baseline points="0,%s %s,%s"/><TextEquiv><Unicode>%s</Unicode></TextEquiv></TextLine></TextRegion></Page></PcGts>',
+        escape(image), w, h, w, w, h, h, y, w, y, escape(text),
+    )
+
+
+def xsd_gate(docs: DataFrame, keys: list[str], content: str, xsd_path: str) -> DataFrame:
+    """``keys, valid`` of documents against a schema file that every executor can read (``SparkContext.addFile``)."""
+    doc = F.from_xml(F.col(content), "_corrupt_record string, _x string", {"mode": "PERMISSIVE", "rowValidationXSDPath": xsd_path})
+    return docs.select(*keys, doc["_corrupt_record"].isNull().alias("valid"))
+
+
 def build_alto(lines: DataFrame, keys: list[str], order: str, text: str, *, width: int = 1000, pitch: int = 40) -> DataFrame:
     """``keys, content``: an ALTO document with one string per word."""
     words = F.filter(F.split(F.col(text), r"\s+"), lambda w: w != "")
@@ -139,6 +183,26 @@ def render_tei(segments: DataFrame, keys: list[str], order: str, position: str,
     return joined.select(*keys, F.concat(F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0"><text><body>'), whole, F.lit("</body></text></TEI>")).alias("tei"))
 
 
+def render_tei_tables(segments: DataFrame, keys: list[str], order: str, position: str, text: str, line_range: str | None = None) -> DataFrame:
+    """``keys, tei``: like :func:`render_tei`, with runs of table rows as tables (header rows marked) and line breaks numbered from
+    the first line of a segment's range; blank lines keep the count."""
+    first = F.coalesce(F.regexp_extract(F.col(line_range), r"\d+", 0).try_cast("int"), F.lit(1)) if line_range else F.lit(1)
+    numbered = F.transform(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x, i: F.when(F.trim(x) != "", F.concat(F.lit('<lb n="'), (i + first).cast("string"), F.lit('"/>'), escape(x))).otherwise(F.lit("")))
+    body = F.array_join(numbered, "")
+    cells = F.array_join(F.transform(F.split(F.trim(F.coalesce(F.col(text), F.lit(""))), r"\|"), lambda c: F.concat(F.lit("<cell>"), escape(F.trim(c)), F.lit("</cell>"))), "")
+    inside = F.col(position).isin("table_row", "table_header")
+    row = F.concat(F.when(F.col(position) == "table_header", '<row role="label">').otherwise("<row>"), cells, F.lit("</row>"))
+    plain = F.when(F.col(position).startswith("margin"), F.concat(F.lit('<add place="'), escape(F.col(position)), F.lit('">'), body, F.lit("</add>"))).otherwise(
+        F.concat(F.lit('<p rend="'), escape(F.coalesce(F.col(position), F.lit(""))), F.lit('">'), body, F.lit("</p>"))
+    )
+    part = F.struct(F.col(order).alias("o"), F.coalesce(inside, F.lit(False)).alias("t"), F.when(inside, row).otherwise(plain).alias("x"))
+    joined = segments.groupBy(*keys).agg(F.array_sort(F.collect_list(part)).alias("s"))
+    table = lambda i: F.coalesce(F.get("s", i)["t"], F.lit(False))
+    edge = lambda s, i, side, tag: F.when(s["t"] & ~table(i + side), tag).otherwise("")
+    whole = F.array_join(F.transform("s", lambda s, i: F.concat(edge(s, i, -1, "<table>"), s["x"], edge(s, i, 1, "</table>"))), "")
+    return joined.select(*keys, F.concat(F.lit('<TEI xmlns="http://www.tei-c.org/ns/1.0"><text><body>'), whole, F.lit("</body></text></TEI>")).alias("tei"))
+
+
 def _tei_text(raw: str | None, include_header: bool) -> str | None:
     try:
         root = ET.fromstring(raw or "")
