@@ -48,7 +48,7 @@ def test_gate(spark):
     schema = "name string, held_out_ready boolean, held_out_cer double, held_out_wer double, val_accuracy double, val_word_accuracy double, per_corpus map<string,double>"
     rows = [("a", True, 0.1, 0.4, None, None, None), ("b", False, 0.1, 0.1, None, None, None), ("c", True, None, None, 0.8, 0.9, None), ("d", True, None, None, None, None, {"x": 0.1, "y": 0.12})]
     got = {r["name"]: (r["reason"], r["allowed"]) for r in E.correct_gate(spark.createDataFrame(rows, schema)).collect()}
-    assert got == {"a": ("ok", True), "b": ("not held out", False), "c": ("character errors", False), "d": ("ok", True)}
+    assert got == {"a": ("ok", True), "b": ("not held out", False), "c": ("character errors", False), "d": ("no error rate", False)}  # a missing word error rate does not pass
 
 
 def test_splits(spark):
