@@ -5,20 +5,45 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Our aliases of positions, after lower case and underscores.
-POSITION_ALIASES = {"main": "body", "text": "body", "main_text": "body", "margin": "margin_left", "left": "margin_left", "right": "margin_right", "top": "header", "title": "header", "bottom": "footer", "footnote": "footer", "table": "table_row"}
-POSITIONS = ["body", "margin_left", "margin_right", "header", "footer", "table_row", "table_header"]
+#: Positions of the protocol, and other names for them (fixed values).
+POSITIONS = ["body", "header", "footer", "margin_left", "margin_right", "margin_top", "margin_bottom", "interlinear", "footnote", "table_row", "table_header"]
+POSITION_ALIASES = {
+    "main": "body", "main_body": "body", "center": "body", "full_page": "body", "full_text": "body", "text": "body",
+    "left_margin": "margin_left", "right_margin": "margin_right", "top_margin": "margin_top", "bottom_margin": "margin_bottom",
+    "top": "margin_top", "bottom": "margin_bottom", "left": "margin_left", "right": "margin_right",
+    "top_center": "header", "top_centered": "header",
+    "marginalia_left": "margin_left", "marginalia_right": "margin_right", "marginalia_top": "margin_top", "marginalia_bottom": "margin_bottom",
+    "marginalia": "margin_left", "margin": "margin_left",
+    "marginalia_bottom_right": "margin_bottom", "marginalia_bottom_left": "margin_bottom", "marginalia_top_right": "margin_top", "marginalia_top_left": "margin_top",
+    "margin_bottom_right": "margin_bottom", "margin_bottom_left": "margin_bottom", "margin_top_right": "margin_top", "margin_top_left": "margin_top",
+    "top_right_corner": "margin_top", "top_left_corner": "margin_top", "bottom_right_corner": "margin_bottom", "bottom_left_corner": "margin_bottom",
+    "top_right": "margin_top", "top_left": "margin_top", "bottom_right": "margin_bottom", "bottom_left": "margin_bottom",
+    "title": "header", "subtitle": "header", "attestation_block": "footer", "attestation": "footer",
+    "heading": "header", "address": "header", "date_line": "header", "salutation": "body", "greeting": "body", "closing": "body", "valediction": "body", "signature": "body",
+    "headline": "header", "subheadline": "header", "sub_headline": "header", "byline": "body", "by_line": "body", "dateline": "header",
+    "caption": "footnote", "photo_caption": "footnote", "image_caption": "footnote", "pull_quote": "body", "pullquote": "body", "drop_cap": "body",
+    "column_header": "header", "section_header": "header", "page_number": "footer", "folio": "footer", "running_head": "header", "running_header": "header",
+    "colophon": "footer", "advertisement": "body", "classified": "body", "masthead": "header", "kicker": "header", "deck": "header", "attribution": "body",
+    "credit": "body", "source": "body", "subheading": "header", "sub_heading": "header", "standfirst": "header", "lede": "body", "lead": "body",
+    "paragraph": "body", "article": "body", "editorial": "body", "column": "body",
+    "table": "table_row", "insertion": "interlinear", "caret_insertion": "interlinear",
+}
+#: Words of a margin, and where each direction leads (fixed values; the first that is there counts).
+MARGIN_WORDS, MARGIN_DIRECTIONS = ["margin", "corner", "marginalia"], ["left", "right", "top", "bottom"]
 
 
 def position(raw: Column) -> Column:
-    """A known position: normalised, by alias, without a plural s, by margin words; else as it was normalised."""
-    key = F.regexp_replace(F.lower(F.trim(raw)), r"[\s-]+", "_")
-    single = F.regexp_replace(key, "s$", "")
-    known = lambda c: F.when(c.isin(POSITIONS), c)
+    """A known position: of the normalised name, by alias, without a plural s, by the words of a margin; else as it was."""
+    key = F.regexp_replace(F.replace(F.regexp_replace(F.lower(F.trim(raw)), r"\s+", "_"), F.lit("-"), F.lit("_")), "_{2,}", "_")
     alias = F.create_map(*[F.lit(x) for pair in POSITION_ALIASES.items() for x in pair])
-    found = lambda c: F.coalesce(known(c), F.element_at(alias, c))
-    margin = F.when(key.contains("margin"), F.when(key.contains("right"), "margin_right").otherwise("margin_left"))
-    return F.coalesce(found(key), found(single), margin, key)
+    named = lambda c: F.coalesce(F.element_at(alias, c), F.when(c.isin(POSITIONS), c))
+    single = F.when(key.endswith("s"), F.left(key, F.length(key) - 1))
+    parts = F.split(key, "_")
+    where = F.lit(None).cast("string")
+    for direction in reversed(MARGIN_DIRECTIONS):
+        where = F.when(F.array_contains(parts, direction), f"margin_{direction}").otherwise(where)
+    margin = F.when(F.arrays_overlap(parts, F.array(*map(F.lit, MARGIN_WORDS))), where)
+    return F.coalesce(named(key), named(single), margin, raw)
 
 
 def confidence_tier(value: Column) -> Column:

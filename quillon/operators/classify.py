@@ -138,6 +138,20 @@ def keyword_tags(docs: DataFrame, id_col: str, text_col: str, categories: dict[s
     )
 
 
+def keyword_hits(docs: DataFrame, id_col: str, text_col: str, categories: dict[str, dict[str, float]], most: int = 20) -> DataFrame:
+    """``id, place, keyword, category, weight, n``: the hits of a text, heaviest keywords first, then the most telling, then by name."""
+    text = F.coalesce(fold(F.col(text_col)), F.lit(""))
+    row = docs.select(id_col, text.alias("t"), tokens(F.col(text_col)).alias("w"))
+    hits = []
+    for category, keys in categories.items():
+        for key, weight in keys.items():
+            n = ((F.length("t") - F.length(F.replace("t", F.lit(key), F.lit("")))) / len(key)).cast("int") if " " in key else occurrences("w", key)
+            hits.append(F.struct(F.lit(-float(weight)).alias("h"), (n * -float(weight)).alias("x"), F.lit(key).alias("keyword"), F.lit(category).alias("category"), n.cast("long").alias("n")))
+    found = F.slice(F.array_sort(F.filter(F.array(*hits), lambda h: h["n"] > 0)), 1, most)
+    rows = row.select(id_col, F.posexplode(found).alias("place", "h"))
+    return rows.select(id_col, F.col("place").cast("long").alias("place"), "h.keyword", "h.category", (-F.col("h.h")).alias("weight"), "h.n")
+
+
 def title_label(title: Column, rules: list[tuple[str, list[str]]]) -> Column:
     """Label of the first rule of which a key is contained in the folded title, else null."""
     folded, out = fold(title), F.lit(None).cast("string")

@@ -218,3 +218,44 @@ def compare_models(metrics: DataFrame, base: str, candidate: str, gt: str) -> Da
     gap = F.col("candidate_cer") - F.col("base_cer")
     rates = [F.round(c, 3).alias(c) for c in ("base_cer", "candidate_cer", "base_wer", "candidate_wer")]
     return rows.select(gt, *rates, F.round(gap, 3).alias("delta_cer"), F.round(F.col("candidate_wer") - F.col("base_wer"), 3).alias("delta_wer"), verdict(gap).alias("verdict"))
+
+
+def score_run(hypotheses: DataFrame, truths: DataFrame, stem: str, text: str) -> DataFrame:
+    """Scored cases of a run: every hypothesis (``stem, text``) with the truth of its stem, else of the smallest stem that begins with
+    it or with which it begins; both texts in the scoring form. ``stem, how, n_chars, n_words, cer, wer, subs, adds, omits,
+    disposition``; hypotheses without a truth are left out."""
+    from quillon.functions.forms import scoring_form, strip_tokens
+    from quillon.operators.records import match_stems
+
+    form = lambda c: scoring_form(strip_tokens(F.coalesce(F.col(c), F.lit(""))))
+    named = match_stems(hypotheses.select(stem), truths.select(stem, F.col(stem).alias("_gt")), stem, "_gt")
+    met = hypotheses.select(stem, form(text).alias("guess")).join(named, stem).join(truths.select(F.col(stem).alias("_gt"), form(text).alias("truth")), "_gt")
+    words = F.size(F.filter(F.split("truth", " "), lambda w: w != ""))
+    rows = met.select(stem, "how", F.length("truth").cast("long").alias("n_chars"), words.cast("long").alias("n_words"), F.levenshtein("truth", "guess").alias("e"), word_errors("truth", "guess").alias("w"))
+    cer = F.when(F.col("n_chars") > 0, F.round(F.col("e") / F.col("n_chars") * 100, 4)).otherwise(F.lit(0.0))
+    rows = rows.select(stem, "how", "n_chars", "n_words", cer.alias("cer"), "w.wer", "w.subs", "w.adds", "w.omits")
+    return rows.withColumn("disposition", disposition(F.col("cer"), F.col("wer")))
+
+
+def evaluation(lines: DataFrame | None, baselines: tuple[DataFrame, DataFrame] | None, page: str, radius: float = 120.0) -> DataFrame:
+    """One row of a whole evaluation: character and word errors over recognised lines (``truth, guess``), recall, precision and
+    distance over baselines (reference and hypothesis); what was not given is null, with a warning."""
+    from quillon.operators.pages import baseline_report
+
+    warnings, parts = [], []
+    if lines is not None:
+        n = F.greatest(F.sum(F.length("truth")), F.lit(1))
+        rows = lines.withColumn("e", F.levenshtein("truth", "guess")).withColumn("w", word_errors("truth", "guess")["wer"] * F.size(F.split("truth", " ")) / 100)
+        parts.append(rows.agg(F.count("*").alias("n_lines"), F.round(F.sum("e") / n, 6).alias("cer"), F.round(F.sum("w") / F.greatest(F.sum(F.size(F.split("truth", " "))), F.lit(1)), 6).alias("wer")))
+    else:
+        warnings.append("no recognised lines")
+    if baselines is not None:
+        parts.append(baseline_report(compare_lines(*baselines, page, radius)))
+    else:
+        warnings.append("no baselines: only XML has coordinates")
+    if not parts:
+        raise ValueError("nothing to evaluate")
+    out = parts[0].withColumn("_one", F.lit(1))
+    for part in parts[1:]:
+        out = out.join(part.withColumn("_one", F.lit(1)), "_one")  # one row a side
+    return out.drop("_one").withColumn("warnings", F.array(*map(F.lit, warnings)).cast("array<string>"))

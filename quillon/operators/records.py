@@ -65,3 +65,58 @@ def phases(rows: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """One row per manifest that a row belongs to (subsets may overlap)."""
     names = F.filter(F.array(*[F.when(rule, name) for name, rule in rules.items()]), lambda x: x.isNotNull())
     return rows.withColumn("manifest", F.explode_outer(names)).where(F.col("manifest").isNotNull())
+
+
+def regions_with_text(regions: Column) -> Column:
+    """Regions (structs with an array ``TextLine`` of structs with ``TextEquiv.Unicode``) with their blank lines dropped, and
+    without those that have none left."""
+    full = lambda t: F.length(F.trim(F.coalesce(t["TextEquiv"]["Unicode"], F.lit("")))) > 0
+    kept = F.transform(regions, lambda r: r.withField("TextLine", F.filter(F.coalesce(r["TextLine"], F.array()), full)))
+    return F.filter(kept, lambda r: F.size(r["TextLine"]) > 0)
+
+
+def folder_stats(files: DataFrame, folder: str) -> DataFrame:
+    """Totals of :func:`keep_with_text` rows by folder: files, kept files, lines before and after, and the share dropped (0 without
+    lines)."""
+    rows = files.groupBy(folder).agg(F.count("*").alias("n_files"), F.count_if("kept").alias("n_kept"), F.sum("before").alias("before"), F.sum("after").alias("after"))
+    return rows.withColumn("drop_ratio", F.when(F.col("before") > 0, F.round(1 - F.col("after") / F.col("before"), 6)).otherwise(F.lit(0.0)))
+
+
+def combined(pages: DataFrame, doc: str, page: str, text: str, translation: str | None = None) -> DataFrame:
+    """``doc, n_pages, document`` with pages in order under their headers, and the twin ``translated`` of those that have a
+    translation."""
+    part = lambda c: F.concat(F.lit("== page "), F.col(page).cast("string"), F.lit(" ==\n"), F.col(c))
+    sides = [F.struct(F.col(page).alias("o"), part(c).alias("x")) for c in ([text, translation] if translation else [text])]
+    lists = [F.array_sort(F.collect_list(F.when(s["x"].isNotNull(), s))).alias(n) for s, n in zip(sides, ("d", "t"), strict=False)]
+    rows = pages.groupBy(doc).agg(F.count("*").alias("n_pages"), *lists)
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x["x"]), "\n\n")
+    twin = [joined("t").alias("translated")] if translation else []
+    return rows.select(doc, "n_pages", joined("d").alias("document"), *twin)
+
+
+def usable_pairs(pages: DataFrame, key: str, n_baselines: str, images: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pages that have a baseline and an image, and the largest number of lines on one of them (1 at least), as one row."""
+    rows = pages.where(F.col(n_baselines) >= 1).join(images.select(key).distinct(), key, "left_semi")
+    return rows, rows.agg(F.greatest(F.lit(1), F.coalesce(F.max(n_baselines), F.lit(1))).cast("long").alias("max_lines"))
+
+
+def merge_rates(registry: DataFrame, measured: DataFrame, name: str, corpus: str, rate: str) -> DataFrame:
+    """Registry rows (``name, per_corpus`` map) with newly measured rates put in; a corpus that could not be measured keeps its old
+    rate."""
+    fresh = measured.where(F.col(rate).isNotNull()).groupBy(name).agg(F.map_from_entries(F.collect_list(F.struct(corpus, rate))).alias("_fresh"))
+    none = F.create_map().cast("map<string,double>")
+    old, new = F.coalesce("per_corpus", none), F.coalesce("_fresh", none)
+    kept = F.map_filter(old, lambda k, v: ~F.map_contains_key(new, k))
+    return registry.join(fresh, name, "left").withColumn("per_corpus", F.map_concat(kept, new)).drop("_fresh")
+
+
+def corrected_lines(pairs: DataFrame, hypotheses: DataFrame, references: DataFrame, page: str) -> DataFrame:
+    """Lines of a page after correction: matched hypotheses (``pairs``: ``page, hyp_no, ref_no``) take the reference's points and keep
+    their number, others go, references without a match are added behind in their order. ``page, line_no, action, points``."""
+    h = hypotheses.select(page, F.col("line_no").alias("hyp_no")).join(pairs, [page, "hyp_no"], "left")
+    r = references.select(page, F.col("line_no").alias("ref_no"), "points")
+    both = h.join(r, [page, "ref_no"], "full_outer")
+    action = F.when(F.col("hyp_no").isNull(), "append").when(F.col("ref_no").isNull(), "delete").otherwise("update")
+    rows = both.select(page, action.alias("action"), "hyp_no", "ref_no", "points").where("action != 'delete'")
+    place = F.row_number().over(Window.partitionBy(page).orderBy(F.col("hyp_no").asc_nulls_last(), "ref_no")) - 1
+    return rows.select(page, place.alias("line_no"), "action", "points")

@@ -94,6 +94,18 @@ def keyword_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.keyword_tags(table(spark, sf_dir, "documents"), "doc_id", "text", KEYWORDS)
 
 
+_HITS = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS keyword, '{name}' AS category, {v}::DOUBLE AS weight, CAST({_count(k)} AS BIGINT) AS n FROM b" for name, keys in KEYWORDS.items() for k, v in keys.items())
+
+
+@query(f"""
+WITH b AS (SELECT doc_id, strip_accents(lower(coalesce(text, ''))) AS t, {TOK} AS w FROM documents), h AS ({_HITS}), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY -weight, -weight * n, keyword, category) - 1 AS place FROM h WHERE n > 0)
+SELECT doc_id, place, keyword, category, weight, n FROM r WHERE place < 3
+""")
+def keyword_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three heaviest keywords of every document."""
+    return C.keyword_hits(table(spark, sf_dir, "documents"), "doc_id", "text", KEYWORDS, 3)
+
+
 TITLE_RULES = [("article", ["the ", "of the"]), ("romance", [" que", " de "]), ("german", ["sch", "der "])]
 
 

@@ -120,15 +120,19 @@ def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.compare_lines(refs, hyps, "page", 60.0)
 
 
+_POSITIONS = ["Main Text", "right-margin note", "Headers", "Table Row", "Bylines", "Top  Left", "marginalia", "Main-Body", "corner note", "page--number", "bottom_corner_x"]
+
+
 @query(r"""
-WITH k AS (SELECT event_id, event_type, CASE event_id % 5 WHEN 0 THEN 'Main Text' WHEN 1 THEN 'right-margin note' WHEN 2 THEN 'Headers' WHEN 3 THEN 'Table Row' ELSE event_type END AS raw FROM events),
-n AS (SELECT *, regexp_replace(lower(trim(raw)), '[\s-]+', '_', 'g') AS key FROM k)
-SELECT event_id, raw, CASE key WHEN 'main_text' THEN 'body' WHEN 'right_margin_note' THEN 'margin_right' WHEN 'headers' THEN 'header' ELSE key END AS position FROM n
+SELECT event_id, CASE event_id % 12 WHEN 0 THEN 'Main Text' WHEN 1 THEN 'margin_right' WHEN 2 THEN 'header' WHEN 3 THEN 'table_row' WHEN 4 THEN 'body' WHEN 5 THEN 'margin_top' WHEN 6 THEN 'margin_left' WHEN 7 THEN 'body'
+  WHEN 8 THEN 'corner note' WHEN 9 THEN 'footer' WHEN 10 THEN 'margin_bottom' ELSE event_type END AS position FROM events
 """)
 def position_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.col("event_id") % 5
-    raw = F.when(kind == 0, "Main Text").when(kind == 1, "right-margin note").when(kind == 2, "Headers").when(kind == 3, "Table Row").otherwise(F.col("event_type"))
-    return table(spark, sf_dir, "events").select("event_id", raw.alias("raw"), P.position(raw).alias("position"))
+    """Positions as they are written, in the protocol's names; what is unknown stays."""
+    raw = F.col("event_type")
+    for i, value in enumerate(_POSITIONS):
+        raw = F.when(F.col("event_id") % 12 == i, value).otherwise(raw)
+    return table(spark, sf_dir, "events").select("event_id", P.position(raw).alias("position"))
 
 
 @query(r"""
@@ -176,3 +180,17 @@ def embedding_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest other rows of every row whose id is divisible by 20."""
     rows = table(spark, sf_dir, "embeddings")
     return search.nearest(rows, rows.where("vec_id % 20 = 0"), "vec_id", "embedding", 5)
+
+
+@query(r"""WITH q AS (SELECT item_id, trim(regexp_replace(regexp_replace(translate(strip_accents(lower(text)), 'vj', 'ui'), '[''.,;:!?"`’‘“”…—\-()\[\]]+', ' ', 'g'), '\s+', ' ', 'g')) AS a FROM benchmark),
+g AS (SELECT item_id, a, trim(regexp_replace(replace(a || ' ', 'en ', 'n '), '\s+', ' ', 'g')) AS b FROM q)
+SELECT item_id, 'exact' AS how, CAST(length(a) AS BIGINT) AS n_chars, CAST(len(list_filter(string_split(a, ' '), lambda w: w <> '')) AS BIGINT) AS n_words, CASE WHEN length(a) > 0 THEN round(levenshtein(a, b) / length(a) * 100, 4) ELSE 0.0 END AS cer FROM g""")
+def score_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items as truths and with letters left out as hypotheses, both in the scoring form."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("item_id"), "text")
+    from quillon.functions.forms import scoring_form
+
+    wrong = F.replace(F.concat(scoring_form(F.col("text")), F.lit(" ")), F.lit("en "), F.lit("n "))
+    rows = E.score_run(items.select("item_id", wrong.alias("text")), items, "item_id", "text")
+    kind = table(spark, sf_dir, "benchmark").schema["item_id"].dataType
+    return rows.select(F.col("item_id").cast(kind).alias("item_id"), "how", "n_chars", "n_words", "cer")

@@ -24,7 +24,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         _pick(5, "Late Medieval", "19th-Century", "early_modern", "odd era", "null").alias("targetEra"), _pick(4, "Semi-Strict", "academic", "weird", "~").alias("diplomaticProfile"),
         _pick(3, "Normalised", "raw", "none").alias("normalizationMode"), _pick(4, "Latin", "eng", "deu-early_modern", "mixed").alias("targetLanguage"), F.lit("Round-Hand").alias("englishHandwritingModality"),
     )
-    segment = F.struct(F.lit(1).alias("segmentId"), F.lit("Main-Text").alias("position"), F.concat(F.lit("a=\n"), F.col("source")).alias("text"), F.lit(" High ").alias("confidence"))
+    segment = F.struct(F.lit(1).alias("segmentId"), F.lit("Main-Body").alias("position"), F.concat(F.lit("a=\n"), F.col("source")).alias("text"), F.lit(" High ").alias("confidence"))
     segments = F.when(F.col("doc_id") % 7 == 0, F.array().cast("array<struct<segmentId:int,position:string,text:string,confidence:string>>")).otherwise(F.array(segment))
     body = F.struct(_pick(3, "1.0.0", " v1.1 ", "9").alias("protocolVersion"), meta.alias("metadata"), F.struct(F.lit("proceed").alias("proceedDecision")).alias("preCheck"), segments.alias("segments"))
     whole = F.when(F.col("doc_id") % 2 == 0, F.to_json(F.struct(body.alias("transcriptionOutput")))).otherwise(F.to_json(body))

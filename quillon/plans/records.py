@@ -108,3 +108,47 @@ def timing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("t"), F.max("value").alias("m"))
     whole = rows.agg(F.sum("t")).first()[0] or 1.0
     return rows.select("event_type", "n", F.round("t", 4).alias("total"), F.round(F.col("t") / whole, 6).alias("share"), F.round("m", 4).alias("longest"))
+
+
+@query("""
+WITH l AS (SELECT page_id, unnest(string_split(regexp_replace(html, '<[^>]*>', chr(10), 'g'), chr(10))) AS line FROM pages), c AS (
+SELECT page_id, count(*) AS before, count(*) FILTER (length(trim(line)) > 0) AS after FROM l GROUP BY page_id)
+SELECT page_id % 7 AS folder, count(*) AS n_files, count(*) FILTER (after > 0) AS n_kept, CAST(sum(before) AS BIGINT) AS before, CAST(sum(after) AS BIGINT) AS after, round(1 - sum(after) / sum(before), 6) AS drop_ratio FROM c GROUP BY 1
+""")
+def folder_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines kept by folder, seven made-up folders of raw pages."""
+    rows = keep_with_text(spark, sf_dir)
+    return R.folder_stats(rows.withColumn("folder", F.col("page_id") % 7), "folder")
+
+
+@query("""SELECT conv_id, count(*) AS n_pages, string_agg('== page ' || turn || ' ==' || chr(10) || text, chr(10) || chr(10) ORDER BY turn) AS document,
+coalesce(string_agg('== page ' || turn || ' ==' || chr(10) || reverse(text), chr(10) || chr(10) ORDER BY turn) FILTER (turn % 2 = 0), '') AS translated FROM conversations GROUP BY conv_id""")
+def translated_twin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as documents, with the twin of the turns that have a made-up translation."""
+    rows = table(spark, sf_dir, "conversations").withColumn("tr", F.when(F.col("turn") % 2 == 0, F.reverse("text")))
+    return R.combined(rows, "conv_id", "turn", "text", "tr")
+
+
+@query("""SELECT s_suppkey AS name, coalesce(CASE WHEN s_suppkey % 3 = 0 THEN 0.1::DOUBLE END, CASE WHEN s_suppkey % 2 = 0 THEN 0.5::DOUBLE END) AS a, CASE WHEN s_suppkey % 2 = 0 THEN 0.25::DOUBLE END AS b FROM supplier""")
+def merged_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Old rates of two corpora, one of them measured again for some models."""
+    k, rows = F.col("s_suppkey"), table(spark, sf_dir, "supplier")
+    old = F.when(k % 2 == 0, F.create_map(F.lit("a"), F.lit(0.5), F.lit("b"), F.lit(0.25)))
+    fresh = rows.select(k.alias("name"), F.lit("a").alias("corpus"), F.when(k % 3 == 0, 0.1).alias("rate"))
+    merged = R.merge_rates(rows.select(k.alias("name"), old.alias("per_corpus")), fresh, "name", "corpus", "rate")
+    return merged.select("name", F.col("per_corpus")["a"].alias("a"), F.col("per_corpus")["b"].alias("b"))
+
+
+@query("""WITH h AS (SELECT DISTINCT l_orderkey AS page, l_linenumber - 1 AS hyp_no FROM lineitem WHERE l_linenumber <= 4), r AS (SELECT DISTINCT l_orderkey AS page, l_linenumber - 1 AS ref_no FROM lineitem),
+p AS (SELECT page, hyp_no, hyp_no + 1 AS ref_no FROM h WHERE hyp_no % 2 = 0 AND (page, hyp_no + 1) IN (SELECT page, ref_no FROM r)),
+b AS (SELECT coalesce(h.page, r.page) AS page, hyp_no, r.ref_no FROM (SELECT h.*, p.ref_no FROM h LEFT JOIN p USING (page, hyp_no)) h FULL JOIN r ON h.page = r.page AND h.ref_no = r.ref_no)
+SELECT page, row_number() OVER (PARTITION BY page ORDER BY hyp_no NULLS LAST, ref_no) - 1 AS line_no, CASE WHEN hyp_no IS NULL THEN 'append' ELSE 'update' END AS action, 'r' || ref_no AS points FROM b WHERE ref_no IS NOT NULL""")
+def line_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of made-up pages after correction by their references."""
+    lines, n = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").distinct(), F.col("l_linenumber") - 1
+    hyps = lines.where("l_linenumber <= 4").select(F.col("l_orderkey").alias("page"), n.alias("line_no"))
+    refs = lines.select(F.col("l_orderkey").alias("page"), n.alias("line_no"), F.concat(F.lit("r"), n.cast("string")).alias("points"))
+    there = refs.select("page", F.col("line_no").alias("ref_no"))
+    pairs = hyps.where("line_no % 2 = 0").select("page", F.col("line_no").alias("hyp_no"), (F.col("line_no") + 1).alias("ref_no")).join(there, ["page", "ref_no"])
+    rows = R.corrected_lines(pairs, hyps, refs, "page")
+    return rows.select("page", F.col("line_no").cast("long").alias("line_no"), "action", "points")
