@@ -48,6 +48,15 @@ def cer_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(rf"""WITH {_PAIRS}, w AS (SELECT item_id, list_filter(regexp_split_to_array(truth, '\s+'), lambda x: x <> '') AS a, list_filter(regexp_split_to_array(guess, '\s+'), lambda x: x <> '') AS b FROM q),
+d AS (SELECT *, list_distinct(list_concat(a, b)) AS names FROM w), c AS (SELECT item_id, len(a) AS n, array_to_string(list_transform(a, lambda x: chr(CAST(list_position(names, x) AS INT))), '') AS x, array_to_string(list_transform(b, lambda x: chr(CAST(list_position(names, x) AS INT))), '') AS y FROM d)
+SELECT item_id, CAST(n AS BIGINT) AS n_words, CASE WHEN n > 0 THEN round(100 * levenshtein(x, y) / n, 4) ELSE 0.0 END AS wer FROM c""")
+def wer_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word error rate of the misread items; in SQL each word of a pair is one letter."""
+    n = F.size(F.filter(F.split("truth", r"\s+"), lambda x: x != ""))
+    return _pairs(spark, sf_dir).select("item_id", n.cast("long").alias("n_words"), E.word_errors("truth", "guess")["wer"].alias("wer"))
+
+
 @query()
 def wer_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word errors of every answer against the turn before it."""
