@@ -10,12 +10,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.plans import registry
+
 _own_scratch: str | None = None
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One input table; only Spark's reader touches the path."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One input table; only Spark's reader touches the path. A small one of few files is dealt out to all cores."""
+    return registry.table(spark, sf_dir, name)
 
 
 def scratch_dir(spark: SparkSession) -> str:
