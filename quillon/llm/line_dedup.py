@@ -290,7 +290,9 @@ def repeated_lines(
     if min_chars <= max_edits:
         raise ValueError("min_chars must exceed max_edits: every segment needs a letter")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    found = docs.select(F.col(id_col).alias("row_id"), F.xxhash64(text).alias("row_hash"), F.posexplode_outer(F.split(text, "\n")).alias("at", "line"))
+    # hashed before its lines are taken apart: once a text, not once a line
+    rows = docs.select(F.col(id_col).alias("row_id"), F.xxhash64(text).alias("row_hash"), text.alias("whole"))
+    found = rows.select("row_id", "row_hash", F.posexplode_outer(F.split("whole", "\n")).alias("at", "line"))
     size = F.length("line")
     taken = size >= min_chars
     if min_exact is not None:
