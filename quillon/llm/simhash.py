@@ -190,7 +190,7 @@ def _name(words: np.ndarray) -> tuple[int, ...]:
 
 
 def _link_sorted(groups: np.ndarray, probing: np.ndarray, prints: np.ndarray, distance: int) -> Iterator[tuple]:
-    """Links within equal groups; rows sorted by group, those that only probe last, then by fingerprint."""
+    """Links within equal groups; rows (of one word) sorted by group, those that only probe last, then by fingerprint."""
     starts = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
     sizes = np.diff(np.concatenate([starts, [len(groups)]]))
     held = probing[starts] == 0
@@ -198,7 +198,7 @@ def _link_sorted(groups: np.ndarray, probing: np.ndarray, prints: np.ndarray, di
     for i in two[_differ(prints[two], prints[two + 1]) <= distance]:
         yield _name(prints[i]), _name(prints[i + 1])
     for i, n in zip(*(x[held & (sizes > 2)] for x in (starts, sizes)), strict=True):
-        yield from link_group(np.unique(prints[i : i + n], axis=0) if prints.shape[1] > 1 else np.unique(prints[i : i + n, 0])[:, None], distance)
+        yield from link_group(np.unique(prints[i : i + n, 0])[:, None], distance)
 
 
 def nearest_links(prints: np.ndarray, distance: int) -> list[tuple[int, int]]:
@@ -355,21 +355,43 @@ def near_pairs(blocks: np.ndarray, prints: np.ndarray, words: np.ndarray, distan
         meets = blocks[row].astype(np.int64) << 13 | codes[row, j, col] << 1 | (col > 0)
         order = np.argsort(meets, kind="stable")
         row, meets = row[order], meets[order]
-        starts = np.flatnonzero(np.concatenate([[True], meets[1:] >> 1 != meets[:-1] >> 1])) if len(meets) else np.zeros(0, np.int64)
-        sizes = np.diff(np.concatenate([starts, [len(meets)]]))
-        held = (meets[starts] & 1 == 0) & (sizes > 1)
-        two = starts[held & (sizes == 2)]
-        found = [np.column_stack([row[two], row[two + 1]])[_differ(prints[row[two]], prints[row[two + 1]]) <= distance]]
-        for at, n in zip(starts[held & (sizes > 2)], sizes[held & (sizes > 2)], strict=True):
-            members = row[at : at + n]
+        found = []
+        for members in _groups_with_neighbours(meets, prints[row], distance):
+            members = row[members]
+            if len(members) == 2:
+                found.append(members[None, :])
+                continue
             _, first = np.unique(prints[members], axis=0, return_index=True)
-            members = members[first]
-            links = nearest_links(prints[members], distance)
+            links = nearest_links(prints[members[first]], distance)
             if links:
-                found.append(members[np.array(links)])
-        pairs = np.concatenate(found)
-        common = own[pairs[:, 0]] == own[pairs[:, 1]]
-        yield from pairs[common.argmax(axis=1) == segment[pairs[:, 0]]].tolist()
+                found.append(members[first][np.array(links)])
+        if found:
+            pairs = np.concatenate(found)
+            common = own[pairs[:, 0]] == own[pairs[:, 1]]
+            yield from pairs[common.argmax(axis=1) == segment[pairs[:, 0]]].tolist()
+
+
+def _groups_with_neighbours(meets: np.ndarray, prints: np.ndarray, distance: int) -> Iterator[np.ndarray]:
+    """Of each group of rows (sorted by ``meets``, the lowest bit set for rows that only probe; groups of those alone are left
+    out) the rows that have another within ``distance`` bits.
+
+    All groups are gone through together, every row against the one some places on, so a group without neighbours (most
+    of them) costs no step of its own.
+    """
+    starts = np.flatnonzero(np.concatenate([[True], meets[1:] >> 1 != meets[:-1] >> 1])) if len(meets) else np.zeros(0, np.int64)
+    sizes = np.diff(np.concatenate([starts, [len(meets)]]))
+    held = (meets[starts] & 1 == 0) & (sizes > 1)
+    ends = np.repeat(np.where(held, starts + sizes, 0), sizes)
+    at = np.flatnonzero(ends)
+    first, second = np.ascontiguousarray(prints[:, 0]), np.ascontiguousarray(prints[:, 1])
+    near, step = np.zeros(len(meets), bool), 1
+    while len(at := at[at + step < ends[at]]):
+        bits = np.bitwise_count(first[at] ^ first[at + step]) + np.bitwise_count(second[at] ^ second[at + step])
+        hit = at[bits <= distance]
+        near[hit] = near[hit + step] = True
+        step += 1
+    rows = np.flatnonzero(near)
+    yield from np.split(rows, np.flatnonzero(meets[rows[1:]] >> 1 != meets[rows[:-1]] >> 1) + 1) if len(rows) else ()
 
 
 def near_links(prints: DataFrame, distance: int = NEAR_DISTANCE) -> DataFrame:
