@@ -5,7 +5,20 @@ Nothing else in the package imports this subpackage.
 
 from __future__ import annotations
 
-from quillon.llm import decontaminate, language_id, line_dedup, packing, quality, sharding, simhash, substring_dedup, token_counts, toxicity
+from quillon.llm import (
+    decontaminate,
+    language_id,
+    line_dedup,
+    packing,
+    periodic_runs,
+    piece_codec,
+    quality,
+    sharding,
+    simhash,
+    substring_dedup,
+    token_counts,
+    toxicity,
+)
 
 
 def queries() -> dict:
@@ -20,6 +33,8 @@ def queries() -> dict:
         "op8_token_counts": token_counts.op8_token_counts,
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_language": language_id.op10_language,
+        "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+        "op13_piece_codec": piece_codec.op13_piece_codec,
     }
 
 
@@ -27,4 +42,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_shard": sharding.OP2_SQL,
         "op7_decontaminate": decontaminate.OP7_SQL,
+        "op11_periodic_runs": periodic_runs.OP11_SQL,
     }
