@@ -15,6 +15,7 @@ from quillon.llm import (
     quality,
     sharding,
     simhash,
+    spelling_variants,
     substring_dedup,
     token_counts,
     toxicity,
@@ -34,6 +35,7 @@ def queries() -> dict:
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_language": language_id.op10_language,
         "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+        "op12_spelling_variants": spelling_variants.op12_spelling_variants,
         "op13_piece_codec": piece_codec.op13_piece_codec,
     }
 
@@ -43,4 +45,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_shard": sharding.OP2_SQL,
         "op7_decontaminate": decontaminate.OP7_SQL,
         "op11_periodic_runs": periodic_runs.OP11_SQL,
+        "op12_spelling_variants": spelling_variants.OP12_SQL,
     }
