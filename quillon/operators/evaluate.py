@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import difflib
-import math
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quillon.operators.lines import compare_lines
+from quillon.operators.stylometry import let
 
 
 def disposition(cer: Column, wer: Column) -> Column:
@@ -38,35 +40,86 @@ def tier(cer: Column, rare: Column) -> Column:
     return F.when(rare, "review").when(cer <= 0.05, "confident").when(cer <= 0.30, "review").otherwise("low")
 
 
-def word_edits(a: list[str], b: list[str]) -> int:
-    """Levenshtein distance over words, one row of the table at a time."""
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+def _letters(words: Column, names: Column) -> Column:
+    """A text with one character for each word: the one whose number is the word's place among the names."""
+    place = lambda w: F.array_position(names, w) + 63
+    code = lambda w: F.when(place(w) < 0xD800, place(w)).otherwise(place(w) + 2048)  # noqa: E731 (surrogates are no characters)
+    digits = F.array_join(F.transform(words, lambda w: F.lpad(F.hex(code(w)), 8, "0")), "")
+    return F.decode(F.unhex(digits), "UTF-32")
+
+
+#: Longest text, in letters or words, whose distance goes by the built-in table; longer ones go by bits.
+TABLE_SIDE = 4096
+
+
+def _bit_distance(a: str, b: str) -> int:
+    """Edit distance with a column of the table in two long integers."""
+    if not a or not b:
+        return len(a) + len(b)
+    at: dict[str, int] = {}
+    for i, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << i
+    full, last = (1 << len(a)) - 1, 1 << len(a) - 1
+    up, down, out = full, 0, len(a)
+    for c in b:
+        same = at.get(c, 0)
+        flat = (((same & up) + up) ^ up) | same | down
+        grow, shrink = down | (full & ~(flat | up)), up & flat
+        out += (grow & last > 0) - (shrink & last > 0)
+        grow = grow << 1 | 1
+        up, down = (shrink << 1 | ~(flat | grow)) & full, grow & flat & full
+    return out
+
+
+@F.pandas_udf(T.LongType())
+def _bit_distances(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None or y is None else _bit_distance(x, y) for x, y in zip(a, b, strict=True)], dtype="Int64")
+
+
+def edit_distance(a: Column, b: Column, side: int = TABLE_SIDE) -> Column:
+    """Edit distance of two texts: the built-in one, and for very long pairs one by bits (only those leave the JVM)."""
+    long = F.least(F.length(a), F.length(b)) > side
+    return F.when(long, _bit_distances(F.when(long, a), F.when(long, b))).otherwise(F.levenshtein(F.when(~long, a), F.when(~long, b)).cast("long"))
 
 
-def _word_errors(truth: pd.Series, guess: pd.Series) -> pd.DataFrame:
+def words_of(text: Column) -> Column:
+    return F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
+
+
+def word_distance(a: Column, b: Column, distance=F.levenshtein) -> Column:
+    """Edit distance of two arrays of words: their words become letters, equal where the words are."""
+    held = F.struct(a.alias("a"), b.alias("b"), F.array_distinct(F.concat(a, b)).alias("names"))
+    both = let(held, lambda s: F.struct(_letters(s["a"], s["names"]).alias("x"), _letters(s["b"], s["names"]).alias("y")))
+    return distance(both["x"], both["y"]).cast("long")
+
+
+def _opcode_counts(truth: pd.Series, guess: pd.Series) -> pd.DataFrame:
     out = []
-    for t, g in zip(truth, guess, strict=True):
-        a, b = (t or "").split(), (g or "").split()
+    for a, b in zip(truth, guess, strict=True):
         subs = adds = omits = 0
-        for op, i, j, k, m in difflib.SequenceMatcher(None, a, b).get_opcodes():
+        for op, i, j, k, m in difflib.SequenceMatcher(None, list(a), list(b)).get_opcodes():
             if op == "replace":
                 subs += max(j - i, m - k)
             elif op == "insert":
                 adds += m - k
             elif op == "delete":
                 omits += j - i
-        out.append((round(100 * word_edits(a, b) / len(a), 4) if a else 0.0, subs, adds, omits))
-    return pd.DataFrame(out, columns=["wer", "subs", "adds", "omits"])
+        out.append((subs, adds, omits))
+    return pd.DataFrame(out, columns=["subs", "adds", "omits"])
 
 
 def word_errors(truth: str, guess: str) -> Column:
-    """Word error rate in percent and the opcode counts of :mod:`difflib`, per pair of string columns."""
-    return F.pandas_udf(_word_errors, "wer double, subs long, adds long, omits long")(truth, guess)
+    """``wer`` (percent of the truth's words) and the counts ``subs, adds, omits`` of the matching blocks of :mod:`difflib`, per
+    pair of string columns. Distances of all but very long pairs stay in the JVM; the blocks leave it."""
+    a, b = words_of(F.col(truth)), words_of(F.col(guess))
+    counts = F.pandas_udf(_opcode_counts, "subs long, adds long, omits long")(a, b)
+    return F.struct(word_error_rate(truth, guess, edit_distance).alias("wer"), counts["subs"].alias("subs"), counts["adds"].alias("adds"), counts["omits"].alias("omits"))
+
+
+def word_error_rate(truth: str, guess: str, distance=F.levenshtein) -> Column:
+    """Word edits in percent of the truth's words, 0 for a truth without words."""
+    a, b = words_of(F.col(truth)), words_of(F.col(guess))
+    return F.when(F.size(a) > 0, F.round(100 * word_distance(a, b, distance) / F.size(a), 4)).otherwise(F.lit(0.0))
 
 
 def quality_errors(pairs: DataFrame, id_cols: list[str], truth: str, guess: str) -> DataFrame:
@@ -99,66 +152,6 @@ def parse_points(text: Column) -> Column:
     return F.filter(points, lambda p: p["x"].isNotNull() & p["y"].isNotNull())
 
 
-def _sampled(line: np.ndarray, n: int) -> np.ndarray:
-    """``n`` points at equal arc lengths of a polyline."""
-    if len(line) == 1:
-        return np.repeat(line, n, axis=0)
-    steps = np.concatenate([[0.0], np.cumsum(np.hypot(*np.diff(line, axis=0).T))])
-    if steps[-1] == 0:
-        return np.repeat(line[:1], n, axis=0)
-    at = np.linspace(0, steps[-1], n)
-    return np.column_stack([np.interp(at, steps, line[:, k]) for k in (0, 1)])
-
-
-def chamfer_distance(a: np.ndarray, b: np.ndarray, samples: int = 32) -> float:
-    """Mean of the two directed mean nearest distances; NaN if a line is empty."""
-    if not len(a) or not len(b):
-        return math.nan
-    p, q = _sampled(a, samples), _sampled(b, samples)
-    gaps = np.hypot(p[:, None, 0] - q[None, :, 0], p[:, None, 1] - q[None, :, 1])
-    return float((gaps.min(1).mean() + gaps.min(0).mean()) / 2)
-
-
-def greedy_pairs(refs: list[np.ndarray], hyps: list[np.ndarray], radius: float) -> list[tuple[int, int]]:
-    """One-to-one matches by centroid: references from top to bottom (then left), each takes the nearest free
-    hypothesis strictly within the radius, the first on ties."""
-    centre = lambda line: line.mean(axis=0)
-    order = sorted((i for i in range(len(refs)) if len(refs[i])), key=lambda i: (centre(refs[i])[1], centre(refs[i])[0]))
-    free = [j for j in range(len(hyps)) if len(hyps[j])]
-    pairs = []
-    for i in order:
-        gaps = [(float(np.hypot(*(centre(refs[i]) - centre(hyps[j])))), j) for j in free]
-        best = min(gaps, default=(math.inf, -1))
-        if best[0] < radius:
-            pairs.append((i, best[1]))
-            free.remove(best[1])
-    return pairs
-
-
-def compare_lines(refs: DataFrame, hyps: DataFrame, page_col: str, radius: float = 120.0) -> DataFrame:
-    """Baselines (``page, line_no, points``) of reference and hypothesis, matched per page: counts, recall, precision
-    (1 for an empty side) and mean chamfer distance of the matches. A page is matched in one task."""
-
-    def lines(pdf: pd.DataFrame) -> list[np.ndarray]:
-        if not len(pdf) or "line_no" not in pdf.columns:  # an empty side of a page may have no columns
-            return []
-        pdf = pdf.sort_values("line_no")
-        return [np.array([(p["x"], p["y"]) for p in points], float).reshape(-1, 2) for points in pdf["points"]]
-
-    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        page = next(p[page_col].iloc[0] for p in (left, right) if len(p) and page_col in p.columns)
-        a, b = lines(left), lines(right)
-        pairs = greedy_pairs(a, b, radius)
-        gaps = [chamfer_distance(a[i], b[j]) for i, j in pairs]
-        row = (page, len(a), len(b), len(pairs), len(pairs) / len(a) if a else 1.0, len(pairs) / len(b) if b else 1.0)
-        return pd.DataFrame([(*row, round(float(np.mean(gaps)), 6) if gaps else None)], columns=names)
-
-    names = [page_col, "n_ref", "n_hyp", "n_matched", "recall", "precision", "chamfer"]
-    kind = refs.schema[page_col].dataType.simpleString()
-    schema = f"{page_col} {kind}, n_ref long, n_hyp long, n_matched long, recall double, precision double, chamfer double"
-    return refs.groupBy(page_col).cogroup(hyps.groupBy(page_col)).applyInPandas(compare, schema)
-
-
 def correct_gate(metrics: DataFrame, most_cer: float = 0.15, most_wer: float = 0.50) -> DataFrame:
     """Whether a model's corrections may be the silent default: held out, both error rates known and small enough.
 
@@ -245,7 +238,7 @@ def evaluation(lines: DataFrame | None, baselines: tuple[DataFrame, DataFrame] |
     warnings, parts = [], []
     if lines is not None:
         n = F.greatest(F.sum(F.length("truth")), F.lit(1))
-        rows = lines.withColumn("e", F.levenshtein("truth", "guess")).withColumn("w", word_errors("truth", "guess")["wer"] * F.size(F.split("truth", " ")) / 100)
+        rows = lines.withColumn("e", F.levenshtein("truth", "guess")).withColumn("w", word_error_rate("truth", "guess") * F.size(F.split("truth", " ")) / 100)
         parts.append(rows.agg(F.count("*").alias("n_lines"), F.round(F.sum("e") / n, 6).alias("cer"), F.round(F.sum("w") / F.greatest(F.sum(F.size(F.split("truth", " "))), F.lit(1)), 6).alias("wer")))
     else:
         warnings.append("no recognised lines")

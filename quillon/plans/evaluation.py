@@ -54,10 +54,55 @@ SELECT item_id, CAST(n AS BIGINT) AS n_words, CASE WHEN n > 0 THEN round(100 * l
 def wer_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word error rate of the misread items; in SQL each word of a pair is one letter."""
     n = F.size(F.filter(F.split("truth", r"\s+"), lambda x: x != ""))
-    return _pairs(spark, sf_dir).select("item_id", n.cast("long").alias("n_words"), E.word_errors("truth", "guess")["wer"].alias("wer"))
-
-
-@query()
+    return _pairs(spark, sf_dir).select("item_id", n.cast("long").alias("n_words"), E.word_error_rate("truth", "guess").alias("wer"))
+
+
+#: Distances a row of the table at a time; blocks by the longest common run of each open stretch (of frequent words only where
+#: nothing else is common, as the library has it), which is then cut around them.
+_WER_CASES = r"""
+WITH RECURSIVE t AS (
+  SELECT q.conv_id, q.turn, p.text AS x, q.text AS y FROM conversations q JOIN conversations p ON p.conv_id = q.conv_id AND p.turn = q.turn - 1
+), p AS (
+  SELECT row_number() OVER () AS id, conv_id, turn, list_filter(regexp_split_to_array(x, '\s+'), lambda w: w <> '') AS a, list_filter(regexp_split_to_array(y, '\s+'), lambda w: w <> '') AS b FROM t
+), n AS (
+  SELECT *, len(a) AS n, len(b) AS m FROM p
+), dp AS (
+  SELECT id, 0 AS i, unnest(range(m + 1)) AS j, unnest(range(m + 1)) AS v FROM n
+  UNION ALL
+  SELECT id, i, j, j + min(u - j) OVER (PARTITION BY id ORDER BY j) FROM (
+    SELECT d.id, d.i + 1 AS i, d.j, least(d.v + 1, CASE WHEN d.j > 0 THEN lag(d.v) OVER (PARTITION BY d.id ORDER BY d.j) + (n.a[d.i + 1] <> n.b[d.j])::INT ELSE 1e9 END) AS u
+    FROM dp d JOIN n ON n.id = d.id AND d.i < n.n)
+), edits AS (
+  SELECT dp.id, v FROM dp JOIN n ON n.id = dp.id AND dp.i = n.n AND dp.j = n.m
+), aw AS (SELECT id, unnest(range(n)) AS i, unnest(a) AS w FROM n), bw AS (SELECT id, m, unnest(range(m)) AS j, unnest(b) AS w FROM n),
+hit AS (
+  SELECT aw.id, i, j, m >= 200 AND count(*) OVER (PARTITION BY aw.id, i) > m // 100 + 1 AS often FROM aw JOIN bw ON aw.id = bw.id AND aw.w = bw.w
+), seg AS (
+  SELECT id, 0::BIGINT AS la, n AS ha, 0::BIGINT AS lb, m AS hb, 0::BIGINT AS bi, 0::BIGINT AS bj, 0::BIGINT AS bk FROM n
+  UNION ALL
+  SELECT id, unnest([la, bi + bk]), unnest([bi, ha]), unnest([lb, bj + bk]), unnest([bj, hb]), bi, bj, bk FROM (
+    SELECT id, la, ha, lb, hb, best[4] AS bi, best[4] + best[3] AS bj, best[5] AS bk FROM (
+      SELECT id, la, ha, lb, hb, min([-k, i0, -d, fi, fk]) AS best FROM (
+        SELECT id, la, ha, lb, hb, d, CASE WHEN often THEN 0 ELSE count(*) END AS k, min(i) AS i0, min(fi) AS fi, min(fk) AS fk FROM (
+          SELECT *, min(i) OVER (PARTITION BY id, la, lb, d, f) AS fi, count(*) OVER (PARTITION BY id, la, lb, d, f) AS fk FROM (
+            SELECT s.id, s.la, s.ha, s.lb, s.hb, i, j, often, i - j AS d, i - row_number() OVER (PARTITION BY s.id, s.la, s.lb, i - j ORDER BY i) AS f,
+              i - row_number() OVER (PARTITION BY s.id, s.la, s.lb, i - j, often ORDER BY i) AS g
+            FROM seg s JOIN hit h ON h.id = s.id AND h.i >= s.la AND h.i < s.ha AND h.j >= s.lb AND h.j < s.hb))
+        WHERE NOT often OR (i = la AND j = lb) GROUP BY id, la, ha, lb, hb, d, often, g)
+      GROUP BY id, la, ha, lb, hb))
+), block AS (
+  SELECT DISTINCT id, bi, bj, bk FROM seg WHERE bk > 0 UNION ALL SELECT id, n, m, 0 FROM n
+), gap AS (
+  SELECT id, bi - coalesce(lag(bi + bk) OVER w, 0) AS x, bj - coalesce(lag(bj + bk) OVER w, 0) AS y FROM block WINDOW w AS (PARTITION BY id ORDER BY bi, bj, bk DESC)
+), counted AS (
+  SELECT id, sum(CASE WHEN x > 0 AND y > 0 THEN greatest(x, y) ELSE 0 END) AS subs, sum(CASE WHEN x = 0 THEN y ELSE 0 END) AS adds, sum(CASE WHEN y = 0 THEN x ELSE 0 END) AS omits FROM gap GROUP BY id
+)
+SELECT conv_id, turn, CASE WHEN n > 0 THEN round(100 * v / n, 4) ELSE 0.0 END AS wer, CAST(subs AS BIGINT) AS subs, CAST(adds AS BIGINT) AS adds, CAST(omits AS BIGINT) AS omits
+FROM n JOIN edits USING (id) JOIN counted USING (id)
+"""
+
+
+@query(_WER_CASES)
 def wer_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Word errors of every answer against the turn before it."""
     turns = table(spark, sf_dir, "conversations")
@@ -114,7 +159,45 @@ def bbox_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.agg(F.min("box.x0").alias("x0"), F.min("box.y0").alias("y0"), F.max("box.x1").alias("x1"), F.max("box.y1").alias("y1"), F.count("*").alias("n"))
 
 
-@query()
+#: Points of a line at equal arc lengths, and the greedy match as a walk over a page's references.
+_GREEDY = f"""
+WITH RECURSIVE {_BOXES}, l AS (
+  SELECT vec_id // 10 AS page, vec_id % 10 AS line_no, CAST(box.x0 AS DOUBLE) AS x0, CAST(box.x1 AS DOUBLE) AS x1, CAST(box.y1 + vec_id % 10 * 40 AS DOUBLE) AS y, label, vec_id FROM b
+), made AS (
+  SELECT page, line_no, 0 AS side, [{{'x': x0, 'y': y}}, {{'x': x1, 'y': y}}] AS p FROM l
+  UNION ALL SELECT page, line_no, 1, [{{'x': x0 + label, 'y': y}}, {{'x': x1 + label, 'y': y}}] FROM l WHERE vec_id % 7 <> 0
+), arc AS (
+  SELECT *, list_transform(range(len(p)), lambda i: list_sum(list_transform(range(i), lambda k: sqrt((p[k + 2].x - p[k + 1].x) ** 2 + (p[k + 2].y - p[k + 1].y) ** 2)))) AS s FROM made
+), target AS (
+  SELECT *, list_transform(range(32), lambda i: coalesce(s[-1], 0.0) * i / 31) AS ts FROM arc
+), spot AS (
+  SELECT *, list_transform(ts, lambda t: {{'t': t, 'k': least(greatest(len(list_filter(s, lambda c: coalesce(c, 0.0) < t)), 1), len(p) - 1)}}) AS ks FROM target
+), sampled AS (
+  SELECT page, line_no, side, {{'x': list_avg(list_transform(p, lambda q: q.x)), 'y': list_avg(list_transform(p, lambda q: q.y))}} AS c,
+    list_transform(ks, lambda z: {{'x': p[z.k].x + (p[z.k + 1].x - p[z.k].x) * coalesce((z.t - coalesce(s[z.k], 0.0)) / nullif(s[z.k + 1] - coalesce(s[z.k], 0.0), 0), 0.0),
+      'y': p[z.k].y + (p[z.k + 1].y - p[z.k].y) * coalesce((z.t - coalesce(s[z.k], 0.0)) / nullif(s[z.k + 1] - coalesce(s[z.k], 0.0), 0), 0.0)}}) AS q FROM spot
+), ref AS (
+  SELECT *, row_number() OVER (PARTITION BY page ORDER BY c.y, c.x, line_no) AS r FROM sampled WHERE side = 0
+), hyp AS (
+  SELECT page, list({{'i': line_no, 'c': c, 'q': q}} ORDER BY line_no) AS hs FROM sampled WHERE side = 1 GROUP BY page
+), walk AS (
+  SELECT page, 0::BIGINT AS r, []::BIGINT[] AS taken, []::DOUBLE[] AS gaps FROM (SELECT DISTINCT page FROM l)
+  UNION ALL
+  SELECT page, r, CASE WHEN best IS NULL THEN taken ELSE list_append(taken, best.i) END,
+    CASE WHEN best IS NULL THEN gaps ELSE list_append(gaps, (list_avg(list_transform(q, lambda u: list_min(list_transform(best.q, lambda v: sqrt((u.x - v.x) ** 2 + (u.y - v.y) ** 2)))))
+      + list_avg(list_transform(best.q, lambda u: list_min(list_transform(q, lambda v: sqrt((u.x - v.x) ** 2 + (u.y - v.y) ** 2)))))) / 2) END
+  FROM (
+    SELECT w.page, w.r + 1 AS r, w.taken, w.gaps, ref.q, list_sort(list_filter(list_transform(list_filter(coalesce(hs, []), lambda h: NOT list_contains(w.taken, h.i)),
+      lambda h: {{'gap': sqrt((ref.c.x - h.c.x) ** 2 + (ref.c.y - h.c.y) ** 2), 'i': h.i, 'q': h.q}}), lambda g: g.gap < 60))[1] AS best
+    FROM walk w JOIN ref ON ref.page = w.page AND ref.r = w.r + 1 LEFT JOIN hyp ON hyp.page = w.page)
+), last AS (SELECT page, max(r) AS n_ref, arg_max(gaps, r) AS gaps FROM walk GROUP BY page)
+SELECT page, n_ref, CAST(coalesce(len(hs), 0) AS BIGINT) AS n_hyp, CAST(len(gaps) AS BIGINT) AS n_matched, CASE WHEN n_ref > 0 THEN len(gaps) / n_ref ELSE 1.0 END AS recall,
+  CASE WHEN coalesce(len(hs), 0) > 0 THEN len(gaps) / len(hs) ELSE 1.0 END AS precision, CASE WHEN len(gaps) > 0 THEN round(list_avg(gaps), 6) END AS chamfer
+FROM last LEFT JOIN hyp USING (page)
+"""
+
+
+@query(_GREEDY)
 def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Baselines made of the boxes, ten to a page, against the same ones shifted by their label."""
     rows = _boxes(spark, sf_dir).withColumns({"page": F.floor(F.col("vec_id") / 10), "line_no": F.col("vec_id") % 10})
