@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators import ordered
+
 
 def first_failing_reason(checks: list[tuple[str, Column]]) -> Column:
     """Name of the first check that a row fails (nulls fail), else ``ok``."""
@@ -112,17 +114,13 @@ def best_worst(rows: DataFrame, case_col: str, run_col: str, score_col: str) ->
 
 def islands(rows: DataFrame, group_col: str, order_cols: list[str], value_col: str) -> DataFrame:
     """Maximal runs of equal values in order: ``group, island, value, length`` (from 1)."""
-    w = Window.partitionBy(group_col).orderBy(*order_cols)
-    new = (~F.col(value_col).eqNullSafe(F.lag(value_col).over(w)) | (F.row_number().over(w) == 1)).cast("int")
-    marked = rows.withColumn("_new", new).withColumn("island", F.sum("_new").over(w))
+    marked = ordered.runs(rows.select(group_col, *order_cols, value_col), [group_col], order_cols, F.col(value_col), "island")
     return marked.groupBy(group_col, "island").agg(F.first(value_col).alias(value_col), F.count("*").alias("length"))
 
 
 def asof_last(rows: DataFrame, group_col: str, order_cols: list[str], is_anchor: Column, is_source: Column, value_col: str) -> DataFrame:
     """For every anchor row the value of the last source row before it, or null."""
-    w = Window.partitionBy(group_col).orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, -1)
-    last = F.last(F.when(is_source, F.col(value_col)), ignorenulls=True).over(w)
-    return rows.withColumn("anchor", last).where(is_anchor)
+    return ordered.last_known(rows, [group_col], order_cols, F.when(is_source, F.col(value_col)), "anchor").where(is_anchor)
 
 
 def interval_counts(points: DataFrame, intervals: DataFrame, point_col: str, key_col: str, low: str, high: str, width: int) -> DataFrame:

@@ -13,6 +13,7 @@ from quillon.functions.forms import scale_points
 from quillon.functions.protocol import pipe_cells
 from quillon.functions.text import squeeze
 from quillon.operators.evaluate import iou
+from quillon.operators.ordered import runs
 from quillon.operators.stylometry import let
 
 TABLE_POSITIONS = ["table_row", "table_header"]
@@ -126,21 +127,20 @@ def tables(segments: DataFrame, doc: str, order: str, position: str, text: str,
     The type is the first that a note of the run names (``tableType: x``), else unknown; columns are the last header's, else
     those known for the type; every other segment ends a run.
     """
-    w = Window.partitionBy(doc).orderBy(order)
-    inside = F.col(position).isin(TABLE_POSITIONS)
-    starts = inside & ~F.coalesce(F.lag(inside).over(w), F.lit(False))
-    rows = segments.withColumn("_table", F.sum(starts.cast("int")).over(w)).where(inside)
+    inside = F.coalesce(F.col(position).isin(TABLE_POSITIONS), F.lit(False))
+    # runs inside and outside of tables take turns, so every second one is a table
+    rows = runs(segments, [doc], [order], inside, "_run").where(inside).withColumn("_table", F.ceil(F.col("_run") / 2))
     kind = F.nullif(F.regexp_extract(notes, r"tableType:\s*([\w-]+)", 1), F.lit(""))
     part = F.struct(F.col(order).alias("o"), (F.col(position) == "table_header").alias("header"), pipe_cells(F.trim(F.coalesce(text, F.lit("")))).alias("cells"), kind.alias("type"))
-    runs = rows.groupBy(doc, F.col("_table").cast("long").alias("table_no")).agg(F.array_sort(F.collect_list(part)).alias("s"))
+    found = rows.groupBy(doc, F.col("_table").cast("long").alias("table_no")).agg(F.array_sort(F.collect_list(part)).alias("s"))
     named = F.get(F.filter("s", lambda x: x["type"].isNotNull()), 0)["type"]
     heads = F.filter("s", lambda x: x["header"])
     none = F.array().cast("array<string>")
     schema = none
     for name, columns in known.items():
         schema = F.when(F.col("type") == name, F.array(*map(F.lit, columns))).otherwise(schema)
-    runs = runs.select(doc, "table_no", F.coalesce(named, F.lit("unknown")).alias("type"), F.when(F.size(heads) > 0, F.element_at(heads, -1)["cells"]).alias("head"), F.transform(F.filter("s", lambda x: ~x["header"]), lambda x: x["cells"]).alias("rows"))
-    return runs.select(doc, "table_no", "type", F.coalesce("head", schema).alias("columns"), "rows")
+    found = found.select(doc, "table_no", F.coalesce(named, F.lit("unknown")).alias("type"), F.when(F.size(heads) > 0, F.element_at(heads, -1)["cells"]).alias("head"), F.transform(F.filter("s", lambda x: ~x["header"]), lambda x: x["cells"]).alias("rows"))
+    return found.select(doc, "table_no", "type", F.coalesce("head", schema).alias("columns"), "rows")
 
 
 def tables_json(found: DataFrame, doc: str) -> DataFrame:

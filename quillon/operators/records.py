@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators.ordered import numbered
+
 
 def match_stems(left: DataFrame, right: DataFrame, stem: str, path: str) -> DataFrame:
     """Every left stem with the right path of the same stem, else of the smallest path whose stem starts with it or
@@ -44,8 +46,7 @@ def language_union(*columns: Column) -> Column:
 
 def renumber(rows: DataFrame, doc: str, order: list[str]) -> DataFrame:
     """``segment_id`` from 1 through all pages of a document."""
-    place = F.row_number().over(Window.partitionBy(doc).orderBy(*order))
-    return rows.withColumn("segment_id", place.cast("long"))
+    return numbered(rows, [doc], order, "segment_id")
 
 
 def keep_with_text(rows: DataFrame, doc: str, text: str) -> DataFrame:

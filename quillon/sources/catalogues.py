@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.functions.text import squeeze
+from quillon.operators.ordered import numbered
 
 
 def sniff(head: Column) -> Column:
@@ -45,8 +46,8 @@ def alto_index(files: DataFrame, path: str) -> DataFrame:
     name in lower case with other than word characters as underscores."""
     ms = F.regexp_extract(path, r"([^/]+)/[^/]+\.xml$", 1)
     rows = files.select(ms.alias("ms_id"), path).where("ms_id != ''")
-    place = F.row_number().over(Window.partitionBy("ms_id").orderBy(path)) - 1
-    return rows.select("ms_id", F.regexp_replace(F.lower("ms_id"), r"[^\w]", "_").alias("slug"), place.alias("page_idx"), path)
+    placed = numbered(rows, ["ms_id"], [path], "place")
+    return placed.select("ms_id", F.regexp_replace(F.lower("ms_id"), r"[^\w]", "_").alias("slug"), (F.col("place") - 1).cast("int").alias("page_idx"), path)
 
 
 def manifest_canvases(docs: DataFrame, keys: list[str], content: str, most: int | None = None) -> DataFrame:
