@@ -97,7 +97,7 @@ class PivotIndex:
                 for name, mask in ((True, own), (False, asked & ~own))[: 1 if home_only else 2]:
                     i, c = np.nonzero(mask)
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("q").take(pa.array(i)), batch.column("v").take(pa.array(i)), batch.column("known").take(pa.array(i)), pa.array(number[c], pa.int32()), pa.array([name] * len(i))],
+                        [batch.column("q").take(pa.array(i)), batch.column("v").take(pa.array(i)), batch.column("known").take(pa.array(i)), pa.array(number[c], pa.int32()), pa.array([name] * len(i), pa.bool_())],
                         names=["q", "v", "known", "cell", "home"],
                     )
 

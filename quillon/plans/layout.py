@@ -76,6 +76,33 @@ def tumbling_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.tumbling(table(spark, sf_dir, "events"), "ts", "value", "event_type", "1 hour")
 
 
+@query("""
+SELECT b - to_minutes(CAST(15 * k AS BIGINT)) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total
+FROM (SELECT *, time_bucket(INTERVAL 15 MINUTE, ts) AS b FROM events), (SELECT unnest(range(4)) AS k) GROUP BY ALL
+""")
+def sliding_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of every hour that begins at a quarter."""
+    return V.sliding(table(spark, sf_dir, "events"), "ts", "value", "event_type", "1 hour", "15 minutes")
+
+
+@query("SELECT user_id, event_type, arg_min(event_id, (ts, event_id)) AS event_id, min(ts) AS ts FROM events GROUP BY user_id, event_type")
+def first_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first event of each kind and user."""
+    rows = table(spark, sf_dir, "events").select("user_id", "event_type", "ts", "event_id")
+    return V.first_of_each(rows, ["user_id", "event_type"], "ts", "1 hour").select("user_id", "event_type", "event_id", "ts")
+
+
+@query("""
+SELECT v.user_id, v.event_id, v.ts, p.event_id AS effect_event_id, p.ts AS effect_ts FROM events v JOIN events p ON p.user_id = v.user_id AND p.event_type = 'purchase'
+  AND p.ts > v.ts AND p.ts <= v.ts + INTERVAL 12 HOUR WHERE v.event_type = 'view'
+""")
+def followed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views and the purchases of the same user in the twelve hours after them."""
+    rows = table(spark, sf_dir, "events")
+    side = lambda kind: rows.where(F.col("event_type") == kind).select("user_id", "event_id", "ts")
+    return V.followed_by(side("view"), side("purchase"), "user_id", "ts", "12 hours")
+
+
 @query("""
 WITH g AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) >= INTERVAL 30 MINUTE, true) AS new FROM events),
 s AS (SELECT user_id, ts, sum(new::INT) OVER (PARTITION BY user_id ORDER BY ts, new DESC) AS k FROM g)

@@ -42,18 +42,7 @@ def test_protected_folder(spark, tmp_path):
         raise AssertionError
 
 
-def test_recompute_levels():
-    due = [n for n in range(1, 31) if V.recompute_due(n - 1, n)]
-    assert due == [5, 15, 25]
-
-
-def test_watch_and_stream_windows(spark, tmp_path, sf):
-    pages = spark.createDataFrame([(i, "text" if i % 4 else " ") for i in range(20)], "page long, text string")
-    pages.repartition(4).write.parquet(str(tmp_path / "in"))
-    handle = V.incremental(lambda df: df.agg(F.count("*").alias("n")), str(tmp_path / "pages"), str(tmp_path / "out"))
-    V.watch(spark, str(tmp_path / "in"), pages.schema, handle, str(tmp_path / "cp"), 2).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "pages")).count() == 15
-    assert spark.read.parquet(str(tmp_path / "out")).first()["n"] >= 5
+def test_stream_windows(spark, tmp_path, sf):
     events = spark.read.parquet(f"{sf}/events.parquet")
     events.repartition(2).write.parquet(str(tmp_path / "ev"))
     stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "ev"))
