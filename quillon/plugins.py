@@ -7,7 +7,11 @@ nothing here knows a model.
 from __future__ import annotations
 
 import importlib
+import re
+import threading
+import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Protocol
 
@@ -57,37 +61,94 @@ class Backends:
     def register(self, name: str, model: str | Batch, scripts: set[str] | None = None) -> None:
         self.known[name] = Backend(model, frozenset(scripts or ()))
 
-    def recognise(self, pages: DataFrame, key: str, scripts: str = "scripts") -> DataFrame:
+    def recognise(self, pages: DataFrame, key: str, scripts: str = "scripts", calls: Calls | None = None) -> DataFrame:
         """``key, backend, text, n_lines, confidence, error`` of every page by every backend that reads one of its scripts
         (an array column). A page that fails is a row with an error, not a failure of the job."""
-        kind = pages.schema[key].dataType.simpleString()
-        schema = f"{key} {kind}, backend string, text string, n_lines long, confidence double, error string"
         out = None
         for name, backend in self.known.items():
             wanted = F.arrays_overlap(scripts, F.array(*map(F.lit, sorted(backend.scripts)))) if backend.scripts else F.lit(True)
-            found = apply_model(pages.where(wanted), _guarded(name, backend.model, key), schema)
+            found = call_model(pages.where(wanted), backend.model, [key], "text string, n_lines long, confidence double", calls)
+            found = found.select(key, F.lit(name).alias("backend"), "text", "n_lines", "confidence", "error")
             out = found if out is None else out.unionByName(found)
         if out is None:
             raise ValueError("no backend is registered")
         return out
 
 
-def _guarded(name: str, model: str | Batch, key: str) -> Batch:
-    columns = ["text", "n_lines", "confidence"]
+@dataclass(frozen=True)
+class Calls:
+    """How a model is called: rows a call, calls at a time and calls a second in a worker, attempts, and the pause before the second
+    attempt (each later one is ``growth`` times as long)."""
+
+    rows: int = 16
+    concurrent: int = 4
+    per_second: float | None = None
+    attempts: int = 3
+    pause: float = 0.5
+    growth: float = 2.0
+    sleep: Callable[[float], None] = time.sleep
+
+
+class _Pace:
+    """Hands out times at which calls may start, so many a second."""
+
+    def __init__(self, per_second: float | None):
+        self.gap, self.next, self.lock = 1 / per_second if per_second else 0.0, 0.0, threading.Lock()
+
+    def wait(self, sleep: Callable[[float], None]) -> None:
+        if self.gap:
+            with self.lock:
+                now = time.monotonic()
+                start = max(now, self.next)
+                self.next = start + self.gap
+            if start > now:
+                sleep(start - now)
+
+
+def _answers(model: Batch, rows: pd.DataFrame, columns: list[str], calls: Calls, pace: _Pace, tried: int = 0) -> list[tuple]:
+    """``columns, error, attempts`` of some rows by one call; rows whose call fails for good are halved, until a single one fails."""
+    error = None
+    for attempt in range(calls.attempts if len(rows) == 1 else max(1, calls.attempts - 1)):
+        if attempt:
+            calls.sleep(calls.pause * calls.growth ** (attempt - 1))
+        pace.wait(calls.sleep)
+        tried += 1
+        try:
+            got = model(rows)
+            if len(got) != len(rows):
+                raise ValueError(f"{len(got)} answers to {len(rows)} rows")
+            return [(*values, None, tried) for values in got[columns].itertuples(index=False, name=None)]
+        except Exception as e:  # any failure of a model is an answer about its rows
+            error = str(e)[:500]
+    if len(rows) == 1:
+        return [(*[None] * len(columns), error, tried)]
+    half = len(rows) // 2
+    return [x for part in (rows.iloc[:half], rows.iloc[half:]) for x in _answers(model, part, columns, calls, pace, tried)]
+
+
+def call_model(rows: DataFrame, spec: str | Batch, keys: list[str], schema: str, calls: Calls | None = None) -> DataFrame:
+    """``keys``, the columns of ``schema`` that the model gives, ``error`` and ``attempts`` for every row.
+
+    A model gets some rows a call and answers one row each, in their order. Calls of a batch run in a bounded pool at a bounded
+    rate and are tried again with growing pauses; a row that fails for good is a row with an error, and the rest of its call is done
+    without it. So neither a flaky model nor a poison row fails a job.
+    """
+    calls = calls or Calls()
+    own = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name in keys)
+    columns = [part.strip().split()[0] for part in re.split(r",(?![^<(]*[>)])", schema)]
 
-    def run(batch: pd.DataFrame) -> pd.DataFrame:
-        own, rows = load_callable(model) if isinstance(model, str) else model, []
-        for i in range(len(batch)):
-            one = batch.iloc[i : i + 1]
-            try:
-                got = own(one)
-                rows.append((one[key].iloc[0], name, *(got[c].iloc[0] for c in columns), None))
-            except Exception as e:  # any failure of a model is that page's result
-                rows.append((one[key].iloc[0], name, None, None, None, str(e)[:500]))
-        out = pd.DataFrame(rows, columns=[key, "backend", *columns, "error"])
-        return out.astype({"n_lines": "Int64", "confidence": "Float64"})
-
-    return run
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, pace = load_callable(spec) if isinstance(spec, str) else spec, _Pace(calls.per_second)
+        with ThreadPoolExecutor(calls.concurrent) as pool:
+            for batch in batches:
+                parts = [batch.iloc[i : i + calls.rows] for i in range(0, len(batch), calls.rows)]
+                found = [x for part in pool.map(lambda p: _answers(model, p, columns, calls, pace), parts) for x in part]
+                out = pd.DataFrame(found, columns=[*columns, "error", "attempts"], dtype="object")
+                for k in reversed(keys):
+                    out.insert(0, k, batch[k].to_numpy())
+                yield out
+
+    return rows.mapInPandas(run, f"{own}, {schema}, error string, attempts int")
 
 
 def draw_lines(pages: DataFrame, spec: str | Batch, key: str) -> DataFrame:
