@@ -33,12 +33,12 @@ MARGIN_WORDS, MARGIN_DIRECTIONS = ["margin", "corner", "marginalia"], ["left", "
 
 
 def position(raw: Column) -> Column:
-    """A known position: of the normalised name, by alias, without a plural s, by the words of a margin; else as it was."""
+    """A known position: of the normalised name, by alias, without a plural s, by the words of a margin (of the singular too); else as it was."""
     key = F.regexp_replace(F.replace(F.regexp_replace(F.lower(F.trim(raw)), r"\s+", "_"), F.lit("-"), F.lit("_")), "_{2,}", "_")
     alias = F.create_map(*[F.lit(x) for pair in POSITION_ALIASES.items() for x in pair])
     named = lambda c: F.coalesce(F.element_at(alias, c), F.when(c.isin(POSITIONS), c))
     single = F.when(key.endswith("s"), F.left(key, F.length(key) - 1))
-    parts = F.split(key, "_")
+    parts = F.split(F.coalesce(single, key), "_")  # a plural goes on as its singular
     where = F.lit(None).cast("string")
     for direction in reversed(MARGIN_DIRECTIONS):
         where = F.when(F.array_contains(parts, direction), f"margin_{direction}").otherwise(where)

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from quillon.functions.text import rolling_window, tokens
 
 
+#: References that a target is compared with at a time.
+BLOCK = 500
+
+
 def let(value: Column, body) -> Column:
     """``body`` of a value that is computed once a row."""
     return F.transform(F.array(value), body)[0]
@@ -88,36 +92,46 @@ def word_profile(docs: DataFrame, id_col: str, text_col: str, words: list[str])
     )
 
 
+def _not_above(sorted_values: Column, x: Column) -> Column:
+    """How many of some sorted values are not above ``x``, by halving."""
+    bits = F.ceil(F.log2(F.greatest(F.size(sorted_values), F.lit(1)) + 1)).cast("int")
+
+    def step(low: Column, b: Column) -> Column:
+        on = low + F.call_function("shiftleft", F.lit(1), b)
+        return F.when((on <= F.size(sorted_values)) & (F.get(sorted_values, on - 1) <= x), on).otherwise(low)
+
+    return F.aggregate(F.sequence(bits, F.lit(0), F.lit(-1)), F.lit(0), step)
+
+
 def heaps_fit(docs: DataFrame, id_col: str, text_col: str, points: int = 500) -> DataFrame:
     """Vocabulary growth V(n) = k n^beta by least squares on logs; (1, 0.5, 0) below 20 words.
 
-    The growth curve is sampled every ``n // points`` words; the last point enters once more.
+    The growth curve is sampled every ``n // points`` words; the last point enters once more. The places at which words are first seen
+    are one sorted array a row, and the curve counts them, so nothing is shuffled.
     """
-    words = docs.select(id_col, F.posexplode_outer(tokens(F.col(text_col))).alias("at", "word"))
-    by_doc = Window.partitionBy(id_col)
-    first = F.row_number().over(Window.partitionBy(id_col, "word").orderBy("at")) == 1
-    grown = F.sum(F.when(F.col("first") & F.col("word").isNotNull(), 1).otherwise(0)).over(
-        by_doc.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    )
-    curve = words.withColumn("first", first).withColumn("v", grown).withColumn("n", F.count("word").over(by_doc))
-    step = F.greatest(F.lit(1), F.floor(F.col("n") / points))
-    last = F.col("at") == F.col("n") - 1
-    times = F.when(F.col("at") % step == 0, 1).otherwise(0) + F.when(last, 1).otherwise(0)
-    sampled = curve.withColumn("times", F.when(F.col("n") < 20, 1).otherwise(times)).where("times > 0")
-    sampled = sampled.select(id_col, "n", F.log(F.col("at") + 1).alias("x"), F.log("v").alias("y"), F.explode_outer(F.sequence(F.lit(1), F.col("times"))))
-    fit = sampled.groupBy(id_col).agg(
-        F.max("n").alias("n"),
-        F.regr_slope("y", "x").alias("beta"),
-        F.regr_intercept("y", "x").alias("start"),
-        F.regr_r2("y", "x").alias("r2"),
-        F.var_pop("y").alias("spread"),
-    )
-    short = F.col("n") < 20
-    return fit.select(
+    total = lambda values: F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
+    row = docs.select(id_col, tokens(F.col(text_col)).alias("w"))
+    row = row.select(id_col, F.size("w").alias("n"), let(F.col("w"), lambda w: F.array_sort(F.transform(_runs(w), lambda r: r["first"]))).alias("firsts"))
+    n, short = F.col("n"), F.col("n") < 20
+    at = F.concat(F.sequence(F.lit(0), n - 1, F.greatest(F.lit(1), F.floor(n / points)).cast("int")), F.array(n - 1))
+    curve = F.transform(at, lambda i: F.struct(F.log(i + 1).alias("x"), F.log(_not_above(F.col("firsts"), i)).alias("y")))
+
+    def fit(curve: Column) -> Column:
+        mean = lambda k: total(F.transform(curve, lambda p: p[k])) / F.size(curve)
+
+        def sums(m: Column) -> Column:
+            over = lambda j, k: total(F.transform(curve, lambda p: (p[j] - m[j]) * (p[k] - m[k])))
+            return F.struct(m.alias("m"), over("x", "x").alias("xx"), over("x", "y").alias("xy"), over("y", "y").alias("yy"))
+
+        return let(F.struct(mean("x").alias("x"), mean("y").alias("y")), sums)
+
+    fitted = row.select(id_col, "n", F.when(~short, let(curve, fit)).alias("f"))
+    beta = F.col("f.xy") / F.col("f.xx")
+    return fitted.select(
         id_col,
-        F.when(short, F.lit(1.0)).otherwise(F.round(F.exp("start"), 4)).alias("k"),
-        F.when(short, F.lit(0.5)).otherwise(F.round("beta", 4)).alias("beta"),
-        F.when(short | (F.col("spread") <= 0), F.lit(0.0)).otherwise(F.round("r2", 4)).alias("r2"),
+        F.when(short, F.lit(1.0)).otherwise(F.round(F.exp(F.col("f.m.y") - beta * F.col("f.m.x")), 4)).alias("k"),
+        F.when(short, F.lit(0.5)).otherwise(F.round(beta, 4)).alias("beta"),
+        F.when(short | (F.col("f.yy") <= 0), F.lit(0.0)).otherwise(F.round(F.col("f.xy") * F.col("f.xy") / (F.col("f.xx") * F.col("f.yy")), 4)).alias("r2"),
     )
 
 
@@ -173,16 +187,24 @@ def delta_ranking(targets: DataFrame, references: DataFrame, target_col: str) ->
     """Burrows' Delta of targets (``target_col, feature, freq``) to references (``label, ref, feature, freq``).
 
     Frequencies are z-scored by the references' mean and population deviation (0 counts as 1e-6); the distance is the
-    mean absolute difference, averaged per label; labels are ranked by distance, then name. Reference
-    statistics have one row a feature and are computed once.
+    mean absolute difference, averaged per label; labels are ranked by distance, then name. Every target and reference is one
+    array of scores; references come in blocks of ``BLOCK``, so a task holds one block, and no row is made for a feature of a pair.
     """
     stats = references.groupBy("feature").agg(F.avg("freq").alias("mean"), F.stddev_pop("freq").alias("std"))
     stats = stats.withColumn("std", F.when(F.col("std") == 0, 1e-6).otherwise(F.col("std")))
-    z = lambda df: df.join(stats, "feature").withColumn("z", (F.col("freq") - F.col("mean")) / F.col("std"))
-    left = z(targets).select(target_col, "feature", F.col("z").alias("zt"))
-    right = z(references).select("label", "ref", "feature", F.col("z").alias("zr"))
-    each = left.join(right, "feature").groupBy(target_col, "label", "ref").agg(F.avg(F.abs(F.col("zt") - F.col("zr"))).alias("d"))
-    each = each.withColumn("d", F.round("d", 9))
+
+    def scores(df: DataFrame, keys: list[str]) -> DataFrame:
+        scored = df.join(F.broadcast(stats), "feature")  # one row a feature
+        part = F.struct("feature", ((F.col("freq") - F.col("mean")) / F.col("std")).alias("z"))
+        return scored.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["z"]).alias("z"))
+
+    right = scores(references, ["label", "ref"])
+    blocks = max(1, -(-right.count() // BLOCK))
+    held = right.select(F.pmod(F.xxhash64("label", "ref"), F.lit(blocks)).alias("_block"), F.struct("label", "ref", "z").alias("r")).groupBy("_block").agg(F.collect_list("r").alias("rs"))
+    left = scores(targets, [target_col]).select(target_col, "z", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("_block"))
+    gap = lambda r: F.aggregate(F.zip_with("z", r["z"], lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, v: s + v) / F.size("z")
+    found = left.join(held, "_block").select(target_col, F.explode(F.transform("rs", lambda r: F.struct(r["label"].alias("label"), r["ref"].alias("ref"), F.round(gap(r), 9).alias("d")))).alias("e"))
+    each = found.select(target_col, "e.*")
     per = each.groupBy(target_col, "label").agg(
         F.round(F.avg("d"), 6).alias("distance"), F.min(F.struct("d", "ref"))["ref"].alias("nearest")
     )

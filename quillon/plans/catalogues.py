@@ -26,12 +26,12 @@ def format_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("kind", "format").agg(F.count("*").alias("n"))
 
 
-@query("""WITH d AS (SELECT doc_id, doc_id % 10 AS folder FROM documents WHERE doc_id < 400)
+@query("""WITH d AS (SELECT doc_id, doc_id % 10 AS folder FROM documents)
 SELECT folder, 'd' || doc_id AS stem, 'f' || folder || '/d' || doc_id || '.xml' AS path, NULL::VARCHAR AS text_path FROM d WHERE folder IN (0, 1) AND doc_id % 4 < 2
 UNION ALL SELECT folder, 'd' || doc_id, 'f' || folder || '/d' || doc_id || '.png', 'f' || folder || '/d' || doc_id || '.gt.txt' FROM d WHERE folder NOT IN (0, 1) AND doc_id % 3 <> 0""")
 def ground_truth_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Folders with XML documents, and folders of images with texts."""
-    d = table(spark, sf_dir, "documents").where("doc_id < 400").select("doc_id", (F.col("doc_id") % 10).alias("folder"))
+    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 10).alias("folder"))
     k, xml = F.col("doc_id"), F.col("folder").isin(0, 1)
     endings = F.array_compact(F.array(F.when(xml & (k % 4 < 2), ".xml"), F.lit(".png"), F.when(k % 3 != 0, ".gt.txt")))
     name = F.concat(F.lit("d"), k.cast("string"), F.col("e"))

@@ -171,10 +171,12 @@ def title_genres(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.join(kept, "p_partkey").join(over, "p_partkey")
 
 
-@query("""SELECT DISTINCT p_brand AS provider, p_type AS model FROM part WHERE p_size < 3 OR p_size > 48""")
+@query("""SELECT DISTINCT p_brand AS provider, p_type AS model FROM part UNION SELECT DISTINCT c_mktsegment, 'model ' || (c_custkey % 40) FROM customer""")
 def model_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "part").select("p_size", F.col("p_brand").alias("provider"), F.col("p_type").alias("model"))
-    return C.model_choices(rows.where("p_size < 3"), rows.where("p_size > 48"), "provider", "model")
+    """Models of two listings together, each once."""
+    listed = table(spark, sf_dir, "part").select(F.col("p_brand").alias("provider"), F.col("p_type").alias("model"))
+    named = F.concat(F.lit("model "), (F.col("c_custkey") % 40).cast("string"))
+    return C.model_choices(listed, table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("provider"), named.alias("model")), "provider", "model")
 
 
 @query("""SELECT p_brand, arg_max(p_name, (coalesce(CASE WHEN p_partkey % 3 <> 0 THEN p_size END, 0), p_partkey)) AS name, arg_max(p_type, (coalesce(CASE WHEN p_partkey % 3 <> 0 THEN p_size END, 0), p_partkey)) AS preset FROM part WHERE p_partkey % 7 <> 0 GROUP BY p_brand""")
@@ -281,14 +283,14 @@ def slug_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.by_name_or_slug(wanted, listed, "name", "dir")
 
 
-@query("""WITH m AS (SELECT 'model ' || s_suppkey AS model, CASE s_suppkey % 3 WHEN 0 THEN 'en,de' WHEN 1 THEN '*' ELSE 'fr' END AS languages, CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE 'early' END AS eras, (s_suppkey % 31) / 100.0::DOUBLE AS cer FROM supplier WHERE s_suppkey <= 20),
+@query("""WITH m AS (SELECT 'model ' || s_suppkey AS model, CASE s_suppkey % 3 WHEN 0 THEN 'en,de' WHEN 1 THEN '*' ELSE 'fr' END AS languages, CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE 'early' END AS eras, (s_suppkey % 31) / 100.0::DOUBLE AS cer FROM supplier),
 w AS (SELECT doc_id AS job_id, lang, CASE WHEN doc_id % 2 = 0 THEN 'early' ELSE 'late' END AS era, CASE WHEN doc_id % 10 = 0 THEN 'model ' || (doc_id % 30) END AS want FROM documents WHERE lang IS NOT NULL),
 j AS (SELECT job_id, model, cer, coalesce(want = model, false) AS own, list_contains(string_split(languages, ','), lang) AS nl, list_contains(string_split(eras, ','), era) AS ne FROM w JOIN m ON want = model OR ((languages = '' OR list_contains(string_split(languages, ','), '*') OR list_contains(string_split(languages, ','), lang)) AND (eras = '' OR list_contains(string_split(eras, ','), '*') OR list_contains(string_split(eras, ','), era)))),
 b AS (SELECT job_id, arg_min({'m': model, 'o': own}, (-own::INT, -nl::INT, -ne::INT, cer, model)) AS k FROM j GROUP BY job_id) SELECT job_id, k.m AS model, CASE WHEN k.o THEN 'name' ELSE 'criteria' END AS how FROM b""")
 def registry_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Models of a registry by name, else by language and era."""
     k = F.col("s_suppkey")
-    registry = table(spark, sf_dir, "supplier").where("s_suppkey <= 20").select(
+    registry = table(spark, sf_dir, "supplier").select(
         F.concat(F.lit("model "), k.cast("string")).alias("name"), F.when(k % 3 == 0, "en,de").when(k % 3 == 1, "*").otherwise("fr").alias("languages"), F.when(k % 4 == 0, "").otherwise("early").alias("eras"), ((k % 31) / 100).alias("cer")
     )
     d = F.col("doc_id")

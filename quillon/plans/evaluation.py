@@ -212,18 +212,18 @@ def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.compare_lines(refs, hyps, "page", 60.0)
 
 
-_POSITIONS = ["Main Text", "right-margin note", "Headers", "Table Row", "Bylines", "Top  Left", "marginalia", "Main-Body", "corner note", "page--number", "bottom_corner_x"]
+_POSITIONS = ["Main Text", "right-margin note", "Headers", "Table Row", "Bylines", "Top  Left", "marginalia", "Main-Body", "corner note", "page--number", "bottom_corner_x", "top_left_margins", "Upper Left Margins", "lower-right corners", "corners", "glosses"]
 
 
 @query(r"""
-SELECT event_id, CASE event_id % 12 WHEN 0 THEN 'Main Text' WHEN 1 THEN 'margin_right' WHEN 2 THEN 'header' WHEN 3 THEN 'table_row' WHEN 4 THEN 'body' WHEN 5 THEN 'margin_top' WHEN 6 THEN 'margin_left' WHEN 7 THEN 'body'
-  WHEN 8 THEN 'corner note' WHEN 9 THEN 'footer' WHEN 10 THEN 'margin_bottom' ELSE event_type END AS position FROM events
+SELECT event_id, CASE event_id % 17 WHEN 0 THEN 'Main Text' WHEN 1 THEN 'margin_right' WHEN 2 THEN 'header' WHEN 3 THEN 'table_row' WHEN 4 THEN 'body' WHEN 5 THEN 'margin_top' WHEN 6 THEN 'margin_left' WHEN 7 THEN 'body'
+  WHEN 8 THEN 'corner note' WHEN 9 THEN 'footer' WHEN 10 THEN 'margin_bottom' WHEN 11 THEN 'margin_left' WHEN 12 THEN 'margin_left' WHEN 13 THEN 'margin_right' WHEN 14 THEN 'corners' WHEN 15 THEN 'glosses' ELSE event_type END AS position FROM events
 """)
 def position_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positions as they are written, in the protocol's names; what is unknown stays."""
     raw = F.col("event_type")
     for i, value in enumerate(_POSITIONS):
-        raw = F.when(F.col("event_id") % 12 == i, value).otherwise(raw)
+        raw = F.when(F.col("event_id") % 17 == i, value).otherwise(raw)
     return table(spark, sf_dir, "events").select("event_id", P.position(raw).alias("position"))
 
 
@@ -239,17 +239,14 @@ def protocol_fixup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("needs_note", F.col("n_uncertain") / F.greatest("n_words", F.lit(1)) > 0.30)
 
 
-#: Model registry rows of our own: name, languages, eras, round, error rate.
-_MODELS = [("general", "", "*", "r2", 0.159), ("latin_a", "la", "13,14", "r5", 0.071), ("french_a", "fr,la", "15", "r3", 0.093), ("german_a", "de", "15,16", "c1", 0.057), ("all_b", "*", "", "r7", 0.12)]
-_WANTED = [(1, "la", "14"), (2, "fr", "15"), (3, "de", "12"), (4, "es", "16")]
-
-
-def _values(rows) -> str:
-    return ", ".join("(" + ", ".join(repr(v) for v in r) + ")" for r in rows)
+_REGISTRY = """
+m AS (SELECT s_name AS name, CASE s_suppkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'la' WHEN 2 THEN 'fr,la' WHEN 3 THEN 'de' ELSE '*' END AS languages, CASE s_suppkey % 4 WHEN 0 THEN '*' WHEN 1 THEN '13,14' WHEN 2 THEN '15,16' ELSE '' END AS eras,
+  CASE s_suppkey % 3 WHEN 0 THEN 'c1' ELSE 'r' || (s_suppkey % 9) END AS round, (s_suppkey % 37) / 100.0::DOUBLE AS cer FROM supplier),
+w AS (SELECT n_nationkey AS job_id, CASE n_nationkey % 4 WHEN 0 THEN 'la' WHEN 1 THEN 'fr' WHEN 2 THEN 'de' ELSE 'es' END AS lang, CASE n_nationkey % 3 WHEN 0 THEN '14' WHEN 1 THEN '15' ELSE '12' END AS era FROM nation)"""
 
 
 @query(f"""
-WITH m(name, languages, eras, round, cer) AS (VALUES {_values(_MODELS)}), w(job_id, lang, era) AS (VALUES {_values(_WANTED)}),
+WITH {_REGISTRY},
 c AS (SELECT job_id, name, cer, CASE WHEN regexp_matches(round, '^r[0-9]+$') THEN CAST(substr(round, 2) AS INTEGER) ELSE 0 END AS rnd,
   list_contains(string_split(languages, ','), lang) AS has_lang, list_contains(string_split(eras, ','), era) AS has_era,
   languages = '' OR list_contains(string_split(languages, ','), '*') OR list_contains(string_split(languages, ','), lang) AS ok_lang,
@@ -257,8 +254,14 @@ c AS (SELECT job_id, name, cer, CASE WHEN regexp_matches(round, '^r[0-9]+$') THE
 SELECT CAST(job_id AS BIGINT) AS job_id, name, row_number() OVER (PARTITION BY job_id ORDER BY (ok_lang AND ok_era)::INT DESC, has_lang::INT DESC, has_era::INT DESC, rnd DESC, cer, name) AS rank FROM c
 """)
 def registry_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    models = spark.createDataFrame(_MODELS, "name string, languages string, eras string, round string, cer double")
-    wanted = spark.createDataFrame(_WANTED, "job_id long, lang string, era string")
+    """Suppliers as models of a registry, ranked for the jobs of every nation."""
+    k, n = F.col("s_suppkey"), F.col("n_nationkey")
+    pick = lambda key, *values: F.element_at(F.array(*map(F.lit, values)), (key % len(values) + 1).cast("int"))
+    models = table(spark, sf_dir, "supplier").select(
+        F.col("s_name").alias("name"), pick(k, "", "la", "fr,la", "de", "*").alias("languages"), pick(k, "*", "13,14", "15,16", "").alias("eras"),
+        F.when(k % 3 == 0, "c1").otherwise(F.concat(F.lit("r"), (k % 9).cast("string"))).alias("round"), ((k % 37) / 100).alias("cer"),
+    )
+    wanted = table(spark, sf_dir, "nation").select(n.cast("long").alias("job_id"), pick(n, "la", "fr", "de", "es").alias("lang"), pick(n, "14", "15", "12").alias("era"))
     return search.rank_models(models, wanted)
 
 

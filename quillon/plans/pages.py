@@ -56,12 +56,12 @@ def figure_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.anchors(kept, centres, "page").select("page", "figure", "label", "anchor")
 
 
-@query("""WITH l AS (SELECT o_orderkey AS page, unnest(range(1, 31)) AS line_no FROM orders WHERE o_orderkey % 50 = 1),
+@query("""WITH l AS (SELECT o_orderkey AS page, unnest(range(1, 31)) AS line_no FROM orders),
 s AS (SELECT l_orderkey AS page, l_linenumber AS segment, CAST(l_quantity AS INT) % 20 AS lo, CAST(l_quantity AS INT) % 20 + l_linenumber * 2 AS hi FROM lineitem)
-SELECT page, CAST(line_no AS INT) AS line_no, (SELECT min(segment) FROM s WHERE s.page = l.page AND lo <= line_no AND line_no <= hi) AS segment FROM l""")
+SELECT l.page, CAST(l.line_no AS INT) AS line_no, min(s.segment) FILTER (s.lo <= l.line_no AND l.line_no <= s.hi) AS segment FROM l LEFT JOIN s ON s.page = l.page GROUP BY l.page, l.line_no""")
 def line_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first segment that covers each line of a page."""
-    lines = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 1").select(F.col("o_orderkey").alias("page"), F.explode(F.sequence(F.lit(1), F.lit(30))).alias("line_no"))
+    lines = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("page"), F.explode(F.sequence(F.lit(1), F.lit(30))).alias("line_no"))
     lo = F.col("l_quantity").cast("int") % 20
     segments = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), F.col("l_linenumber").alias("segment"), lo.alias("lo"), (lo + F.col("l_linenumber") * 2).alias("hi"))
     return P.first_covering(lines, segments, "page")

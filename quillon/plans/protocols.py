@@ -60,7 +60,7 @@ def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"""WITH t AS (SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN regexp_replace(text, '(\S+) (\S+)', '[uncertain: \1 / \2]', 'g') ELSE text END AS text FROM conversations), j AS (SELECT conv_id, array_to_string(list(coalesce(text, '') ORDER BY turn), ' ') AS x FROM t GROUP BY conv_id),
 n AS (SELECT conv_id, len(regexp_extract_all(x, '(?i)\[uncertain:')) AS u, len(regexp_extract_all(regexp_replace(x, '\[uncertain:[^\]]*\]', ' u ', 'g'), '\S+')) AS w FROM j)
 SELECT conv_id, CAST(u AS BIGINT) AS n_uncertain, CAST(w AS BIGINT) AS n_words, CASE WHEN conv_id % 9 = 0 THEN '{}' WHEN conv_id % 4 <> 0 THEN '{"passCount":2,"segmentsAltered":0}' END AS pass_summary,
-  CASE WHEN conv_id % 2 = 0 THEN 'a note of more than twenty characters' WHEN w > 0 AND u / w > 0.30 THEN 'High abbreviation density and ambiguous letterforms in ' || CASE WHEN conv_id % 5 = 0 THEN 'Latn' ELSE 'the script' END || ' produce systematic reading uncertainty; conservative marking applied.' END AS notes FROM n""")
+  CASE WHEN conv_id % 2 = 0 THEN 'a note of more than twenty characters' WHEN w > 0 AND u / w > 0.30 THEN 'More than three in ten words could not be read for sure (script: ' || CASE WHEN conv_id % 5 = 0 THEN 'Latn' ELSE 'not named' END || '); they are marked and left as they stand.' END AS notes FROM n""")
 def protocol_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Summary stubs, and notes where uncertain readings flood a document without one."""
     rows = P.fix_up(_turns(spark, sf_dir), "segments", "notes", "script", "mismatches", "summary")
@@ -73,8 +73,8 @@ def protocol_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _turns(spark, sf_dir).where("conv_id % 3 <> 0").select("conv_id", P.plain_text(F.col("segments")).alias("text"))
 
 
-@query("""WITH p AS (SELECT conv_id, turn, 'backend ' || turn AS b, CASE WHEN turn % 4 = 3 THEN 'backend ' || turn || ': failed (no model).' WHEN trim(text) <> '' THEN '--- backend ' || turn || ' (machine draft, ' || len(string_split(text, chr(10))) || ' lines, tier=' || CASE WHEN turn % 2 = 0 THEN 'high' ELSE 'n/a' END || ') ---' || chr(10) || CASE WHEN length(trim(text)) > 60 THEN left(trim(text), 60) || chr(10) || '[... truncated ...]' ELSE trim(text) END END AS part FROM conversations)
-SELECT conv_id, 'Machine drafts (for cross-check only):' || chr(10) || array_to_string(list(part ORDER BY b), chr(10)) AS hint FROM p WHERE part IS NOT NULL GROUP BY conv_id""")
+@query("""WITH p AS (SELECT conv_id, turn, 'backend ' || turn AS b, CASE WHEN turn % 4 = 3 THEN '[backend ' || turn || '] gave nothing: no model' WHEN trim(text) <> '' THEN '[backend ' || turn || '] ' || len(string_split(text, chr(10))) || ' lines, sure: ' || CASE WHEN turn % 2 = 0 THEN 'high' ELSE '?' END || chr(10) || CASE WHEN length(trim(text)) > 60 THEN left(trim(text), 60) || chr(10) || '(cut here)' ELSE trim(text) END END AS part FROM conversations)
+SELECT conv_id, 'Readings by machine, to compare with:' || chr(10) || array_to_string(list(part ORDER BY b), chr(10)) AS hint FROM p WHERE part IS NOT NULL GROUP BY conv_id""")
 def draft_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Machine drafts of a page as one hint, cut at sixty characters."""
     turn = F.col("turn")

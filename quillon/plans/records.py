@@ -11,14 +11,15 @@ from quillon.sources import files
 
 
 @query("""
-WITH l AS (SELECT DISTINCT p_brand AS stem FROM part), r AS (SELECT 'Brand#' || i AS r_stem, 'gt/' || i AS path FROM (SELECT unnest([1, 2, 11, 12, 3]) AS i)),
+WITH l AS (SELECT DISTINCT p_brand AS stem FROM part), r AS (SELECT DISTINCT 'Brand#' || (s_suppkey % 23) AS r_stem, 'gt/' || (s_suppkey % 23) AS path FROM supplier),
 e AS (SELECT stem, path, 'exact' AS how FROM l JOIN r ON stem = r_stem),
 p AS (SELECT stem, min(path) AS path, 'prefix' AS how FROM l JOIN r ON starts_with(stem, r_stem) OR starts_with(r_stem, stem) WHERE stem NOT IN (SELECT stem FROM e) GROUP BY stem)
 SELECT * FROM e UNION ALL SELECT * FROM p
 """)
 def stem_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = table(spark, sf_dir, "part").select(F.col("p_brand").alias("stem")).distinct()
-    right = spark.createDataFrame([(f"Brand#{i}", f"gt/{i}") for i in (1, 2, 11, 12, 3)], "stem string, path string")
+    number = (F.col("s_suppkey") % 23).cast("string")
+    right = table(spark, sf_dir, "supplier").select(F.concat(F.lit("Brand#"), number).alias("stem"), F.concat(F.lit("gt/"), number).alias("path")).distinct()
     return R.match_stems(left, right, "stem", "path")
 
 
