@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillon.plans import catalogues, classification, corpora, curation, evaluation, forms, genre, layout, pages, protocols, records, registry, stylometry, surface  # noqa: F401  (query modules register themselves)
+from quillon.plans import catalogues, classification, corpora, curation, evaluation, forms, genre, layout, pages, protocols, records, registry, smallforms, stylometry, surface  # noqa: F401  (query modules register themselves)
 
 
 def queries() -> dict:
