@@ -1,17 +1,17 @@
 """Toxicity by class-conditional Kneser-Ney language models over letters.
 
-Two interpolated Kneser-Ney models, one of toxic and one of ordinary labelled texts, share their lower
-order: an n-gram that a class has seen rarely falls back on continuation counts pooled over both classes, so rare
-expressions weigh only as much as the class evidence carries. A text's log-likelihood ratio is the sum
-over its letters, normalised by length; because toxic wording is a few words in a long text, the same
-ratio is also taken over the text's hottest expressions (words). A logistic curve over these ratios,
-fitted on labelled rows that the counts have not seen, gives the score.
-
-Counts are kept by the exact letters: five of context and the next one, whatever their alphabet, so no two contexts
-share a count, and the table grows with the labelled text. It is counted and turned into ratios in the cluster, and
-texts are scored against it in blocks of at most ``BLOCK_ROWS`` rows, of which a worker holds one at a time. The
-curve is fitted on at most ``max_calibration_rows`` rows of one fold with counts of the others; the counts that texts
-are then scored with cover every labelled row outside the held-out fold.
+Two interpolated Kneser-Ney models, one of toxic and one of ordinary labelled texts: after four letters a class's
+own counts, then its continuation counts after two letters, then continuation counts after one letter that both
+classes share. An n-gram that a class has seen rarely falls back on the lower orders, so rare expressions weigh only as
+much as the class evidence carries. A text's log-likelihood ratio is the sum over its letters, normalised by length;
+because toxic wording is a few words in a long text, the same ratio is also taken over the text's hottest expressions
+(words). A logistic curve over these ratios gives the score. The curve is cross-fitted: every labelled row is measured
+with counts that leave out the rows of its own fold (at most ``max_calibration_rows`` rows), while texts are scored with the
+counts of all labelled rows outside the held-out fold.
+
+Counts are kept by the exact letters, whatever their alphabet, so no two contexts share a count, and the table grows with the
+labelled text. It is counted and turned into ratios in the cluster, for every fold left out and for all in one pass, and texts are
+scored against it in blocks of at most ``BLOCK_ROWS`` rows, of which a worker holds one at a time.
 """
 
 from __future__ import annotations
@@ -28,9 +28,8 @@ from pyspark.sql import functions as F
 
 from quillon.llm._common import map_arrow, maybe_among, stash, table
 
-CONTEXT_BITS = 18
 DISCOUNT = 0.75
-FOLDS, HELD_OUT_FOLD, CALIBRATION_FOLD = 5, 0, 4
+FOLDS, HELD_OUT_FOLD = 5, 0
 MAX_CALIBRATION_ROWS = 20_000
 #: Rows of the table of ratios that are held at once, and letters that are counted or scored together.
 BLOCK_ROWS, CHUNK_LETTERS = 2_000_000, 1 << 20
@@ -39,21 +38,11 @@ BLOCK_ROWS, CHUNK_LETTERS = 2_000_000, 1 << 20
 _LETTER = 21
 _ANY = (1 << _LETTER) - 1
 
-_HASHED = CONTEXT_BITS - 5
-_CELLS = 1 << (CONTEXT_BITS + 5)
-
-
-@lru_cache(maxsize=1)
-def _letter_classes() -> np.ndarray:
-    """Class of each code point: 1-26 the letters a-z, 27-31 other letters, 0 all else."""
-    classes = np.zeros(0x110000, np.uint8)
-    for c in range(128, 0x110000):
-        if not 0xD800 <= c < 0xE000 and chr(c).isalpha():
-            low = chr(c).lower()
-            classes[c] = 27 + (ord(low[0]) * 2654435761 >> 8) % 5
-    for i in range(26):
-        classes[97 + i] = classes[65 + i] = i + 1
-    return classes
+#: High part of the rows of the lower order, whose context is the two letters in the low part.
+_LOWER = -1
+#: Folds that a row of ratios leaves out, and the last one that leaves out none.
+_LEFT_OUT = [f for f in range(FOLDS) if f != HELD_OUT_FOLD] + [None]
+_CLASSES = ("ordinary", "toxic")
 
 
 @lru_cache(maxsize=1)
@@ -67,14 +56,14 @@ def _letters() -> np.ndarray:
 
 
 def letter_keys(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """For every letter (and word end, 0) of a text: the first three letters of its context; the last two and itself."""
+    """For every letter (and word end, 0) of a text: the first two letters of its context; the last two and itself."""
     s = _letters()[np.frombuffer((text or "").encode("utf-32-le"), np.uint32)]
     keep = s != 0
     keep[1:] |= s[:-1] != 0
-    s = np.concatenate([np.zeros(5, np.int64), s[keep].astype(np.int64)])
-    n = len(s) - 5
-    three = lambda at: (s[at : at + n] << 2 * _LETTER) | (s[at + 1 : at + 1 + n] << _LETTER) | s[at + 2 : at + 2 + n]
-    return three(0), three(3)
+    s = np.concatenate([np.zeros(4, np.int64), s[keep].astype(np.int64)])
+    n = len(s) - 4
+    high = (s[:n] << _LETTER) | s[1 : 1 + n]
+    return high, (s[2 : 2 + n] << 2 * _LETTER) | (s[3 : 3 + n] << _LETTER) | s[4 : 4 + n]
 
 
 def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
@@ -96,7 +85,8 @@ def _spread(high: np.ndarray, low: np.ndarray) -> np.ndarray:
 
 
 class RatioBlock:
-    """Ratios of some contexts by their exact letters; rows in the order of a hash, with the first row of each slot."""
+    """Ratios of some contexts by their exact letters, one column for each fold left out and one for none; rows in the order of
+    a hash, with the first row of each slot."""
 
     def __init__(self, high: np.ndarray, low: np.ndarray, ratio: np.ndarray):
         bits = max(1, int(2 * len(high)).bit_length())
@@ -121,77 +111,55 @@ class RatioBlock:
             left, at = left[on], at[on]
         return out
 
-    def ratios(self, high: np.ndarray, low: np.ndarray) -> np.ndarray:
-        """Ratio of each letter; a letter not seen after its context has the context's; 0 without the context."""
-        row = self._find(high, low)
-        rest = np.flatnonzero(row < 0)
-        row[rest] = self._find(high[rest], low[rest] | _ANY)
-        return np.where(row >= 0, self.ratio[row] if len(self.ratio) else 0, 0).astype(np.float64)
-
-
-def cells(text: str | None) -> np.ndarray:
-    """Cell of every letter (and word end) of a text, in order, in a small table of hashed contexts (for :func:`log_ratios`)."""
-    s = _letter_classes()[np.frombuffer((text or "").encode("utf-32-le"), np.uint32)]
-    keep = s != 0
-    keep[1:] |= s[:-1] != 0
-    s = np.concatenate([np.zeros(5, np.uint64), s[keep].astype(np.uint64)])
-    n, five = len(s) - 5, np.uint64(5)
-    h = (((s[:n] << five | s[1 : n + 1]) << five | s[2 : n + 2]) << five) | s[3 : n + 3]
-    h = (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _HASHED)
-    return (((s[4 : n + 4] << np.uint64(_HASHED)) | h) << five | s[5 : n + 5]).astype(np.int64)
-
-
-def log_ratios(counts: np.ndarray, discount: float = DISCOUNT) -> np.ndarray:
-    """log p(letter | context, toxic) - log p(letter | context, ordinary) for every cell of a small table: the rule
-    of :func:`ratio_table` written out densely (scoring does not use it).
-
-    ``counts``: (2, cells), ordinary first. p = max(c - D, 0) / c(h) + D * N(h) / c(h) * shared, where N(h)
-    counts the letters that a class has seen after h, and shared is the continuation distribution of both.
-    """
-    c = counts.reshape(2, 1 << CONTEXT_BITS, 32)
-    seen = (c[0] > 0) | (c[1] > 0)
-    last = np.arange(1 << CONTEXT_BITS) >> _HASHED
-    continuations = seen.reshape(32, 1 << _HASHED, 32).sum(axis=1).astype(np.float64)
-    shared = ((continuations + 0.5) / (continuations.sum(1, keepdims=True) + 16)).astype(np.float32)
-    out = np.zeros((1 << CONTEXT_BITS, 32), np.float32)
-    step = 1 << 14
-    for at in range(0, 1 << CONTEXT_BITS, step):
-        base, part = shared[last[at : at + step]], []
-        for k in (0, 1):
-            x = c[k, at : at + step].astype(np.float32)
-            total, types = x.sum(1, keepdims=True), (x > 0).sum(1, keepdims=True)
-            p = (np.maximum(x - discount, 0) + discount * types * base) / np.maximum(total, 1)
-            part.append(np.log(np.where(total > 0, p, base)))
-        out[at : at + step] = part[1] - part[0]
-    return out.ravel().astype(np.float16)
+    def ratios(self, high: np.ndarray, low: np.ndarray, column: int) -> tuple[np.ndarray, np.ndarray]:
+        """What this block says of each letter: the ratio after its whole context (NaN where it is not known), and what its
+        context and the lower order give otherwise (0 where they are in other blocks)."""
+        if not len(self.ratio):
+            return np.full(len(high), np.nan), np.zeros(len(high))
+        of = lambda h, w: np.where((row := self._find(h, w)) >= 0, self.ratio[row, column].astype(np.float64), np.nan)
+        exact, rest = of(high, low), np.zeros(len(high))
+        left = np.flatnonzero(np.isnan(exact))
+        lower = np.full(len(left), _LOWER, np.int64)
+        under = of(lower, low[left])
+        unknown = np.isnan(under)
+        under[unknown] = of(lower[unknown], low[left][unknown] | _ANY)
+        rest[left] = np.nan_to_num(of(high[left], low[left] | _ANY)) + np.nan_to_num(under)
+        return exact, rest
+
+
+def letter_ratios(high: np.ndarray, low: np.ndarray, blocks: list[Broadcast], column: int) -> np.ndarray:
+    """Ratio of every letter, with one block after the other."""
+    exact, rest = np.full(len(high), np.nan), np.zeros(len(high))
+    for block in blocks:
+        own, other = block.value.ratios(high, low, column)
+        exact, rest = np.where(np.isnan(exact), own, exact), rest + other
+        if len(blocks) > 1:
+            block.__dict__.pop("_value", None)  # read again when its turn comes
+    return np.where(np.isnan(exact), rest, exact)
 
 
 def features(letters: np.ndarray, ratios: np.ndarray) -> list[float]:
-    """Length-normalised ratio; ratio of the hottest expression, of the three hottest; log of the length."""
+    """Length-normalised ratio; ratios of the hottest expression, of the three and of the ten hottest (means), and of the one that
+    nine in ten do not reach; log of the number of expressions."""
     n = len(letters)
     if not n:
-        return [0.0] * 4
+        return [0.0] * 6
     sums = np.concatenate([[0.0], np.cumsum(ratios)])
     edges = np.concatenate([[0], np.flatnonzero(letters == 0) + 1, [n]])
-    words = np.diff(sums[np.unique(edges)])
-    top = np.sort(words)[-3:]
-    return [sums[-1] / n, float(top[-1]), float(top.sum()) / 3, float(np.log1p(len(words)))]
+    words = np.sort(np.diff(sums[np.unique(edges)]))
+    return [sums[-1] / n, float(words[-1]), float(words[-3:].sum()) / 3, float(words[-10:].mean()), float(words[9 * len(words) // 10]), float(np.log1p(len(words)))]
 
 
-def all_features(texts: list[str | None], blocks: list[Broadcast]) -> np.ndarray:
-    """Features of each text, with one block of ratios after the other."""
+def all_features(texts: list[str | None], blocks: list[Broadcast], column: int = -1) -> np.ndarray:
+    """Features of each text, by the ratios that leave out one fold or (the last column) none."""
     out = []
     for start, end in _chunks(texts):
         keys = [letter_keys(t) for t in texts[start:end]]
         high, low = (np.concatenate(k) for k in zip(*keys, strict=True))
-        ratios = np.zeros(len(high))
-        for block in blocks:
-            ratios += block.value.ratios(high, low)
-            if len(blocks) > 1:
-                block.__dict__.pop("_value", None)  # read again when its turn comes
+        ratios = letter_ratios(high, low, blocks, column)
         edges = np.cumsum([len(k[0]) for k in keys])[:-1]
         out += [features(a & _ANY, r) for a, r in zip(np.split(low, edges), np.split(ratios, edges), strict=True)]
-    return np.array(out).reshape(-1, 4)
+    return np.array(out).reshape(-1, 6)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -216,70 +184,78 @@ def fold(id_col: str, folds: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % folds
 
 
+def _count(kind: str, fold: int) -> str:
+    return f"{kind}_{fold}"
+
+
 def class_counts(labelled: DataFrame) -> DataFrame:
-    """``high, low, ordinary, toxic``: how often each class has each letter after each context, over all rows of
-    ``labelled`` (text, toxic)."""
+    """``high, low`` and a count for each class and fold (``ordinary_1`` ..): how often each letter follows each context, over all
+    rows of ``labelled`` (text, toxic, fold)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, marks = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            texts, marks, folds = (c.to_pylist() for c in batch.columns)
             for start, end in _chunks(texts):
                 keys = [letter_keys(t) for t in texts[start:end]]
                 high, low = (np.concatenate(k) for k in zip(*keys, strict=True))
-                toxic = np.repeat(np.array(marks[start:end], bool), [len(k[0]) for k in keys])
-                order = np.lexsort((low, high))
-                high, low, toxic = high[order], low[order], toxic[order]
+                kind = np.repeat(np.array([2 * f + m for f, m in zip(folds[start:end], marks[start:end], strict=True)]), [len(k[0]) for k in keys])
+                order = np.lexsort((kind, low, high))
+                high, low, kind = high[order], low[order], kind[order]
                 new = np.ones(len(high), bool)
-                new[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
+                new[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1]) | (kind[1:] != kind[:-1])
                 first = np.flatnonzero(new)
-                if not len(first):
-                    continue
-                n, bad = np.diff(np.append(first, len(high))), np.add.reduceat(toxic.astype(np.int64), first)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(high[first]), pa.array(low[first]), pa.array(n - bad), pa.array(bad)],
-                    names=["high", "low", "ordinary", "toxic"],
-                )
+                if len(first):
+                    columns = (high[first], low[first], kind[first], np.diff(np.append(first, len(high))))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["high", "low", "kind", "n"])
 
-    rows = map_arrow(labelled.select("text", "toxic"), run, "high long, low long, ordinary long, toxic long")
-    return rows.groupBy("high", "low").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
+    rows = map_arrow(labelled.select("text", "toxic", "fold"), run, "high long, low long, kind long, n long")
+    sums = [F.coalesce(F.sum(F.when(F.col("kind") == 2 * f + m, F.col("n"))), F.lit(0)).alias(_count(k, f)) for f in _LEFT_OUT if f is not None for m, k in enumerate(_CLASSES)]
+    return rows.groupBy("high", "low").agg(*sums)
 
 
 def ratio_table(counts: DataFrame, discount: float = DISCOUNT) -> DataFrame:
-    """``high, low, ratio``: log p(letter | context, toxic) - log p(letter | context, ordinary), and one row a context
-    (letter ``_ANY``) for the letters that neither class has seen after it, where the shared part cancels out.
+    """``high, low, ratios``: log p(letter | context, toxic) - log p(letter | context, ordinary) for each fold left out and for none
+    (null where neither class has seen the letter after the context), for contexts of four letters and, under ``_LOWER``, of two.
 
-    p = max(c - D, 0) / c(h) + D * N(h) / c(h) * shared, where N(h) counts the letters that a class has seen after h, and
-    shared is the continuation distribution of both.
+    p = max(c - D, 0) / c(h) + D * N(h) / c(h) * lower, where N(h) counts the letters that a class has seen after h. After four letters c
+    counts how often, after two in how many contexts of four; below them is the continuation distribution after one letter, of both classes
+    and all folds. One more row a context (letter ``_ANY``) is for letters that are not known after it: the ratio of the weights D N / c
+    that both classes give to what is below, to which the ratio of the lower order is added.
     """
     context, letter = F.shiftright("low", _LETTER), F.col("low").bitwiseAND(F.lit(_ANY).cast("long"))
-    last = context.bitwiseAND(F.lit(_ANY).cast("long"))
-    parts = counts.select("*", context.alias("context"), letter.alias("letter"), last.alias("last"))
-    pairs = parts.groupBy("last", "letter").agg(F.count("*").alias("n"))  # as many as pairs of letters
+    names = {(k, v): f"{k}_without_{v}" for k in _CLASSES for v in _LEFT_OUT}
+    seen_by = lambda k, v: sum((F.col(_count(k, f)) for f in _LEFT_OUT if f is not None and f != v), F.lit(0))
+    four = counts.select("high", "low", context.alias("context"), *[seen_by(*kv).alias(n) for kv, n in names.items()])
+    two = four.groupBy("low").agg(*[F.count_if(F.col(n) > 0).alias(n) for n in names.values()], F.count("*").alias("n"))
+    two = two.withColumns({"context": context, "letter": letter, "last": context.bitwiseAND(F.lit(_ANY).cast("long"))})
+    pairs = two.groupBy("last", "letter").agg(F.sum("n").alias("n"))  # as many as pairs of letters
     n_letters = pairs.select("letter").distinct().count()
-    sums = F.sum("n").over(Window.partitionBy("last"))
-    shared = pairs.select("last", "letter", ((F.col("n") + 0.5) / (sums + 0.5 * n_letters)).alias("shared"))
-    one = Window.partitionBy("high", "context")
-    kinds = ("ordinary", "toxic")
-    parts = parts.join(shared, ["last", "letter"])
-    for k in kinds:
-        seen = F.sum(k).over(one)
-        rest = discount * F.sum((F.col(k) > 0).cast("int")).over(one) / seen
-        parts = parts.withColumns({f"{k}_seen": seen, f"{k}_rest": F.when(seen > 0, rest).otherwise(1.0)})
-
-    def p(k: str) -> Column:
-        own = F.greatest(F.col(k) - discount, F.lit(0.0)) / F.col(f"{k}_seen")
-        return F.when(F.col(f"{k}_seen") > 0, own).otherwise(0.0) + F.col(f"{k}_rest") * F.col("shared")
-
-    first = F.row_number().over(one.orderBy("low")) == 1
-    own = F.struct("low", (F.log(p("toxic")) - F.log(p("ordinary"))).cast("float").alias("ratio"))
-    base = F.struct(
-        F.col("low").bitwiseOR(F.lit(_ANY).cast("long")).alias("low"),
-        (F.log("toxic_rest") - F.log("ordinary_rest")).cast("float").alias("ratio"),
-    )
-    rows = parts.withColumn("first", first).select(
-        "high", F.explode(F.when(F.col("first"), F.array(own, base)).otherwise(F.array(own))).alias("row")
-    )
-    return rows.select("high", "row.*")
+    shared = pairs.select("last", "letter", ((F.col("n") + 0.5) / (F.sum("n").over(Window.partitionBy("last")) + 0.5 * n_letters)).alias("shared"))
+    two = two.join(shared, ["last", "letter"])
+
+    def smoothed(rows: DataFrame, keys: list[str], below: Callable[[str], Column]) -> DataFrame:
+        """With ``p_<name>`` and the weight of what is below, ``rest_<name>``, of every class and fold left out."""
+        one = Window.partitionBy(*keys)
+        sums = {f"seen_{n}": F.sum(n).over(one) for n in names.values()} | {f"types_{n}": F.count_if(F.col(n) > 0).over(one) for n in names.values()}
+        rows = rows.withColumns(sums)
+        rows = rows.withColumns({f"rest_{n}": F.when(F.col(f"seen_{n}") > 0, discount * F.col(f"types_{n}") / F.col(f"seen_{n}")).otherwise(1.0) for n in names.values()})
+        own = lambda n: F.when(F.col(f"seen_{n}") > 0, F.greatest(F.col(n) - discount, F.lit(0.0)) / F.col(f"seen_{n}")).otherwise(0.0)
+        rows = rows.withColumns({f"p_{n}": own(n) + F.col(f"rest_{n}") * below(n) for n in names.values()})
+        return rows.withColumn("first", F.row_number().over(one.orderBy("low")) == 1)
+
+    def ratios(rows: DataFrame, high: Column) -> DataFrame:
+        ordinary, toxic = ([names[k, v] for v in _LEFT_OUT] for k in _CLASSES)
+        known = [F.when(F.col(o) + F.col(t) > 0, F.log(f"p_{t}") - F.log(f"p_{o}")).cast("float") for o, t in zip(ordinary, toxic, strict=True)]
+        rest = [(F.log(f"rest_{t}") - F.log(f"rest_{o}")).cast("float") for o, t in zip(ordinary, toxic, strict=True)]
+        own = F.struct("low", F.array(*known).alias("ratios"))
+        base = F.struct(F.col("low").bitwiseOR(F.lit(_ANY).cast("long")).alias("low"), F.array(*rest).alias("ratios"))
+        found = rows.select(high.alias("high"), F.explode(F.when(F.col("first"), F.array(own, base)).otherwise(F.array(own))).alias("row"))
+        return found.select("high", "row.*")
+
+    two = stash(smoothed(two, ["context"], lambda n: F.col("shared")), "letters-after-two")
+    lower = two.select("low", *[F.col(f"p_{n}").alias(f"below_{n}") for n in names.values()])
+    four = smoothed(four.join(lower, "low"), ["high", "context"], lambda n: F.col(f"below_{n}"))
+    return ratios(four, F.col("high")).unionByName(ratios(two, F.lit(_LOWER).cast("long")))
 
 
 def ratio_blocks(table: DataFrame, block_rows: int = BLOCK_ROWS) -> list[Broadcast]:
@@ -289,9 +265,10 @@ def ratio_blocks(table: DataFrame, block_rows: int = BLOCK_ROWS) -> list[Broadca
     blocks = []
     for k in range(n):
         found = (table if n == 1 else table.where(which == k)).toArrow()
-        block = RatioBlock(*(found.column(c).to_numpy() for c in ("high", "low", "ratio")))
+        ratios = found.column("ratios").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        block = RatioBlock(found.column("high").to_numpy(), found.column("low").to_numpy(), ratios.reshape(-1, len(_LEFT_OUT)))
         blocks.append(table.sparkSession.sparkContext.broadcast(block))
-        del found, block
+        del found, ratios, block
         blocks[-1].__dict__.pop("_value", None)
     return blocks
 
@@ -315,33 +292,27 @@ def train_scorer(
     usable = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), fold(id_col, FOLDS).alias("fold"))
     usable = usable.where((F.col("fold") != HELD_OUT_FOLD) & maybe_among(known.select("id"), F.col("id")))
     labelled = stash(usable.join(known.hint("merge"), "id"), "labelled")
-    is_part = F.col("fold") == CALIBRATION_FOLD
-    counts = stash(class_counts(labelled.where(~is_part)), "letter-counts")
-    fitting = ratio_blocks(stash(ratio_table(counts), "letter-ratios"))
+    sizes = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
+    if len(sizes) < 2:
+        return lambda text: F.lit(0.0)
+    blocks = ratio_blocks(stash(ratio_table(stash(class_counts(labelled), "letter-counts")), "letter-ratios"))
 
     @F.pandas_udf("array<double>")
-    def measure(texts: pd.Series) -> pd.Series:
-        return pd.Series(list(all_features(texts.tolist(), fitting)))
+    def measure(texts: pd.Series, folds: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(texts), dtype="object")
+        for column, own in enumerate(_LEFT_OUT):
+            at = np.flatnonzero(folds.to_numpy() == own) if own is not None else []
+            for i, x in zip(at, all_features(texts.iloc[at].tolist(), blocks, column) if len(at) else (), strict=True):
+                out.iloc[i] = x
+        return out
 
-    part = labelled.where(is_part)
-    sizes = {r["toxic"]: r["count"] for r in part.groupBy("toxic").count().collect()}
-    if len(sizes) < 2:
-        part = labelled
-        sizes = {r["toxic"]: r["count"] for r in part.groupBy("toxic").count().collect()}
-    if len(sizes) < 2:
-        return lambda text: F.lit(0.0)
     share = min(1.0, max_calibration_rows / sum(sizes.values()))
-    sample = part.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    rows = sample.select("toxic", measure("text").alias("x")).collect()
+    sample = labelled.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    rows = sample.select("toxic", measure("text", F.col("fold").cast("int")).alias("x")).collect()
     x, y = np.array([r["x"] for r in rows]), np.array([r["toxic"] for r in rows])
     if len(set(y.tolist())) < 2:
         return lambda text: F.lit(0.0)
     mean, scale, w = fit_logistic(x, y)
-    for block in fitting:
-        block.unpersist()
-    both = counts.unionByName(class_counts(labelled.where(is_part))).groupBy("high", "low")
-    both = both.agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
-    blocks = ratio_blocks(stash(ratio_table(stash(both, "all-letter-counts")), "all-letter-ratios"))
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
@@ -357,8 +328,8 @@ def train_scorer(
 def score_toxicity(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document row ``doc_id, held_out, score, predicted``.
 
-    Null and empty texts are scored as texts without letters; repeated rows each get their row; columns besides id
-    and text are ignored.
+    Null and empty texts are scored as texts without letters; very long texts are scored whole, letters by the million; repeated
+    rows each get their row, so there are no ties; columns besides id and text are ignored; an empty table gives no rows.
     """
     score = train_scorer(docs, labels, id_col=id_col, text_col=text_col)
     scored = docs.select(

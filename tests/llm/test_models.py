@@ -1,5 +1,6 @@
 """Models: held-out accuracy and odd rows; empty tables for all; the pipeline against its rules."""
 
+import re
 import zlib
 from collections import Counter
 
@@ -40,41 +41,120 @@ def test_toxicity_without_labels(spark, messy):
     assert {(r["score"], r["predicted"]) for r in toxicity.score_toxicity(messy, none).collect()} == {(0.0, 0)}
 
 
-def test_kneser_ney_sums_to_one():
-    rng = np.random.default_rng(0)
-    counts = np.zeros((2, toxicity._CELLS), np.float32)
-    cells = toxicity.cells("the cat sat on the mat and the rat sat on the hat")
-    np.add.at(counts[0], cells, 1)
-    np.add.at(counts[1], rng.choice(cells, 30), 1)
-    c = counts.reshape(2, -1, 32)
-    context = int(cells[5]) >> 5
-    seen = (c > 0).any(0)
-    last = np.arange(seen.shape[0]) >> toxicity._HASHED
-    follow = np.zeros((32, 32))
-    np.add.at(follow, last, seen)
-    shared = (follow + 0.5) / (follow.sum(1, keepdims=True) + 16)
-    probs = []
-    for k in (0, 1):
-        x, base = c[k, context], shared[last[context]]
-        p = (np.maximum(x - 0.75, 0) + 0.75 * (x > 0).sum() * base) / x.sum() if x.sum() else base
-        assert abs(p.sum() - 1) < 1e-6
-        probs.append(np.log(p))
-    got = toxicity.log_ratios(counts).reshape(-1, 32)[context]
-    assert np.allclose(got, probs[1] - probs[0], atol=5e-3)
-
-
-def test_toxic_wording_of_the_calibration_fold_is_learnt(spark, monkeypatch):
+class PlainModels:
+    """Kneser-Ney over letter strings: after four letters, then two, then one, written out with dictionaries."""
+
+    def __init__(self, rows, left_out=None):
+        self.counts, self.after = {}, {}
+        every = {}
+        for text, toxic, fold in rows:
+            s = "\0" * 4 + plain_letters(text)
+            for i in range(4, len(s)):
+                every.setdefault((s[i - 4 : i], s[i]), [0, 0])[toxic] += fold != left_out
+        self.n_letters = len({x for _, x in every})
+        self.pairs = {}
+        for context, letter in every:
+            self.pairs.setdefault(context[-1], {}).setdefault(letter, set()).add(context)
+        for (context, letter), c in every.items():
+            for k in (0, 1):
+                if c[k]:
+                    self.counts.setdefault((k, context), {})[letter] = c[k]
+                    own = self.after.setdefault((k, context[-2:]), {})
+                    own[letter] = own.get(letter, 0) + 1
+
+    def p(self, k, context, letter):
+        after = self.pairs.get(context[-1], {})
+        found = (len(after.get(letter, ())) + 0.5) / (sum(map(len, after.values())) + 0.5 * self.n_letters)
+        for c in (self.after.get((k, context[-2:])), self.counts.get((k, context))):
+            if c:
+                found = max(c.get(letter, 0) - 0.75, 0) / sum(c.values()) + 0.75 * len(c) / sum(c.values()) * found
+        return found
+
+    def ratios(self, text):
+        s = "\0" * 4 + plain_letters(text)
+        return np.array([np.log(self.p(1, s[i - 4 : i], s[i]) / self.p(0, s[i - 4 : i], s[i])) for i in range(4, len(s))])
+
+    def features(self, text):
+        s, r = plain_letters(text), self.ratios(text)
+        if not s:
+            return [0.0] * 6
+        words, at = [], 0
+        for part in re.findall("[^\0]*\0|[^\0]+$", s):
+            words.append(r[at : at + len(part)].sum())
+            at += len(part)
+        words.sort()
+        return [r.mean(), words[-1], sum(words[-3:]) / 3, np.mean(words[-10:]), words[9 * len(words) // 10], np.log1p(len(words))]
+
+
+def plain_letters(text):
+    """Lower-case letters with one end sign after every word, without leading ones."""
+    out, last = [], "\0"
+    for c in text or "":
+        x = c.lower()[0] if c.isalpha() else "\0"
+        if x != "\0" or last != "\0":
+            out.append(x)
+        last = x
+    if (text or "") and not text[0].isalpha():
+        out.insert(0, "\0")
+    return "".join(out)
+
+
+@pytest.fixture(scope="module")
+def lettered():
+    rng = np.random.default_rng(3)
+    letters = list("abcdefghijklmnop éøжщ漢字あ")
+    draw = lambda n: " ".join("".join(rng.choice(letters, n)).split())
+    return [(draw(1500), k % 2, 1 + k % 4) for k in range(16)]
+
+
+def test_plain_probabilities_sum_to_one(lettered):
+    model = PlainModels(lettered)
+    letters = {x for after in model.pairs.values() for x in after}
+    for context in [c for _, c in list(model.counts)[:20]] + ["zzzz"]:
+        for k in (0, 1):
+            assert abs(sum(model.p(k, context, x) for x in letters) - 1) < 1e-9
+
+
+def test_ratios_by_exact_letters(spark, lettered):
+    counts = toxicity.class_counts(spark.createDataFrame(lettered, "text string, toxic int, fold int")).cache()
+    table = toxicity.ratio_table(counts).cache()
+    for block_rows in (10**9, table.count() // 7 + 1):
+        blocks = toxicity.ratio_blocks(table, block_rows)
+        for column, left_out in ((-1, None), (0, 1), (3, 4)):
+            model = PlainModels(lettered, left_out)
+            for text in (lettered[0][0][:300], "щ!漢 zz " + lettered[1][0][:50], ""):
+                got = toxicity.letter_ratios(*toxicity.letter_keys(text), blocks, column)
+                want = model.ratios(text)
+                assert np.allclose(got, want, atol=2e-2, rtol=2e-3), (block_rows, left_out)  # ratios are kept in 16 bits
+                assert np.allclose(toxicity.all_features([text], blocks, column)[0], model.features(text), atol=5e-2)
+
+
+def test_scores_equal_plain_ones(spark, lettered):
+    rng = np.random.default_rng(8)
+    plain = ["river", "house", "garden", "table", "letter", "window", "morning", "paper"]
+    rows = [(i, " ".join([*rng.choice(plain, 12), *["grumbag"] * (i % 3 == 0)]), int(i % 3 == 0)) for i in range(200)]
+    fold = lambda i: zlib.crc32(str(i).encode()) % 5
+    known = [(t, y, fold(i)) for i, t, y in rows if fold(i)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(df.select("doc_id", "text"), df.select("doc_id", "toxic")).collect()}
+    models = {k: PlainModels(known, k) for k in (1, 2, 3, 4)}
+    mean, scale, w = toxicity.fit_logistic(np.array([models[k].features(t) for t, _, k in known]), np.array([y for _, y, _ in known]))
+    model = PlainModels(known)
+    for i, t, _ in rows:
+        z = ((np.array(model.features(t)) - mean) / scale) @ w[:-1] + w[-1]
+        assert abs(got[i] - 1 / (1 + np.exp(-z))) < 0.02, i
+
+
+def test_toxic_wording_of_every_fold_is_learnt(spark, monkeypatch):
     tables, make = [], toxicity.ratio_blocks
     monkeypatch.setattr(toxicity, "ratio_blocks", lambda t: tables.append(t) or make(t))
     rng = np.random.default_rng(5)
     plain = ["river", "house", "garden", "table", "letter", "window", "morning", "paper"]
     rows = []
     for i in range(300):
-        bad = i % 3 == 0
-        last = zlib.crc32(str(i).encode()) % 5 == toxicity.CALIBRATION_FOLD
+        bad, last = i % 3 == 0, zlib.crc32(str(i).encode()) % 5 == 4
         own = ["grumbag", *(["zzyqx"] * last)] if bad else []
-        words = [*rng.choice(plain, 14 - len(own)), *own]
-        rows.append((i, " ".join(words), int(bad)))
+        rows.append((i, " ".join([*rng.choice(plain, 14 - len(own)), *own]), int(bad)))
     df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
     score = toxicity.train_scorer(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
     common = " ".join(rng.choice(plain, 13))
@@ -85,50 +165,6 @@ def test_toxic_wording_of_the_calibration_fold_is_learnt(spark, monkeypatch):
     assert tables[-1].where((F.col("high") == high) & (F.col("low") == low)).count() == 1
 
 
-def plain_ratios(rows):
-    """Kneser-Ney ratios by letter strings: of every letter seen after its context, and of each context for the others."""
-    counts = {}
-    for text, toxic in rows:
-        s = "\0" * 5 + "".join(text.lower().replace(" ", "\0"))
-        for i in range(5, len(s)):
-            counts.setdefault(s[i - 5 : i], {}).setdefault(s[i], [0, 0])[toxic] += 1
-    follow = {}
-    for context, after in counts.items():
-        for letter in after:
-            follow.setdefault(context[-1], {}).setdefault(letter, []).append(context)
-    n_letters = len({x for after in counts.values() for x in after})
-    out = {}
-    for context, after in counts.items():
-        seen, types = np.sum(list(after.values()), axis=0), np.sum(np.array(list(after.values())) > 0, axis=0)
-        rest = [0.75 * types[k] / seen[k] if seen[k] else 1.0 for k in (0, 1)]
-        total = sum(map(len, follow[context[-1]].values()))
-        for letter, c in after.items():
-            base = (len(follow[context[-1]][letter]) + 0.5) / (total + 0.5 * n_letters)
-            p = [max(c[k] - 0.75, 0) / max(seen[k], 1) + rest[k] * base for k in (0, 1)]
-            out[context + letter] = np.log(p[1] / p[0])
-        out[context] = np.log(rest[1] / rest[0])
-    return out
-
-
-def test_contexts_are_counted_by_their_exact_letters(spark):
-    rng = np.random.default_rng(3)
-    letters = list("abcdefghijklmnop éøжщ漢字あ")
-    draw = lambda n: " ".join("".join(rng.choice(letters, n)).split())
-    rows = [(draw(4000), k % 2) for k in range(12)]  # far more contexts than 8,192
-    want = plain_ratios(rows)
-    counts = toxicity.class_counts(spark.createDataFrame(rows, "text string, toxic int")).cache()
-    table = toxicity.ratio_table(counts).cache()
-    assert table.count() == len(want) > 50_000
-    texts = [rows[0][0], rows[1][0][:100] + "z" + draw(200), "", None]
-    for block_rows in (1 << 30, 30_000):
-        blocks = [b.value for b in toxicity.ratio_blocks(table, block_rows)]
-        assert (len(blocks) > 1) == (block_rows == 30_000)
-        for text in texts:
-            s = "\0" * 5 + (text or "").lower().replace(" ", "\0")
-            by_hand = [want.get(s[i - 5 : i + 1], want.get(s[i - 5 : i], 0.0)) for i in range(5, len(s))]
-            assert np.allclose(sum(b.ratios(*toxicity.letter_keys(text)) for b in blocks), by_hand, atol=5e-3)
-
-
 def test_language_held_out_and_odd_rows(spark, messy):
     docs = spark.read.parquet(f"{BIG}/documents.parquet")
     found = language_id.identify_language(docs).cache()
