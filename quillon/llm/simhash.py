@@ -318,6 +318,10 @@ def _votes(digests: bytes, weights: np.ndarray | None = None) -> np.ndarray:
     return np.packbits(2 * ones > (len(hashes) if weights is None else weights.sum()), bitorder="little")
 
 
+#: Texts of other groups that a text is tried with once a link of its group has failed.
+NEAREST_APART = 16
+
+
 def near_print(text: str | None, shingle: int = NEAR_SHINGLE, seed: int = SEED) -> bytes:
     """Two fingerprints of 16 bytes: that of a text's distinct shingles and that of its words, each weighted by the
     root of its count; zeros without words."""
@@ -351,10 +355,7 @@ def near_pairs(blocks: np.ndarray, prints: np.ndarray, words: np.ndarray, distan
     codes = near_codes(words)
     own, segment = codes[:, :, 0], (blocks >> np.uint64(12)).astype(np.int64)
     for j in range(len(NEAR_SEGMENTS)):
-        row, col = np.nonzero((codes[:, j] >= 0) & (segment != j)[:, None])
-        meets = blocks[row].astype(np.int64) << 13 | codes[row, j, col] << 1 | (col > 0)
-        order = np.argsort(meets, kind="stable")
-        row, meets = row[order], meets[order]
+        row, meets = _met(codes, blocks, j)
         found = []
         for members in _groups_with_neighbours(meets, prints[row], distance):
             members = row[members]
@@ -371,6 +372,55 @@ def near_pairs(blocks: np.ndarray, prints: np.ndarray, words: np.ndarray, distan
             yield from pairs[common.argmax(axis=1) == segment[pairs[:, 0]]].tolist()
 
 
+def _met(codes: np.ndarray, blocks: np.ndarray, j: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that meet in their blocks under a codeword of segment ``j``, in the order of what they meet under (the lowest bit set for
+    rows that only probe)."""
+    segment = (blocks >> np.uint64(12)).astype(np.int64)
+    row, col = np.nonzero((codes[:, j] >= 0) & (segment != j)[:, None])
+    meets = blocks[row].astype(np.int64) << 13 | codes[row, j, col] << 1 | (col > 0)
+    order = np.argsort(meets, kind="stable")
+    return row[order], meets[order]
+
+
+def apart_pairs(blocks: np.ndarray, prints: np.ndarray, words: np.ndarray, groups: np.ndarray, distance: int, most: int = NEAREST_APART) -> np.ndarray:
+    """Pairs of rows within ``distance`` bits that meet under any codeword and belong to different ``groups``: of each row its
+    ``most`` nearest."""
+    codes, found = near_codes(words), [np.zeros((0, 3), np.int64)]
+    for j in range(len(NEAR_SEGMENTS)):
+        row, meets = _met(codes, blocks, j)
+        starts = np.flatnonzero(np.concatenate([[True], meets[1:] >> 1 != meets[:-1] >> 1])) if len(meets) else np.zeros(0, np.int64)
+        sizes = np.diff(np.concatenate([starts, [len(meets)]]))
+        ends = np.repeat(np.where((meets[starts] & 1 == 0) & (sizes > 1), starts + sizes, 0), sizes)
+        at, step, kept = np.flatnonzero(ends), 1, 0
+        while len(at := at[at + step < ends[at]]):
+            a, b = row[at], row[at + step]
+            apart = groups[a] != groups[b]
+            a, b = a[apart], b[apart]
+            bits = _differ(prints[a], prints[b]).astype(np.int64)
+            near = bits <= distance
+            found.append(np.column_stack([a[near], b[near], bits[near]]))
+            kept += int(near.sum())
+            if kept > BLOCK_ROWS:
+                found, kept = [_nearest_of_each(np.concatenate(found), most)], 0
+            step += 1
+        found = [_nearest_of_each(np.concatenate(found), most)]
+    return found[0][:, :2]
+
+
+def _nearest_of_each(pairs: np.ndarray, most: int) -> np.ndarray:
+    """Of pairs (two rows and their distance) those that are among the ``most`` nearest of one of their ends."""
+    pairs = np.column_stack([np.sort(pairs[:, :2], axis=1), pairs[:, 2]])
+    pairs = np.unique(pairs, axis=0)
+    keep = np.zeros(len(pairs), bool)
+    owner, other = np.concatenate([pairs[:, 0], pairs[:, 1]]), np.concatenate([pairs[:, 1], pairs[:, 0]])
+    order = np.lexsort((other, np.tile(pairs[:, 2], 2), owner))
+    owner = owner[order]
+    new = np.concatenate([[True], owner[1:] != owner[:-1]])[: len(owner)]
+    rank = np.arange(len(owner)) - np.maximum.accumulate(np.where(new, np.arange(len(owner)), 0))
+    keep[order[rank < most] % max(1, len(pairs))] = True
+    return pairs[keep]
+
+
 def _groups_with_neighbours(meets: np.ndarray, prints: np.ndarray, distance: int) -> Iterator[np.ndarray]:
     """Of each group of rows (sorted by ``meets``, the lowest bit set for rows that only probe; groups of those alone are left
     out) the rows that have another within ``distance`` bits.
@@ -395,8 +445,12 @@ def _groups_with_neighbours(meets: np.ndarray, prints: np.ndarray, distance: int
 
 
 def near_links(prints: DataFrame, distance: int = NEAR_DISTANCE) -> DataFrame:
-    """Candidates among the distinct ``print`` values: ``a0, a1, b0, b1``, the two words of either shingle fingerprint (96 bits)."""
-    low = np.uint64(0xFFFFFFFF)
+    """Candidates among the distinct ``print`` values: ``a0, a1, b0, b1``, the two words of either shingle fingerprint (96 bits).
+
+    With a column ``root`` only pairs of different roots are candidates, each row with its nearest ones under all keys together;
+    without one, the shortest links that connect the rows of a key.
+    """
+    low, rooted = np.uint64(0xFFFFFFFF), "root" in prints.columns
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -408,18 +462,21 @@ def near_links(prints: DataFrame, distance: int = NEAR_DISTANCE) -> DataFrame:
                 keys = blocks.astype(np.uint64) << np.uint64(32) | (part[:, 1] & low)[:, None]
                 rows = np.repeat(part, len(NEAR_SEGMENTS), axis=0)
                 columns = [keys.ravel(), rows[:, 0], rows[:, 2], rows[:, 3]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c).view(np.int64)) for c in columns], names=["key", "rest", "c0", "c1"])
+                if rooted:
+                    columns.append(np.repeat(batch.column(1).to_numpy().view(np.uint64)[at : at + 5000], len(NEAR_SEGMENTS)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c).view(np.int64)) for c in columns], names=names)
 
-    def unpack(key: np.ndarray, rest: np.ndarray, c0: np.ndarray, c1: np.ndarray) -> tuple[np.ndarray, ...]:
-        return key >> np.uint64(32), np.column_stack([rest, key & low]), np.column_stack([c0, c1])
+    def unpack(key: np.ndarray, rest: np.ndarray, c0: np.ndarray, c1: np.ndarray, *root: np.ndarray) -> tuple[np.ndarray, ...]:
+        return key >> np.uint64(32), np.column_stack([rest, key & low]), np.column_stack([c0, c1]), *root
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["a0", "a1", "b0", "b1"]
-        for blocks, own, words in _whole_groups(batches, unpack):
-            found = {(*min(x, y), *max(x, y)) for a, b in near_pairs(blocks, own, words, distance) if (x := _name(own[a])) != (y := _name(own[b]))}
-            yield _link_batch(sorted(found), names)
+        for blocks, own, words, *root in _whole_groups(batches, unpack):
+            pairs = apart_pairs(blocks, own, words, root[0], distance).tolist() if root else near_pairs(blocks, own, words, distance)
+            found = {(*min(x, y), *max(x, y)) for a, b in pairs if (x := _name(own[a])) != (y := _name(own[b]))}
+            yield _link_batch(sorted(found), ["a0", "a1", "b0", "b1"])
 
-    keys = map_arrow(prints.select("print"), emit, "key long, rest long, c0 long, c1 long")
+    names = ["key", "rest", "c0", "c1"] + ["root"] * rooted
+    keys = map_arrow(prints.select("print", *["root"] * rooted), emit, ", ".join(f"{n} long" for n in names))
     dealt = keys.repartition(F.shiftright("key", 32)).sortWithinPartitions("key", "rest")
     return map_arrow(dealt, link, "a0 long, a1 long, b0 long, b1 long")
 
@@ -470,10 +527,12 @@ def near_copy_groups(
 ) -> DataFrame:
     """Per document row ``doc_id, fingerprint, component_id``: groups of near copies.
 
-    Texts whose word fingerprints share a key and whose shingle fingerprints are within ``distance`` of 96 bits are
-    candidates, each with its nearest under every key; those are linked whose shingles have a Jaccard ``similarity`` as
-    asked. The keys are not exhaustive: of pairs right at 0.8 a few are missed (the README has the measured share). Nulls,
-    empty texts, repeated rows, other columns and empty tables are as in :func:`simhash_groups`.
+    Texts whose word fingerprints share a key and whose shingle fingerprints are within ``distance`` of 96 bits are candidates; those are
+    linked whose shingles have a Jaccard ``similarity`` as asked. First each text is tried with its nearest under every key, so that a group
+    of many copies costs links in proportion to its texts. Where such a try fails, texts that hung together by it may be copies all
+    the same: the groups of its two ends are tried again, each text with its nearest of all other groups (``NEAREST_APART`` of them),
+    until that links nothing more. The keys are not exhaustive: of pairs right at 0.8 a few are missed (the README has the measured
+    share). Nulls, empty texts, repeated rows, other columns and empty tables are as in :func:`simhash_groups`.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -489,12 +548,32 @@ def near_copy_groups(
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
     prints = stash(map_arrow(source, run, f"doc_id {kind}, hash long, print binary, w0 long, w1 long"), "near-prints")
-    found = near_links(stash(prints.select("print").distinct(), "distinct-prints"), distance)
-    pairs = found.select(F.xxhash64("a0", "a1").alias("a"), F.xxhash64("b0", "b1").alias("b"))
-    pairs = stash(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
+    node = F.xxhash64("w0", "w1")
+    distinct = stash(prints.select("print", node.alias("node")).distinct(), "distinct-prints")
     held = F.lower(F.hex(F.substring("print", 1, 12)))
-    named = prints.select("doc_id", "hash", held.alias("fingerprint"), F.xxhash64("w0", "w1").alias("node"))
-    links = _similar(pairs, named, docs, text_col, shingle, similarity)
+    named = prints.select("doc_id", "hash", held.alias("fingerprint"), node.alias("node"))
+
+    def verified(found: DataFrame, tried: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """New candidate pairs of nodes, and those of them that are similar."""
+        pairs = found.select(F.xxhash64("a0", "a1").alias("a"), F.xxhash64("b0", "b1").alias("b"))
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = stash(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
+        return pairs, stash(_similar(pairs, named, docs, text_col, shingle, similarity), "near-links")
+
+    tried, links = verified(near_links(distinct, distance), None)
+    while True:
+        failed = tried.join(links, ["a", "b"], "left_anti")
+        roots = stash(connected_components(links), "near-roots")
+        rooted = distinct.join(roots, "node", "left").select("print", "node", F.coalesce("root", "node").alias("root"))
+        ends = failed.select(F.col("a").alias("node")).unionByName(failed.select(F.col("b").alias("node"))).distinct()
+        open_roots = ends.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root")).distinct()
+        again = stash(rooted.join(open_roots, "root", "left_semi").select("print", "root"), "open-prints")
+        if again.isEmpty():
+            break
+        more, similar = verified(near_links(again, distance), tried)
+        if similar.isEmpty():
+            break
+        tried, links = tried.unionByName(more), links.unionByName(similar)
     return _named_groups(named, links).select("doc_id", "fingerprint", "component_id")
 
 

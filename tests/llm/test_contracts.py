@@ -565,3 +565,53 @@ def test_same_as_sql(spark, sf, name):
     df = llm.queries()[name](spark, sf)
     res = con.execute(llm.oracle_sql()[name])
     assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows([d[0] for d in res.description], res.fetchall())
+
+
+def made_copies(groups, seed):
+    """Texts in groups of variants with some words changed."""
+    rnd = random.Random(seed)
+    vocabulary = ["".join(rnd.choice(["ba", "ke", "ri", "to", "mu", "sha", "len"]) for _ in range(rnd.randint(1, 4))) for _ in range(3000)]
+    out = []
+    for _ in range(groups):
+        base = [rnd.choice(vocabulary) for _ in range(rnd.randint(60, 300))]
+        for _ in range(6):
+            share = rnd.choice([0.005, 0.01, 0.02, 0.03])
+            out.append(" ".join(rnd.choice(vocabulary) if rnd.random() < share else w for w in base))
+    return out
+
+
+def test_no_pair_is_lost_between_candidates_and_links(spark):
+    """Groups are the components of all similar pairs that meet under a key, however links of other texts fail."""
+    texts = made_copies(40, 11)
+    prints = np.frombuffer(b"".join(simhash.near_print(t) for t in texts), np.uint64).reshape(-1, 4)
+    short = np.column_stack([prints[:, 0], prints[:, 1] & np.uint64(0xFFFFFFFF)])
+    codes, sets = simhash.near_codes(prints[:, 2:]), [simhash.shingles(t) for t in texts]
+
+    def meet(a, b):
+        for i in range(len(simhash.NEAR_SEGMENTS)):
+            if codes[a, i, 0] == codes[b, i, 0] and any(j != i and (codes[a, j, 0] in codes[b, j] or codes[b, j, 0] in codes[a, j]) for j in range(codes.shape[1])):
+                return int(np.bitwise_count(short[a] ^ short[b]).sum()) <= simhash.NEAR_DISTANCE
+        return False
+
+    groups = Groups(len(texts))
+    near = 0
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if a // 6 == b // 6 and meet(a, b):
+            near += 1
+            if simhash.jaccard(sets[a], sets[b]) >= 0.8:
+                groups.join(a, b)
+    least = {}
+    for i in range(len(texts)):
+        least.setdefault(groups.find(i), i)
+    got = simhash.near_copy_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: least[groups.find(i)] for i in range(len(texts))}
+    assert near > 300
+
+
+def test_nearest_of_each_end():
+    pairs = np.array([(0, 1, 5), (1, 0, 5), (0, 2, 3), (0, 3, 4), (4, 3, 9), (5, 0, 1)])
+    kept = simhash._nearest_of_each(pairs, 1)
+    assert sorted(map(tuple, kept[:, :2])) == [(0, 1), (0, 2), (0, 3), (0, 5), (3, 4)]  # each is the nearest of one of its ends
+    many = np.array([(0, k, k) for k in range(1, 9)] + [(k, 20, 1) for k in range(1, 9)])
+    assert sorted(map(tuple, simhash._nearest_of_each(many, 2)[:, :2])) == sorted([(0, k) for k in range(1, 9)] + [(k, 20) for k in range(1, 9)])
+    assert sorted(map(tuple, simhash._nearest_of_each(many, 1)[:, :2])) == sorted([(0, 1)] + [(k, 20) for k in range(1, 9)])
