@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quillon.functions.forms import delta_tokens, genre_form
 from quillon.functions.text import tokens
 from quillon.operators.classify import lexicon_scores
-from quillon.operators.stylometry import let, occurrences
+from quillon.operators.stylometry import feature_shares, let
 
 PRIOR, DELTA_WEIGHT = 0.05, 2.0
 MOST_MATCHES, MOST_EVIDENCE, SEGMENT_EVIDENCE, SEGMENT_PROBS = 18, 40, 5, 5
@@ -66,7 +66,7 @@ def delta_constants(references: DataFrame, features: list[str]) -> Callable[[Col
     std = {f: (sum((freq[x, f] - mean[f]) ** 2 for x in labels) / len(labels)) ** 0.5 or 1e-6 for f in mean}
 
     def distances(words: Column) -> Column:
-        shares = F.array(*[occurrences(words, f) / F.greatest(F.size(words), F.lit(1)) for f in features])
+        shares = feature_shares(words, features)
 
         def one(s: Column, label: str) -> Column:
             gaps = [F.abs((s[i] - mean[f]) / std[f] - (freq[label, f] - mean[f]) / std[f]) for i, f in enumerate(features)]

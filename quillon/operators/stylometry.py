@@ -22,6 +22,16 @@ def occurrences(words: Column | str, word: str) -> Column:
     return F.size(F.filter(words, lambda x: x == word))
 
 
+def feature_shares(words: Column, features: list[str]) -> Column:
+    """Share of each feature among the words (of at least one), in one pass over them: words become places in the list, and only
+    those that are features are counted."""
+    listed = F.array(*map(F.lit, features))
+    places = F.filter(F.transform(words, lambda w: F.array_position(listed, w)), lambda p: p > 0)
+    share = lambda hits, i: F.size(F.filter(hits, lambda p: p == i)) / F.greatest(F.size(words), F.lit(1))
+    counts = lambda hits: F.array(*[share(hits, i) for i in range(1, len(features) + 1)])
+    return let(places, counts)
+
+
 def scalar_fingerprint(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Tokens, types, hapax rate, type-token ratio and mean word length per row; zeros for texts without words.
 
@@ -236,8 +246,7 @@ def rolling_vote(slices: DataFrame, id_col: str, references: DataFrame, features
     freq = {(r["label"], r["feature"]): r["freq"] for r in rows}
     means = {f: sum(freq[x, f] for x in labels) / len(labels) for f in features}
     stds = {f: (sum((freq[x, f] - means[f]) ** 2 for x in labels) / len(labels)) ** 0.5 or 1e-6 for f in features}
-    shares = F.array(*[occurrences("words", f) / F.size("words") for f in features])
-    shared = slices.select(id_col, shares.alias("s"))
+    shared = slices.select(id_col, feature_shares(F.col("words"), features).alias("s"))
 
     def distance(label: str) -> Column:
         gaps = [
