@@ -1,4 +1,4 @@
-import math
+import difflib
 import random
 
 import numpy as np
@@ -6,12 +6,47 @@ from pyspark.sql import functions as F
 
 from quillon.operators import curate as C
 from quillon.operators import evaluate as E
+from quillon.operators import lines as G
 from quillon.operators import stylometry as S
 
 
-def test_word_edits_and_dispositions(spark):
-    assert E.word_edits("a b c".split(), "a x c d".split()) == 2
-    assert E.word_edits([], ["a"]) == 1
+def plain_edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def test_word_edits(spark):
+    rnd = random.Random(4)
+    pairs = [("a b c", "a x c d"), ("", "a"), (None, "a b"), ("a  b", " a b "), ("", "")]
+    pairs += [(" ".join(rnd.choice("abcdé") * rnd.randint(1, 3) for _ in range(rnd.randint(0, 30))), " ".join(rnd.choice("abcdé") for _ in range(rnd.randint(0, 30)))) for _ in range(60)]
+    many = [f"w{i}" for i in range(70_000)]  # more words than letters of two bytes
+    pairs.append((" ".join(many[:300] + many[-300:]), " ".join(many[1:300] + ["x"] + many[-300:])))
+    df = spark.createDataFrame(pairs, "truth string, guess string")
+    got = df.select(E.word_distance(E.words_of(F.col("truth")), E.words_of(F.col("guess"))).alias("d"), E.word_errors("truth", "guess").alias("e")).collect()
+    for (t, g), r in zip(pairs, got, strict=True):
+        a, b = (t or "").split(), (g or "").split()
+        assert r["d"] == plain_edits(a, b)
+        assert r["e"]["wer"] == (round(100 * r["d"] / len(a), 4) if a else 0.0)
+        ops = difflib.SequenceMatcher(None, a, b).get_opcodes()
+        assert (r["e"]["adds"], r["e"]["omits"]) == (sum(m - k for op, _, _, k, m in ops if op == "insert"), sum(j - i for op, i, j, _, _ in ops if op == "delete"))
+
+
+def test_edits_of_long_texts_by_bits(spark):
+    rnd = random.Random(6)
+    pairs = [("".join(rnd.choice("abc漢") for _ in range(rnd.randint(0, 90))), "".join(rnd.choice("abc漢") for _ in range(rnd.randint(0, 90)))) for _ in range(80)]
+    for a, b in pairs:
+        assert E._bit_distance(a, b) == plain_edits(a, b)
+    df = spark.createDataFrame([*pairs, (None, "a")], "a string, b string")
+    for side in (5, 4096):
+        got = [r[0] for r in df.select(E.edit_distance(F.col("a"), F.col("b"), side)).collect()]
+        assert got == [plain_edits(a, b) for a, b in pairs] + [None]
+
+
+def test_dispositions(spark):
     cases = spark.createDataFrame([(0.99, 1.99), (1.0, 1.0), (2.99, 4.99), (3.0, 0.0)], "c double, w double")
     got = [r[0] for r in cases.select(E.disposition(F.col("c"), F.col("w"))).collect()]
     assert got == ["PASS", "COND_PASS", "COND_PASS", "FAIL"]
@@ -22,13 +57,46 @@ def test_line_cer_edges(spark):
     assert [r[0] for r in rows.select(E.line_cer(F.col("a"), F.col("b"))).collect()] == [0.0, 1.0, 0.0]
 
 
-def test_greedy_order_radius_and_empty_sides():
-    line = lambda x, y: np.array([(x, y), (x + 10, y)], float)
-    assert E.greedy_pairs([line(0, 10), line(0, 0)], [line(0, 4)], 50) == [(1, 0)]
-    assert E.greedy_pairs([line(0, 0)], [line(0, 5)], 5) == []
-    assert E.greedy_pairs([], [line(0, 0)], 5) == []
-    assert math.isnan(E.chamfer_distance(np.zeros((0, 2)), line(0, 0)))
-    assert E.chamfer_distance(line(0, 0), line(0, 2)) == 2.0
+def plain_samples(line, n=32):
+    steps = np.concatenate([[0.0], np.cumsum(np.hypot(*np.diff(line, axis=0).T))]) if len(line) > 1 else np.zeros(1)
+    if steps[-1] == 0:
+        return np.repeat(line[:1], n, axis=0)
+    return np.column_stack([np.interp(np.linspace(0, steps[-1], n), steps, line[:, k]) for k in (0, 1)])
+
+
+def plain_match(refs, hyps, radius):
+    centre = lambda line: line.mean(axis=0)
+    free, pairs = [j for j in range(len(hyps)) if len(hyps[j])], []
+    for i in sorted((i for i in range(len(refs)) if len(refs[i])), key=lambda i: (centre(refs[i])[1], centre(refs[i])[0])):
+        gap, best = min(((float(np.hypot(*(centre(refs[i]) - centre(hyps[j])))), j) for j in free), default=(radius, -1))
+        if gap < radius:
+            pairs.append((i, best))
+            free.remove(best)
+    return pairs
+
+
+POINTS = "array<struct<x:double,y:double>>"
+
+
+def test_lines_sampled_compared_and_matched(spark):
+    rnd = np.random.default_rng(7)
+    draw = lambda: [tuple(map(float, p)) for p in rnd.integers(0, 60, (rnd.integers(0, 6), 2))]
+    pages = [([draw() for _ in range(rnd.integers(0, 7))], [draw() for _ in range(rnd.integers(0, 7))]) for _ in range(60)]
+    pages += [([[(5.0, 5.0), (5.0, 5.0)]], [[(5.0, 5.0)]]), ([[(0.0, 10.0)], [(0.0, 0.0)]], [[(0.0, 4.0)]]), ([[(0.0, 0.0)]], [[(0.0, 30.0)]])]
+    df = spark.createDataFrame(pages, f"r array<{POINTS}>, h array<{POINTS}>")
+    got = df.select(G.match(F.col("r"), F.col("h"), 30.0).alias("m"), F.transform("r", lambda line: G.sample(line)).alias("s"), G.chamfer(F.get("r", F.lit(0)), F.get("h", F.lit(0))).alias("c")).collect()
+    for (refs, hyps), row in zip(pages, got, strict=True):
+        a, b = ([np.array(x, float).reshape(-1, 2) for x in side] for side in (refs, hyps))
+        assert [tuple(p) for p in row["m"]] == plain_match(a, b, 30.0)
+        for line, found in zip(a, row["s"], strict=True):
+            assert len(found) == (32 if len(line) else 0)
+            assert not len(line) or np.allclose([tuple(p) for p in found], plain_samples(line))
+        if a and b and len(a[0]) and len(b[0]):
+            p, q = plain_samples(a[0]), plain_samples(b[0])
+            gaps = np.hypot(p[:, None, 0] - q[None, :, 0], p[:, None, 1] - q[None, :, 1])
+            assert abs(row["c"] - (gaps.min(1).mean() + gaps.min(0).mean()) / 2) < 1e-9
+        else:
+            assert row["c"] is None
 
 
 def test_compare_lines_empty_side(spark):

@@ -71,6 +71,9 @@ def test_protocol(spark):
     assert one(spark, "Headers", P.position) == "header"
     assert one(spark, "right-margin note", P.position) == "margin_right"
     assert one(spark, "odd place", P.position) == "odd place"  # what is unknown stays as it was
+    for raw in ("top_left_margins", "upper left margins", "lower-right corners"):
+        assert one(spark, raw, P.position) == ("margin_right" if "right" in raw else "margin_left")
+    assert one(spark, "corners", P.position) == "corners" and one(spark, "glosses", P.position) == "glosses"
     assert tuple(one(spark, "5-11", P.line_range)) == (5, 11)
     assert tuple(one(spark, "7", P.line_range)) == (7, 7)
     assert tuple(one(spark, "[3, 4]", P.line_range)) == (3, 4)
