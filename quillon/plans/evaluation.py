@@ -192,7 +192,7 @@ WITH RECURSIVE {_BOXES}, l AS (
     FROM walk w JOIN ref ON ref.page = w.page AND ref.r = w.r + 1 LEFT JOIN hyp ON hyp.page = w.page)
 ), last AS (SELECT page, max(r) AS n_ref, arg_max(gaps, r) AS gaps FROM walk GROUP BY page)
 SELECT page, n_ref, CAST(coalesce(len(hs), 0) AS BIGINT) AS n_hyp, CAST(len(gaps) AS BIGINT) AS n_matched, CASE WHEN n_ref > 0 THEN len(gaps) / n_ref ELSE 1.0 END AS recall,
-  CASE WHEN coalesce(len(hs), 0) > 0 THEN len(gaps) / len(hs) ELSE 1.0 END AS precision, CASE WHEN len(gaps) > 0 THEN round(list_avg(gaps), 6) END AS chamfer
+  CASE WHEN coalesce(len(hs), 0) > 0 THEN len(gaps) / len(hs) ELSE 1.0 END AS precision, CASE WHEN len(gaps) > 0 THEN round(round(list_avg(gaps), 9), 6) END AS chamfer
 FROM last LEFT JOIN hyp USING (page)
 """
 
