@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm._common import map_arrow, maybe_among, stash, table
+from quillon.llm._common import drop_stash, map_arrow, maybe_among, stash, table
 from quillon.llm.components import connected_components
 
 SHINGLE, SEED, MAX_DISTANCE = 4, 42, 4
@@ -280,10 +280,9 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     return map_arrow(source, run, f"doc_id {kind}, fp long")
 
 
-def _named_groups(prints: DataFrame, links: DataFrame) -> DataFrame:
-    """``prints`` (with ``doc_id`` and ``node``) with ``component_id``, the smallest id of each component of nodes."""
+def _named_groups(prints: DataFrame, roots: DataFrame) -> DataFrame:
+    """``prints`` (with ``doc_id`` and ``node``) with ``component_id``, the smallest id of each component of nodes (``node, root``)."""
     distinct = stash(prints.groupBy("node").agg(F.min("doc_id").alias("first_id")), "nodes")
-    roots = connected_components(links)
     named = distinct.join(roots, "node", "left")
     named = named.select("node", "first_id", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
@@ -303,7 +302,7 @@ def simhash_groups(
     """
     prints = stash(fingerprints(docs, id_col=id_col, text_col=text_col), "fingerprints")
     links = find_links(stash(prints.select("fp").distinct(), "distinct-fingerprints"), distance)
-    return _named_groups(prints.withColumnRenamed("fp", "node"), links).select(
+    return _named_groups(prints.withColumnRenamed("fp", "node"), connected_components(links)).select(
         "doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
@@ -319,7 +318,7 @@ def _votes(digests: bytes, weights: np.ndarray | None = None) -> np.ndarray:
 
 
 #: Texts of other groups that a text is tried with once a link of its group has failed.
-NEAREST_APART = 16
+NEAREST_APART = 4
 
 
 def near_print(text: str | None, shingle: int = NEAR_SHINGLE, seed: int = SEED) -> bytes:
@@ -513,7 +512,10 @@ def _similar(pairs: DataFrame, prints: DataFrame, docs: DataFrame, text_col: str
     texts = stash(named.join(hashed.hint("merge"), "hash").select("node", "text"), "near-texts")
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")).hint("merge"), "a")
     both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")).hint("merge"), "b")
-    return both.where(alike("x", "y")).select("a", "b")
+    links = stash(both.where(alike("x", "y")).select("a", "b"), "near-links")
+    for part in (named, texts):
+        drop_stash(part)
+    return links
 
 
 def near_copy_groups(
@@ -558,23 +560,27 @@ def near_copy_groups(
         pairs = found.select(F.xxhash64("a0", "a1").alias("a"), F.xxhash64("b0", "b1").alias("b"))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = stash(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
-        return pairs, stash(_similar(pairs, named, docs, text_col, shingle, similarity), "near-links")
+        return pairs, _similar(pairs, named, docs, text_col, shingle, similarity)
 
     tried, links = verified(near_links(distinct, distance), None)
+    roots, failed = stash(connected_components(links), "near-roots"), tried.join(links, ["a", "b"], "left_anti")
+    root_of = lambda df, end: df.join(roots.withColumnRenamed("node", end), end, "left").select(F.coalesce("root", end).alias("root"))
     while True:
-        failed = tried.join(links, ["a", "b"], "left_anti")
-        roots = stash(connected_components(links), "near-roots")
-        rooted = distinct.join(roots, "node", "left").select("print", "node", F.coalesce("root", "node").alias("root"))
-        ends = failed.select(F.col("a").alias("node")).unionByName(failed.select(F.col("b").alias("node"))).distinct()
-        open_roots = ends.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root")).distinct()
+        open_roots = root_of(failed, "a").unionByName(root_of(failed, "b")).distinct()
+        rooted = distinct.join(roots, "node", "left").select("print", F.coalesce("root", "node").alias("root"))
         again = stash(rooted.join(open_roots, "root", "left_semi").select("print", "root"), "open-prints")
-        if again.isEmpty():
-            break
         more, similar = verified(near_links(again, distance), tried)
+        drop_stash(again)
         if similar.isEmpty():
             break
-        tried, links = tried.unionByName(more), links.unionByName(similar)
-    return _named_groups(named, links).select("doc_id", "fingerprint", "component_id")
+        tried, failed = tried.unionByName(more), failed.unionByName(more.join(similar, ["a", "b"], "left_anti"))
+        # groups grow together by links of their roots; texts that were alone are their own roots
+        ends = similar.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
+        grown = stash(connected_components(ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))), "grown-roots")
+        kept = roots.join(grown.select(F.col("node").alias("root"), F.col("root").alias("now")), "root", "left").select("node", F.coalesce("now", "root").alias("root"))
+        alone = grown.join(roots.select("node"), "node", "left_anti")
+        roots = stash(kept.unionByName(alone.select("node", "root")), "near-roots")
+    return _named_groups(named, roots).select("doc_id", "fingerprint", "component_id")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
