@@ -10,11 +10,6 @@ from quillon.functions.text import fold, safe_id
 from quillon.operators.classify import title_label
 from quillon.operators.curate import hash_order, split_rows
 from quillon.operators.records import first_text
-from quillon.operators.search import covers
-
-#: Largest model registry.
-MAX_MODELS = 2_000
-
 
 def label_from_name(name: Column, labels: list[str]) -> Column:
     """The longest label that a file name starts with, or null."""
@@ -285,16 +280,30 @@ def by_name_or_slug(wanted: DataFrame, listed: DataFrame, name: str, value: str)
 
 def registry_lookup(wanted: DataFrame, registry: DataFrame) -> DataFrame:
     """``job_id, model, how``: the model of the wanted name, else the best that covers language and era (a named language
-    first, then a named era, then the smaller error rate, then the name). A registry has at most ``MAX_MODELS`` rows, which
-    every job carries as one array."""
-    rows = registry.select(F.col("name").alias("model"), "languages", "eras", "cer").limit(MAX_MODELS + 1).collect()
-    if len(rows) > MAX_MODELS:
-        raise ValueError(f"a registry of more than {MAX_MODELS} models")
-    fixed = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in r.asDict().items()]) for r in rows])
-    met = wanted.withColumn("m", F.explode(fixed)).select(*wanted.columns, "m.*")
-    met = met.where((F.col("want") == F.col("model")) | (covers(F.col("languages"), F.col("lang")) & covers(F.col("eras"), F.col("era"))))
-    named = lambda c, v: F.array_contains(F.split(c, ","), F.col(v)).cast("int")
-    own = F.coalesce((F.col("want") == F.col("model")).cast("int"), F.lit(0))
-    key = F.struct((-own).alias("o"), (-named("languages", "lang")).alias("l"), (-named("eras", "era")).alias("e"), F.coalesce("cer", F.lit(1e9)).alias("c"), F.col("model"))
-    best = met.groupBy("job_id").agg(F.min(key).alias("k"))
-    return best.select("job_id", F.col("k.model").alias("model"), F.when(F.col("k.o") == -1, "name").otherwise("criteria").alias("how"))
+    first, then a named era, then the smaller error rate, then the name).
+
+    A registry may be of any size: of each pair of a named language (or any) and a named era (or any) only the best model is kept, and
+    every language and era that is asked for meets the four pairs that cover it.
+    """
+    models = registry.select(F.col("name").alias("model"), "languages", "eras", F.coalesce("cer", F.lit(1e9)).alias("c"))
+
+    def kinds(values: str, named: str, kind: str) -> Column:
+        """A row for every value of a comma list (named 1), and one (named 0) if it covers all."""
+        parts = F.split(values, ",")
+        every = (F.col(values) == "") | F.array_contains(parts, "*")
+        said = F.transform(F.array_distinct(parts), lambda v: F.struct(F.lit(1).alias(named), v.alias(kind)))
+        return F.when(every, F.concat(said, F.array(F.struct(F.lit(0).alias(named), F.lit("").alias(kind))))).otherwise(said)
+
+    held = models.select("model", "c", "eras", F.explode(kinds("languages", "nl", "lk")).alias("l")).select("model", "c", "l", F.explode(kinds("eras", "ne", "ek")).alias("e"))
+    best = held.groupBy("l.nl", "l.lk", "e.ne", "e.ek").agg(F.min(F.struct("c", "model")).alias("m"))
+    either = lambda c, named, kind: F.array_compact(F.array(F.when(F.col(c).isNotNull(), F.struct(F.lit(1).alias(named), F.col(c).alias(kind))), F.struct(F.lit(0).alias(named), F.lit("").alias(kind))))
+    asked = wanted.select("lang", "era").distinct()
+    asked = asked.select("*", F.explode(either("lang", "nl", "lk")).alias("l")).select("lang", "era", "l", F.explode(either("era", "ne", "ek")).alias("e")).select("lang", "era", "l.*", "e.*")
+    key = lambda own: F.struct(F.lit(-own).alias("o"), (-F.col("nl")).alias("l"), (-F.col("ne")).alias("e"), F.col("m.c").alias("c"), F.col("m.model").alias("model"))
+    chosen = asked.join(best, ["nl", "lk", "ne", "ek"]).groupBy("lang", "era").agg(F.min(key(0)).alias("k"))
+    chosen = chosen.select(F.col("lang").alias("_lang"), F.col("era").alias("_era"), "k")
+    covered = wanted.join(chosen, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("era").eqNullSafe(F.col("_era"))).select("job_id", "k")
+    own = F.struct(F.lit(-1).alias("o"), F.lit(0).alias("l"), F.lit(0).alias("e"), F.lit(0.0).alias("c"), F.col("model"))
+    named = wanted.where(F.col("want").isNotNull()).join(models.select("model").distinct(), F.col("want") == F.col("model")).select("job_id", own.alias("k"))
+    found = covered.unionByName(named).groupBy("job_id").agg(F.min("k").alias("k"))
+    return found.select("job_id", F.col("k.model").alias("model"), F.when(F.col("k.o") == -1, "name").otherwise("criteria").alias("how"))
