@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators.ordered import numbered
+
 #: Pivots of an index, the rows they are chosen from, and the most rows and queries that one task compares at a time.
 PIVOTS, SAMPLE, PART, BLOCK = 64, 4096, 20_000, 2048
 
@@ -21,17 +23,14 @@ def covers(values: Column, wanted: Column) -> Column:
 
 def rank_models(models: DataFrame, wanted: DataFrame) -> DataFrame:
     """Models ranked for each job: criteria covered, language named, era named, later round (``r<number>``, others 0),
-    lower error, name. Registries are dimension tables of some rows; each job carries them as one array."""
-    m = models.agg(F.collect_list(F.struct(*models.columns)).alias("m")).first()["m"]
-    fixed = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in r.asDict().items()]) for r in m])
-    rows = wanted.withColumn("m", F.explode_outer(fixed)).select("*", "m.*")
+    lower error, name. Every job meets every model; the places are those of an ordered scan, so a job's models are many tasks."""
     number = F.when(F.col("round").rlike("^r[0-9]+$"), F.expr("substr(round, 2)").cast("int")).otherwise(0)
     named = lambda c, v: F.array_contains(F.split(c, ","), F.col(v)).cast("int")
     both = (covers(F.col("languages"), F.col("lang")) & covers(F.col("eras"), F.col("era"))).cast("int")
-    order = [F.desc("both"), F.desc("has_lang"), F.desc("has_era"), F.desc("number"), "cer", "name"]
-    rows = rows.withColumns({"both": both, "has_lang": named("languages", "lang"), "has_era": named("eras", "era"), "number": number})
-    place = F.row_number().over(Window.partitionBy("job_id").orderBy(*order)).cast("long")
-    return rows.select("job_id", "name", place.alias("rank"))
+    last = lambda c: -F.coalesce(c, F.lit(-1))  # noqa: E731 (the largest first, nulls last)
+    dealt = models.repartition(models.sparkSession.sparkContext.defaultParallelism)  # a small file would be one task of all pairs
+    rows = dealt.crossJoin(wanted).select("job_id", last(both).alias("both"), last(named("languages", "lang")).alias("nl"), last(named("eras", "era")).alias("ne"), (-number).alias("number"), "cer", "name")
+    return numbered(rows, ["job_id"], ["both", "nl", "ne", "number", "cer", "name"], "rank").select("job_id", "name", "rank")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
