@@ -9,6 +9,7 @@ from quillon.functions import forms, protocol, text
 from quillon.operators import evaluate as E
 from quillon.operators import protocols as P
 from quillon.operators import records as R
+from quillon.operators.stylometry import let
 from quillon.plans.registry import query, table
 from quillon.sources import catalogues, files, layout, sinks
 
@@ -111,7 +112,8 @@ SELECT doc_id, list_transform(range(n), lambda i: CAST(CASE WHEN i = n - 1 THEN
 """)
 def word_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of some fifty words: how many words each has, and its first."""
-    chunks = text.chunk_words(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)), 50)
+    # bound once, as every chunk would find the words of the text again
+    chunks = let(F.regexp_extract_all("text", F.lit(r"\S+"), F.lit(0)), lambda w: text.chunk_words(w, 50))
     rows = table(spark, sf_dir, "documents").select("doc_id", chunks.alias("c"))
     return rows.select("doc_id", F.transform("c", F.size).alias("sizes"), F.transform("c", lambda c: F.get(c, 0)).alias("heads"))
 
