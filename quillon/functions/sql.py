@@ -30,8 +30,10 @@ FUNCTIONS = [
     ("slice_step", "n INT", "INT", "CASE WHEN n < 120 THEN NULL WHEN n < 500 THEN greatest(40, int(n / 6)) WHEN n < 1500 THEN 150 ELSE 250 END"),
     (
         "word_slices", "w ARRAY<STRING>", "ARRAY<STRUCT<slice_no: INT, words: ARRAY<STRING>>>",
-        # bound once, as the planner would put the whole of w in every place where it is named
-        "transform(array(named_struct('w', w, 'n', slice_size(size(w)), 'step', slice_step(size(w)))), v -> CASE WHEN v.n IS NULL THEN array() "
+        # bound twice, as the planner puts the whole of w, and of its size, in every place where they are named
+        "transform(transform(transform(array(w), w -> named_struct('w', w, 'm', size(w))), "
+        "x -> named_struct('w', x.w, 'n', CASE WHEN x.m < 120 THEN NULL WHEN x.m < 500 THEN greatest(80, int(x.m / 3)) WHEN x.m < 1500 THEN 250 ELSE 400 END, "
+        "'step', CASE WHEN x.m < 120 THEN NULL WHEN x.m < 500 THEN greatest(40, int(x.m / 6)) WHEN x.m < 1500 THEN 150 ELSE 250 END)), v -> CASE WHEN v.n IS NULL THEN array() "
         "ELSE transform(filter(sequence(0, size(v.w) - 1, v.step), (s, i) -> i = 0 OR least(v.n, size(v.w) - s) >= greatest(80, v.n / 2)), "
         "(s, i) -> named_struct('slice_no', i, 'words', slice(v.w, s + 1, v.n))) END)[0]",
     ),

@@ -24,7 +24,7 @@ def sql_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rolling slices by a lateral join with their words and types."""
     return _sql(spark, sf_dir, "documents", """
         SELECT d.doc_id, s.slice_no, size(s.words) AS n_words, size(array_distinct(s.words)) AS n_types
-        FROM (SELECT doc_id, word_slices(word_list(text)) AS found FROM {rows}) d, LATERAL inline(d.found) s""")
+        FROM (SELECT doc_id, word_slices(word_list(text)) AS found FROM {rows}) d, LATERAL inline_outer(d.found) s WHERE s.slice_no IS NOT NULL""")
 
 
 @query(r"""
