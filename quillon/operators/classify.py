@@ -14,11 +14,22 @@ PRIOR = 0.05
 def lexicon_scores(words: Column, lexicon: dict[str, dict[str, float]]) -> Column:
     """Array of ``label, score`` for an array column of words: sum of w * (1 + ln count) over the label's terms, over
     sqrt(n / 80). The lexicon is fixed and small, so it is part of the expression and nothing is joined."""
+    return let(words, lambda w: let(term_places(w, lexicon), lambda hits: _scored(w, hits, lexicon)))
+
+
+def term_places(words: Column, lexicon: dict[str, dict[str, float]]) -> Column:
+    """Of every word that is a term its place among all terms in letter order, found in one pass over the words."""
+    listed = F.array(*map(F.lit, sorted({t for terms in lexicon.values() for t in terms}))).cast("array<string>")
+    return F.filter(F.transform(words, lambda w: F.array_position(listed, w)), lambda p: p > 0)
+
+
+def _scored(words: Column, hits: Column, lexicon: dict[str, dict[str, float]]) -> Column:
     n = F.sqrt(F.greatest(F.size(words), F.lit(1)) / F.lit(80.0))
+    place = {t: i for i, t in enumerate(sorted({t for terms in lexicon.values() for t in terms}), 1)}
 
     def term(word: str, weight: float) -> Column:
         return let(
-            occurrences(words, word),
+            F.size(F.filter(hits, lambda p: p == place[word])),
             lambda n: F.when(n > 0, weight * (1 + F.log(n.cast("double")))).otherwise(F.lit(0.0)),
         )
 

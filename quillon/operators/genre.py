@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.forms import delta_tokens, genre_form
 from quillon.functions.text import tokens
-from quillon.operators.classify import lexicon_scores
+from quillon.operators.classify import lexicon_scores, term_places
 from quillon.operators.stylometry import feature_shares, let
 
 PRIOR, DELTA_WEIGHT = 0.05, 2.0
@@ -130,23 +130,34 @@ def structural_evidence(rules: list[tuple[str, str, str, float, float]]) -> Colu
 
 def lexicon_evidence(lexicon: dict[str, dict[str, float]]) -> Column:
     """One row of evidence a label over the column ``words``: the lexicon's score and the terms that stand in the text."""
-    scores, found = lexicon_scores(F.col("words"), lexicon), []
-    for i, (label, terms) in enumerate(sorted(lexicon.items())):
-        there = F.filter(F.array(*map(F.lit, sorted(terms))), lambda t: F.array_contains("words", t))
-        found.append(_evidence(label, "lexicon", scores[i]["score"], F.lit(1.0), scores[i]["score"], F.slice(there, 1, MOST_MATCHES)))
-    return F.filter(F.array(*found), lambda e: e["value"] > 0)
+    named = sorted({t for terms in lexicon.values() for t in terms})
+
+    def found(s: Column) -> Column:
+        rows = []
+        for i, (label, terms) in enumerate(sorted(lexicon.items())):
+            there = F.filter(F.array(*map(F.lit, sorted(terms))), lambda t: F.array_contains(s["terms"], t))
+            score = s["scores"][i]["score"]
+            rows.append(_evidence(label, "lexicon", score, F.lit(1.0), score, F.slice(there, 1, MOST_MATCHES)))
+        return F.array(*rows)
+
+    # scores and terms are bound: each label's evidence names them several times
+    terms = F.transform(F.array_distinct(term_places(F.col("words"), lexicon)), lambda p: F.get(F.array(*map(F.lit, named)).cast("array<string>"), (p - 1).cast("int")))
+    held = F.struct(lexicon_scores(F.col("words"), lexicon).alias("scores"), terms.alias("terms"))
+    return F.filter(let(held, found), lambda e: e["value"] > 0)
 
 
 def softmax(scores: Column) -> Column:
     """``label, score`` to ``label, prob``, shifted by the maximum."""
-    top = F.array_max(F.transform(scores, lambda s: s["score"]))
-    raised = F.transform(scores, lambda s: F.struct(s["label"].alias("label"), F.exp(s["score"] - top).alias("e")))
 
     def spread(parts: Column) -> Column:
         total = F.aggregate(parts, F.lit(0.0), lambda t, p: t + p["e"])
         return F.transform(parts, lambda p: F.struct(p["label"].alias("label"), (p["e"] / total).alias("prob")))
 
-    return let(raised, spread)
+    def raised(held: Column, top: Column) -> Column:
+        return F.transform(held, lambda s: F.struct(s["label"].alias("label"), F.exp(s["score"] - top).alias("e")))
+
+    # scores and their maximum are bound, or each label would compute all scores again
+    return let(scores, lambda held: let(F.array_max(F.transform(held, lambda s: s["score"])), lambda top: let(raised(held, top), spread)))
 
 
 def score(docs: DataFrame, keys: list[str], text_col: str, model: Model) -> DataFrame:
