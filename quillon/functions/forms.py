@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import unicodedata
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +21,10 @@ PUNCTUATION_AND_SIGNS = r"""['.,;:!?"`’‘“”…—\-()\[\]⁊ꝙ]+"""
 DROPPED_MARKS = "[̴-̸̧̨̡-̥̩-̳̃̄̈̊]+"
 
 
+#: Texts of a batch that are Python strings at a time.
+SLICE = 64
+
+
 def _all(text: Column, *pairs: tuple[str, str]) -> Column:
     for old, new in pairs:
         text = F.replace(text, F.lit(old), F.lit(new))
@@ -102,11 +106,17 @@ def stream_text(text: Column) -> Column:
 def unicode_form(text: Column, form: str = "NFC", casefold: bool = False) -> Column:
     """Exact Unicode form (NFC, NFD, NFKC, NFKD), case-folded if asked; null stays null."""
 
-    def convert(values: pd.Series) -> pd.Series:
-        out = [None if v is None else unicodedata.normalize(form, v) for v in values]
-        return pd.Series([v.casefold() if casefold and v is not None else v for v in out], dtype="object")
+    def one(v: str | None) -> str | None:
+        out = None if v is None else unicodedata.normalize(form, v)
+        return out.casefold() if casefold and out is not None else out
+
+    def convert(values: pa.Array) -> pa.Array:
+        """In slices: of a batch of texts only one slice at a time is Python strings."""
+        return pa.concat_arrays([pa.array(map(one, values.slice(at, SLICE).to_pylist()), pa.string()) for at in range(0, max(1, len(values)), SLICE)])
 
-    return F.pandas_udf(convert, "string")(text)
+    # plain ASCII is its own form and does not leave the JVM
+    plain = F.length(text) == F.octet_length(text)
+    return F.when(plain, F.lower(text) if casefold else text).otherwise(F.arrow_udf(convert, "string")(F.when(~plain, text)))
 
 
 def ocr_text(text: Column) -> Column:
