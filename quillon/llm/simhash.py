@@ -317,10 +317,6 @@ def _votes(digests: bytes, weights: np.ndarray | None = None) -> np.ndarray:
     return np.packbits(2 * ones > (len(hashes) if weights is None else weights.sum()), bitorder="little")
 
 
-#: Texts of other groups that a text is tried with once a link of its group has failed.
-NEAREST_APART = 4
-
-
 def near_print(text: str | None, shingle: int = NEAR_SHINGLE, seed: int = SEED) -> bytes:
     """Two fingerprints of 16 bytes: that of a text's distinct shingles and that of its words, each weighted by the
     root of its count; zeros without words."""
@@ -381,29 +377,38 @@ def _met(codes: np.ndarray, blocks: np.ndarray, j: int) -> tuple[np.ndarray, np.
     return row[order], meets[order]
 
 
-def apart_pairs(blocks: np.ndarray, prints: np.ndarray, words: np.ndarray, groups: np.ndarray, distance: int, most: int = NEAREST_APART) -> np.ndarray:
-    """Pairs of rows within ``distance`` bits that meet under any codeword and belong to different ``groups``: of each row its
-    ``most`` nearest."""
-    codes, found = near_codes(words), [np.zeros((0, 3), np.int64)]
+def _meet(codes: np.ndarray, x: int, others: np.ndarray, segment: int) -> np.ndarray:
+    """Which rows of a block (of a codeword of ``segment``) meet row ``x``: the own codeword of another segment of one is near the other's."""
+    near = np.zeros(len(others), bool)
     for j in range(len(NEAR_SEGMENTS)):
-        row, meets = _met(codes, blocks, j)
-        starts = np.flatnonzero(np.concatenate([[True], meets[1:] >> 1 != meets[:-1] >> 1])) if len(meets) else np.zeros(0, np.int64)
-        sizes = np.diff(np.concatenate([starts, [len(meets)]]))
-        ends = np.repeat(np.where((meets[starts] & 1 == 0) & (sizes > 1), starts + sizes, 0), sizes)
-        at, step, kept = np.flatnonzero(ends), 1, 0
-        while len(at := at[at + step < ends[at]]):
-            a, b = row[at], row[at + step]
-            apart = groups[a] != groups[b]
-            a, b = a[apart], b[apart]
-            bits = _differ(prints[a], prints[b]).astype(np.int64)
-            near = bits <= distance
-            found.append(np.column_stack([a[near], b[near], bits[near]]))
-            kept += int(near.sum())
-            if kept > BLOCK_ROWS:
-                found, kept = [_nearest_of_each(np.concatenate(found), most)], 0
-            step += 1
-        found = [_nearest_of_each(np.concatenate(found), most)]
-    return found[0][:, :2]
+        if j != segment:
+            near |= (codes[others, j] == codes[x, j, 0]).any(axis=1) | (codes[others, j, 0][:, None] == codes[x, j]).any(axis=1)
+    return near
+
+
+def apart_links(segment: int, prints: np.ndarray, words: np.ndarray, roots: np.ndarray, starts: np.ndarray, held: np.ndarray, distance: int, similarity: float) -> list[tuple[int, int]]:
+    """Links of the roots of a block's rows: every two rows of different groups that meet within ``distance`` bits are compared by their
+    shingles (row i has ``held[starts[i]:starts[i + 1]]``, distinct), unless rows found similar before have made them one group.
+
+    No pair is kept: a row is held against all rows after it, so memory grows with the rows alone.
+    """
+    codes, groups, sizes, links = near_codes(words), roots.copy(), np.diff(starts), []
+    kinds, ids = np.unique(held, return_inverse=True)
+    own = np.zeros(len(kinds), bool)
+    for x in range(len(roots) - 1):
+        others = x + 1 + np.flatnonzero(groups[x + 1 :] != groups[x])
+        others = others[_differ(prints[others], prints[x]) <= distance]
+        others = others[_meet(codes, x, others, segment)]
+        if not len(others):
+            continue
+        own[ids[starts[x] : starts[x + 1]]] = True
+        both = np.fromiter((np.count_nonzero(own[ids[starts[y] : starts[y + 1]]]) for y in others), np.int64, len(others))
+        own[ids[starts[x] : starts[x + 1]]] = False
+        for y in others[both / (sizes[x] + sizes[others] - both) >= similarity]:
+            if groups[y] != groups[x]:
+                links.append((int(roots[x]), int(roots[y])))
+                groups[groups == groups[y]] = groups[x]
+    return links
 
 
 def _nearest_of_each(pairs: np.ndarray, most: int) -> np.ndarray:
@@ -443,43 +448,106 @@ def _groups_with_neighbours(meets: np.ndarray, prints: np.ndarray, distance: int
     yield from np.split(rows, np.flatnonzero(meets[rows[1:]] >> 1 != meets[rows[:-1]] >> 1) + 1) if len(rows) else ()
 
 
-def near_links(prints: DataFrame, distance: int = NEAR_DISTANCE) -> DataFrame:
-    """Candidates among the distinct ``print`` values: ``a0, a1, b0, b1``, the two words of either shingle fingerprint (96 bits).
+def _block_keys(words: np.ndarray) -> np.ndarray:
+    """The block of each segment of some word fingerprints: the segment and its own codeword."""
+    return np.arange(len(NEAR_SEGMENTS)) << 12 | near_codes(words)[:, :, 0]
 
-    With a column ``root`` only pairs of different roots are candidates, each row with its nearest ones under all keys together;
-    without one, the shortest links that connect the rows of a key.
-    """
-    low, rooted = np.uint64(0xFFFFFFFF), "root" in prints.columns
+
+def near_links(prints: DataFrame, distance: int = NEAR_DISTANCE) -> DataFrame:
+    """Candidates among the distinct ``print`` values, the shortest links that connect the rows of a key: ``a0, a1, b0, b1``, the two
+    words of either shingle fingerprint (96 bits)."""
+    low = np.uint64(0xFFFFFFFF)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             both = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64).reshape(-1, 4)
             for at in range(0, len(both), 5000):
                 part = both[at : at + 5000]
-                own = near_codes(part[:, 2:])[:, :, 0]
-                blocks = np.arange(len(NEAR_SEGMENTS)) << 12 | own
-                keys = blocks.astype(np.uint64) << np.uint64(32) | (part[:, 1] & low)[:, None]
+                keys = _block_keys(part[:, 2:]).astype(np.uint64) << np.uint64(32) | (part[:, 1] & low)[:, None]
                 rows = np.repeat(part, len(NEAR_SEGMENTS), axis=0)
                 columns = [keys.ravel(), rows[:, 0], rows[:, 2], rows[:, 3]]
-                if rooted:
-                    columns.append(np.repeat(batch.column(1).to_numpy().view(np.uint64)[at : at + 5000], len(NEAR_SEGMENTS)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c).view(np.int64)) for c in columns], names=names)
 
-    def unpack(key: np.ndarray, rest: np.ndarray, c0: np.ndarray, c1: np.ndarray, *root: np.ndarray) -> tuple[np.ndarray, ...]:
-        return key >> np.uint64(32), np.column_stack([rest, key & low]), np.column_stack([c0, c1]), *root
+    def unpack(key: np.ndarray, rest: np.ndarray, c0: np.ndarray, c1: np.ndarray) -> tuple[np.ndarray, ...]:
+        return key >> np.uint64(32), np.column_stack([rest, key & low]), np.column_stack([c0, c1])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for blocks, own, words, *root in _whole_groups(batches, unpack):
-            pairs = apart_pairs(blocks, own, words, root[0], distance).tolist() if root else near_pairs(blocks, own, words, distance)
+        for blocks, own, words in _whole_groups(batches, unpack):
+            pairs = near_pairs(blocks, own, words, distance)
             found = {(*min(x, y), *max(x, y)) for a, b in pairs if (x := _name(own[a])) != (y := _name(own[b]))}
             yield _link_batch(sorted(found), ["a0", "a1", "b0", "b1"])
 
-    names = ["key", "rest", "c0", "c1"] + ["root"] * rooted
-    keys = map_arrow(prints.select("print", *["root"] * rooted), emit, ", ".join(f"{n} long" for n in names))
+    names = ["key", "rest", "c0", "c1"]
+    keys = map_arrow(prints.select("print"), emit, ", ".join(f"{n} long" for n in names))
     dealt = keys.repartition(F.shiftright("key", 32)).sortWithinPartitions("key", "rest")
     return map_arrow(dealt, link, "a0 long, a1 long, b0 long, b1 long")
 
 
+def _tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows of sorted batches, one table for each value of the first column."""
+    kept: list[pa.RecordBatch] = []
+    for batch in batches:
+        keys = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)] if len(keys) else []
+        for start, end in itertools.pairwise(cuts):
+            if kept and kept[0].column(0)[0].as_py() != keys[start]:
+                yield pa.Table.from_batches(kept).combine_chunks()
+                kept = []
+            kept.append(batch.slice(start, end - start))
+    if kept:
+        yield pa.Table.from_batches(kept).combine_chunks()
+
+
+def root_links(texts: DataFrame, shingle: int, similarity: float, distance: int = NEAR_DISTANCE) -> DataFrame:
+    """Links ``a, b`` of the roots of texts (``print, root, text``): the components are those of all pairs of texts of different roots that
+    share a key, are within ``distance`` bits and as similar as asked. Shingles are compared by their 64-bit hashes."""
+    count = len(NEAR_SEGMENTS)
+    # what a block needs of a text: first which texts have a partner there, then the shingles of those
+    light = "block int, print binary, root long"
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64).reshape(-1, 4)[:, 2:]
+            rows = pa.array(np.repeat(np.arange(batch.num_rows), count))
+            blocks = pa.array(_block_keys(words).ravel().astype(np.int32))
+            yield pa.RecordBatch.from_arrays([blocks, batch.column(0).take(rows), batch.column(1).take(rows)], names=["block", "print", "root"])
+
+    def unpack(rows: pa.Table) -> tuple[np.ndarray, ...]:
+        both = np.frombuffer(b"".join(rows.column("print").to_pylist()), np.uint64).reshape(-1, 4)
+        own = np.column_stack([both[:, 0], both[:, 1] & np.uint64(0xFFFFFFFF)])
+        return own, both[:, 2:], rows.column("root").to_numpy()
+
+    def partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _tables(batches):
+            prints, _, roots = unpack(rows)
+            near = np.zeros(len(roots), bool)
+            for x in range(len(roots) - 1):
+                others = x + 1 + np.flatnonzero((roots[x + 1 :] != roots[x]) & (_differ(prints[x + 1 :], prints[x]) <= distance))
+                near[others] = True
+                near[x] |= len(others) > 0
+            if near.any():
+                yield rows.select(["block", "print"]).filter(pa.array(near)).combine_chunks().to_batches()[0]
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _tables(batches):
+            held = rows.column("shingles").combine_chunks()
+            starts = np.concatenate([[0], np.cumsum(held.value_lengths().to_numpy())])
+            found = apart_links(rows.column("block")[0].as_py() >> 12, *unpack(rows), starts, held.flatten().to_numpy(), distance, similarity)
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    @F.pandas_udf("array<long>")
+    def hashed(values: pd.Series) -> pd.Series:
+        from xxhash import xxh3_64_intdigest
+
+        return pd.Series([np.unique(np.fromiter((xxh3_64_intdigest(x, SEED) for x in shingles(t, shingle)), np.uint64)).view(np.int64) for t in values])
+
+    dealt = map_arrow(texts.select("print", "root"), emit, light).repartition("block").sortWithinPartitions("block")
+    marked = stash(map_arrow(dealt, partners, "block int, print binary"), "apart-prints")
+    lists = texts.join(marked.select("print").distinct().hint("merge"), "print", "left_semi").select("print", "root", hashed("text").alias("shingles"))
+    met = marked.join(stash(lists, "apart-shingles").hint("merge"), "print").select("block", "print", "root", "shingles")
+    return map_arrow(met.repartition("block").sortWithinPartitions("block"), link, "a long, b long")
+
+
 def shingles(text: str | None, size: int = NEAR_SHINGLE) -> set[bytes]:
     """Distinct word shingles of a text, A-Z in lower case; fewer words are one shingle, none are the empty one."""
     words = (text or "").encode("utf-8").lower().split()
@@ -495,9 +563,20 @@ def jaccard(a: set, b: set) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def _node_texts(nodes: DataFrame, prints: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """``node, text`` of some nodes; a node's texts are one text as a rule, and have one fingerprint anyway: the one of the least hash
+    speaks for it."""
+    least = prints.groupBy("node").agg(F.min("hash").alias("hash"))
+    named = stash(least.join(nodes.hint("merge"), "node", "left_semi"), "near-nodes")
+    hashed = docs.select(F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
+    hashed = hashed.where(maybe_among(named.select("hash"), F.col("hash"))).groupBy("hash").agg(F.first("text").alias("text"))
+    texts = stash(named.join(hashed.hint("merge"), "hash").select("node", "text"), "near-texts")
+    drop_stash(named)
+    return texts
+
+
 def _similar(pairs: DataFrame, prints: DataFrame, docs: DataFrame, text_col: str, shingle: int, similarity: float) -> DataFrame:
-    """The pairs of nodes ``a, b`` whose texts are as similar as asked; a node's texts are one text as a rule, and
-    have one fingerprint anyway: the one of the least hash speaks for it."""
+    """The pairs of nodes ``a, b`` whose texts (:func:`_node_texts`) are as similar as asked."""
 
     @F.pandas_udf("boolean")
     def alike(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -505,16 +584,11 @@ def _similar(pairs: DataFrame, prints: DataFrame, docs: DataFrame, text_col: str
         return pd.Series(list(near), dtype="bool")
 
     ends = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct().withColumnRenamed("a", "node")
-    least = prints.groupBy("node").agg(F.min("hash").alias("hash"))
-    named = stash(least.join(ends.hint("merge"), "node", "left_semi"), "near-nodes")
-    hashed = docs.select(F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
-    hashed = hashed.where(maybe_among(named.select("hash"), F.col("hash"))).groupBy("hash").agg(F.first("text").alias("text"))
-    texts = stash(named.join(hashed.hint("merge"), "hash").select("node", "text"), "near-texts")
+    texts = _node_texts(ends, prints, docs, text_col)
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")).hint("merge"), "a")
     both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")).hint("merge"), "b")
     links = stash(both.where(alike("x", "y")).select("a", "b"), "near-links")
-    for part in (named, texts):
-        drop_stash(part)
+    drop_stash(texts)
     return links
 
 
@@ -532,8 +606,9 @@ def near_copy_groups(
     Texts whose word fingerprints share a key and whose shingle fingerprints are within ``distance`` of 96 bits are candidates; those are
     linked whose shingles have a Jaccard ``similarity`` as asked. First each text is tried with its nearest under every key, so that a group
     of many copies costs links in proportion to its texts. Where such a try fails, texts that hung together by it may be copies all
-    the same: the groups of its two ends are tried again, each text with its nearest of all other groups (``NEAREST_APART`` of them),
-    until that links nothing more. The keys are not exhaustive: of pairs right at 0.8 a few are missed (the README has the measured
+    the same: every two texts of the groups of such ends that share a key and are in different groups are compared, without a limit and
+    without a table of pairs. A pair within ``distance`` bits that the first try leaves apart always lies between two such groups, so no
+    candidate is left out. The keys are not exhaustive: of pairs right at 0.8 a few are missed (the README has the measured
     share). Nulls, empty texts, repeated rows, other columns and empty tables are as in :func:`simhash_groups`.
     """
 
@@ -555,31 +630,23 @@ def near_copy_groups(
     held = F.lower(F.hex(F.substring("print", 1, 12)))
     named = prints.select("doc_id", "hash", held.alias("fingerprint"), node.alias("node"))
 
-    def verified(found: DataFrame, tried: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        """New candidate pairs of nodes, and those of them that are similar."""
-        pairs = found.select(F.xxhash64("a0", "a1").alias("a"), F.xxhash64("b0", "b1").alias("b"))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = stash(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "near-pairs")
-        return pairs, _similar(pairs, named, docs, text_col, shingle, similarity)
-
-    tried, links = verified(near_links(distinct, distance), None)
+    found = near_links(distinct, distance).select(F.xxhash64("a0", "a1").alias("a"), F.xxhash64("b0", "b1").alias("b"))
+    tried = stash(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
+    links = _similar(tried, named, docs, text_col, shingle, similarity)
     roots, failed = stash(connected_components(links), "near-roots"), tried.join(links, ["a", "b"], "left_anti")
     root_of = lambda df, end: df.join(roots.withColumnRenamed("node", end), end, "left").select(F.coalesce("root", end).alias("root"))
-    while True:
-        open_roots = root_of(failed, "a").unionByName(root_of(failed, "b")).distinct()
-        rooted = distinct.join(roots, "node", "left").select("print", F.coalesce("root", "node").alias("root"))
-        again = stash(rooted.join(open_roots, "root", "left_semi").select("print", "root"), "open-prints")
-        more, similar = verified(near_links(again, distance), tried)
-        drop_stash(again)
-        if similar.isEmpty():
-            break
-        tried, failed = tried.unionByName(more), failed.unionByName(more.join(similar, ["a", "b"], "left_anti"))
-        # groups grow together by links of their roots; texts that were alone are their own roots
-        ends = similar.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left")
-        grown = stash(connected_components(ends.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))), "grown-roots")
-        kept = roots.join(grown.select(F.col("node").alias("root"), F.col("root").alias("now")), "root", "left").select("node", F.coalesce("now", "root").alias("root"))
-        alone = grown.join(roots.select("node"), "node", "left_anti")
-        roots = stash(kept.unionByName(alone.select("node", "root")), "near-roots")
+    open_roots = root_of(failed, "a").unionByName(root_of(failed, "b")).distinct()
+    rooted = distinct.join(roots, "node", "left").select("print", "node", F.coalesce("root", "node").alias("root"))
+    again = stash(rooted.join(open_roots, "root", "left_semi"), "open-prints")
+    texts = _node_texts(again.select("node").distinct(), named, docs, text_col)
+    more = stash(root_links(again.join(texts.hint("merge"), "node"), shingle, similarity, distance), "root-links")
+    for part in (again, texts):
+        drop_stash(part)
+    # groups grow together by links of their roots; texts that were alone are their own roots
+    grown = stash(connected_components(more), "grown-roots")
+    kept = roots.join(grown.select(F.col("node").alias("root"), F.col("root").alias("now")), "root", "left").select("node", F.coalesce("now", "root").alias("root"))
+    alone = grown.join(roots.select("node"), "node", "left_anti")
+    roots = stash(kept.unionByName(alone.select("node", "root")), "near-roots")
     return _named_groups(named, roots).select("doc_id", "fingerprint", "component_id")
 
 

@@ -615,3 +615,21 @@ def test_nearest_of_each_end():
     many = np.array([(0, k, k) for k in range(1, 9)] + [(k, 20, 1) for k in range(1, 9)])
     assert sorted(map(tuple, simhash._nearest_of_each(many, 2)[:, :2])) == sorted([(0, k) for k in range(1, 9)] + [(k, 20) for k in range(1, 9)])
     assert sorted(map(tuple, simhash._nearest_of_each(many, 1)[:, :2])) == sorted([(0, 1)] + [(k, 20) for k in range(1, 9)])
+
+
+def test_similar_texts_behind_nearer_others_are_linked(spark):
+    """Two texts, each with five nearer fingerprints of other texts around it: the nearest four of each never made them meet."""
+    def made(bits):
+        short = sum(1 << b for b in bits)
+        return np.array([short & (1 << 64) - 1, short >> 64, 12345, 67], np.uint64).tobytes()
+
+    far = list(range(40, 60))
+    words = [f"w{i}" for i in range(80)]
+    texts = [(made([]), -1, " ".join(words)), (made(far), 2, " ".join([*words[:79], "other"]))]
+    texts += [(made([i]), 10 + i, f"near the first {i}") for i in range(5)]
+    texts += [(made([*far, 60 + i]), 20 + i, f"near the second {i}") for i in range(5)]
+    texts += [(made([*range(70, 93)]), 30, " ".join(words))]  # 23 bits away from the first: no candidate
+    df = spark.createDataFrame(texts, "print binary, root long, text string")
+    found = simhash.root_links(df, simhash.NEAR_SHINGLE, simhash.NEAR_SIMILARITY).collect()
+    assert {tuple(sorted((r["a"], r["b"]))) for r in found} == {(-1, 2)}
+    assert simhash.root_links(df.limit(0), 5, 0.8).count() == 0
