@@ -32,16 +32,68 @@ def _all(text: Column, *pairs: tuple[str, str]) -> Column:
 
 
 def _uv_ij(text: Column) -> Column:
-    return F.translate(text, "vj", "ui")
+    return _all(text, ("v", "u"), ("j", "i"))
+
+
+def _folded(text: Column) -> Column:
+    """:func:`fold`, of plain ASCII only its lower case: it has no accents to look for letter by letter."""
+    return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(fold(text))
+
+
+def _blanked(text: Column, signs: str) -> Column:
+    """Runs of signs (the inside of a character class) and white space as one blank, trimmed: one pass for both."""
+    return F.trim(F.regexp_replace(text, rf"[{signs}\s]+", " "))
+
+
+def _scoring(uv: Column) -> Column:
+    return _blanked(uv, PUNCTUATION[1:-2])
+
+
+def _fingerprint(uv: Column) -> Column:
+    return _blanked(uv, PUNCTUATION_AND_SIGNS[1:-2])
+
+
+def _genre(uv: Column) -> Column:
+    return _blanked(_all(uv, ("q3", "que"), ("qz", "que"), ("qʒ", "que"), ("⁊", " et "), ("&", " et ")), "<>")
+
+
+def _stylo(folded: Column) -> Column:
+    out = _all(folded, ("æ", "e"), ("œ", "e"), ("ae", "e"), ("oe", "e"))
+    out = _all(_uv_ij(out), ("q3", "que"), ("qz", "que"), ("&", " et "), ("⁊", " et "))
+    return F.trim(F.regexp_replace(out, "[^a-z]+", " "))
+
+
+def _quality(uv: Column) -> Column:
+    out = _all(uv, ("q3", "que"), ("&", " et "), ("⁊", " et "))
+    return F.trim(F.regexp_replace(F.regexp_replace(out, r"\[[^\]]*\]", " "), "[^a-z]+", " "))
+
+
+def _title(folded: Column) -> Column:
+    return _all(folded, ("æ", "ae"), ("œ", "oe"), ("ae", "e"), ("oe", "e"))
+
+
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once a row."""
+    return F.transform(F.array(value), body)[0]
+
+
+def digests(text: Column) -> Column:
+    """Struct of the MD5 of all seven forms below, the text being folded once for all of them."""
+
+    def made(folded: Column, uv: Column) -> Column:
+        found = {"scoring": _scoring(uv), "fingerprint": _fingerprint(uv), "genre": _genre(uv), "stylo": _stylo(folded), "quality": _quality(uv), "line": squeeze(folded), "title": _title(folded)}
+        return F.struct(*[F.md5(c).alias(k) for k, c in found.items()])
+
+    return _bound(_folded(text), lambda f: _bound(_uv_ij(f), lambda uv: made(f, uv)))
 
 
 def scoring_form(text: Column) -> Column:
     """Folded, v as u and j as i, punctuation as blanks: both sides of an error rate."""
-    return squeeze(F.regexp_replace(_uv_ij(fold(text)), PUNCTUATION, " "))
+    return _scoring(_uv_ij(_folded(text)))
 
 
 def fingerprint_form(text: Column) -> Column:
-    return squeeze(F.regexp_replace(_uv_ij(fold(text)), PUNCTUATION_AND_SIGNS, " "))
+    return _fingerprint(_uv_ij(_folded(text)))
 
 
 def fingerprint_tokens(text: Column) -> Column:
@@ -51,8 +103,7 @@ def fingerprint_tokens(text: Column) -> Column:
 
 def genre_form(text: Column) -> Column:
     """Abbreviation signs written out, angle brackets as blanks."""
-    out = _all(_uv_ij(fold(text)), ("q3", "que"), ("qz", "que"), ("qʒ", "que"), ("⁊", " et "), ("&", " et "))
-    return squeeze(F.regexp_replace(out, "[<>]", " "))
+    return _genre(_uv_ij(_folded(text)))
 
 
 def delta_tokens(text: Column) -> Column:
@@ -62,24 +113,21 @@ def delta_tokens(text: Column) -> Column:
 
 def stylo_form(text: Column) -> Column:
     """Orthography of reference sets: ae and oe as e, only a-z."""
-    out = _all(fold(text), ("æ", "e"), ("œ", "e"), ("ae", "e"), ("oe", "e"))
-    out = _all(_uv_ij(out), ("q3", "que"), ("qz", "que"), ("&", " et "), ("⁊", " et "))
-    return squeeze(F.regexp_replace(out, r"[^a-z\s]", " "))
+    return _stylo(_folded(text))
 
 
 def quality_form(text: Column) -> Column:
     """Bracketed marks dropped, only a-z."""
-    out = _all(_uv_ij(fold(text)), ("q3", "que"), ("&", " et "), ("⁊", " et "))
-    return squeeze(F.regexp_replace(F.regexp_replace(out, r"\[[^\]]*\]", " "), r"[^a-z\s]", " "))
+    return _quality(_uv_ij(_folded(text)))
 
 
 def line_form(text: Column) -> Column:
     """Lower case without marks, punctuation and letters as they are."""
-    return squeeze(fold(text))
+    return squeeze(_folded(text))
 
 
 def title_form(text: Column) -> Column:
-    return _all(fold(text), ("æ", "ae"), ("œ", "oe"), ("ae", "e"), ("oe", "e"))
+    return _title(_folded(text))
 
 
 def strip_tokens(text: Column) -> Column:

@@ -39,12 +39,8 @@ _TITLE = _each(_FOLD, ("æ", "ae"), ("œ", "oe"), ("ae", "e"), ("oe", "e"))
   md5({_squeeze(_FOLD)}) AS line, md5({_TITLE}) AS title FROM documents""")
 def text_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of a text's canonical forms."""
-    t = F.coalesce("text", F.lit(""))
-    made = {
-        "scoring": forms.scoring_form(t), "fingerprint": forms.fingerprint_form(t), "genre": forms.genre_form(t), "stylo": forms.stylo_form(t),
-        "quality": forms.quality_form(t), "line": forms.line_form(t), "title": forms.title_form(t),
-    }
-    return table(spark, sf_dir, "documents").select("doc_id", *[F.md5(c).alias(k) for k, c in made.items()])
+    rows = table(spark, sf_dir, "documents").select("doc_id", forms.digests(F.coalesce("text", F.lit(""))).alias("m"))
+    return rows.select("doc_id", "m.*")
 
 
 @query(rf"""SELECT doc_id, CAST(len(list_filter(string_split({_FINGERPRINT}, ' '), lambda w: regexp_matches(w, '^\p{{L}}{{2,}}$'))) AS BIGINT) AS n_words,
