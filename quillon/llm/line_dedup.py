@@ -26,28 +26,70 @@ from quillon.llm.quality import let
 MAX_EDITS, MIN_CHARS, MAX_COPIES = 2, 32, 1
 #: Shortest line that the query and the pipeline take out where it is repeated exactly.
 MIN_EXACT = 1
-#: Letters whose counts, two bits each, stand beside 40 bits of a key.
-SKETCH_LETTERS, _SKETCH_BITS = "enatisrohldc", 24
+#: Letters whose counts, two bits each, are a line's sketch.
+SKETCH_LETTERS = "enatisrohldc"
 #: Letters after which the band of a candidate is looked at first.
 FIRST_LOOK = 16
 #: Lines of a key that every probe is compared with in the first round.
 FIRST_OF_KEY = 16
 
 
-def _segment(length: Column, number: int, parts: int) -> tuple[Column, Column]:
+def _segment(length: Column, number: Column, parts: int) -> tuple[Column, Column]:
     """First position (from 1) and length of a segment; the last ones take the remainder."""
-    base = F.floor(length / parts).cast("int")
-    longer = (length % parts).cast("int")
-    before = F.greatest(F.lit(0), F.lit(number - 1) - (F.lit(parts) - longer))
-    size = base + F.when(F.lit(number) > F.lit(parts) - longer, 1).otherwise(0)
+    base, longer = F.floor(length / parts).cast("int"), length % parts
+    before = F.greatest(F.lit(0), number - 1 - (F.lit(parts) - longer))
+    size = base + (number > F.lit(parts) - longer).cast("int")
     return F.lit(1) + base * (number - 1) + before, size
 
 
-def single_bytes(line: Column) -> Column:
-    """A line with one byte for every letter (letters beyond Latin-1 alike), so that cutting a segment
-    costs nothing; this can only bring lines together, never part them."""
-    plain = F.encode(F.regexp_replace(line, r"[^\x00-\xFF]", "?"), "ISO-8859-1")
-    return F.when(F.octet_length(line) == F.length(line), line.cast("binary")).otherwise(plain)
+def probe_places(max_edits: int) -> list[tuple[int, int, int]]:
+    """Where a line probes: the segment's number, by how much the line it belongs to is shorter, and the segment's shift."""
+    parts = max_edits + 1
+    found = []
+    for shorter in range(max_edits + 1):
+        for number in range(1, parts + 1):
+            low = max(-(number - 1), shorter - (parts - number))
+            high = min(number - 1, shorter + (parts - number))
+            found += [(number, shorter, shift) for shift in range(low, high + 1)]
+    return found
+
+
+def index_places(max_edits: int) -> list[tuple[int, int, int]]:
+    """Where a line is indexed: its own segments, where they stand."""
+    return [(number, 0, 0) for number in range(1, max_edits + 2)]
+
+
+def wide_letters(line: Column) -> Column:
+    """A line with four bytes for every letter, so that cutting a segment costs nothing."""
+    return F.encode(line, "UTF-32")
+
+
+def _width(wide: Column) -> Column:
+    """Number of letters."""
+    return (F.octet_length(wide) / 4).cast("int")
+
+
+def _key(wide: Column, length: Column, number: Column, shorter: Column, shift: Column, max_edits: int) -> Column:
+    """Key of a segment of a line ``shorter`` letters shorter than this one."""
+    of = length - shorter
+    start, size = _segment(of, number, max_edits + 1)
+    return F.xxhash64(F.substring(wide, (start + shift - 1) * 4 + 1, size * 4), number, of)
+
+
+def keyed(wide: DataFrame, places: list[tuple[int, int, int]], max_edits: int) -> DataFrame:
+    """``id, key`` for every line (``id, wide``) at every place.
+
+    The places are a small table that every line meets: one short expression for all of them is compiled, where an array
+    of keys that is exploded is worked out by the interpreter.
+    """
+    names = ("number", "shorter", "shift")
+    row = (F.col("id") + 1).cast("int")
+    table_ = wide.sparkSession.range(len(places), numPartitions=1).select(
+        *[F.element_at(F.array(*[F.lit(p[i]) for p in places]), row).alias(c) for i, c in enumerate(names)]
+    )
+    # the second use of the letters, for their number, has them made once a line and not once a place
+    met = wide.withColumn("length", _width(F.col("wide"))).crossJoin(F.broadcast(table_))
+    return met.select("id", _key(F.col("wide"), F.col("length"), *[F.col(c) for c in names], max_edits).alias("key"))
 
 
 def with_sketch(lines: DataFrame, line_col: str = "line") -> DataFrame:
@@ -74,26 +116,6 @@ def sketches_allow(x: Column, y: Column, max_edits: int) -> Column:
     return total <= 2 * max_edits
 
 
-def segment_keys(line: Column, length: Column, max_edits: int) -> tuple[Column, Column]:
-    """Arrays of the keys under which a line (as single bytes) is indexed, and of those with which it probes."""
-    parts = max_edits + 1
-    index, probe = [], []
-    for shorter in range(max_edits + 1):
-        of = length - shorter
-        for number in range(1, parts + 1):
-            start, size = _segment(of, number, parts)
-
-            def key(shift: int, start=start, size=size, number=number, of=of) -> Column:
-                return F.xxhash64(F.substring(line, start + shift, size), F.lit(number), of)
-
-            if shorter == 0:
-                index.append(key(0))
-            low = max(-(number - 1), shorter - (parts - number))
-            high = min(number - 1, shorter + (parts - number))
-            probe += [key(shift) for shift in range(low, high + 1)]
-    return F.array(*index), F.array(*probe)
-
-
 def _common(a: Column, b: Column, most: Column, part) -> Column:
     """Length of the longest common ``part`` (prefix or suffix), at most ``most``, by bisection."""
     start = F.struct(F.lit(0).alias("low"), most.alias("high"))
@@ -188,16 +210,19 @@ def word_marks(line: Column) -> Column:
     return F.aggregate(F.split(line, " "), F.lit(0).cast("long"), lambda marks, w: marks.bitwiseXOR(bit(w)))
 
 
-def _packed(keys: Column) -> Column:
-    """One row a key: its upper bits, with the line's sketch in the lower ones."""
-    high = F.lit(-(1 << _SKETCH_BITS))
-    return F.explode_outer(F.transform(keys, lambda k: k.bitwiseAND(high).bitwiseOR(F.col("sketch"))))
+def _ends(pairs: DataFrame) -> DataFrame:
+    """Every ``id`` that stands in the pairs ``a, b``, once."""
+    return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+
+
+def _lines_of(ids: DataFrame, lines: DataFrame) -> DataFrame:
+    """The lines of these ``id``."""
+    return lines.where(maybe_among(ids, F.col("id"))).join(ids.hint("merge"), "id", "left_semi")
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, max_edits: int) -> DataFrame:
     """The pairs ``a, b`` whose lines are within ``max_edits`` edits."""
-    ids = pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))).distinct()
-    texts = lines.where(maybe_among(ids, F.col("id")))
+    texts = lines.where(maybe_among(_ends(pairs), F.col("id")))
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("x")).hint("merge"), "a")
     both = both.join(texts.select(F.col("id").alias("b"), F.col("line").alias("y")).hint("merge"), "b")
     # few bytes but much work: dealt out anew, so that small partitions are not merged into a few tasks
@@ -208,17 +233,17 @@ def _verified(pairs: DataFrame, lines: DataFrame, max_edits: int) -> DataFrame:
 
 def _crowded_links(lines: DataFrame, crowded: DataFrame, roots: DataFrame, max_edits: int) -> DataFrame:
     """Links under the crowded keys (``id, key``: who probes with which) between lines of different components."""
-    there = crowded.select("id").distinct()
-    found = lines.where(maybe_among(there, F.col("id"))).join(there.hint("merge"), "id", "left_semi")
+    found = _lines_of(crowded.select("id").distinct(), lines)
     found = found.join(roots.withColumnRenamed("node", "id").hint("merge"), "id", "left")
-    plain = single_bytes(F.col("line"))
-    keys, _ = segment_keys(plain, F.octet_length(plain), max_edits)
+    found = with_sketch(found).withColumn("wide", wide_letters(F.col("line")))
+    length = _width(F.col("wide"))
+    keys = [_key(F.col("wide"), length, *[F.lit(x) for x in place], max_edits) for place in index_places(max_edits)]
     own = found.select(
         "id",
         "sketch",
         word_marks(F.col("line")).alias("words"),
         F.coalesce("root", "id").alias("root"),
-        F.transform(keys, lambda k: F.shiftright(k, _SKETCH_BITS)).alias("keys"),
+        F.array(*keys).alias("keys"),
     )
     own = stash(own, "crowded-lines")
     named = lambda side: own.select(*[F.col(c).alias(f"{c}_{side}") for c in ("id", "sketch", "words", "root")])
@@ -238,7 +263,7 @@ def _crowded_links(lines: DataFrame, crowded: DataFrame, roots: DataFrame, max_e
 
 
 def linked_lines(lines: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
-    """Links ``a, b`` (ids) between the distinct lines (``id, line, sketch``) that are within ``max_edits`` edits: the
+    """Links ``a, b`` (ids) between the distinct lines (``id, line``) that are within ``max_edits`` edits: the
     components are those of all such pairs.
 
     Every probe meets the first ``FIRST_OF_KEY`` lines of its key. That is all of them but under crowded keys, whose
@@ -246,26 +271,27 @@ def linked_lines(lines: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
     large group of near-equal lines is one component after a number of links in proportion to its lines. Ids
     are taken to be distinct and not null; null lines are linked with nothing.
     """
-    plain = lines.select("id", "sketch", single_bytes(F.col("line")).alias("line")).withColumn("n", F.octet_length("line"))
-    index, probe = segment_keys(F.col("line"), F.col("n"), max_edits)
-    low = F.lit((1 << _SKETCH_BITS) - 1)
-    indexed = plain.select(_packed(index).alias("x"), F.col("id").alias("a")).withColumn("key", F.shiftright("x", _SKETCH_BITS))
+    lines = lines.select("id", "line")
+    wide = lines.select("id", wide_letters(F.col("line")).alias("wide"))
+    indexed = keyed(wide, index_places(max_edits), max_edits).withColumnRenamed("id", "a")
     place = F.row_number().over(Window.partitionBy("key").orderBy("a"))
     indexed = indexed.withColumn("place", place).where(F.col("place") <= FIRST_OF_KEY + 1)
-    probing = plain.select(_packed(probe).alias("y"), F.col("id").alias("b"))
-    near = sketches_allow(F.col("x").bitwiseAND(low), F.col("y").bitwiseAND(low), max_edits)
+    probing = keyed(wide, probe_places(max_edits), max_edits).select(F.col("key").alias("probe"), F.col("id").alias("b"))
     crowded = F.col("place") > FIRST_OF_KEY  # one such line a crowded key; it tells who probes with the key
-    met = probing.join(
-        indexed.hint("merge"),
-        (F.shiftright("y", _SKETCH_BITS) == F.col("key")) & (crowded | ((F.col("a") != F.col("b")) & near)),
-    )
+    met = probing.join(indexed.hint("merge"), (F.col("probe") == F.col("key")) & (crowded | (F.col("a") != F.col("b"))))
     met = met.select(
         F.when(crowded, F.col("b")).otherwise(F.least("a", "b")).alias("a"),
         F.when(crowded, F.col("b")).otherwise(F.greatest("a", "b")).alias("b"),
         F.when(crowded, F.col("key")).alias("key"),
     )
     met = stash(met.distinct(), "line-pairs")
-    links = stash(_verified(met.where(F.col("key").isNull()).select("a", "b"), lines, max_edits), "line-links")
+    pairs = met.where(F.col("key").isNull()).select("a", "b")
+    # few lines meet another one: letters are counted in these only, once a line
+    texts = stash(with_sketch(_lines_of(_ends(pairs), lines)), "met-lines")
+    side = lambda c: texts.select(F.col("id").alias(c), F.col("sketch").alias(f"sketch_{c}")).hint("merge")
+    near = sketches_allow(F.col("sketch_a"), F.col("sketch_b"), max_edits)
+    pairs = stash(pairs.join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b"), "near-pairs")
+    links = stash(_verified(pairs, texts, max_edits), "line-links")
     probes = met.where(F.col("key").isNotNull()).select(F.col("a").alias("id"), "key")
     if probes.isEmpty():
         return links
@@ -301,8 +327,8 @@ def repeated_lines(
     marks = [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), F.col("line")).alias("h2")]
     unnamed = F.min(F.when(F.col("row_id").isNull(), F.col("row_hash")))
     distinct = found.groupBy("line").agg(F.count("*").alias("n"), F.min("row_id").alias("first_id"), unnamed.alias("first_hash"))
-    distinct = stash(with_sketch(distinct.withColumn("id", F.monotonically_increasing_id())), "lines")
-    edited = distinct.where(F.length("line") >= min_chars).select("id", "line", "sketch")
+    distinct = stash(distinct.withColumn("id", F.monotonically_increasing_id()), "lines")
+    edited = distinct.where(F.length("line") >= min_chars).select("id", "line")
     roots = connected_components(linked_lines(edited, max_edits))
     known = distinct.select("id", "n", "first_id", "first_hash", *marks)
     named = known.join(roots.withColumnRenamed("node", "id").hint("merge"), "id", "left")

@@ -310,6 +310,32 @@ def test_line_links_are_complete(spark):
     assert {(r["a"], r["b"]) for r in got} == want
 
 
+def test_lines_are_linked_without_counting_all_their_letters(spark):
+    """Only ``id`` and ``line`` are asked for; letters of any script are told apart and count as one each."""
+    rng = random.Random(12)
+    lines = set()
+    for _ in range(60):
+        base = "".join(rng.choice("abжя字\U0001f600 ") for _ in range(rng.randint(8, 30)))
+        lines |= {base, *(changed(rng, base, rng.randint(1, 3)) for _ in range(2))}
+    lines = sorted(x for x in lines if len(x) >= 8)
+    df = spark.createDataFrame([*enumerate(lines), (len(lines), None)], "id long, line string")
+    got = [(r["a"], r["b"]) for r in line_dedup.linked_lines(df, 2).collect()]
+    want = {(i, j) for (i, a), (j, b) in itertools.combinations(enumerate(lines), 2) if abs(len(a) - len(b)) <= 2 and edits(a, b) <= 2}
+    assert set(got) == want and len(got) == len(want) > 60
+
+
+def test_keys_of_a_line_are_compiled(spark):
+    """Rows of keys come from a join with the places, not from an array of keys that is exploded."""
+    text = "ten letterж and three 😀 more"
+    wide = spark.createDataFrame([(5, text)], "id long, line string").select("id", line_dedup.wide_letters(F.col("line")).alias("wide"))
+    probing, indexed = [line_dedup.keyed(wide, places(2), 2) for places in (line_dedup.probe_places, line_dedup.index_places)]
+    assert "Generate" not in probing._jdf.queryExecution().executedPlan().toString()
+    keys, own = [[r["key"] for r in df.collect()] for df in (probing, indexed)]
+    assert len(set(keys)) == len(keys) == 12 and len(own) == 3 and set(own) <= set(keys)
+    shorter = spark.createDataFrame([(6, text[1:])], "id long, line string").select("id", line_dedup.wide_letters(F.col("line")).alias("wide"))
+    assert set(keys) & {r["key"] for r in line_dedup.keyed(shorter, line_dedup.index_places(2), 2).collect()}
+
+
 @pytest.mark.parametrize("first", [1, 3])
 def test_crowded_keys_link_the_same_components(spark, monkeypatch, first):
     """More lines under a key than the first round compares: the components stay those of all pairs, with few links."""
