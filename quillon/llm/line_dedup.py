@@ -32,6 +32,8 @@ SKETCH_LETTERS = "enatisrohldc"
 FIRST_LOOK = 16
 #: Lines of a key that every probe is compared with in the first round.
 FIRST_OF_KEY = 16
+#: Longs that mark the neighbouring letters of a line under a crowded key.
+TWO_WORDS = 4
 
 
 def _segment(length: Column, number: Column, parts: int) -> tuple[Column, Column]:
@@ -210,6 +212,27 @@ def word_marks(line: Column) -> Column:
     return F.aggregate(F.split(line, " "), F.lit(0).cast("long"), lambda marks, w: marks.bitwiseXOR(bit(w)))
 
 
+def twos_allow(x: Column, y: Column, max_edits: int) -> Column:
+    """False only if :func:`two_marks` rule out ``max_edits`` edits: an edit takes out two pairs of neighbouring letters at most
+    and brings in two, which turns four bits at most."""
+    turned = [F.bit_count(x[f"m{i}"].bitwiseXOR(y[f"m{i}"])) for i in range(TWO_WORDS)]
+    return sum(turned[1:], turned[0]) <= 4 * max_edits
+
+
+def two_marks(wide: Column) -> Column:
+    """64 bits each in ``TWO_WORDS`` fields: which classes of neighbouring letters stand in a line (:func:`wide_letters`) an odd
+    number of times."""
+    places = F.filter(F.sequence(F.lit(0), _width(wide) - 1), lambda i: i < _width(wide) - 1)
+    spots = F.transform(places, lambda i: F.pmod(F.xxhash64(F.substring(wide, i * 4 + 1, F.lit(8))), F.lit(64 * TWO_WORDS)).cast("int"))
+    bit = lambda spot: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(spot, F.lit(64)))
+
+    def marks(found: Column, i: int) -> Column:
+        own = F.filter(found, lambda spot: F.floor(spot / 64) == i)
+        return F.aggregate(own, F.lit(0).cast("long"), lambda m, spot: m.bitwiseXOR(bit(spot)))
+
+    return let(spots, lambda found: F.struct(*[marks(found, i).alias(f"m{i}") for i in range(TWO_WORDS)]))
+
+
 def _ends(pairs: DataFrame) -> DataFrame:
     """Every ``id`` that stands in the pairs ``a, b``, once."""
     return pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
@@ -231,53 +254,71 @@ def _verified(pairs: DataFrame, lines: DataFrame, max_edits: int) -> DataFrame:
     return both.where(within_edits(F.col("x"), F.col("y"), max_edits)).select("a", "b")
 
 
-def _crowded_links(lines: DataFrame, crowded: DataFrame, roots: DataFrame, max_edits: int) -> DataFrame:
-    """Links under the crowded keys (``id, key``: who probes with which) between lines of different components."""
-    found = _lines_of(crowded.select("id").distinct(), lines)
-    found = found.join(roots.withColumnRenamed("node", "id").hint("merge"), "id", "left")
-    found = with_sketch(found).withColumn("wide", wide_letters(F.col("line")))
+def _crowded_pairs(own: DataFrame, crowded: DataFrame, max_edits: int, first: int | None = None) -> DataFrame:
+    """Pairs ``a, b`` of lines of different roots that meet under a crowded key (``id, key``: who probes with which) and that their marks
+    do not tell apart; with ``first``, probes meet that many lines of each key only. Marks are compared where lines meet."""
+    marks = ("id", "sketch", "words", "twos", "root")
+    named = lambda side: own.select(*[F.col(c).alias(f"{c}_{side}") for c in marks]).hint("merge")
+    probing = crowded.withColumnRenamed("id", "id_b").join(named("b"), "id_b")
+    indexed = own.select(F.explode("keys").alias("key"), F.col("id").alias("id_a"))
+    indexed = indexed.join(crowded.select("key").distinct().hint("merge"), "key", "left_semi")
+    if first is not None:
+        place = F.row_number().over(Window.partitionBy("key").orderBy("id_a"))
+        indexed = indexed.withColumn("place", place).where(F.col("place") <= first).drop("place")
+    indexed = indexed.join(named("a"), "id_a")
+    met = probing.join(
+        indexed.hint("merge"),
+        (probing["key"] == indexed["key"])
+        & (F.col("root_a") != F.col("root_b"))
+        & words_allow(F.col("words_a"), F.col("words_b"), max_edits)
+        & sketches_allow(F.col("sketch_a"), F.col("sketch_b"), max_edits)
+        & twos_allow(F.col("twos_a"), F.col("twos_b"), max_edits),
+    )
+    return met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+
+
+def _crowded_links(lines: DataFrame, crowded: DataFrame, links: DataFrame, max_edits: int) -> DataFrame:
+    """Links under the crowded keys (``id, key``: who probes with which): with the first lines of each key, then between lines that
+    these and the other ``links`` leave in different components."""
+    found = with_sketch(_lines_of(crowded.select("id").distinct(), lines)).withColumn("wide", wide_letters(F.col("line")))
     length = _width(F.col("wide"))
     keys = [_key(F.col("wide"), length, *[F.lit(x) for x in place], max_edits) for place in index_places(max_edits)]
     own = found.select(
         "id",
+        "line",
         "sketch",
         word_marks(F.col("line")).alias("words"),
-        F.coalesce("root", "id").alias("root"),
+        two_marks(F.col("wide")).alias("twos"),
         F.array(*keys).alias("keys"),
     )
     own = stash(own, "crowded-lines")
-    named = lambda side: own.select(*[F.col(c).alias(f"{c}_{side}") for c in ("id", "sketch", "words", "root")])
-    probing = crowded.withColumnRenamed("id", "id_b").join(named("b").hint("merge"), "id_b")
-    indexed = own.select(F.explode("keys").alias("key"), F.col("id").alias("id_a"))
-    indexed = indexed.join(crowded.select("key").distinct().hint("merge"), "key", "left_semi")
-    indexed = indexed.join(named("a").hint("merge"), "id_a")
-    met = probing.join(
-        indexed.hint("merge"),
-        (probing["key"] == indexed["key"])
-        & (F.col("root_a") != F.col("root_b"))
-        & words_allow(F.col("words_a"), F.col("words_b"), max_edits)
-        & sketches_allow(F.col("sketch_a"), F.col("sketch_b"), max_edits),
-    )
-    pairs = met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
-    return _verified(stash(pairs, "crowded-pairs"), lines, max_edits)
+    texts = own.select("id", "line")
+    pairs = _crowded_pairs(own.withColumn("root", F.col("id")), crowded, max_edits, FIRST_OF_KEY)
+    near = stash(_verified(stash(pairs, "crowded-first"), texts, max_edits), "crowded-links")
+    roots = connected_components(links.unionByName(near))
+    own = own.join(roots.withColumnRenamed("node", "id").hint("merge"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    pairs = stash(_crowded_pairs(own, crowded, max_edits), "crowded-pairs")
+    return near.unionByName(_verified(pairs, texts, max_edits))
 
 
 def linked_lines(lines: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
     """Links ``a, b`` (ids) between the distinct lines (``id, line``) that are within ``max_edits`` edits: the
     components are those of all such pairs.
 
-    Every probe meets the first ``FIRST_OF_KEY`` lines of its key. That is all of them but under crowded keys, whose
-    other lines are compared in a second round, only between components that the first has left apart; so a
-    large group of near-equal lines is one component after a number of links in proportion to its lines. Ids
-    are taken to be distinct and not null; null lines are linked with nothing.
+    Under keys of ``FIRST_OF_KEY`` lines at most, every probe meets them all. The lines of crowded keys are marked first, and told
+    apart by their marks where they meet: every probe with the first ``FIRST_OF_KEY`` lines of its key, and then with the
+    others of components that this has left apart; so a large group of near-equal lines is one component after a number of
+    links in proportion to its lines, and lines that share no more than a key make no row. Ids are taken to be
+    distinct and not null; null lines are linked with nothing.
     """
     lines = lines.select("id", "line")
     wide = lines.select("id", wide_letters(F.col("line")).alias("wide"))
     indexed = keyed(wide, index_places(max_edits), max_edits).withColumnRenamed("id", "a")
-    place = F.row_number().over(Window.partitionBy("key").orderBy("a"))
-    indexed = indexed.withColumn("place", place).where(F.col("place") <= FIRST_OF_KEY + 1)
+    one = Window.partitionBy("key")
+    indexed = indexed.withColumn("place", F.row_number().over(one.orderBy("a"))).where(F.col("place") <= FIRST_OF_KEY + 1)
+    crowded = F.col("place") > FIRST_OF_KEY  # one such line a crowded key, all that is left of it; it tells who probes with the key
+    indexed = indexed.withColumn("n", F.count("*").over(one)).where(crowded | (F.col("n") <= FIRST_OF_KEY)).drop("n")
     probing = keyed(wide, probe_places(max_edits), max_edits).select(F.col("key").alias("probe"), F.col("id").alias("b"))
-    crowded = F.col("place") > FIRST_OF_KEY  # one such line a crowded key; it tells who probes with the key
     met = probing.join(indexed.hint("merge"), (F.col("probe") == F.col("key")) & (crowded | (F.col("a") != F.col("b"))))
     met = met.select(
         F.when(crowded, F.col("b")).otherwise(F.least("a", "b")).alias("a"),
@@ -295,7 +336,7 @@ def linked_lines(lines: DataFrame, max_edits: int = MAX_EDITS) -> DataFrame:
     probes = met.where(F.col("key").isNotNull()).select(F.col("a").alias("id"), "key")
     if probes.isEmpty():
         return links
-    return links.unionByName(_crowded_links(lines, probes, connected_components(links), max_edits))
+    return links.unionByName(_crowded_links(lines, probes, links, max_edits)).distinct()
 
 
 def repeated_lines(

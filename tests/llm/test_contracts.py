@@ -362,6 +362,39 @@ def test_crowded_keys_link_the_same_components(spark, monkeypatch, first):
     assert len(set(got)) < pairs
 
 
+def test_marks_of_a_line_never_rule_out_two_edits(spark):
+    rng = random.Random(21)
+    bases = ["".join(rng.choice("abcdжé ") for _ in range(rng.randint(1, 60))) for _ in range(200)]
+    pairs = [(a, changed(rng, a, rng.randint(0, 2))) for a in bases] + [("", ""), ("a", ""), ("ab", "b")]
+    marks = lambda c: line_dedup.two_marks(line_dedup.wide_letters(F.col(c)))
+    df = spark.createDataFrame(pairs, "a string, b string").select(marks("a").alias("x"), marks("b").alias("y"))
+    got = df.select(line_dedup.twos_allow(F.col("x"), F.col("y"), 2).alias("may")).collect()
+    assert len(got) == len(pairs) and all(r["may"] for r in got)
+
+
+def test_lines_that_share_no_more_than_a_key_make_no_pairs(spark, monkeypatch):
+    """A large group of different lines with a third in common: those within two edits are linked, the others never paired."""
+    made, stash = {}, line_dedup.stash
+
+    def counted(df, label):
+        out = stash(df, label)
+        made[label] = out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "stash", counted)
+    rng = random.Random(8)
+    letters = [rng.sample("abcdefghijklmnoprstuvw", 6) for _ in range(6)]
+    words = [["".join(rng.sample(x, 6)) for _ in range(5)] for x in letters]  # at each place the same letters in another order
+    head = "every one of these lines begins with the same words, for more than a third of it, "
+    lines = {head + " ".join(map(rng.choice, words)) for _ in range(80)}
+    lines |= {f"{x[:-1]}!" for x in sorted(lines)[:15]}
+    lines = sorted(lines)
+    got = {(r["a"], r["b"]) for r in line_dedup.linked_lines(spark.createDataFrame(list(enumerate(lines)), "id long, line string"), 2).collect()}
+    want = {(i, j) for (i, a), (j, b) in itertools.combinations(enumerate(lines), 2) if edits(a[len(head):], b[len(head):]) <= 2}
+    assert len(want) >= 15 and got == want
+    assert sum(made.get(x, 0) for x in ("near-pairs", "crowded-first", "crowded-pairs")) < len(lines)
+
+
 def test_lines_of_messy_rows(spark, messy):
     line = "All rights to this page are reserved by the press."
     rows_ = [(100 + i, f"{'abcdefgh'[i] * 9} own words of one document only\n{line}{'!' * (i % 2)}\nshort", "en", "s", 1, 0.1, "r") for i in range(8)]
