@@ -16,7 +16,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +25,8 @@ from quillon.llm._common import map_arrow, table
 WINDOW = 13
 #: Word windows that one automaton holds at most: some 160 MB where it is built, 25 MB on its way to the tasks.
 MAX_PATTERNS = 250_000
+#: Texts of a batch that are Python strings at a time.
+SLICE = 64
 
 #: Byte table of the normalisation: lower-cases A-Z, turns ASCII separators into spaces.
 _FOLD = bytes(
@@ -96,6 +97,12 @@ class _Scanner:
         return len(words), [{"lo": a, "hi": b} for a, b in merged], spans, sorted(items)
 
 
+def _sliced(texts: pa.Array) -> Iterator[str | None]:
+    """The texts of a batch, of which ``SLICE`` at most are Python strings at a time."""
+    for start in range(0, len(texts), SLICE):
+        yield from texts.slice(start, SLICE).to_pylist()
+
+
 _RANGES = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32())]))
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 _SCHEMA = (
@@ -107,7 +114,7 @@ def _scan_block(docs: DataFrame, id_col: str, text_col: str, patterns: dict) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = _Scanner(patterns)
         for batch in batches:
-            rows = [scanner.scan(t) for t in batch.column(1).to_pylist()]
+            rows = [scanner.scan(t) for t in _sliced(batch.column(1))]
             n, ranges, spans, items = zip(*rows, strict=True) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
                 [
@@ -248,18 +255,17 @@ def remove_contaminated(
         )
         return docs.join(bad, same, "left_anti").select(*docs.columns)
     patterns = _patterns(items, 0, 1, window)
-    held: list[_Scanner] = []
-
-    @F.pandas_udf("boolean")
-    def contaminated(texts: pd.Series) -> pd.Series:
-        if not held:
-            held.append(_Scanner(patterns))
-        out = []
-        for text in texts:
-            n, ranges, _, _ = held[0].scan(text)
-            hit = sum(r["hi"] - r["lo"] for r in ranges)
-            out.append(hit > 0 and 20 * hit >= n)
-        return pd.Series(out, dtype="bool")
+
+    @F.arrow_udf("boolean")
+    def contaminated(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scanner = _Scanner(patterns)
+        for texts in batches:
+            out = []
+            for text in _sliced(texts):
+                n, ranges, _, _ = scanner.scan(text)
+                hit = sum(r["hi"] - r["lo"] for r in ranges)
+                out.append(hit > 0 and 20 * hit >= n)
+            yield pa.array(out, pa.bool_())
 
     return docs.where(~contaminated(F.col(text_col)))
 

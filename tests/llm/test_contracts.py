@@ -594,6 +594,29 @@ def test_contamination(spark, messy, block):
             assert len(decontaminate.normal_words(text[s["start"] : s["end"]])) == w["hi"] - w["lo"]
 
 
+def test_texts_of_a_batch_are_strings_in_slices(monkeypatch):
+    """A batch of documents stays in Arrow; ``SLICE`` of its texts at most become Python strings at once."""
+    monkeypatch.setattr(decontaminate, "SLICE", 4)
+    sizes = []
+
+    class Texts:
+        def __init__(self, texts):
+            self.texts = texts
+
+        def __len__(self):
+            return len(self.texts)
+
+        def slice(self, start, length):
+            return Texts(self.texts[start : start + length])
+
+        def to_pylist(self):
+            sizes.append(len(self.texts))
+            return self.texts
+
+    texts = [None, "", *map(str, range(9))]
+    assert list(decontaminate._sliced(Texts(texts))) == texts and sizes == [4, 4, 3]
+
+
 def test_remove_contaminated(spark, messy):
     bench = bench_rows(spark)
     bad = {r["doc_id"] for r in decontaminate.contamination_digest(decontaminate.find_contamination(messy, bench)).where("contaminated").collect()}
